@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import media_audio, mixing, packing
+from lodestone.llm import license_scan, media_audio, mixing, packing, quality_rules, token_counts, toxicity
 from lodestone.llm.shared import table
 
 
@@ -22,7 +22,32 @@ def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_mpeg_audio, op3_best_fit_packing, op4_source_mixing)
-}
-ORACLES: dict[str, str] = {}
+def op5_separator_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's place and length in flat token streams made from the documents."""
+    return token_counts.count_tokens(token_counts.flat_blocks(table(spark, sf_dir, "documents")))
+
+
+def op8_license_diagonals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan_licenses(table(spark, sf_dir, "documents"))
+
+
+def op9_rule_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.score_documents(table(spark, sf_dir, "documents"))
+
+
+def op10_compression_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score_toxicity(docs, toxicity.learn(docs, table(spark, sf_dir, "labels")))
+
+
+_ALL = (
+    op1_mpeg_audio,
+    op3_best_fit_packing,
+    op4_source_mixing,
+    op5_separator_scan,
+    op8_license_diagonals,
+    op9_rule_cascade,
+    op10_compression_toxicity,
+)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
+ORACLES: dict[str, str] = {"op9_rule_cascade": quality_rules.ORACLE}
