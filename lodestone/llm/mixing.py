@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.shared import checkpointed
+from lodestone.llm.shared import checkpointed, running_sum
 
 #: The fractional part of the golden ratio: multiples of it, modulo 1, spread evenly at every length.
 GOLDEN = 0.6180339887498949
@@ -36,16 +36,6 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (3, 1, 2), sha
     return per.select("source", "source_no", "source_size", target.alias("target"))
 
 
-def running_sum(df: DataFrame, keys: list[str], order: list[str], value: str, part: str, out: str) -> DataFrame:
-    """``out``: the sum of ``value`` over the earlier rows of the same ``keys``; ``part`` is a column that cuts each
-    key's rows, in their order, into parts of bounded length, so that no key's rows meet in one task."""
-    inside = Window.partitionBy(*keys, part).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    across = Window.partitionBy(*keys).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
-    base = df.groupBy(*keys, part).agg(F.sum(value).alias("__sum")).withColumn("__base", F.coalesce(F.sum("__sum").over(across), F.lit(0)))
-    joined = df.join(base.drop("__sum"), [*keys, part])
-    return joined.withColumn(out, F.col("__base") + F.coalesce(F.sum(value).over(inside), F.lit(0))).drop("__base")
-
-
 def schedule(targets: DataFrame, block: int, slots: int, chunk: int = 4096, cells: int = 4096) -> DataFrame:
     """The order of the mix: rows (slot, source_no, rank), with rank counting a source's slots from 0.
 
