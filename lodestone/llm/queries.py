@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import chat, license_scan, media_audio, mixing, packing, quality_classifier, quality_rules, token_counts, toxicity
+from lodestone.llm import chat, license_scan, media_audio, mixing, ngram_join, packing, quality_classifier, quality_rules, token_counts, toxicity
 from lodestone.llm.shared import table
 
 
@@ -14,6 +14,10 @@ def op1_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_audio.media_digests(table(spark, sf_dir, "documents"))
 
 
+def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
@@ -55,6 +59,7 @@ def op10_compression_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _ALL = (
     op1_mpeg_audio,
+    op2_ngram_jaccard,
     op3_best_fit_packing,
     op4_source_mixing,
     op5_separator_scan,
