@@ -1,3 +1,3 @@
 """Importing this registers all queries."""
 
-from lodestone.plans import search_queries  # noqa: F401
+from lodestone.plans import corpus_queries, search_queries, vector_queries  # noqa: F401
