@@ -169,7 +169,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", most_label
             both = [r.tobytes() for r in np.hstack([a, b]).astype("<f4")]
             yield pa.RecordBatch.from_pydict({"h": part.column("h"), "y": part.column("y"), "x": pa.array(both, pa.binary())})
 
-    wanted = _standard(docs, id_col).join(chosen.select("doc_id", "h", "y"), "doc_id").select(*_COLUMNS, "h", "y")
+    wanted = _standard(docs, id_col).join(F.broadcast(chosen.select("doc_id", "h", "y")), "doc_id").select(*_COLUMNS, "h", "y")  # bounded by the two limits
     got = wanted.mapInArrow(extract, "h bigint, y double, x binary").toPandas().sort_values(["h", "x"])
     x = np.frombuffer(b"".join(got["x"]), "<f4").reshape(len(got), GRAMS + SHAPES + LANGS + SOURCES + SIZES).astype(float)
     text, meta, y = x[:, : GRAMS + SHAPES], x[:, GRAMS + SHAPES :], got["y"].to_numpy(float)
