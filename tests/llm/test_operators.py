@@ -1,0 +1,456 @@
+"""The ten operators on odd inputs and against brute force."""
+
+import collections
+import hashlib
+import itertools
+import math
+import random
+import re
+import struct
+import zlib
+
+import numpy as np
+import pandas as pd
+import pytest
+from pyspark.sql import functions as F
+
+from lodestone.llm import chat, license_scan, media_audio, mixing, ngram_join, packing, quality_classifier, quality_rules, token_counts, tokens, toxicity
+
+SF = "/root/testdata/sf0.001"
+WHITE = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+@pytest.fixture(scope="module")
+def documents(spark):
+    return spark.read.parquet(f"{SF}/documents.parquet")
+
+
+@pytest.fixture(scope="module")
+def texts(documents):
+    return {r.doc_id: r.text for r in documents.collect()}
+
+
+def encode(text, special_as_text=False):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(tokens.default_tokenizer())
+    t.encode_special_tokens = special_as_text
+    return t.encode(text, add_special_tokens=False).ids
+
+
+# 1: media
+
+
+def test_media_round_trip(odd_documents, no_documents):
+    got = media_audio.media_digests(odd_documents).collect()
+    texts = [r.text or "" for r in odd_documents.collect()]
+    want = collections.Counter()
+    for t in texts:
+        raw = t.encode()
+        raw += bytes(-len(raw) % 64 or (0 if raw else 64))
+        want[len(t.encode()), len(raw), hashlib.sha256(raw).hexdigest(), zlib.crc32(raw[-64:])] += 1
+    assert collections.Counter((r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) for r in got) == want
+    assert all("bad_crc=0;junk=0" in r.feature and "table=ok" in r.feature for r in got)
+    assert media_audio.media_digests(no_documents).count() == 0
+
+
+def test_reader_finds_frames_again():
+    good = media_audio.write_mpeg(bytes(range(256)) * 40)
+    at = media_audio.read_mpeg(good)["frame_offsets"]
+    junk = good[: at[2]] + b"\xff\xfbnot a frame\xff" * 3 + good[at[2] :]
+    read = media_audio.read_mpeg(junk)
+    assert read["frames"] == len(at) and read["junk_bytes"] == 42 and not read["seek_ok"]
+    assert read["payload"] == bytes(range(256)) * 40
+    flipped = bytearray(good)
+    flipped[at[1] + 6] ^= 1
+    assert media_audio.read_mpeg(bytes(flipped))["bad_crc"] == 1
+    cut = media_audio.read_mpeg(good[: at[-1] + 50])
+    assert cut["frames"] == len(at) - 1 and cut["junk_bytes"] == 50
+    tagged = media_audio.read_mpeg(good + b"TAG" + bytes(125))
+    assert tagged["frames"] == len(at) and tagged["tag_bytes"] == media_audio.read_mpeg(good)["tag_bytes"] + 128
+    assert media_audio.read_mpeg(b"")["frames"] == 0 and media_audio.read_mpeg(b"\xff" * 100)["frames"] == 0
+
+
+def test_reader_knows_other_streams():
+    """Layer II without CRC, and a VBRI table."""
+    head = bytes((0xFF, 0xFD, 0x10, 0x00))
+    size, samples, rate, *_ = media_audio.header(head)
+    stream = (head + bytes(size - 4)) * 5
+    read = media_audio.read_mpeg(stream)
+    assert (read["frames"], read["samples"], read["rate"], read["duration_us"]) == (5, 5 * samples, rate, 5 * samples * 10**6 // rate)
+    head = bytes((0xFF, 0xFB, 0x10, 0xC0))
+    size = media_audio.header(head)[0]
+    first = head + bytes(17) + b"VBRI" + struct.pack(">HHHII", 1, 0, 0, 4 * size, 3)
+    read = media_audio.read_mpeg(first.ljust(size, b"\0") + (head + bytes(size - 4)) * 3)
+    assert read["vbr"] == "VBRI" and read["frames"] == 3 and read["seek_ok"]
+
+
+# 2: n-gram Jaccard join
+
+
+def grams(text):
+    w = (text or "").lower().split()
+    return frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)] if w else [])
+
+
+def brute_links(rows):
+    sets, parent, links = [grams(t) for t in rows], list(range(len(rows))), [0] * len(rows)
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in itertools.combinations(range(len(rows)), 2):
+        both = len(sets[a] & sets[b])
+        if 100 * both >= 80 * (len(sets[a]) + len(sets[b]) - both):
+            links[a] += 1
+            links[b] += 1
+            x, y = sorted((find(a), find(b)))
+            parent[y] = x
+    return links, [find(x) for x in range(len(rows))]
+
+
+def near_copies(n, seed):
+    """A text's copies with a few words changed, so that some are linked only through others."""
+    rng = random.Random(seed)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(150)]
+    out = []
+    for _ in range(n):
+        words = list(base)
+        for _ in range(rng.randrange(6)):
+            words[rng.randrange(150)] = f"x{rng.randrange(10**6)}"
+        out.append(" ".join(words))
+    return out
+
+
+@pytest.mark.parametrize("block", [256, 16])
+def test_near_duplicates_against_all_pairs(spark, texts, block, monkeypatch):
+    rows = list(texts.values()) + near_copies(120, 1) + near_copies(40, 2) * 2 + ["a b c", "A  B c", "", " ", "a b"]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    real = ngram_join.verified_links
+    monkeypatch.setattr(ngram_join, "verified_links", lambda *a: real(*a, block=block))
+    got = sorted(ngram_join.near_duplicates(df).collect())
+    links, roots = brute_links(rows)
+    assert [r.n_links for r in got] == links
+    assert [r.class_id for r in got] == roots
+    kept = sorted(r.doc_id for r in ngram_join.keep_one_of_each(df).collect())
+    assert kept == sorted(set(roots))
+
+
+def test_near_duplicates_of_odd_rows(odd_documents, no_documents):
+    got = ngram_join.near_duplicates(odd_documents).collect()
+    by = collections.Counter((r.doc_id, r.class_id, r.n_links) for r in got)
+    assert by[1, 1, 1] == 2 and by[2, 2, 2] == by[3, 2, 2] == by[5, 2, 2] == 1 and by[None, None, 0] == 1
+    kept = ngram_join.keep_one_of_each(odd_documents)
+    assert kept.columns == odd_documents.columns and sorted(r.doc_id or 0 for r in kept.collect()) == [0, 1, 2, 4, 6, 7]
+    assert ngram_join.near_duplicates(no_documents).count() == 0 and ngram_join.keep_one_of_each(no_documents).count() == 0
+
+
+def test_bands_reach_their_recall():
+    bands, rows = ngram_join.choose_bands(0.8, 0.9999)
+    assert bands * rows <= 128 and 1 - (1 - 0.8**rows) ** bands >= 0.9999
+
+
+# 3: packing
+
+
+def check_packing(got, rows, capacity=2048):
+    places = collections.defaultdict(list)
+    for r in got:
+        places[r.sequence_id].append((r.offset, r.length))
+    for spans in places.values():
+        at = 0
+        for offset, length in sorted(spans):
+            assert offset == at
+            at += length
+        assert at <= capacity
+    want = collections.Counter()
+    for doc_id, text in rows:
+        ids = [*encode(text or ""), 0]
+        for k, at in enumerate(range(0, len(ids), capacity)):
+            part = ids[at : at + capacity]
+            want[doc_id, k, at, len(part), zlib.crc32(np.array(part, "<u4").tobytes())] += 1
+    assert collections.Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in got) == want
+    return len(places), sum(r.length for r in got)
+
+
+def test_packing(documents, texts, odd_documents, no_documents):
+    used, total = check_packing(packing.pack_documents(documents).collect(), texts.items())
+    assert used <= 1.02 * math.ceil(total / 2048)
+    check_packing(packing.pack_documents(odd_documents).collect(), [(r.doc_id, r.text) for r in odd_documents.collect()])
+    assert packing.pack_documents(no_documents).count() == 0
+
+
+def test_open_bins_stay_bounded_and_choose_the_tightest():
+    rng, bins = random.Random(3), packing.OpenBins(100, 8)
+    free = {}
+    for _ in range(2000):
+        n = rng.randrange(1, 101)
+        fitting = [f for f in free.values() if f >= n]
+        at, offset = bins.add(n)
+        if fitting:
+            assert free[at] == min(fitting) and offset == 100 - free[at]
+        elif len(free) == 8:
+            del free[min(free, key=lambda k: (free[k], -k))]
+        free[at] = free.get(at, 100) - n
+        if not free[at]:
+            del free[at]
+        assert bins.open == sum(map(len, bins.by_free.values())) <= 8
+        free = {b: f for f, bs in bins.by_free.items() for b in bs}
+
+
+@pytest.mark.parametrize("text", ["", "a.b,c..", "É. é. x", "H̱ a", "İstanbul ΣΑΣ σας", "don't it's I'll", "<|endoftext|> hi", "a b\x1cc\x0bd", "12.5, x2 ²", "ﬁ. ǅ", "wow!. x", "á é. x", "x" * 5000])
+def test_cached_ids_equal_the_tokenizers(text):
+    for special in (False, True):
+        assert np.frombuffer(tokens.word_tokenizer(tokens.default_tokenizer(), special).ids(text), "<u4").tolist() == encode(text, special)
+
+
+# 4: mixing
+
+
+def brute_targets(sizes, weights=(3, 1, 2)):
+    order = sorted(sizes, key=lambda s: (s is None, (s or "").encode()))
+    weight = {s: weights[i % len(weights)] for i, s in enumerate(order)}
+    left, free, out = 1.5 * sum(sizes.values()), set(order), {}
+    while free:
+        level = left / sum(weight[s] for s in free)
+        full = {s for s in free if level * weight[s] > 2 * sizes[s]}
+        if not full:
+            return out | {s: level * weight[s] for s in free}
+        out |= {s: 2.0 * sizes[s] for s in full}
+        left -= sum(2 * sizes[s] for s in full)
+        free -= full
+    return out
+
+
+@pytest.mark.parametrize("slots", [1 << 14, 300])
+def test_mixing(documents, odd_documents, no_documents, slots):
+    for df in (documents, odd_documents):
+        got = mixing.mix_documents(df, slots=slots, keep=("source",)).collect()
+        rows = df.select("doc_id", "text", "source").collect()
+        size = lambda r: len(WHITE.findall(r.text or ""))
+        assert collections.Counter((r.doc_id, r.size) for r in got) == collections.Counter((r.doc_id, size(r)) for r in rows)
+        sizes = collections.Counter()
+        for r in rows:
+            sizes[r.source] += size(r)
+        targets, taken = brute_targets(dict(sizes)), collections.Counter()
+        for r in got:
+            assert r.source_size == sizes[r.source] and abs(r.target - targets[r.source]) < 1e-6 * max(1, r.target) and 0 <= r.taken <= 2 * r.size
+            taken[r.source] += r.taken
+        assert all(abs(taken[s] - targets[s]) <= 1 for s in sizes)
+        assert sorted(got, key=str) == sorted(mixing.mix_documents(df, slots=slots, keep=("source",)).collect(), key=str)
+    assert mixing.mix_documents(no_documents).count() == 0
+
+
+def test_schedule_is_even_at_every_length(spark):
+    targets = spark.createDataFrame([("a", 0, 100, 150.0), ("b", 1, 50, 50.0), (None, 2, 70, 100.0)], "source string, source_no long, source_size long, target double")
+    got = mixing.schedule(targets, 1, 300, chunk=16, cells=8).orderBy("slot").collect()
+    seen = collections.Counter()
+    for i, r in enumerate(got, 1):
+        assert r["rank"] == seen[r.source_no]
+        seen[r.source_no] += 1
+        assert all(abs(seen[k] - i * t / 300) <= 4 for k, t in ((0, 150), (1, 50), (2, 100)))
+    assert seen == {0: 150, 1: 50, 2: 100}
+
+
+# 5: token counts
+
+
+@pytest.mark.parametrize("block_tokens", [7, 1000, 65_536])
+def test_token_counts(documents, texts, odd_documents, no_documents, block_tokens):
+    few = documents.limit(30) if block_tokens == 7 else documents
+    got = token_counts.count_tokens(token_counts.flat_blocks(few, block_tokens=block_tokens)).collect()
+    want = {r.doc_id: len(encode(r.text, True)) for r in few.collect()}
+    assert {r.doc_id: r.n_tokens for r in got} == want and len(got) == len(want)
+    for _, rows in itertools.groupby(sorted(got, key=lambda r: (r.file, r.ordinal)), key=lambda r: r.file):
+        at = 0
+        for k, r in enumerate(rows):
+            assert (r.ordinal, r.start, r.ended) == (k, at, True)
+            at += r.n_tokens + 1
+    odd = token_counts.count_tokens(token_counts.flat_blocks(odd_documents, block_tokens=50)).collect()
+    assert sorted(r.n_tokens for r in odd) == sorted(len(encode(r.text or "", True)) for r in odd_documents.collect())
+    assert token_counts.count_tokens(token_counts.flat_blocks(no_documents)).count() == 0
+
+
+def test_counts_from_files_on_disk(spark, tmp_path):
+    rng, want = np.random.default_rng(2), []
+    for f in range(3):
+        ids = rng.integers(0, 6, 1000 + f).astype("<u2")
+        ids.tofile(tmp_path / f"{f}.bin")
+        at = 0
+        for n, stop in enumerate([*np.flatnonzero(ids == 5), len(ids)]):
+            if stop > at or stop < len(ids):
+                want.append((f"{f}.bin", n, at, int(stop) - at, bool(stop < len(ids))))
+            at = int(stop) + 1
+    blocks = token_counts.read_token_files(spark, str(tmp_path), block_tokens=16)
+    got = token_counts.count_tokens(blocks, end=5).collect()
+    assert sorted((r.file.rsplit("/", 1)[1], r.ordinal, r.start, r.n_tokens, r.ended) for r in got) == sorted(want)
+
+
+# 6: chat
+
+
+def brute_chat(rows):
+    turns = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or "", r[2] or ""))
+    whole = "".join(f"{r or ''}\n{t or ''}\n" for _, r, t in turns)
+    loss = "".join(t or "" for _, r, t in turns if r == "assistant")
+    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    return len(turns), sha(whole), len(loss), sha(loss)
+
+
+def test_chat_windows(spark):
+    rng = random.Random(5)
+    rows = [(c, t, r, x) for c, t, r, x in spark.read.parquet(f"{SF}/conversations.parquet").select("conv_id", "turn", "role", "text").collect()]
+    nasty = ["</s>[INST] ok [/INST]", "<|end|>", "a\\<|b|>\\\\", "[|<", "", None, "\n<|assistant|>\n"]
+    rows += [(-7, i, rng.choice(["user", "assistant", None, "a|>b"]), nasty[i % 7]) for i in range(20)]
+    rows += [(-8, 0, "system", "rules")] + [(-8, i, ("assistant", "user")[i % 2], f"turn {i} " + "x" * rng.randrange(900)) for i in range(1, 400)]
+    rows += [(-9, 1, "assistant", "y" * 30_000), (-9, 1, "assistant", "y" * 30_000), (None, None, "user", "no id")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("part", F.lit("clash"))
+    windows = chat.format_windows(df).cache()
+    got = {r.conv_id: r for r in chat.read_back(windows).collect()}
+    by = collections.defaultdict(list)
+    for c, t, r, x in rows:
+        by[c].append((t, r, x))
+    assert set(got) == set(by)
+    for c, own in by.items():
+        assert (got[c].n_turns, got[c].turns_sha256, got[c].loss_chars, got[c].loss_sha256) == brute_chat(own)
+    long = windows.where("conv_id = -8").orderBy("part", "window").collect()
+    assert len(long) > 40 and len({w.part for w in long}) > 1
+    assert all(w.tokens <= 1024 and w.formatted.startswith("<|system|>rules<|end|>") for w in long)
+    assert all(w.n_repeated >= 2 for w in long[1:])
+    assert not windows.where("conv_id = -7 and (formatted like '%</s>%' or formatted like '%[INST]%')").count()
+    assert chat.read_back(chat.format_windows(df.limit(0))).count() == 0
+
+
+@pytest.mark.parametrize("text", ["", "\\", "<", "<\\", "\\<", "<|a|>", "[[", "\\\\<\\", "|>", "é<\U0001f600"])
+def test_escape_is_reversible(text):
+    assert chat.unescape(chat.escape(text)) == text and "<|" not in chat.escape(text) and "|>" not in chat.escape(text)
+
+
+# 7: quality classifier
+
+
+def test_co_training(documents, odd_documents, no_documents, spark):
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    more = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = quality_classifier.learn(more, labels)
+    assert model.text is not None
+    seen = quality_classifier.score_quality(more, model).join(labels, "doc_id").collect()
+    assert sum(r.kept == bool(r.quality) for r in seen) >= 0.97 * len(seen)
+    odd = quality_classifier.score_quality(odd_documents, model).collect()
+    assert len(odd) == 9 and all(0 <= r.score <= 1 for r in odd)
+    assert len({r.score for r in odd if r.doc_id == 1}) == 1
+    kept = quality_classifier.keep_good(odd_documents, model)
+    assert kept.columns == odd_documents.columns and kept.count() == sum(r.kept for r in odd)
+    assert quality_classifier.score_quality(no_documents, model).count() == 0
+    one_kind = quality_classifier.learn(more, labels.where("quality = 1"))
+    assert {r.score for r in quality_classifier.score_quality(documents.limit(5), one_kind).collect()} == {1.0}
+
+
+def test_views_teach_each_other():
+    rng = np.random.default_rng(1)
+    y = rng.integers(0, 2, 600).astype(float)
+    text, meta = y[:, None] + rng.normal(0, 0.4, (600, 3)), y[:, None] + rng.normal(0, 0.4, (600, 2))
+    model = quality_classifier.co_train(text[:40], meta[:40], y[:40], text[40:300], meta[40:300])
+    a, b, both = model.scores(text[300:], meta[300:])
+    right = lambda p: ((p >= 0.5) == y[300:]).mean()
+    assert right(both) >= max(right(a), right(b)) - 0.01 and right(both) > 0.95
+
+
+# 8: licenses
+
+
+def brute_licenses(text):
+    w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").translate({c: c + 32 for c in range(65, 91)}))
+    hits = [(k, label) for phrase, label in license_scan.BASE for k in range(len(w)) if w[k : k + len(phrase.split())] == phrase.split()]
+    at = [k for k, _ in hits]
+    return len(w), len(hits), min(at, default=None), max(at, default=None), ",".join(sorted({x for _, x in hits}))
+
+
+def test_licenses(spark, documents, odd_documents, no_documents):
+    made = ["MIT License. mit license CC-BY CC by 4.0", "GNU General  Public\nLicense, GNU General Public", "KİT MITK license", "mit", "cc by cc by", "gnu gnu general public license license"]
+    extra = spark.createDataFrame([(10_000 + i, t) for i, t in enumerate(made)], "doc_id long, text string")
+    for df in (documents.select("doc_id", "text"), extra, odd_documents):
+        got = license_scan.scan_licenses(df).collect()
+        want = collections.Counter((r.doc_id, *brute_licenses(r.text)) for r in df.collect())
+        assert collections.Counter((r.doc_id, r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) for r in got) == want
+        assert all(0 <= r.score <= 1 and set(r.base_labels.split(",")) - {""} <= set(r.labels.split(",")) for r in got)
+    assert license_scan.scan_licenses(no_documents).count() == 0
+    passage = "Permission is hereby granted, totally free of charge, to any person obtaining a copy of the software"
+    found = license_scan.scan_licenses(spark.createDataFrame([(1, passage)], "doc_id long, text string")).first()
+    assert found.n_base == 0 and found.labels == "mit" and 0.6 <= found.score < 1
+
+
+def test_license_scan_has_no_python_in_its_plan(documents):
+    for df in (license_scan.scan_licenses(documents), mixing.mix_documents(documents)):
+        assert not re.search("Python|Pandas|Arrow", df._jdf.queryExecution().executedPlan().toString())
+
+
+# 9: quality rules
+
+
+def brute_rules(text):
+    text = text or ""
+    w = WHITE.findall(text)
+    seen = collections.defaultdict(list)
+    for i in range(len(w) - 2):
+        seen[tuple(w[i : i + 3])].append(i)
+    repeated = {i + k for at in seen.values() if len(at) > 1 for i in at for k in range(3)}
+    lines = [x for x in text.split("\n") if WHITE.search(x)]
+    return len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in text), len(lines) - len(set(lines)), len(repeated)
+
+
+def test_rule_counts(documents, odd_documents, no_documents, spark):
+    made = ["a a a a", "x y z\nx y z\n x y z\nx y z", "é é ### |\n\n###", "w " * 60, "one\ntwo\none\r\none\r", "a b c a b c a b"]
+    extra = spark.createDataFrame(list(enumerate(made)), "doc_id long, text string")
+    for df in (documents, extra, odd_documents):
+        got = quality_rules.score_documents(df).collect()
+        assert collections.Counter((r.doc_id, *[r[c] for c in quality_rules.COUNTS]) for r in got) == collections.Counter((r.doc_id, *brute_rules(r.text)) for r in df.collect())
+        assert all(r.base_failed == (r.n_words < 50 or 100 * r.n_repeat_words > 50 * r.n_words) and not (r.base_failed and r.kept) for r in got)
+    assert quality_rules.score_documents(no_documents).count() == 0 and quality_rules.filter_documents(no_documents).count() == 0
+
+
+def test_cascade_does_not_depend_on_order(documents):
+    kept = sorted(r.doc_id for r in quality_rules.score_documents(documents).where("kept").collect())
+    assert kept == sorted(r.doc_id for r in quality_rules.filter_documents(documents).collect())
+    assert kept == sorted(r.doc_id for r in quality_rules.filter_documents(documents, rules=quality_rules.RULES[::-1]).collect())
+    assert set(quality_rules.order_rules(documents)) == set(quality_rules.RULES)
+
+
+# 10: toxicity
+
+
+def test_toxicity_finds_words_it_was_shown(spark, no_documents):
+    rng = random.Random(9)
+    syllables = ["ta", "lo", "mi", "ren", "sto", "vel", "qua", "ish", "or", "en", "dra", "pu"]
+    word = lambda: "".join(rng.choice(syllables) for _ in range(rng.randrange(1, 5)))
+    bad = ["zorgwat", "blexit", "hyfnuk", "grizzok"]
+
+    def text(toxic):
+        w = [word() for _ in range(rng.randrange(80, 200))]
+        for k in range(5 if toxic else 0):
+            w.insert(rng.randrange(len(w)), bad[k % 4])
+        return " ".join(w)
+
+    rows = [(i, text(i % 4 == 0), i % 4 == 0) for i in range(600)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string").withColumn("score", F.lit("clash"))
+    labels = spark.createDataFrame([(i, int(b)) for i, _, b in rows], "doc_id long, toxic int")
+    model = toxicity.learn(docs, labels)
+    got = {r.doc_id: r for r in toxicity.score_toxicity(docs, model).collect()}
+    assert all(r.held_out == (zlib.crc32(str(i).encode()) % 3 == 1) and r.predicted == int(r.score >= 0.7) for i, r in got.items())
+    held = [(got[i].predicted, int(b)) for i, _, b in rows if got[i].held_out]
+    assert sum(p == y for p, y in held) >= 0.97 * len(held)
+    # labels of the held-out third change nothing
+    turned = labels.withColumn("toxic", F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, 1 - F.col("toxic")).otherwise(F.col("toxic")))
+    again = {r.doc_id: r.score for r in toxicity.score_toxicity(docs, toxicity.learn(docs, turned)).collect()}
+    assert again == {i: r.score for i, r in got.items()}
+
+
+def test_toxicity_of_odd_rows(odd_documents, no_documents, spark):
+    model = toxicity.train(["you idiot " * 30] * 3, ["a fine day " * 30] * 3)
+    got = toxicity.score_toxicity(odd_documents, model).collect()
+    assert len(got) == 9 and all(0 <= r.score <= 1 for r in got)
+    assert toxicity.score_toxicity(no_documents, model).count() == 0
+    none = toxicity.learn(odd_documents, spark.createDataFrame([], "doc_id long, toxic int"))
+    assert all(r.score < 1e-5 for r in toxicity.score_toxicity(odd_documents, none).collect())
