@@ -46,9 +46,9 @@ def agg08(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.summarize_verification(rows, "user_id")
 
 
-@register("win16_mru_list", "WITH o AS (SELECT user_id, event_type || '/' || (value::INTEGER % 20) AS path, max(ts) AS ts FROM events GROUP BY ALL) SELECT user_id, path, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, path)::INTEGER AS place FROM o QUALIFY place <= 10")
+@register("win16_mru_list", "WITH o AS (SELECT user_id, event_type || '/' || (floor(value)::INTEGER % 20) AS path, max(ts) AS ts FROM events GROUP BY ALL) SELECT user_id, path, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, path)::INTEGER AS place FROM o QUALIFY place <= 10")
 def win16(spark: SparkSession, sf_dir: str) -> DataFrame:
-    opens = _events(spark, sf_dir).select("user_id", F.concat("event_type", F.lit("/"), F.round("value").cast("int") % 20).alias("path"), "ts")
+    opens = _events(spark, sf_dir).select("user_id", F.concat("event_type", F.lit("/"), F.floor("value").cast("int") % 20).alias("path"), "ts")
     return S.mru_list(opens).select("user_id", "path", "place")
 
 

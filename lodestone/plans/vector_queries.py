@@ -107,14 +107,14 @@ PARTS = "parts AS (SELECT 0 AS query_id, p_partkey AS path, p_brand AS brand, su
     f"""WITH {PARTS},
 sig AS (SELECT brand AS query_id, path, 'graph' AS signal, score AS raw FROM parts UNION ALL SELECT p_brand, p_partkey, 'text', p_retailprice FROM part UNION ALL SELECT p_brand, p_partkey, 'recent', p_size FROM part),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id, signal ORDER BY raw DESC, path) - 1 AS n FROM sig)
-SELECT query_id, path, round(sum(CASE signal WHEN 'graph' THEN 3.0 WHEN 'text' THEN 2.0 ELSE 1.5 END / (n + 5)), 6) AS score FROM r GROUP BY ALL""",
+SELECT query_id, path, round(sum(CASE signal WHEN 'graph' THEN 3.0 WHEN 'text' THEN 2.0 ELSE 1.5 END / (n + 5)), 12) AS score FROM r GROUP BY ALL""",
 )
 def win06(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = table(spark, sf_dir, "part")
     signal = lambda name, raw: part.select(F.col("p_brand").alias("query_id"), F.col("p_partkey").alias("path"), F.lit(name).alias("signal"), F.col(raw).cast("double").alias("raw"))
     graph = _parts(spark, sf_dir).select(F.col("brand").alias("query_id"), "path", F.lit("graph").alias("signal"), F.col("score").alias("raw"))
     fused = S.fuse_ranks(graph.unionByName(signal("text", "p_retailprice")).unionByName(signal("recent", "p_size")), {"graph": 3, "text": 2, "recent": 1.5})
-    return fused.select("query_id", "path", F.round("score", 6).alias("score"))
+    return fused.select("query_id", "path", F.round("score", 12).alias("score"))
 
 
 @register(
