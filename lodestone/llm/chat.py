@@ -102,29 +102,47 @@ def format_windows(turns: DataFrame, budget: int = 1024, history: int = 256, tar
     again = again.join(parts.select("k", "part"), ["k", "part"], "left_semi")
     everything = rows.withColumn("kind", F.lit(2)).unionByName(again).unionByName(system)
 
-    def cut(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["kind", "before", "turn", "role", "text"], kind="stable").reset_index(drop=True)
-        kind, role, text, tokens = group["kind"].to_numpy(), group["role"].tolist(), group["text"].tolist(), group["tokens"].to_numpy()
-        lead = int(kind[0] == 0)  # the system turn of an earlier part
-        own = np.flatnonzero(kind > 0)
-        fresh = int((kind == 1).sum())
-        inside = np.flatnonzero((kind == 2) & (group["role"] == "system").to_numpy())
-        system_at = 0 if lead else int(inside[0]) if len(inside) and int(group["part"][0]) >= 0 else -1
-        cost = int(tokens[system_at]) if system_at >= 0 else 0
-        out = []
-        for n, (back, at, stop) in enumerate(spans(tokens[own], fresh, cost, budget, history)):
-            new = own[at:stop].tolist()
-            kept = [k for k in own[back:at].tolist() if k != system_at]
-            if system_at >= 0 and (lead or system_at < new[0]):
-                kept = [system_at, *kept]
-            picked = kept + new
-            formatted, loss = render([(role[k], text[k]) for k in picked], len(kept), targets)
-            out.append((group["conv_id"][0], int(group["part"][0]), n, len(kept), formatted, loss, int(tokens[picked].sum())))
-        frame = pd.DataFrame(out, columns=["conv_id", "part", "window", "n_repeated", "formatted", "loss", "tokens"])
-        frame["loss"] = [[{"begin": a, "end": b} for a, b in x] for x in frame["loss"]]
-        return frame.astype({"conv_id": "Int64"})
-
-    return everything.groupBy("k", "part").applyInPandas(cut, WINDOWS)
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        columns, held, current = ["kind", "before", "role", "text", "tokens", "conv_id", "part"], [], None
+        for batch in batches:
+            out = []
+            for key, row in zip(zip(batch["k"], batch["part"], strict=True), zip(*(batch[c] for c in columns), strict=True), strict=True):
+                if key != current:
+                    out += _windows(held, budget, history, targets)
+                    held, current = [], key
+                held.append(row)
+            yield _frame(out)
+        yield _frame(_windows(held, budget, history, targets))
+
+    # a part's rows lie together and in order; a worker holds one part at a time
+    dealt = everything.repartition("k", "part").sortWithinPartitions("k", "part", "kind", "before", "turn", "role", "text")
+    return dealt.select("k", "part", "kind", "before", "role", "text", "tokens", "conv_id").mapInPandas(cut, WINDOWS)
+
+
+def _frame(rows: list[tuple]) -> pd.DataFrame:
+    return pd.DataFrame(rows, columns=["conv_id", "part", "window", "n_repeated", "formatted", "loss", "tokens"]).astype({"conv_id": "Int64"})
+
+
+def _windows(rows: list[tuple], budget: int, history: int, targets: tuple[str, ...]) -> list[tuple]:
+    """Windows of one part from its rows (kind, before, role, text, tokens, conv_id, part): kind 0 is the system turn
+    of an earlier part, 1 a turn repeated from the part before, 2 a turn of its own."""
+    if not rows:
+        return []
+    kind, _, role, text, tokens, conv, part = zip(*rows, strict=True)
+    conv_id, lead = None if pd.isna(conv[0]) else int(conv[0]), kind[0] == 0
+    own = [k for k in range(len(rows)) if kind[k] > 0]
+    system_at = 0 if lead else next((k for k in own if kind[k] == 2 and role[k] == "system"), -1)
+    cost = tokens[system_at] if system_at >= 0 else 0
+    out = []
+    for n, (back, at, stop) in enumerate(spans(np.array([tokens[k] for k in own]), kind.count(1), cost, budget, history)):
+        new = own[at:stop]
+        kept = [k for k in own[back:at] if k != system_at]
+        if system_at >= 0 and (lead or system_at < new[0]):
+            kept = [system_at, *kept]
+        picked = kept + new
+        formatted, loss = render([(role[k], text[k]) for k in picked], len(kept), targets)
+        out.append((conv_id, int(part[0]), n, len(kept), formatted, [{"begin": a, "end": b} for a, b in loss], int(sum(tokens[k] for k in picked))))
+    return out
 
 
 DIGEST = "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint, n_windows bigint, n_repeated bigint"
