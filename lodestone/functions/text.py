@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -27,11 +29,19 @@ def tokenize(text: Column) -> Column:
     whole = fit(F.transform(F.split(text, "[^a-zA-Z0-9]+"), F.lower))
     apart = F.regexp_replace(F.regexp_replace(text, "([a-z0-9])([A-Z])", "$1 $2"), "([A-Z]+)([A-Z][a-z])", "$1 $2")
     pieces = F.array_distinct(F.concat(whole, fit(F.split(F.lower(apart), "[^a-z0-9]+"))))
-    # only words that are fused cost a lookup
     table = F.create_map(*[x for k, v in FUSED.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
-    fused = F.array_intersect(pieces, F.array(*map(F.lit, FUSED)))
-    parts = F.flatten(F.transform(fused, lambda w: F.element_at(table, w)))
-    return F.when(F.size(fused) > 0, F.array_distinct(F.concat(pieces, parts))).otherwise(pieces)
+
+    def with_parts(p: Column) -> Column:
+        fused = F.array_intersect(p, F.array(*map(F.lit, FUSED)))
+        parts = F.flatten(F.transform(fused, lambda w: F.element_at(table, w)))
+        return F.when(F.size(fused) > 0, F.array_distinct(F.concat(p, parts))).otherwise(p)
+
+    return once(pieces, with_parts)
+
+
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed a single time, however often ``use`` refers to it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def stem(word: Column) -> Column:
@@ -64,7 +74,7 @@ def trimmed(text: Column) -> Column:
 def sentences(text: Column) -> Column:
     """Sentence-like units: cut at white space after . ! or ? before an opener, and at blank lines; never empty."""
     parts = F.filter(F.transform(F.split(text, "(?<=[.!?])\\s+(?=[A-Z(\\[\"'`*_])|\\n{2,}"), trimmed), lambda s: s != "")
-    return F.when(F.size(parts) > 0, parts).otherwise(F.array(text))
+    return once(parts, lambda p: F.when(F.size(p) > 0, p).otherwise(F.array(text)))
 
 
 def estimate_tokens(text: Column) -> Column:

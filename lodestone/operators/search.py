@@ -94,30 +94,19 @@ def bm25_scores(docs: DataFrame, queries: DataFrame, with_stems: bool = True) ->
     that some query has, and only those travel on.
     """
     docs = docs.select("*", (F.size("body") + 2 * F.size("path_tokens")).alias("doc_len"))
-    asked = queries.select("query_id", F.explode("terms").alias("term")).withColumn("stem", T.stem(F.col("term")))
+    asked = queries.select("query_id", F.explode_outer("terms").alias("term")).where("term is not null").withColumn("stem", T.stem(F.col("term")))
     wanted = asked.select("term", "stem").distinct()
     stats = docs.agg(F.count("*").alias("n"), F.avg("doc_len").alias("avg_len"))
     weigh = lambda c, w: F.transform(c, lambda t: F.struct(t.alias("term"), F.lit(w).alias("w")))
-    spread = docs.select("path", "doc_len", F.explode(F.concat(weigh("body", BODY), weigh("path_tokens", PATH), weigh("symbols", SYMBOL))).alias("t")).select("path", "doc_len", F.col("t.term").alias("token"), F.col("t.w").alias("w"))
-    if with_stems:
-        spread = spread.withColumn("token_stem", T.stem(F.col("token")))
-        stems = wanted.select(F.col("stem").alias("token_stem")).distinct()
-        found = spread.join(stems, "token_stem").groupBy("path", "doc_len", "token_stem", "token").agg(F.sum("w").alias("w"))
-    else:
-        terms = wanted.select(F.col("term").alias("token")).distinct()
-        found = spread.join(terms, "token").groupBy("path", "doc_len", "token").agg(F.sum("w").alias("w")).withColumn("token_stem", T.stem(F.col("token")))
-    # per document and wanted term: its own weight, or that of its stem
-    per_stem = Window.partitionBy("path", "token_stem")
-    found = found.withColumn("stem_w", F.sum("w").over(per_stem))
-    exact = found.select("path", "doc_len", F.col("token").alias("term"), F.col("w").alias("tf")).join(wanted.select("term"), "term")
-    tf = exact
-    if with_stems:
-        by_stem = found.select("path", "doc_len", F.col("token_stem").alias("stem"), "stem_w").distinct().join(wanted, "stem")
-        missing = by_stem.join(exact.select("path", "term"), ["path", "term"], "left_anti")
-        tf = exact.select("path", "doc_len", "term", "tf").unionByName(missing.select("path", "doc_len", "term", (F.col("stem_w") * STEM_WEIGHT).alias("tf")))
-    df_exact = exact.groupBy("term").agg(F.count("*").alias("df_exact"))
-    df_stem = found.select("path", F.col("token_stem").alias("stem")).distinct().groupBy("stem").agg(F.count("*").alias("df_stem"))
-    df = wanted.join(df_exact, "term", "left").join(df_stem, "stem", "left").select("term", F.coalesce("df_exact", "df_stem", F.lit(1)).alias("df"))
+    # outer, since a plain explode also filters by the array's size, which would tokenise every text once more
+    spread = docs.select("path", "doc_len", F.explode_outer(F.concat(weigh("body", BODY), weigh("path_tokens", PATH), weigh("symbols", SYMBOL))).alias("t"))
+    spread = spread.where("t is not null").select("path", "doc_len", F.col("t.term").alias("token"), F.col("t.w").alias("w"))
+    # one row per document and wanted term: its own weight there, and that of all tokens with its stem
+    met = spread.withColumn("stem", T.stem(F.col("token"))).join(wanted, "stem")
+    tf = met.groupBy("term", "path", "doc_len").agg(F.sum(F.when(F.col("token") == F.col("term"), F.col("w")).otherwise(0.0)).alias("exact"), F.sum("w").alias("stem_w"))
+    df = tf.groupBy("term").agg(F.count_if(F.col("exact") > 0).alias("own"), F.count("*").alias("by_stem"))
+    df = df.select("term", F.when(F.col("own") > 0, F.col("own")).otherwise(F.col("by_stem") if with_stems else F.lit(1)).alias("df"))
+    tf = tf.select("path", "doc_len", "term", F.when(F.col("exact") > 0, F.col("exact")).otherwise(F.col("stem_w") * STEM_WEIGHT if with_stems else F.lit(None).cast("double")).alias("tf")).where("tf is not null")
     scored = tf.join(df, "term").join(stats)
     idf = F.log1p((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     norm = F.col("tf") + K1 * (1 - B + B * F.col("doc_len") / F.when(F.col("avg_len") == 0, 1).otherwise(F.col("avg_len")))

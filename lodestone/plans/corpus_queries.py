@@ -11,13 +11,13 @@ from lodestone.operators import corpus as C
 from lodestone.operators import search as S
 from lodestone.plans.registry import register
 from lodestone.plans.search_queries import _sql_list
-from lodestone.plans.tables import FILES, files, sql_tokens, table
+from lodestone.plans.tables import FILES, files, spread, sql_tokens, table
 
 TRIM = "regexp_replace({}, '^\\s+|\\s+$', '', 'g')"
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents")
+    return spread(table(spark, sf_dir, "documents"))
 
 
 def _units(x: str) -> str:

@@ -12,9 +12,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over as many partitions as there are cores, where its files give fewer (a small table in one file).
+    Larger tables keep their own partitions and are not shuffled."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as files: doc_id, path, content."""
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text"))
     return docs.select("doc_id", F.concat_ws("/", "source", "lang", F.concat(F.lit("doc-"), F.col("doc_id"), F.lit(".md"))).alias("path"), F.col("text").alias("content"))
 
 
