@@ -88,3 +88,28 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         F.coalesce(F.max(F.when(found, share)), F.lit(0.0)).alias("score"),
     )
     return out.drop("uid")
+
+
+def oracle(base: tuple[tuple[str, str], ...] = BASE, passages: tuple[tuple[str, str], ...] = PASSAGES, drift: int = 3, least: float = 0.6) -> str:
+    """SQL for the rows of scan_licenses over ``documents``."""
+    values = ", ".join(f"({no}, '{phrase}', '{label}', {str(no < len(base)).lower()})" for no, (phrase, label) in enumerate((*base, *passages)))
+    return rf"""
+WITH templates(template, phrase, label, exact) AS (VALUES {values}),
+w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS l FROM documents),
+grams AS (SELECT doc_id, i - 1 AS spot, l[i] || ' ' || l[i + 1] AS gram FROM (SELECT doc_id, l, unnest(range(1, len(l))) AS i FROM w)),
+places AS (SELECT template, label, exact, len(s) - 1 AS n, i - 1 AS place, s[i] || ' ' || s[i + 1] AS gram
+  FROM (SELECT *, unnest(range(1, len(s))) AS i FROM (SELECT *, string_split(phrase, ' ') AS s FROM templates))),
+votes AS (SELECT DISTINCT doc_id, template, label, exact, n, place, spot - place AS diagonal FROM grams JOIN places USING (gram)),
+starts AS (SELECT doc_id, template, diagonal, CASE WHEN diagonal - lag(diagonal) OVER o <= {drift} THEN 0 ELSE 1 END AS gap
+  FROM (SELECT DISTINCT doc_id, template, diagonal FROM votes) WINDOW o AS (PARTITION BY doc_id, template ORDER BY diagonal)),
+numbered AS (SELECT *, sum(gap) OVER (PARTITION BY doc_id, template ORDER BY diagonal) AS run FROM starts),
+exact_hits AS (SELECT doc_id, template, label, diagonal FROM votes WHERE exact GROUP BY ALL HAVING count(*) = max(n)),
+shares AS (SELECT doc_id, template, run, label, exact, count(DISTINCT place) / max(n) AS share, count(DISTINCT h.diagonal) AS hits
+  FROM votes v JOIN numbered USING (doc_id, template, diagonal) LEFT JOIN exact_hits h USING (doc_id, template, label, diagonal) GROUP BY ALL),
+found AS (SELECT * FROM shares WHERE CASE WHEN exact THEN hits > 0 ELSE share >= {least} END),
+base AS (SELECT doc_id, count(*)::BIGINT AS n_base, min(diagonal)::BIGINT AS first_word, max(diagonal)::BIGINT AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM exact_hits GROUP BY doc_id),
+named AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(share) AS score FROM found GROUP BY doc_id)
+SELECT doc_id, len(l)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word, last_word,
+  coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0)::DOUBLE AS score
+FROM w LEFT JOIN base USING (doc_id) LEFT JOIN named USING (doc_id)
+"""

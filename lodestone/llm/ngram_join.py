@@ -261,3 +261,22 @@ def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     best = members.groupBy("root").agg(F.min("rank").alias("best")).select(F.col("best.uid").alias("uid"))
     gone = members.select("uid").join(best, "uid", "left_anti").withColumnRenamed("uid", "__uid")
     return docs.withColumn("__uid", F.monotonically_increasing_id()).join(gone, "__uid", "left_anti").drop("__uid")
+
+
+#: The same rows by a plain join on all n-grams, for small tables.
+ORACLE = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[^\x20\x09-\x0D]+') AS l FROM documents),
+g AS (SELECT DISTINCT doc_id, CASE WHEN len(l) >= 5 THEN array_to_string(l[i : i + 4], ' ') ELSE array_to_string(l, ' ') END AS gram
+  FROM (SELECT doc_id, l, unnest(range(1, greatest(len(l) - 3, 2))) AS i FROM w WHERE len(l) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM g a JOIN g b USING (gram) WHERE a.doc_id < b.doc_id GROUP BY ALL),
+links AS (
+  SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c) UNION ALL
+  SELECT a.doc_id, b.doc_id FROM w a JOIN w b ON a.doc_id < b.doc_id AND len(a.l) = 0 AND len(b.l) = 0),
+near AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach(x, y) AS (SELECT doc_id, doc_id FROM documents UNION SELECT x, b FROM reach JOIN near ON y = a),
+classes AS (SELECT x AS doc_id, min(y) AS class_id FROM reach GROUP BY x),
+counts AS (SELECT a AS doc_id, count(*)::BIGINT AS n_links FROM near GROUP BY a)
+SELECT doc_id, class_id, coalesce(n_links, 0)::BIGINT AS n_links, coalesce(n, 0)::BIGINT AS n_grams
+FROM classes LEFT JOIN counts USING (doc_id) LEFT JOIN n USING (doc_id)
+"""

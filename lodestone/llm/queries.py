@@ -70,4 +70,8 @@ _ALL = (
     op10_compression_toxicity,
 )
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
-ORACLES: dict[str, str] = {"op9_rule_cascade": quality_rules.ORACLE}
+ORACLES: dict[str, str] = {
+    "op2_ngram_jaccard": ngram_join.ORACLE,
+    "op8_license_diagonals": license_scan.oracle(),
+    "op9_rule_cascade": quality_rules.ORACLE,
+}
