@@ -38,6 +38,8 @@ def templates(spark: SparkSession, base: tuple[tuple[str, str], ...] = BASE, pas
     rows = []
     for no, (phrase, label) in enumerate((*base, *passages)):
         own = phrase.split(" ")
+        if not 2 <= len(own) <= 64:
+            raise ValueError(f"a template has 2 to 64 words: {phrase!r}")  # its votes are bits of one long
         rows += [(f"{a} {b}", no, at, len(own) - 1, label, no < len(base)) for at, (a, b) in enumerate(zip(own, own[1:], strict=False))]
     return spark.createDataFrame(rows, "gram string, template int, place int, grams int, label string, exact boolean")
 
