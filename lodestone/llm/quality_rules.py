@@ -109,7 +109,7 @@ RULES = (
     Rule("few words", lambda t: t.n_words < 50),
     Rule("repeated windows", lambda t: 100 * t.n_repeat_words > 50 * t.n_words),
     Rule("symbols", lambda t: 10 * t.n_symbols > t.n_words),
-    Rule("repeated lines", lambda t: 10 * t.n_dup_lines > 3 * t.lines[0]),
+    Rule("repeated lines", lambda t: 2 * t.n_dup_lines > t.lines[0]),
     Rule("capitals", lambda t: t.n_upper > t.n_lower),
     Rule("word length", lambda t: (t.word_chars < 2 * t.n_words) | (t.word_chars > 20 * t.n_words)),
 )
@@ -225,7 +225,7 @@ counted AS (
   FROM worded LEFT JOIN lines USING (doc_id) LEFT JOIN repeats USING (doc_id)),
 judged AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM counted)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  NOT base_failed AND NOT 10 * n_symbols > n_words AND NOT 10 * n_dup_lines > 3 * n_lines AND NOT n_upper > n_lower
+  NOT base_failed AND NOT 10 * n_symbols > n_words AND NOT 2 * n_dup_lines > n_lines AND NOT n_upper > n_lower
   AND NOT (word_chars < 2 * n_words OR word_chars > 20 * n_words) AS kept
 FROM judged
 """
