@@ -1,9 +1,11 @@
 """Toxicity by compression distance: one zstandard dictionary for toxic text, one for ordinary text.
 
-A window is the beginning of a word with its border. Its bytes are widened by fixed codes of two and three bytes
-each, so that a match in a dictionary outweighs a compressed block's fixed cost. What a window gains is its
-compressed length under the ordinary dictionary less that under the toxic one, summed over the codes; a document's
-strongest gains are calibrated to a probability.
+Overlapping windows cover every byte of a text. Short ones begin with a word's border, after a mark inside a word
+and at each further character of it, to its end. Their bytes are widened by fixed codes of two and three bytes each,
+so that a match in a dictionary outweighs a compressed block's fixed cost. Long ones span several words and are
+compressed as they are, against dictionaries that zstandard trains on such windows. What a window gains is its
+compressed length under the ordinary dictionary less that under the toxic one (short ones: summed over the codes);
+a document's strongest gains are calibrated to a probability.
 """
 
 from __future__ import annotations
@@ -22,8 +24,15 @@ from pyspark.sql import functions as F
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 EDGE = b".,;:!?*$%&|#<>\"'()[]{}-_"
 WIDTHS = (2, 3)
-#: Bytes of a window: a border and a word's first letters, or a shorter word between two borders.
+#: Bytes of a short window: a border and a word's first letters, or a shorter word between two borders.
 WINDOW = 7
+#: Bytes of a long window, and from one to the next.
+SPAN, STEP = 64, 32
+#: ASCII marks inside a word, after which another word begins.
+JOINT = re.compile(rb"[-/\\.,:;!?\"'()\[\]{}<>|&#%+=~_]+")
+#: Words longer than this are not remembered.
+LONGEST = 48
+FEATURES = 8
 CACHE_WINDOWS = 400_000
 #: Gains from which a window counts as strong.
 STRONG, LOW = 13, -10
@@ -78,21 +87,52 @@ def _content(toxic: list[str], ordinary: list[str], size: int) -> tuple[bytes, b
     return b"".join(reversed(chosen)), b"".join(reversed(usual))
 
 
+def spans(own: list[bytes]) -> list[bytes]:
+    """Overlapping windows over words joined by blanks; together they hold every byte."""
+    whole = b" " + b" ".join(own) + b" "
+    return [whole[i : i + SPAN] for i in range(0, max(1, len(whole) - SPAN + STEP), STEP)] if own else []
+
+
+def _inner(word: bytes) -> list[bytes]:
+    """The windows at each character of a word after its first, as far as the word's end."""
+    closed = word + b" "
+    last = max(1, len(closed) - WINDOW)
+    return [closed[i : i + WINDOW] for i in range(1, last + 1) if closed[i] & 0xC0 != 0x80 or i == last]
+
+
+def _phrases(texts: list[str], size: int) -> bytes:
+    """A dictionary trained on the long windows of texts; where they are too few for that, the windows themselves."""
+    import zstandard as z
+
+    parts = [w for t in texts for w in spans(words(t))]
+    try:
+        return z.train_dictionary(size, parts).as_bytes()
+    except (z.ZstdError, ValueError):
+        return b"".join(dict.fromkeys(parts))[-size:]
+
+
 class Gains:
-    """Gains of windows, remembered for a bounded number of them."""
+    """Gains of windows; those of short windows and words are remembered for a bounded number of them."""
 
-    def __init__(self, toxic: bytes, ordinary: bytes):
+    def __init__(self, content: tuple[bytes, bytes, bytes, bytes]):
         import zstandard as z
 
+        toxic, ordinary, toxic_phrases, ordinary_phrases = content
         params = z.ZstdCompressionParameters(strategy=z.STRATEGY_FAST, min_match=7, window_log=17, hash_log=14, chain_log=14, search_log=3, target_length=0, write_content_size=0, write_checksum=0, write_dict_id=0, format=z.FORMAT_ZSTD1_MAGICLESS)
-        self.sides, self.known = [], {}
+        self.sides, self.known, self.known_words = [], {}, {}
         for code in _CODES:
             pair = []
-            for content in (ordinary, toxic):
-                held = z.ZstdCompressionDict(widen(content.rjust(16), code), dict_type=z.DICT_TYPE_RAWCONTENT)
+            for held in (ordinary, toxic):
+                held = z.ZstdCompressionDict(widen(held.rjust(16), code), dict_type=z.DICT_TYPE_RAWCONTENT)
                 held.precompute_compress(compression_params=params)
                 pair.append(z.ZstdCompressor(dict_data=held, compression_params=params).compress)
             self.sides.append((code, *pair))
+        params = z.ZstdCompressionParameters.from_level(3, window_log=17, write_content_size=0, write_checksum=0, write_dict_id=0, format=z.FORMAT_ZSTD1_MAGICLESS)
+        self.long = []
+        for held in (ordinary_phrases, toxic_phrases):
+            held = z.ZstdCompressionDict(held.rjust(16))
+            held.precompute_compress(compression_params=params)
+            self.long.append(z.ZstdCompressor(dict_data=held, compression_params=params).compress)
 
     def __call__(self, window: bytes) -> int:
         g = self.known.get(window)
@@ -106,21 +146,39 @@ class Gains:
             self.known[window] = g
         return g
 
+    def word(self, word: bytes) -> int:
+        """The strongest gain of a word's windows: at its beginning, after marks inside it and at its other characters."""
+        g = self.known_words.get(word)
+        if g is None:
+            starts = [(b" " + p + b" ")[:WINDOW] for p in (word, *JOINT.split(word)) if p]
+            g = max(map(self, starts + _inner(word)))
+            if len(word) <= LONGEST:
+                if len(self.known_words) >= CACHE_WINDOWS:
+                    self.known_words.clear()
+                self.known_words[word] = g
+        return g
+
     def features(self, text: str | None) -> list[float]:
-        """The three strongest gains of a text, how many are strong, and its length."""
+        """The three strongest gains of a text's words, how many are strong, and its length; of its long windows the
+        strongest gain and the mean."""
         own = words(text)
-        counts = Counter((b" " + w + b" ")[:WINDOW] for w in own)
-        gains = {w: self(w) for w in counts}
-        top = sorted(gains.values(), reverse=True)[:3] or [LOW]
+        counts = Counter(own)
+        gains = {w: self.word(w) for w in counts}
+        alike: dict[bytes, int] = {}  # words with the same beginning count as one
+        for w, g in gains.items():
+            start = (b" " + w + b" ")[:WINDOW]
+            alike[start] = max(g, alike.get(start, LOW))
+        top = sorted(alike.values(), reverse=True)[:3]
         strong = sum(n for w, n in counts.items() if gains[w] >= STRONG)
         top = [float(min(50, max(LOW, g))) for g in (*top, *[LOW] * 3)][:3]
-        return [*top, math.log1p(strong), strong / max(1, len(own)), math.log1p(len(own))]
+        ordinary, toxic = self.long
+        long = [len(ordinary(w)) - len(toxic(w)) for w in spans(own)] or [0]
+        return [*top, math.log1p(strong), strong / max(1, len(own)), math.log1p(len(own)), float(max(long)), sum(long) / len(long)]
 
 
 @dataclass
 class Model:
-    toxic: bytes
-    ordinary: bytes
+    content: tuple[bytes, bytes, bytes, bytes]
     mean: np.ndarray
     scale: np.ndarray
     weights: np.ndarray
@@ -145,6 +203,10 @@ def logistic(x: np.ndarray, y: np.ndarray, l2: float = 1e-3, steps: int = 50) ->
     return w
 
 
+def _dictionaries(toxic: list[str], ordinary: list[str], size: int) -> tuple[bytes, bytes, bytes, bytes]:
+    return *_content(toxic, ordinary, size), _phrases(toxic, size), _phrases(ordinary, size)
+
+
 def train(toxic: list[str], ordinary: list[str], size: int = 8192) -> Model:
     """Dictionaries from all texts; the calibration from gains of either half under the other half's dictionaries.
 
@@ -152,18 +214,18 @@ def train(toxic: list[str], ordinary: list[str], size: int = 8192) -> Model:
     """
     rows, labels = [], []
     for k in (0, 1):
-        gains = Gains(*_content(toxic[k::2], ordinary[k::2], size))
+        gains = Gains(_dictionaries(toxic[k::2], ordinary[k::2], size))
         for texts, label in ((toxic[1 - k :: 2], 1.0), (ordinary[1 - k :: 2], 0.0)):
             rows += [gains.features(t) for t in texts]
             labels += [label] * len(texts)
-    content = _content(toxic, ordinary, size)
-    x, y = np.array(rows).reshape(len(rows), 6), np.array(labels)
+    content = _dictionaries(toxic, ordinary, size)
+    x, y = np.array(rows).reshape(len(rows), FEATURES), np.array(labels)
     if not len(y) or y.min() == y.max():
         share = float(y.mean()) if len(y) else 0.0
         odds = math.log((share + 1e-6) / (1 - share + 1e-6))
-        return Model(*content, np.zeros(6), np.ones(6), np.r_[np.zeros(6), odds])
+        return Model(content, np.zeros(FEATURES), np.ones(FEATURES), np.r_[np.zeros(FEATURES), odds])
     mean, scale = x.mean(0), x.std(0) + 1e-6
-    return Model(*content, mean, scale, logistic((x - mean) / scale, y))
+    return Model(content, mean, scale, logistic((x - mean) / scale, y))
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, most: tuple[int, int], longest: int) -> tuple[list[str], list[str]]:
@@ -195,9 +257,9 @@ def score_toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_c
     """
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        gains = Gains(model.toxic, model.ordinary)
+        gains = Gains(model.content)
         for batch in batches:
-            x = np.array([gains.features(t) for t in batch["text"]]).reshape(len(batch), 6)
+            x = np.array([gains.features(t) for t in batch["text"]]).reshape(len(batch), FEATURES)
             yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "score": model.probability(x)})
 
     scored = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(score, "doc_id bigint, score double")

@@ -447,6 +447,34 @@ def test_toxicity_finds_words_it_was_shown(spark, no_documents):
     assert again == {i: r.score for i, r in got.items()}
 
 
+def test_toxicity_reads_every_byte(spark):
+    rng = random.Random(5)
+    syllables = ["ta", "lo", "mi", "ren", "sto", "vel", "qua", "ish", "or", "en", "dra", "pu"]
+    fill = lambda n: ["".join(rng.choice(syllables) for _ in range(rng.randrange(2, 5))) for _ in range(n)]
+    bad = lambda k: " ".join(x for w in fill(20) for x in (w, ["zorgwat", "grizzok"][k % 2]))
+    model = toxicity.train([bad(k) for k in range(80)], [" ".join(fill(40)) for _ in range(160)])
+    shapes = ("vel-{}", "vel/{}", "vel'{}", "quaishor{}", "quaishorenta{}tadra")
+    rows = [(k, " ".join(x for w in fill(20) for x in (w, shape.format("zorgwat")))) for k, shape in enumerate(shapes)]
+    rows += [(10, "".join(x for w in fill(20) for x in (w, "zorgwat"))), (11, "".join(fill(40)))]  # no blanks
+    got = {r.doc_id: r.score for r in toxicity.score_toxicity(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()}
+    assert all(got[k] > 0.7 for k in range(len(shapes))) and got[10] > got[11]
+
+
+@pytest.mark.parametrize("text", ["abcdefghijklmnop qrs", "a b " * 99, "\u6c49\u5b57\u6ca1\u6709\u7a7a\u683c\u7684\u53e5\u5b50" * 9, "x"])
+def test_toxicity_windows_overlap_and_cover(text):
+    own, whole = toxicity.words(text), b""
+    for k, w in enumerate(toxicity.spans(own)):
+        assert len(whole) >= k * toxicity.STEP
+        whole = whole[: k * toxicity.STEP] + w
+    assert whole == b" " + b" ".join(own) + b" "
+    for w in own:
+        closed, read = w + b" ", toxicity.WINDOW - 1
+        for x in toxicity._inner(w):
+            at = closed.rindex(x, 0, read + len(x))
+            read = max(read, at + len(x))
+        assert read >= len(closed)
+
+
 def test_toxicity_of_odd_rows(odd_documents, no_documents, spark):
     model = toxicity.train(["you idiot " * 30] * 3, ["a fine day " * 30] * 3)
     got = toxicity.score_toxicity(odd_documents, model).collect()
