@@ -1,8 +1,9 @@
 """MPEG audio as a media column: a writer that carries any payload, and a tolerant reader.
 
-The reader skips ID3v2 tags (and their footer), finds frame headers again after junk by asking that the next
-header agrees, reads Xing/Info and VBRI tables, checks the CRC of protected frames, and returns the exact
-duration as samples over rate, one seek offset per frame and the ID3v1 tag. The writer makes MPEG-1 layer III
+The reader skips ID3v2 tags (and their footer) and an ID3v1 tag where frames or junk end, without reading their
+fields (but for the writer's own length); after junk it takes a header again if the next one agrees or its CRC does.
+It reads Xing/Info and VBRI tables, checks the CRC of protected frames of layers I and III (not of layer II), and
+returns the exact duration as samples over rate and one seek offset per frame. The writer makes MPEG-1 layer III
 mono frames of silence whose ancillary bytes hold the payload, each protected by its CRC, at the smallest
 bitrate that fits, behind an ID3v2 tag (with the payload's length) and a Xing frame with a 100-entry seek table.
 """
@@ -82,6 +83,10 @@ def _same_stream(a: bytes, b: bytes) -> bool:
     return a[1] & 0xFE == b[1] & 0xFE and a[2] & 0x0C == b[2] & 0x0C
 
 
+def _crc_holds(raw: bytes, at: int, side: int) -> bool:
+    return crc16(raw[at + 2 : at + 4] + raw[at + 6 : at + 6 + side]) == int.from_bytes(raw[at + 4 : at + 6], "big")
+
+
 @lru_cache(32)
 def _frame_head(index: int) -> tuple[bytes, int]:
     """Header, CRC and empty side information of a protected mono frame at 32 kHz, and its size."""
@@ -140,27 +145,35 @@ def read_mpeg(raw: bytes) -> dict:
         if m := re.search(rb"TXXX.{6}\0payload\0(\d+)", raw[at : at + size], re.S):
             length = int(m[1])
         at, tags = min(end, at + size), tags + size
-    if end - at >= 128 and raw[end - 128 : end - 125] == b"TAG":
-        end, tags = end - 128, tags + 128
+    # a tag only where no frame holds its place: a payload may have these letters there
+    tag = end - 128 if end - at >= 128 and raw[end - 128 : end - 125] == b"TAG" else end
+    lost = True
     offsets, data, junk, bad, samples, rate, vbr, table, last, audio_at = [], [], 0, 0, 0, 0, "", None, b"", at
     while at + 4 <= end:
         head = raw[at : at + 4]
         h = header(head)
         ok = h is not None and at + h[0] <= end and (not last or _same_stream(last, head))
-        if ok and not last and at + h[0] + 4 <= end:  # the first header must be followed by one like it
-            ok = header(raw[at + h[0] : at + h[0] + 4]) is not None and _same_stream(head, raw[at + h[0] : at + h[0] + 4])
+        if ok and lost and at + h[0] != tag and at + h[0] + 4 <= end:  # the first header, also after junk, needs one like it next or its CRC
+            after = raw[at + h[0] : at + h[0] + 4]
+            ok = header(after) is not None and _same_stream(head, after) or h[4] and h[5] != 2 and _crc_holds(raw, at, h[3])
         if not ok:
+            if at == tag:
+                end, tags = tag, tags + 128
+                break
+            lost = True
             m = _SYNC.search(raw, at + 1, end)
-            step = (m.start() if m else end) - at
+            step = min(m.start() if m else end, tag if at < tag else end) - at
             junk += step
             at += step
             continue
         size, n, rate, side, protected, layer = h
-        checked = raw[at + 6 : at + 6 + side] if protected else b""
-        if protected and layer != 2 and crc16(head[2:] + checked) != int.from_bytes(raw[at + 4 : at + 6], "big"):
+        lost = False
+        if protected and layer != 2 and not _crc_holds(raw, at, side):
             bad += 1
         body = at + 4 + 2 * protected + side
-        if not last and raw[body : body + 4] in (b"Xing", b"Info", b"VBRI"):
+        first = at + 36 if raw[at + 36 : at + 40] == b"VBRI" else body  # 32 bytes behind the header, whatever the side information
+        if not last and raw[first : first + 4] in (b"Xing", b"Info", b"VBRI"):
+            body = first
             vbr = raw[body : body + 4].decode()
             if vbr == "VBRI":
                 table = (int.from_bytes(raw[body + 14 : body + 18], "big"), int.from_bytes(raw[body + 10 : body + 14], "big"), b"")

@@ -85,6 +85,32 @@ def test_reader_knows_other_streams():
     assert read["vbr"] == "VBRI" and read["frames"] == 3 and read["seek_ok"]
 
 
+def test_tag_letters_inside_a_payload():
+    for n in (64, 65, 96, 128, 1500):
+        for i in range(n - 2):
+            raw = media_audio.padded((b"x" * i + b"TAG").ljust(n, b"x"))
+            read = media_audio.read_mpeg(media_audio.write_mpeg(raw))
+            assert read["payload"] == raw and read["junk_bytes"] == 0 and read["seek_ok"], (n, i)
+
+
+def test_tags_and_headers_after_junk():
+    good = media_audio.write_mpeg(bytes(range(256)) * 40)
+    plain = media_audio.read_mpeg(good)
+    read = media_audio.read_mpeg(good + b"junk" + b"TAG" + bytes(125))
+    assert (read["frames"], read["junk_bytes"], read["tag_bytes"]) == (plain["frames"], 4, plain["tag_bytes"] + 128)
+    head = bytes((0xFF, 0xFB, 0x10, 0xC0))  # no CRC
+    size = media_audio.header(head)[0]
+    one = head + bytes(size - 4)
+    false = b"##" + head + bytes(50)  # a header that nothing follows
+    read = media_audio.read_mpeg(one * 3 + false + one * 3)
+    assert read["frames"] == 6 and read["junk_bytes"] == len(false)
+    tagged = media_audio.read_mpeg(one + b"TAG" + bytes(125))
+    assert tagged["frames"] == 1 and tagged["tag_bytes"] == 128 and tagged["junk_bytes"] == 0
+    table = (head + bytes(32) + b"VBRI" + struct.pack(">HHHII", 1, 0, 0, 4 * size, 3)).ljust(size, b"\0")
+    read = media_audio.read_mpeg(table + one * 3)
+    assert read["vbr"] == "VBRI" and read["frames"] == 3 and read["seek_ok"]
+
+
 # 2: n-gram Jaccard join
 
 
