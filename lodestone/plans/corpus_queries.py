@@ -53,7 +53,7 @@ def fn06(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("fn05_extract_abstract", _cut("SELECT doc_id, regexp_replace('Abstract words of ' || source || chr(10) || left(text, 2000), '^\\s+|\\s+$', '', 'g') AS t FROM documents", 1200).replace("AS cut", "AS abstract"))
 def fn05(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A labelled abstract for even documents, else the first paragraph after a heading; both hold the same text."""
-    body = F.concat(F.lit("Abstract words of "), "source", F.lit("\n"), F.left("text", F.lit(2000)))
+    body = F.concat(F.lit("Abstract words of "), "source", F.lit("\n"), "text")
     even = F.concat(F.lit("# Title\n\n## Abstract\n\n"), body, F.lit("\n\n## Next\n\nmore"))
     odd = F.concat(F.lit("# Title\n\n> quoted\n\n"), body, F.lit("\n\nmore"))
     return _docs(spark, sf_dir).select("doc_id", T.extract_abstract(F.when(F.col("doc_id") % 2 == 0, even).otherwise(odd)).alias("abstract"))

@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 from lodestone.functions import paths as P
 from lodestone.functions import text as T
 from lodestone.operators import assembly, changes, corpus, extract, search, sessions, vectors
+from lodestone.plans import queries as _registered  # noqa: F401
+from lodestone.plans import registry
 
 
 def column(spark, values, expr, kind="string"):
@@ -125,3 +127,11 @@ def test_tree_has_corners(spark):
 def test_fence_is_longer_than_any_run(spark, text):
     fence = column(spark, [text], T.safe_fence)[0]
     assert len(fence) >= 3 and fence not in text
+
+
+def test_abstracts_see_whole_texts(spark, tmp_path):
+    """What follows 2000 characters counts: without it, the abstract would seem complete."""
+    rows = [(k, "web", "en", "First words" + " " * 2500 + "and the last.") for k in (2, 3)]
+    spark.createDataFrame(rows, "doc_id long, source string, lang string, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = registry.queries()["fn05_extract_abstract"](spark, str(tmp_path)).collect()
+    assert {r.doc_id: r.abstract for r in got} == {k: "Abstract words of web\nFirst words…" for k in (2, 3)}
