@@ -1,18 +1,18 @@
 """Toxicity by compression distance: one zstandard dictionary for toxic text, one for ordinary text.
 
-Overlapping windows cover every byte of a text. Short ones begin with a word's border, after a mark inside a word
-and at each further character of it, to its end. Their bytes are widened by fixed codes of two and three bytes each,
-so that a match in a dictionary outweighs a compressed block's fixed cost. Long ones span several words and are
-compressed as they are, against dictionaries that zstandard trains on such windows. What a window gains is its
-compressed length under the ordinary dictionary less that under the toxic one (short ones: summed over the codes);
-a document's strongest gains are calibrated to a probability.
+A text is compressed in overlapping windows of running bytes, each once with the dictionary of ordinary text alone and
+once with the toxic dictionary behind it. What a window gains from the toxic dictionary is the difference of the two
+lengths: words that both kinds of text have cost the same either way. How many windows gain how much is calibrated to
+a probability on texts that the dictionaries were not trained on.
+
+Both dictionaries are trained by zstandard. Training fills a dictionary with what recurs most, so two things are kept
+from it: passages that stand in several texts, and, for the toxic dictionary, stretches that ordinary text has too.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -21,164 +21,141 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-WORD = re.compile(rb"[^\x20\x09-\x0D]+")
-EDGE = b".,;:!?*$%&|#<>\"'()[]{}-_"
-WIDTHS = (2, 3)
-#: Bytes of a short window: a border and a word's first letters, or a shorter word between two borders.
-WINDOW = 7
-#: Bytes of a long window, and from one to the next.
-SPAN, STEP = 64, 32
-#: ASCII marks inside a word, after which another word begins.
-JOINT = re.compile(rb"[-/\\.,:;!?\"'()\[\]{}<>|&#%+=~_]+")
-#: Words longer than this are not remembered.
-LONGEST = 48
-FEATURES = 8
-CACHE_WINDOWS = 400_000
-#: Gains from which a window counts as strong.
-STRONG, LOW = 13, -10
-_CODES = [np.random.default_rng(7).integers(0, 256, (256, w), dtype=np.uint8) for w in WIDTHS]
-
-
-def words(text: str | None) -> list[bytes]:
-    """Lower-case words without punctuation at their ends."""
-    return [s for w in WORD.findall((text or "").lower().encode()) if (s := w.strip(EDGE))]
-
-
-def widen(raw: bytes, code: np.ndarray) -> bytes:
-    return code[np.frombuffer(raw, np.uint8)].tobytes()
-
-
-def _starts(word: bytes) -> list[bytes]:
-    return [b" " + word[:k] for k in range(4, min(9, len(word)))] + [b" " + word + b" "]
-
-
-def _contexts(texts: list[str], only: set[bytes] | None = None) -> dict[bytes, set[int]]:
-    """For each start of a word, the words seen before it: copies of a text add none."""
-    seen: dict[bytes, set[int]] = {}
-    for t in texts:
-        before = b""
-        for w in words(t):
-            mark, before = hash(before) & 0xFFFFFF, w
-            for s in _starts(w):
-                if only is None or s in only:
-                    seen.setdefault(s, set()).add(mark)
-    return seen
-
-
-def _content(toxic: list[str], ordinary: list[str], size: int) -> tuple[bytes, bytes]:
-    """What the dictionaries hold: word starts far more varied in their surroundings in toxic text than in
-    ordinary text, and the most frequent words of ordinary text; the strongest come last, where offsets are short."""
-    a = {s: len(c) for s, c in _contexts(toxic).items() if len(c) > max(5, len(toxic) // 50)}
-    b = {s: len(c) for s, c in _contexts(ordinary, set(a)).items()}
-    rate = max(1, sum(map(len, toxic))) / max(1, sum(map(len, ordinary)))
-    ranked = sorted(((k - b.get(s, 0) * rate) / math.sqrt(b.get(s, 0) * rate + 1), s) for s, k in a.items() if k >= 4 * b.get(s, 0) * rate)
-    chosen: list[bytes] = []
-    for z, s in reversed(ranked):
-        if z <= 6 or sum(map(len, chosen)) + len(s) > size:
-            break
-        if not any(s.startswith(o) or o.startswith(s) for o in chosen):
-            chosen.append(s)
-    common = Counter(w for t in ordinary for w in set(words(t)))
-    usual: list[bytes] = []
-    for w, _ in sorted(common.items(), key=lambda x: (-x[1], x[0])):
-        if sum(map(len, usual)) + len(w) > size:
-            break
-        usual.append(b" " + w + b" ")
-    return b"".join(reversed(chosen)), b"".join(reversed(usual))
-
-
-def spans(own: list[bytes]) -> list[bytes]:
-    """Overlapping windows over words joined by blanks; together they hold every byte."""
-    whole = b" " + b" ".join(own) + b" "
-    return [whole[i : i + SPAN] for i in range(0, max(1, len(whole) - SPAN + STEP), STEP)] if own else []
-
-
-def _inner(word: bytes) -> list[bytes]:
-    """The windows at each character of a word after its first, as far as the word's end."""
-    closed = word + b" "
-    last = max(1, len(closed) - WINDOW)
-    return [closed[i : i + WINDOW] for i in range(1, last + 1) if closed[i] & 0xC0 != 0x80 or i == last]
-
-
-def _phrases(texts: list[str], size: int) -> bytes:
-    """A dictionary trained on the long windows of texts; where they are too few for that, the windows themselves."""
+_WHITE = re.compile(rb"[\x00-\x20]+")
+#: Bytes of a window, and from one to the next; anything of up to ``WINDOW - STEP`` bytes is whole in one of them.
+WINDOW, STEP = 48, 36
+#: Sizes of the dictionaries in bytes.
+ORDINARY, TOXIC = 65_536, 2048
+#: A window that shares so many bytes in a row with another text is a repeated passage and trains nothing.
+PASSAGE = 20
+#: A stretch is typical of toxic text where its runs of ``RUN`` bytes stand in at least ``LEAST`` toxic texts, and
+#: ``TIMES`` as often there as in ordinary ones.
+RUN, LEAST, TIMES = 5, 4, 8
+#: Gains that are counted, one count for each.
+LEVELS = (1, 2, 3, 4, 5, 6, 8)
+FEATURES = len(LEVELS) + 5
+
+
+def plain(text: str | None) -> bytes:
+    """Lower-case bytes with single blanks, one at either end."""
+    return b" " + _WHITE.sub(b" ", (text or "").lower().encode()).strip() + b" "
+
+
+def windows(raw: bytes) -> list[bytes]:
+    """Overlapping windows that together hold every byte."""
+    return [raw[i : i + WINDOW] for i in range(0, max(1, len(raw) - WINDOW + STEP), STEP)]
+
+
+def _runs(raw: bytes, n: int) -> np.ndarray:
+    """A hash of each run of ``n`` bytes."""
+    b = np.frombuffer(raw, np.uint8).astype(np.uint64) + np.uint64(1)
+    out = np.zeros(max(0, len(b) - n + 1), np.uint64)
+    for k in range(n):
+        out = out * np.uint64(0x9E3779B97F4A7C15) + b[k : k + len(out)]
+    return (out ^ (out >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+
+
+def _counts(runs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The runs of all texts, in order, and how many texts have each."""
+    every = [np.unique(r) for r in runs]
+    return np.unique(np.concatenate(every), return_counts=True) if every else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+
+
+def _look_up(values: np.ndarray, ordered: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    if not len(ordered):
+        return np.zeros(len(values), np.int64)
+    at = np.minimum(np.searchsorted(ordered, values), len(ordered) - 1)
+    return np.where(ordered[at] == values, counts[at], 0)
+
+
+class Sample:
+    """Training texts as plain bytes, with the hashes of their runs and where they repeat another text's passages."""
+
+    def __init__(self, texts: list[bytes]):
+        self.texts, self.runs = texts, [_runs(t, RUN) for t in texts]
+        long = [_runs(t, PASSAGE) for t in texts]
+        ordered, counts = _counts(long)
+        ordered, counts = ordered[counts > 1], counts[counts > 1]  # few, so that looking them up is fast
+        self.repeated = []  # for each text: how many passages that another text has too begin before each byte
+        for t, own in zip(texts, long, strict=True):
+            bad = np.zeros(len(t) + 1, np.int64)
+            bad[1 : len(own) + 1] = _look_up(own, ordered, counts) > 0
+            self.repeated.append(np.cumsum(bad))
+
+    def _fresh(self, k: int, first: np.ndarray, stop: np.ndarray) -> np.ndarray:
+        """Whether stretches of text ``k`` share no PASSAGE bytes in a row with another text."""
+        bad = self.repeated[k]
+        return bad[np.minimum(stop, len(bad) - 1)] == bad[np.maximum(0, first - PASSAGE + 1)]
+
+    def windows(self, which: list[int]) -> list[bytes]:
+        out = []
+        for k in which:
+            own = windows(self.texts[k])
+            first = np.arange(len(own)) * STEP
+            out += [w for w, good in zip(own, self._fresh(k, first, first + WINDOW), strict=True) if good]
+        return out
+
+    def stretches(self, toxic: list[int], ordinary: list[int]) -> list[bytes]:
+        """What toxic texts have and ordinary ones lack: stretches whose runs of RUN bytes stand in LEAST toxic texts
+        or more, and TIMES as often there as in ordinary texts."""
+        known, of_ordinary = _counts([self.runs[k] for k in ordinary])
+        seen, of_toxic = _counts([self.runs[k] for k in toxic])
+        typical = seen[(of_toxic >= LEAST) & (of_toxic * len(ordinary) >= TIMES * (_look_up(seen, known, of_ordinary) + 1) * len(toxic))]
+        out = []
+        for k in toxic:
+            at = np.arange(len(self.runs[k]))
+            new = (_look_up(self.runs[k], typical, np.ones(len(typical), np.int64)) > 0) & self._fresh(k, at, at + RUN)
+            edges = np.flatnonzero(np.diff(np.concatenate(([False], new, [False]))))
+            out += [self.texts[k][a : b + RUN - 1] for a, b in zip(edges[::2], edges[1::2], strict=True)]
+        return out
+
+    def dictionaries(self, toxic: list[int], ordinary: list[int]) -> tuple[bytes, bytes]:
+        """The toxic and the ordinary dictionary."""
+        return trained(TOXIC, self.stretches(toxic, ordinary)), trained(ORDINARY, self.windows(ordinary))
+
+
+def trained(size: int, samples: list[bytes]) -> bytes:
+    """A dictionary that zstandard trains on the samples; where they are too few for that, the last of them."""
     import zstandard as z
 
-    parts = [w for t in texts for w in spans(words(t))]
     try:
-        return z.train_dictionary(size, parts).as_bytes()
+        return z.train_dictionary(size, [s for s in samples if len(s) >= 8], k=16, d=6).as_bytes()
     except (z.ZstdError, ValueError):
-        return b"".join(dict.fromkeys(parts))[-size:]
+        return b"".join(dict.fromkeys(samples))[-size:]
 
 
 class Gains:
-    """Gains of windows; those of short windows and words are remembered for a bounded number of them."""
+    """The gains of a text's windows: compressed length with the ordinary dictionary, less that with the toxic one
+    behind it. Matches have five bytes or more, and no entropy coding blurs the lengths of such short windows."""
 
-    def __init__(self, content: tuple[bytes, bytes, bytes, bytes]):
+    def __init__(self, content: tuple[bytes, bytes]):
         import zstandard as z
 
-        toxic, ordinary, toxic_phrases, ordinary_phrases = content
-        params = z.ZstdCompressionParameters(strategy=z.STRATEGY_FAST, min_match=7, window_log=17, hash_log=14, chain_log=14, search_log=3, target_length=0, write_content_size=0, write_checksum=0, write_dict_id=0, format=z.FORMAT_ZSTD1_MAGICLESS)
-        self.sides, self.known, self.known_words = [], {}, {}
-        for code in _CODES:
-            pair = []
-            for held in (ordinary, toxic):
-                held = z.ZstdCompressionDict(widen(held.rjust(16), code), dict_type=z.DICT_TYPE_RAWCONTENT)
-                held.precompute_compress(compression_params=params)
-                pair.append(z.ZstdCompressor(dict_data=held, compression_params=params).compress)
-            self.sides.append((code, *pair))
-        params = z.ZstdCompressionParameters.from_level(3, window_log=17, write_content_size=0, write_checksum=0, write_dict_id=0, format=z.FORMAT_ZSTD1_MAGICLESS)
-        self.long = []
-        for held in (ordinary_phrases, toxic_phrases):
-            held = z.ZstdCompressionDict(held.rjust(16))
+        toxic, ordinary = content
+        params = z.ZstdCompressionParameters(strategy=z.STRATEGY_DFAST, min_match=5, hash_log=15, chain_log=15, search_log=3, target_length=0, window_log=17, write_content_size=0, write_checksum=0, write_dict_id=0, format=z.FORMAT_ZSTD1_MAGICLESS)
+        self.sides = []
+        for held in (ordinary, ordinary + toxic):
+            held = z.ZstdCompressionDict(held.rjust(16), dict_type=z.DICT_TYPE_RAWCONTENT)
             held.precompute_compress(compression_params=params)
-            self.long.append(z.ZstdCompressor(dict_data=held, compression_params=params).compress)
-
-    def __call__(self, window: bytes) -> int:
-        g = self.known.get(window)
-        if g is None:
-            g = 0
-            for code, ordinary, toxic in self.sides:
-                wide = widen(window, code)
-                g += len(ordinary(wide)) - len(toxic(wide))
-            if len(self.known) >= CACHE_WINDOWS:
-                self.known.clear()
-            self.known[window] = g
-        return g
-
-    def word(self, word: bytes) -> int:
-        """The strongest gain of a word's windows: at its beginning, after marks inside it and at its other characters."""
-        g = self.known_words.get(word)
-        if g is None:
-            starts = [(b" " + p + b" ")[:WINDOW] for p in (word, *JOINT.split(word)) if p]
-            g = max(map(self, starts + _inner(word)))
-            if len(word) <= LONGEST:
-                if len(self.known_words) >= CACHE_WINDOWS:
-                    self.known_words.clear()
-                self.known_words[word] = g
-        return g
+            self.sides.append(z.ZstdCompressor(dict_data=held, compression_params=params).compress)
+
+    def __call__(self, text: str | None) -> list[int]:
+        ordinary, toxic = self.sides
+        return [len(ordinary(w)) - len(toxic(w)) for w in windows(plain(text))]
 
     def features(self, text: str | None) -> list[float]:
-        """The three strongest gains of a text's words, how many are strong, and its length; of its long windows the
-        strongest gain and the mean."""
-        own = words(text)
-        counts = Counter(own)
-        gains = {w: self.word(w) for w in counts}
-        alike: dict[bytes, int] = {}  # words with the same beginning count as one
-        for w, g in gains.items():
-            start = (b" " + w + b" ")[:WINDOW]
-            alike[start] = max(g, alike.get(start, LOW))
-        top = sorted(alike.values(), reverse=True)[:3]
-        strong = sum(n for w, n in counts.items() if gains[w] >= STRONG)
-        top = [float(min(50, max(LOW, g))) for g in (*top, *[LOW] * 3)][:3]
-        ordinary, toxic = self.long
-        long = [len(ordinary(w)) - len(toxic(w)) for w in spans(own)] or [0]
-        return [*top, math.log1p(strong), strong / max(1, len(own)), math.log1p(len(own)), float(max(long)), sum(long) / len(long)]
+        """The three largest gains, how many windows gain at least each of LEVELS, how many there are, and the largest
+        share of LEVELS' middle."""
+        gains = np.array(self(text))
+        top = np.sort(gains)[::-1][:3].clip(-4, 16)
+        top = [*top.tolist(), *[-4] * (3 - len(top))]
+        counts = [int((gains >= k).sum()) for k in LEVELS]
+        return [*map(float, top), *(math.log1p(n) for n in counts), math.log1p(len(gains)), counts[3] / len(gains)]
 
 
 @dataclass
 class Model:
-    content: tuple[bytes, bytes, bytes, bytes]
+    content: tuple[bytes, bytes]
     mean: np.ndarray
     scale: np.ndarray
     weights: np.ndarray
@@ -203,39 +180,36 @@ def logistic(x: np.ndarray, y: np.ndarray, l2: float = 1e-3, steps: int = 50) ->
     return w
 
 
-def _dictionaries(toxic: list[str], ordinary: list[str], size: int) -> tuple[bytes, bytes, bytes, bytes]:
-    return *_content(toxic, ordinary, size), _phrases(toxic, size), _phrases(ordinary, size)
-
-
-def train(toxic: list[str], ordinary: list[str], size: int = 8192) -> Model:
-    """Dictionaries from all texts; the calibration from gains of either half under the other half's dictionaries.
+def train(toxic: list[str], ordinary: list[str], folds: int = 2) -> Model:
+    """Dictionaries from all texts; the calibration from gains of each fold under dictionaries of the others.
 
     Without texts of both kinds the score is the share of toxic ones.
     """
-    rows, labels = [], []
-    for k in (0, 1):
-        gains = Gains(_dictionaries(toxic[k::2], ordinary[k::2], size))
-        for texts, label in ((toxic[1 - k :: 2], 1.0), (ordinary[1 - k :: 2], 0.0)):
-            rows += [gains.features(t) for t in texts]
-            labels += [label] * len(texts)
-    content = _dictionaries(toxic, ordinary, size)
-    x, y = np.array(rows).reshape(len(rows), FEATURES), np.array(labels)
-    if not len(y) or y.min() == y.max():
-        share = float(y.mean()) if len(y) else 0.0
+    texts, label = [*toxic, *ordinary], np.r_[np.ones(len(toxic)), np.zeros(len(ordinary))]
+    sample, fold = Sample([plain(t) for t in texts]), np.arange(len(texts)) % folds
+    both = lambda use: [np.flatnonzero(use & (label == v)).tolist() for v in (1, 0)]
+    rows = np.zeros((len(texts), FEATURES))
+    for k in range(folds):
+        gains = Gains(sample.dictionaries(*both(fold != k)))
+        for i in np.flatnonzero(fold == k):
+            rows[i] = gains.features(texts[i])
+    content = sample.dictionaries(*both(fold >= 0))
+    if not len(label) or label.min() == label.max():
+        share = float(label.mean()) if len(label) else 0.0
         odds = math.log((share + 1e-6) / (1 - share + 1e-6))
         return Model(content, np.zeros(FEATURES), np.ones(FEATURES), np.r_[np.zeros(FEATURES), odds])
-    mean, scale = x.mean(0), x.std(0) + 1e-6
-    return Model(content, mean, scale, logistic((x - mean) / scale, y))
+    mean, scale = rows.mean(0), rows.std(0) + 1e-6
+    return Model(content, mean, scale, logistic((rows - mean) / scale, label))
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, most: tuple[int, int], longest: int) -> tuple[list[str], list[str]]:
     """At most ``most`` toxic and ordinary texts of up to ``longest`` characters, in the order of a hash of their text."""
     # only ids and hashes are joined and sorted; the chosen rows, few by their limits, then meet the texts
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("h"), F.length(text_col).alias("n")).where(F.col("n") <= longest).join(labels, "doc_id")
-    rows = rows.groupBy("toxic", "h").agg(F.min("doc_id").alias("doc_id"))
+    own = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("h"), F.length(text_col).alias("n")).where(F.col("n") <= longest)
+    rows = own.join(labels, "doc_id").groupBy("toxic", "h").agg(F.min("doc_id").alias("doc_id"))
     pick = lambda t, n: rows.where(F.col("toxic") == t).orderBy("h").limit(n)
     chosen = F.broadcast(pick(1, most[0]).unionByName(pick(0, most[1])))
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(chosen, "doc_id")
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text")).join(chosen, ["doc_id", "h"])
     got = texts.select("toxic", "h", "text").distinct().collect()
     by = lambda t: [r["text"] for r in sorted(got, key=lambda r: (r["h"], r["text"])) if r["toxic"] == t]
     return by(1), by(0)
@@ -243,17 +217,23 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: s
 
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: tuple[int, int] = (1500, 3000), longest: int = 20_000) -> Model:
     """Trains on a bounded sample (``most``, ``longest``) of the labelled rows whose crc32 of the id's text leaves
-    a remainder other than 1 when divided by 3; the other third is never looked at."""
+    a remainder other than 1 when divided by 3; the other third is never looked at.
+
+    Null ids, labels and texts are left out, and so is an id that is labelled both ways. Rows that repeat an id with
+    different texts all take its label, equal texts count once. No labels, or no documents, make a model that scores
+    all alike. Other columns are not read.
+    """
     usable = labels.select(F.col(id_col).alias("doc_id"), "toxic").where("doc_id is not null and toxic is not null")
-    usable = usable.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 != 1).distinct()
+    usable = usable.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 != 1)
+    usable = usable.groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("most")).where("toxic = most").drop("most")
     return train(*labelled_sample(docs, usable, id_col, text_col, most, longest))
 
 
 def score_toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.7) -> DataFrame:
     """doc_id, held_out, score and predicted for every row of ``docs``, from its whole text.
 
-    Null texts count as empty ones, which have no gains; repeated rows give repeated results; an empty table gives
-    none. No column but the text enters the score.
+    Null texts count as empty ones, which have one blank window; repeated rows give repeated results; an empty table
+    gives none. No column but the text enters the score.
     """
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
