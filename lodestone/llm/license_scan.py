@@ -2,29 +2,16 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lodestone.llm.license_texts import BASE, PASSAGES
+
 #: What separates words, once A to Z are lower-case.
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-# Phrases whose consecutive words give a label.
-BASE = (
-    ("gnu general public license", "gpl"),
-    ("apache license", "apache"),
-    ("cc by", "cc-by"),
-    ("mit license", "mit"),
-)
-# Passages of common licenses, found even where a few of their words are missing or added.
-PASSAGES = (
-    ("permission is hereby granted free of charge to any person obtaining a copy of this software", "mit"),
-    ("licensed under the apache license version 2 0", "apache-2.0"),
-    ("redistribution and use in source and binary forms with or without modification are permitted", "bsd"),
-    ("this program is free software you can redistribute it and or modify it under the terms", "gpl"),
-    ("gnu lesser general public license", "lgpl"),
-    ("mozilla public license", "mpl"),
-    ("creative commons attribution", "cc-by"),
-    ("all rights reserved", "all-rights-reserved"),
-)
+Templates = tuple[tuple[str, str], ...]
 
 
 def words(text: Column) -> Column:
@@ -33,82 +20,147 @@ def words(text: Column) -> Column:
     return F.filter(F.split(plain, BETWEEN), lambda w: w != "")
 
 
-def templates(spark: SparkSession, base: tuple[tuple[str, str], ...] = BASE, passages: tuple[tuple[str, str], ...] = PASSAGES) -> DataFrame:
-    """One row per two-word gram of each template: gram, template, place, grams (of the template), label, exact."""
+def _template_words(text: str) -> list[str]:
+    return [w for w in re.split(BETWEEN, text.lower()) if w]
+
+
+def template_grams(base: Templates = BASE, passages: Templates = PASSAGES, k: int = 3) -> list[tuple]:
+    """(gram, n, template, place, words, label, exact) for each n-word gram of each template; n is ``k``, or all words
+    of a shorter template."""
     rows = []
-    for no, (phrase, label) in enumerate((*base, *passages)):
-        own = phrase.split(" ")
-        if not 2 <= len(own) <= 64:
-            raise ValueError(f"a template has 2 to 64 words: {phrase!r}")  # its votes are bits of one long
-        rows += [(f"{a} {b}", no, at, len(own) - 1, label, no < len(base)) for at, (a, b) in enumerate(zip(own, own[1:], strict=False))]
-    return spark.createDataFrame(rows, "gram string, template int, place int, grams int, label string, exact boolean")
+    for no, (text, label) in enumerate((*base, *passages)):
+        own = _template_words(text)
+        if len(own) < 2:
+            raise ValueError(f"a template has two words or more: {text!r}")
+        n = min(k, len(own))
+        rows += [(" ".join(own[at : at + n]), n, no, at, len(own), label, no < len(base)) for at in range(len(own) - n + 1)]
+    return rows
+
+
+def _grams(w: Column, n: int) -> Column:
+    """Each run of ``n`` words with its place, and nulls at the end, where fewer follow."""
+    out = w
+    for k in range(1, n):
+        out = F.zip_with(out, F.slice(w, k + 1, 1 << 30), lambda a, b: F.when(b.isNotNull(), F.concat(a, F.lit(" "), b)))
+    return F.transform(out, lambda x, i: F.struct(i.alias("at"), x.alias("own")))
+
+
+_ROW = ("doc_id", "h1", "h2", "n_words")
 
 
-def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", base: tuple[tuple[str, str], ...] = BASE, passages: tuple[tuple[str, str], ...] = PASSAGES, drift: int = 3, least: float = 0.6) -> DataFrame:
+def _bands(docs: DataFrame, id_col: str, text_col: str, base: Templates, passages: Templates, k: int, drift: int) -> DataFrame:
+    """Per text (doc_id, h1, h2, n_words) and diagonal: template, label, exact, full (all grams on this diagonal), and
+    of the band of diagonals that begins here the share of the template's words that stand in it in order, with the
+    band's first and last word. A text without votes has one row without a template; ``copies`` counts its rows there."""
+    spark, rows = docs.sparkSession, template_grams(base, passages, k)
+    kinds = "gram string, n int, template int, place int, words int, label string, exact boolean"
+    grams = spark.createDataFrame(rows, kinds).withColumn("h", F.xxhash64("gram"))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    # two hashes stand for the text, so that a row is the same row however often Spark computes it
+    own = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(1), text).alias("h2"), words(text).alias("w"))
+    lengths = sorted({r[1] for r in rows})
+    itself = F.array(F.struct(F.lit(-1).alias("at"), F.lit(None).cast("string").alias("own")))
+    every = F.concat(*[F.filter(_grams(F.col("w"), n), lambda g: g["own"].isNotNull()) for n in lengths], itself)
+    spread = own.select("doc_id", "h1", "h2", F.size("w").cast("bigint").alias("n_words"), F.explode(every).alias("g"))
+    spread = spread.select(*_ROW, "g.at", "g.own").withColumn("h", F.xxhash64("own"))
+    votes = spread.join(F.broadcast(grams), (spread["h"] == grams["h"]) & (F.col("own") == F.col("gram")), "left").where("own is null or template is not null")
+    votes = votes.withColumn("diagonal", F.col("at") - F.col("place"))
+    # partial sets before the shuffle: a diagonal's distinct places, at most the template's length
+    about = ("template", "diagonal", "n", "words", "label", "exact")
+    lines = votes.groupBy(*_ROW, *about).agg(F.array_sort(F.collect_set("place")).alias("places"), F.count(F.when(F.col("own").isNull(), 1)).alias("copies"))
+    # neighbouring diagonals, at most ``drift`` apart in all, make a band
+    band = Window.partitionBy(*_ROW, "template").orderBy("diagonal").rangeBetween(0, drift)
+    lines = lines.withColumn("band", F.collect_list(F.struct("diagonal", "places")).over(band))
+    at = F.flatten(F.transform("band", lambda b: F.transform(b["places"], lambda p: F.struct(p.alias("place"), (b["diagonal"] + p).alias("at")))))
+    # verify the span: grams count where they follow all earlier ones in the text too, and words once
+    start = F.struct(*[F.lit(-1).alias(c) for c in ("place", "at", "upto", "first")], F.lit(0).alias("covered"))
+
+    def step(s: Column, v: Column) -> Column:
+        good = (v["place"] > s["place"]) & (v["at"] > s["at"])
+        more = v["place"] + F.col("n") - F.greatest(v["place"], s["upto"])
+        kept = lambda new, old: F.when(good, new).otherwise(old)
+        return F.struct(
+            F.greatest(s["place"], v["place"]).alias("place"),
+            kept(v["at"], s["at"]).alias("at"),
+            kept(v["place"] + F.col("n"), s["upto"]).alias("upto"),
+            F.when(s["first"] < 0, v["at"]).otherwise(s["first"]).alias("first"),
+            kept(s["covered"] + more, s["covered"]).alias("covered"),
+        )
+
+    chain = F.aggregate(F.array_sort(at), start, step)
+    lines = lines.withColumn("chain", F.when(~F.col("exact"), chain))
+    return lines.select(
+        *_ROW, "copies", "template", "label", "exact", "diagonal",
+        (F.col("exact") & (F.size("places") == F.col("words") - F.col("n") + 1)).alias("full"),
+        (F.col("chain.covered") / F.col("words")).alias("share"),
+        F.col("chain.first").alias("begins"),
+        (F.col("chain.at") + F.col("n") - 1).alias("ends"),
+    )
+
+
+def license_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", base: Templates = BASE, passages: Templates = PASSAGES, k: int = 3, drift: int = 3, least: float = 0.6) -> DataFrame:
+    """(doc_id, label, template, first_word, last_word, share): where in a text a license stands, words from 0. Of
+    bands that overlap within ``drift`` diagonals, the best counts. Odd rows as in scan_licenses; rows that repeat an
+    id and its text have their spans once."""
+    rows = _bands(docs, id_col, text_col, base, passages, k, drift).where("template is not null")
+    sizes = {no: len(_template_words(t)) for no, (t, _) in enumerate((*base, *passages))}
+    size = F.element_at(F.create_map(*[x for no, n in sizes.items() for x in (F.lit(no), F.lit(n))]), F.col("template"))
+    exact = rows.where("full").select("doc_id", "label", "template", F.col("diagonal").alias("first_word"), (F.col("diagonal") + size - 1).alias("last_word"), F.lit(1.0).alias("share"))
+    near = Window.partitionBy(*_ROW, "template").orderBy("diagonal").rangeBetween(-drift, drift)
+    good = rows.where(f"not exact and share >= {least}").withColumn("best", F.max(F.struct("share", -F.col("diagonal"))).over(near))
+    good = good.where((F.col("best.share") == F.col("share")) & (F.col("best.col2") == -F.col("diagonal")))
+    return exact.unionByName(good.select("doc_id", "label", "template", F.col("begins").alias("first_word"), F.col("ends").alias("last_word"), "share"))
+
+
+def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", base: Templates = BASE, passages: Templates = PASSAGES, k: int = 3, drift: int = 3, least: float = 0.6) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score.
 
-    All two-word grams of all texts meet the templates' grams by hash, and the grams themselves are compared.
-    Each meeting is a vote for the diagonal (place in the text less place in the template). A base phrase stands
-    where its diagonal has all votes. For passages, diagonals at most ``drift`` apart are merged, and the span is
-    verified: it is found if at least ``least`` of its grams have a vote. ``score`` is the largest such share.
+    All word grams of all texts (``k`` words, fewer for shorter templates) meet the templates' grams by hash, and the
+    grams themselves are compared. Each meeting is a vote for the diagonal (place in the text less place in the
+    template). A base phrase stands where its diagonal has all votes. For passages, the diagonals from one to
+    ``drift`` further make a band, which bounds how far its words can be off, and its span is verified: grams that
+    follow each other in the text as in the template must cover ``least`` of the template's words. ``score`` is the
+    largest such share, 1 for a base phrase. Templates may have any length.
 
     Null texts have no words; repeated rows give repeated results; an empty table gives none. Other columns are
     not read. The templates are fixed and few, which bounds what is broadcast.
     """
-    spark = docs.sparkSession
-    grams = templates(spark, base, passages).withColumn("h", F.xxhash64("gram"))
-    rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).cast("bigint").alias("doc_id"), words(F.col(text_col)).alias("w"))
-    # each text's grams, and one null for the text itself, so that texts without a vote stay
-    pairs = F.zip_with("w", F.slice("w", 2, 1 << 30), lambda a, b: F.when(b.isNotNull(), F.concat(a, F.lit(" "), b)))
-    rows = rows.select("uid", "doc_id", F.size("w").cast("bigint").alias("n_words"), F.concat(pairs, F.array(F.lit(None).cast("string"))).alias("p"))
-    spread = rows.select("uid", "doc_id", "n_words", F.posexplode("p").alias("at", "own")).withColumn("h", F.xxhash64("own"))
-    votes = spread.join(F.broadcast(grams), (spread["h"] == grams["h"]) & (F.col("own") == F.col("gram")), "left")
-    votes = votes.where("own is null or template is not null").withColumn("diagonal", F.col("at") - F.col("place"))
-    # partial sums before the shuffle: a diagonal's distinct places, as bits
-    bits = F.bit_or(F.expr("shiftleft(1L, place)"))
-    lines = votes.groupBy("uid", "doc_id", "n_words", "template", "diagonal", "grams", "label", "exact").agg(bits.alias("bits"))
-    full = F.col("exact") & (F.bit_count("bits") == F.col("grams"))
-    # neighbouring diagonals become one run
-    near = Window.partitionBy("uid", "template").orderBy("diagonal")
-    lines = lines.withColumn("gap", F.when(F.col("diagonal") - F.lag("diagonal").over(near) <= drift, 0).otherwise(1))
-    lines = lines.withColumn("run", F.sum("gap").over(near.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    runs = lines.groupBy("uid", "doc_id", "n_words", "template", "run", "grams", "label", "exact").agg(
-        F.bit_or("bits").alias("bits"),
-        F.sum(F.when(full, 1).otherwise(0)).alias("places"),
-        F.min(F.when(full, F.col("diagonal"))).alias("first_word"),
-        F.max(F.when(full, F.col("diagonal"))).alias("last_word"),
-    )
-    share = F.bit_count("bits") / F.col("grams")
-    found = F.when(F.col("exact"), F.col("places") > 0).otherwise(share >= least)
+    rows = _bands(docs, id_col, text_col, base, passages, k, drift)
+    found = F.when(F.col("exact"), F.col("full")).otherwise(F.col("share") >= least)
     labels = lambda c: F.array_join(F.array_sort(F.collect_set(F.when(c, F.col("label")))), ",")
-    out = runs.groupBy("uid", "doc_id", "n_words").agg(
-        F.coalesce(F.sum("places"), F.lit(0)).cast("bigint").alias("n_base"),
-        F.min("first_word").cast("bigint").alias("first_word"),
-        F.max("last_word").cast("bigint").alias("last_word"),
-        labels(F.col("exact") & (F.col("places") > 0)).alias("base_labels"),
+    place = F.when(F.col("full"), F.col("diagonal")).cast("bigint")
+    out = rows.groupBy(*_ROW).agg(
+        F.sum("copies").alias("copies"),
+        F.count(F.when(F.col("full"), 1)).alias("n_base"),
+        F.min(place).alias("first_word"),
+        F.max(place).alias("last_word"),
+        labels(F.col("full")).alias("base_labels"),
         labels(found).alias("labels"),
-        F.coalesce(F.max(F.when(found, share)), F.lit(0.0)).alias("score"),
+        F.coalesce(F.max(F.when(found, F.coalesce("share", F.lit(1.0)))), F.lit(0.0)).alias("score"),
     )
-    return out.drop("uid")
+    out = out.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    return out.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
 
 
-def oracle(base: tuple[tuple[str, str], ...] = BASE, passages: tuple[tuple[str, str], ...] = PASSAGES, drift: int = 3, least: float = 0.6) -> str:
+def oracle(base: Templates = BASE, passages: Templates = PASSAGES, k: int = 3, drift: int = 3, least: float = 0.6) -> str:
     """SQL for the rows of scan_licenses over ``documents``."""
-    values = ", ".join(f"({no}, '{phrase}', '{label}', {str(no < len(base)).lower()})" for no, (phrase, label) in enumerate((*base, *passages)))
+    plain = lambda text: " ".join(_template_words(text))
+    values = ", ".join(f"({no}, '{plain(text)}', '{label}', {str(no < len(base)).lower()})" for no, (text, label) in enumerate((*base, *passages)))
     return rf"""
 WITH templates(template, phrase, label, exact) AS (VALUES {values}),
+split AS (SELECT *, string_split(phrase, ' ') AS s, least({k}, len(string_split(phrase, ' '))) AS n FROM templates),
 w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS l FROM documents),
-grams AS (SELECT doc_id, i - 1 AS spot, l[i] || ' ' || l[i + 1] AS gram FROM (SELECT doc_id, l, unnest(range(1, len(l))) AS i FROM w)),
-places AS (SELECT template, label, exact, len(s) - 1 AS n, i - 1 AS place, s[i] || ' ' || s[i + 1] AS gram
-  FROM (SELECT *, unnest(range(1, len(s))) AS i FROM (SELECT *, string_split(phrase, ' ') AS s FROM templates))),
-votes AS (SELECT DISTINCT doc_id, template, label, exact, n, place, spot - place AS diagonal FROM grams JOIN places USING (gram)),
-starts AS (SELECT doc_id, template, diagonal, CASE WHEN diagonal - lag(diagonal) OVER o <= {drift} THEN 0 ELSE 1 END AS gap
-  FROM (SELECT DISTINCT doc_id, template, diagonal FROM votes) WINDOW o AS (PARTITION BY doc_id, template ORDER BY diagonal)),
-numbered AS (SELECT *, sum(gap) OVER (PARTITION BY doc_id, template ORDER BY diagonal) AS run FROM starts),
-exact_hits AS (SELECT doc_id, template, label, diagonal FROM votes WHERE exact GROUP BY ALL HAVING count(*) = max(n)),
-shares AS (SELECT doc_id, template, run, label, exact, count(DISTINCT place) / max(n) AS share, count(DISTINCT h.diagonal) AS hits
-  FROM votes v JOIN numbered USING (doc_id, template, diagonal) LEFT JOIN exact_hits h USING (doc_id, template, label, diagonal) GROUP BY ALL),
-found AS (SELECT * FROM shares WHERE CASE WHEN exact THEN hits > 0 ELSE share >= {least} END),
+spots AS (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM w),
+grams AS (SELECT doc_id, i - 1 AS spot, n, array_to_string(l[i : i + n - 1], ' ') AS gram FROM spots, (SELECT DISTINCT n FROM split) WHERE i + n - 1 <= len(l)),
+places AS (SELECT template, label, exact, n, len(s) AS words, i - 1 AS place, array_to_string(s[i : i + n - 1], ' ') AS gram FROM (SELECT *, unnest(range(1, len(s) - n + 2)) AS i FROM split)),
+votes AS (SELECT doc_id, template, label, exact, p.n, words, place, spot - place AS diagonal FROM grams g JOIN places p ON p.gram = g.gram AND p.n = g.n),
+exact_hits AS (SELECT doc_id, label, diagonal FROM votes WHERE exact GROUP BY doc_id, template, label, diagonal, words, n HAVING count(*) = words - n + 1),
+anchors AS (SELECT DISTINCT doc_id, template, diagonal AS anchor FROM votes WHERE NOT exact),
+band AS (SELECT v.doc_id, template, label, v.n, words, anchor, place, place + min(diagonal) AS stands FROM anchors a JOIN votes v USING (doc_id, template) WHERE diagonal BETWEEN anchor AND anchor + {drift} GROUP BY v.doc_id, template, label, v.n, words, anchor, place),
+ordered AS (SELECT *, max(stands) OVER (PARTITION BY doc_id, template, anchor ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM band),
+covered AS (SELECT DISTINCT doc_id, template, label, words, anchor, unnest(range(place, place + n)) AS word FROM ordered WHERE before IS NULL OR stands > before),
+shares AS (SELECT doc_id, label, count(*) / words AS share FROM covered GROUP BY doc_id, template, label, words, anchor),
+found AS (SELECT doc_id, label, share FROM shares WHERE share >= {least} UNION ALL SELECT doc_id, label, 1.0 FROM exact_hits),
 base AS (SELECT doc_id, count(*)::BIGINT AS n_base, min(diagonal)::BIGINT AS first_word, max(diagonal)::BIGINT AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM exact_hits GROUP BY doc_id),
 named AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(share) AS score FROM found GROUP BY doc_id)
 SELECT doc_id, len(l)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word, last_word,
