@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone.llm.license_texts import BASE, PASSAGES
+from lodestone.llm.shared import text_keys
 
 #: What separates words, once A to Z are lower-case.
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -55,9 +56,7 @@ def _bands(docs: DataFrame, id_col: str, text_col: str, base: Templates, passage
     spark, rows = docs.sparkSession, template_grams(base, passages, k)
     kinds = "gram string, n int, template int, place int, words int, label string, exact boolean"
     grams = spark.createDataFrame(rows, kinds).withColumn("h", F.xxhash64("gram"))
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    # two hashes stand for the text, so that a row is the same row however often Spark computes it
-    own = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(1), text).alias("h2"), words(text).alias("w"))
+    own = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), *text_keys(F.col(text_col)), words(F.col(text_col)).alias("w"))
     lengths = sorted({r[1] for r in rows})
     itself = F.array(F.struct(F.lit(-1).alias("at"), F.lit(None).cast("string").alias("own")))
     every = F.concat(*[F.filter(_grams(F.col("w"), n), lambda g: g["own"].isNotNull()) for n in lengths], itself)

@@ -9,12 +9,19 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.shared import checkpointed, slices, utf8
+from lodestone.llm.shared import checkpointed, may_hold, slices, text_keys, utf8
 from lodestone.llm.text_arrays import WHITE, mix, runs, windows
 
+#: What a row is known by: its id and two hashes of its text.
+ROW = ("doc_id", "h1", "h2")
+
+
+def _same_row(a: str, b: str) -> Column:
+    return F.col(f"{a}.doc_id").eqNullSafe(F.col(f"{b}.doc_id")) & (F.col(f"{a}.h1") == F.col(f"{b}.h1")) & (F.col(f"{a}.h2") == F.col(f"{b}.h2"))
+
 
 def choose_bands(threshold: float, recall: float = 0.9999, most_hashes: int = 128) -> tuple[int, int]:
     """(bands, rows): of the layouts that find a pair at ``threshold`` with probability ``recall`` and need at most
@@ -59,7 +66,7 @@ def _key(grams: np.ndarray) -> bytes:
 
 
 def signatures(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
-    """doc_id, uid, key, size (of the gram set) and band hashes of every row (doc_id, uid, text)."""
+    """doc_id, h1, h2, key, size (of the gram set) and band hashes of every row (doc_id, h1, h2, text)."""
     rng = np.random.default_rng(43)
     mult = rng.integers(0, 2**63, bands * rows, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
     plus = rng.integers(0, 2**63, bands * rows, dtype=np.uint64)
@@ -80,9 +87,9 @@ def signatures(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
                     least = np.minimum(least, ((part[None, :] ^ plus[:, None]) * mult[:, None]).min(1))
                 found.append(least)
             out = [x if len(x) == 0 else _band_hashes(x, bands, rows, salt) for x in found]
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "uid": batch.column("uid"), "key": pa.array(keys, pa.binary()), "size": pa.array(sizes, pa.int32()), "bands": pa.array([x.tolist() if len(x) else [] for x in out], pa.list_(pa.int64()))})
+            yield pa.RecordBatch.from_pydict({**{c: batch.column(c) for c in ROW}, "key": pa.array(keys, pa.binary()), "size": pa.array(sizes, pa.int32()), "bands": pa.array([x.tolist() if len(x) else [] for x in out], pa.list_(pa.int64()))})
 
-    return docs.mapInArrow(sign, "doc_id bigint, uid bigint, key binary, size int, bands array<bigint>")
+    return docs.mapInArrow(sign, "doc_id bigint, h1 bigint, h2 bigint, key binary, size int, bands array<bigint>")
 
 
 def _band_hashes(least: np.ndarray, bands: int, rows: int, salt: np.ndarray) -> np.ndarray:
@@ -138,29 +145,35 @@ def verified_links(sigs: DataFrame, docs: DataFrame, n: int, percent: int, block
     and edges (a, b) of keys that connect all linked ones.
 
     Sets that share a band meet at the band's least key, the hub, once per hub however many bands they share. A
-    hub's sets are dealt to blocks, and each pair of blocks is one group of bounded size that compares full sets
-    all at once and passes on counts and one edge per set, never the pairs. A pair that shares several hubs is
-    counted at the least of them.
+    hub's sets are dealt to blocks while they are keys only; the sets themselves, those of texts that met others and
+    no more, are then sent to pairs of blocks. Each pair is one group of bounded size that compares full sets all at
+    once and passes on counts and one edge per set, never the pairs. A pair that shares several hubs is counted at
+    the least of them.
     """
-    reps = sigs.groupBy("key").agg(F.count("*").alias("copies"), F.min("uid").alias("uid"), F.first("size").alias("size"), F.first("bands").alias("bands"))
+    reps = sigs.groupBy("key").agg(F.count("*").alias("copies"), F.min(F.struct(*ROW)).alias("row"), F.first("bands").alias("bands"))
     bands = reps.select("key", F.explode("bands").alias("band"))
     hubs = bands.groupBy("band").agg(F.min("key").alias("hub"), F.count("*").alias("n")).where("n > 1").select("band", "hub")
     met = checkpointed(bands.join(hubs, "band").select("hub", "key").distinct())
     mine = met.groupBy("key").agg(F.array_sort(F.collect_set("hub")).alias("hubs"))  # at most one per band
-    wanted = reps.select("key", "uid", "copies").join(mine, "key")
-    texts = docs.select("uid", "text").join(wanted, "uid")
+    wanted = checkpointed(reps.select("key", "row", "copies").join(mine, "key").select("key", "copies", "hubs", "row.*"))
+    # the texts of wanted rows; a bitmap keeps nearly all others from the shuffle
+    near = may_hold(docs.select(*ROW, "text"), wanted, list(ROW), "maybe").where("maybe").drop("maybe")
+    texts = near.alias("d").join(wanted.alias("w"), _same_row("d", "w")).select("key", "copies", "hubs", "text")
 
     def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [g.astype("<u8").tobytes() for _, g in _sets(batch, n)]
             yield pa.RecordBatch.from_pydict({"key": batch.column("key"), "copies": batch.column("copies"), "hubs": batch.column("hubs"), "grams": pa.array(sets, pa.binary())})
 
-    sets = texts.select("key", "copies", "hubs", "text").mapInArrow(full, "key binary, copies bigint, hubs array<binary>, grams binary")
-    sizes = met.groupBy("hub").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")).where("blocks > 0")
-    spread = sets.withColumn("hub", F.explode("hubs")).join(sizes, "hub").withColumn("mine", F.pmod(F.xxhash64("key", "hub"), F.col("blocks")).cast("int"))
+    sets = texts.mapInArrow(full, "key binary, copies bigint, hubs array<binary>, grams binary")
+    # rows that repeat an id and its text give their set as often
+    sets = sets.groupBy("key").agg(*[F.first(c).alias(c) for c in ("copies", "hubs", "grams")])
+    sizes = met.groupBy("hub").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
     # block i meets every block j; the pair (i, j) is one group
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    spread = spread.select("*", other).select("hub", "key", "copies", "hubs", "grams", "mine", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
+    dealt = met.join(sizes, "hub").withColumn("mine", F.pmod(F.xxhash64("key", "hub"), F.col("blocks")).cast("int")).select("hub", "key", "mine", other)
+    dealt = dealt.select("hub", "key", "mine", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
+    spread = dealt.join(sets, "key").select("hub", "key", "copies", "hubs", "grams", "mine", "i", "j")
 
     def compare(group: pd.DataFrame) -> pd.DataFrame:
         hub, i, j = group["hub"].iloc[0], group["i"].iloc[0], group["j"].iloc[0]
@@ -236,16 +249,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def _standard(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.monotonically_increasing_id().alias("uid"), F.lower(F.coalesce(F.col(text_col), F.lit(""))).alias("text"))
+    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), *text_keys(F.col(text_col)), F.lower(F.coalesce(F.col(text_col), F.lit(""))).alias("text"))
 
 
 def _classes(docs: DataFrame, n: int, percent: int, recall: float) -> tuple[DataFrame, DataFrame]:
-    """Rows (doc_id, uid, key, n_grams), and one row per key: copies, least doc_id, its component's root, links."""
+    """Rows (doc_id, h1, h2, key, n_grams), and one row per key: copies, least doc_id, its component's root, links."""
     bands, rows = choose_bands(percent / 100, recall)
     sigs = checkpointed(signatures(docs, n, bands, rows))
     links, edges = verified_links(sigs, docs, n, percent)
     roots = components(edges)
-    keyed = sigs.select("doc_id", "uid", "key", F.col("size").alias("n_grams"))
+    keyed = sigs.select(*ROW, "key", F.col("size").alias("n_grams"))
     per = keyed.groupBy("key").agg(F.count("*").alias("copies"), F.min("doc_id").alias("least"))
     per = per.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key")).join(links, "key", "left")
     return keyed, per
@@ -253,14 +266,29 @@ def _classes(docs: DataFrame, n: int, percent: int, recall: float) -> tuple[Data
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80, recall: float = 0.9999) -> DataFrame:
     """The rows of ``docs``, with all their columns, less all but one of each class of near_duplicates: the row
-    with the least id (null last), and the first of several."""
+    with the least id (null last), of several texts with that id the one with the least hash, and of rows that
+    repeat both, which may differ in other columns, the one with the least hash of all columns. What stays doesn't
+    depend on the order or the partitions of ``docs``. Maps can't be hashed: ``docs`` must have no such column.
+
+    Null texts are empty, and one row without words stays; an empty table stays empty.
+    """
     keyed, per = _classes(_standard(docs, id_col, text_col), n, percent, recall)
-    first = per.groupBy("root").agg(F.count("*").alias("keys"), F.sum("copies").alias("rows"))
+    first = per.groupBy("root").agg(F.sum("copies").alias("rows"))
     grouped = per.join(first.where("rows > 1").select("root"), "root").select("key", "root")
-    members = keyed.join(grouped, "key").select("root", "uid", F.struct(F.col("doc_id").isNull(), "doc_id", "uid").alias("rank"))
-    best = members.groupBy("root").agg(F.min("rank").alias("best")).select(F.col("best.uid").alias("uid"))
-    gone = members.select("uid").join(best, "uid", "left_anti").withColumnRenamed("uid", "__uid")
-    return docs.withColumn("__uid", F.monotonically_increasing_id()).join(gone, "__uid", "left_anti").drop("__uid")
+    members = keyed.join(grouped, "key").groupBy("root", *ROW).agg(F.count("*").alias("times"))
+    members = checkpointed(members.withColumn("rank", F.struct(F.col("doc_id").isNull(), *ROW)))
+    best = members.groupBy("root").agg(F.min("rank").alias("best"))
+    # whatever is a member goes, but for the best, of which one row stays
+    verdict = members.join(best, "root").select(*ROW, "times", F.col("rank").eqNullSafe(F.col("best")).alias("stays"))
+    verdict = checkpointed(verdict.where("not stays or times > 1"))
+    keys = text_keys(F.col(text_col))
+    marked = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).cast("bigint").alias("doc_id"), *keys)
+    marked = may_hold(marked, verdict, list(ROW), "maybe")
+    out = marked.where("not maybe").select("row")
+    met = marked.where("maybe").alias("d").join(verdict.alias("v"), _same_row("d", "v"), "left").select("row", "d.doc_id", "d.h1", "d.h2", "stays")
+    out = out.unionByName(met.where("stays is null").select("row"))
+    one = met.where("stays").groupBy(*ROW).agg(F.min_by("row", F.xxhash64("row")).alias("row"))
+    return out.unionByName(one.select("row")).select("row.*")
 
 
 #: The same rows by a plain join on all n-grams, for small tables.

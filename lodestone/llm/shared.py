@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -16,9 +17,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The session's shared folder for files that outlive executors; one is made only where none is set."""
+    """The session's shared folder for files that outlive executors; only a session on this machine alone may lack it."""
     if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints-"))
     return spark.sparkContext.getCheckpointDir()
 
 
@@ -28,6 +32,28 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def may_hold(df: DataFrame, wanted: DataFrame, keys: list[str], out: str, bits: int = 1 << 26) -> DataFrame:
+    """``df`` with ``out``: false where no row of ``wanted`` has the same ``keys`` (nulls are equal), true where one
+    may have. ``wanted`` becomes a bitmap of ``bits`` bits, 8 MB however many rows it has, which is what is broadcast;
+    where it fills up, more rows are marked than need be, never fewer."""
+    bit = F.pmod(F.xxhash64(*keys), F.lit(bits))
+    words = wanted.select(F.expr("1L").alias("one"), bit.alias("bit")).select(F.expr("bit div 64").alias("word"), F.expr("shiftleft(one, cast(bit % 64 as int))").alias("b"))
+    words = words.groupBy("word").agg(F.bit_or("b").alias("b"))
+    held = F.map_from_entries(F.collect_list(F.struct(F.expr("cast(word % 128 as int)"), "b")))
+    slots = words.groupBy(F.expr("word div 128").alias("__slot")).agg(held.alias("m"))
+    slots = slots.select("__slot", F.transform(F.sequence(F.lit(0), F.lit(127)), lambda i: F.coalesce(F.try_element_at("m", i), F.expr("0L"))).alias("__bits"))
+    marked = df.withColumn("__bit", bit).withColumn("__slot", F.expr("__bit div 8192")).join(F.broadcast(slots), "__slot", "left")
+    word = F.get("__bits", F.expr("cast(__bit div 64 % 128 as int)"))
+    return marked.withColumn(out, F.coalesce(F.getbit(word, F.expr("cast(__bit % 64 as int)")) == 1, F.lit(False))).drop("__slot", "__bit", "__bits")
+
+
+def text_keys(text: Column) -> list[Column]:
+    """h1 and h2, two hashes that stand for a text (null: empty), so that a row is known again however often Spark
+    computes it."""
+    text = F.coalesce(text, F.lit(""))
+    return [F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(1), text).alias("h2")]
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string column (null: empty) and the row offsets into them."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
