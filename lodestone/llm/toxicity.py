@@ -47,18 +47,18 @@ def windows(raw: bytes) -> list[bytes]:
 
 
 def _runs(raw: bytes, n: int) -> np.ndarray:
-    """A hash of each run of ``n`` bytes."""
+    """A 32-bit hash of each run of ``n`` bytes."""
     b = np.frombuffer(raw, np.uint8).astype(np.uint64) + np.uint64(1)
     out = np.zeros(max(0, len(b) - n + 1), np.uint64)
     for k in range(n):
         out = out * np.uint64(0x9E3779B97F4A7C15) + b[k : k + len(out)]
-    return (out ^ (out >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return (((out ^ (out >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(32)).astype(np.uint32)
 
 
 def _counts(runs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """The runs of all texts, in order, and how many texts have each."""
     every = [np.unique(r) for r in runs]
-    return np.unique(np.concatenate(every), return_counts=True) if every else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    return np.unique(np.concatenate(every), return_counts=True) if every else (np.zeros(0, np.uint32), np.zeros(0, np.int64))
 
 
 def _look_up(values: np.ndarray, ordered: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -73,14 +73,16 @@ class Sample:
 
     def __init__(self, texts: list[bytes]):
         self.texts, self.runs = texts, [_runs(t, RUN) for t in texts]
-        long = [_runs(t, PASSAGE) for t in texts]
+        # passages are compared where words begin
+        begins = [np.flatnonzero(np.frombuffer(t, np.uint8)[: max(0, len(t) - PASSAGE + 1)] == 32) for t in texts]
+        long = [_runs(t, PASSAGE)[at] for t, at in zip(texts, begins, strict=True)]
         ordered, counts = _counts(long)
         ordered, counts = ordered[counts > 1], counts[counts > 1]  # few, so that looking them up is fast
         self.repeated = []  # for each text: how many passages that another text has too begin before each byte
-        for t, own in zip(texts, long, strict=True):
-            bad = np.zeros(len(t) + 1, np.int64)
-            bad[1 : len(own) + 1] = _look_up(own, ordered, counts) > 0
-            self.repeated.append(np.cumsum(bad))
+        for t, at, own in zip(texts, begins, long, strict=True):
+            bad = np.zeros(len(t) + 1, np.int32)
+            bad[at + 1] = _look_up(own, ordered, counts) > 0
+            self.repeated.append(np.cumsum(bad, dtype=np.int32))
 
     def _fresh(self, k: int, first: np.ndarray, stop: np.ndarray) -> np.ndarray:
         """Whether stretches of text ``k`` share no PASSAGE bytes in a row with another text."""
