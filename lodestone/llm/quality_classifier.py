@@ -31,7 +31,7 @@ def text_view(t: Texts) -> np.ndarray:
         t.word_chars / words,
         np.minimum(3, t.n_symbols / words),
         t.n_upper / letters,
-        t.n_dup_lines / np.maximum(1, t.lines[0]),
+        t.n_dup_lines / np.maximum(1, t.n_lines),
         t.n_repeat_words / words,
         t.per_row(DIGITS[t.raw]) / size,
         t.per_row(PUNCTUATION[t.raw]) / size,
