@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -13,11 +13,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.quality_rules import Texts, texts_of
+from lodestone.llm.shared import checkpointed
 from lodestone.llm.text_arrays import byte_set
 
 GRAMS, SHAPES = 256, 10
-LANGS, SOURCES, SIZES = 16, 64, 16
+LANGS, SOURCES, SIZES, LAYOUT = 16, 64, 16, 5
+TEXT, META = SHAPES + GRAMS, LANGS + SOURCES + SIZES + LAYOUT
 DIGITS, PUNCTUATION = byte_set(b"0123456789"), byte_set(b".,;:!?'\"()-")
+ENDS = byte_set(b".!?:;\"')")
 
 
 def text_view(t: Texts) -> np.ndarray:
@@ -48,13 +51,19 @@ def text_view(t: Texts) -> np.ndarray:
     return np.hstack([np.column_stack(shapes), np.sqrt(grams)])
 
 
-def meta_view(lang: list, source: list, n_chars: list) -> np.ndarray:
-    """Language, source and stated length as hash buckets; nulls have buckets of their own."""
-    out = np.zeros((len(lang), LANGS + SOURCES + SIZES))
+def meta_view(t: Texts, lang: list, source: list, n_chars: list) -> np.ndarray:
+    """Language, source and stated length as hash buckets (nulls have buckets of their own), and the page's layout:
+    lines, their mean length, how many repeat, are blank, or end like a sentence. No word of it is looked at."""
+    out = np.zeros((len(lang), META))
     for i, (a, b, c) in enumerate(zip(lang, source, n_chars, strict=True)):
         out[i, xxhash.xxh32_intdigest(a or "") % LANGS] = 1
         out[i, LANGS + xxhash.xxh32_intdigest(b or "", 1) % SOURCES] = 1
         out[i, LANGS + SOURCES + (0 if c is None else min(SIZES - 1, 1 + int(math.log2(max(1, c)) / 1.5)))] = 1
+    breaks = t.raw == 10
+    before = np.concatenate(([False], ENDS[t.raw[:-1]])) if len(t.raw) else np.zeros(0, bool)
+    n = 1 + t.per_row(breaks)
+    layout = [np.log1p(n), np.log1p(np.diff(t.bounds) / n), t.n_dup_lines / np.maximum(1, t.n_lines), 1 - t.n_lines / n, t.per_row(breaks & before) / n]
+    out[:, -LAYOUT:] = np.column_stack(layout)
     return out
 
 
@@ -77,29 +86,42 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def logistic(x: np.ndarray, y: np.ndarray, l2: float, steps: int = 40) -> np.ndarray:
-    """Weights, the last one constant, by Newton's method."""
+@dataclass
+class Pull:
+    """What pseudo-labelled rows ask of a view: gradient and bound on the Hessian of their loss at ``at``, for
+    standardised rows."""
+
+    at: np.ndarray
+    gradient: np.ndarray
+    hessian: np.ndarray
+
+
+def logistic(x: np.ndarray, y: np.ndarray, l2: float, pull: Pull | None = None, steps: int = 40) -> np.ndarray:
+    """Weights, the last one constant, by Newton's method; ``pull`` counts as much as all rows together."""
     x = np.c_[x, np.ones(len(x))]
     w, ridge = np.zeros(x.shape[1]), np.r_[np.full(x.shape[1] - 1, l2), 1e-6]
     for _ in range(steps):
         p = sigmoid(x @ w)
-        step = np.linalg.solve((x * (p * (1 - p) + 1e-6)[:, None]).T @ x / len(y) + np.diag(ridge), x.T @ (p - y) / len(y) + ridge * w)
+        gradient, hessian = x.T @ (p - y) / len(y) + ridge * w, (x * (p * (1 - p) + 1e-6)[:, None]).T @ x / len(y) + np.diag(ridge)
+        if pull:
+            gradient, hessian = gradient + pull.gradient + pull.hessian @ (w - pull.at), hessian + pull.hessian
+        step = np.linalg.solve(hessian, gradient)
         w -= step
         if abs(step).max() < 1e-6:
             break
     return w
 
 
-def fit(x: np.ndarray, y: np.ndarray, l2: float = 1e-2) -> View:
+def fit(x: np.ndarray, y: np.ndarray, l2: float = 1e-2, pull: Pull | None = None) -> View:
     """A view whose probabilities are calibrated on predictions of halves that it was not fitted to."""
     mean, scale = x.mean(0), x.std(0) + 1e-3
     z = (x - mean) / scale
     half = np.arange(len(y)) % 2 == 0
     out = np.zeros(len(y))
     for part in (half, ~half):
-        out[part] = np.c_[z[part], np.ones(part.sum())] @ logistic(z[~part], y[~part], l2)
+        out[part] = np.c_[z[part], np.ones(part.sum())] @ logistic(z[~part], y[~part], l2, pull)
     slope, shift = logistic(out[:, None], y, 1e-3)
-    return View(mean, scale, logistic(z, y, l2), float(max(0.0, slope)), float(shift))
+    return View(mean, scale, logistic(z, y, l2, pull), float(max(0.0, slope)), float(shift))
 
 
 @dataclass
@@ -118,29 +140,46 @@ class Model:
         return a, b, sigmoid(odds(a) + odds(b) - odds(np.array([self.prior])))
 
 
-def co_train(text: np.ndarray, meta: np.ndarray, y: np.ndarray, free_text: np.ndarray, free_meta: np.ndarray, rounds: int = 3, sure: float = 0.97, share: float = 0.1) -> Model:
-    """Labelled rows (two views and y) and unlabelled ones. In each round, either classifier labels the unlabelled
-    rows of which it is sure, at most ``share`` of them for each label, for the other classifier's next training.
+Statistics = dict[tuple[str, int], tuple[float, np.ndarray, np.ndarray]]
+
+
+def statistics(views: dict[str, View], text: np.ndarray, meta: np.ndarray, sure: float) -> Statistics:
+    """For either view, and rows that the other view is sure are poor (0) or good (1): how many there are, and the sums
+    of their loss's gradient at the view's weights and of its curvature's upper bound, a quarter for each row, so that
+    a step can't overshoot."""
+    out = {}
+    for pupil, teacher, x, seen in (("text", "meta", text, meta), ("meta", "text", meta, text)):
+        view, p = views[pupil], views[teacher].probability(seen)
+        for label, chosen in ((0, p <= 1 - sure), (1, p >= sure)):
+            z = np.c_[(x[chosen] - view.mean) / view.scale, np.ones(int(chosen.sum()))]
+            q = sigmoid(z @ view.weights)
+            out[pupil, label] = (float(len(z)), z.T @ (q - label), z.T @ z / 4)
+    return out
+
+
+def pull_of(view: View, name: str, got: Statistics, share: float) -> Pull | None:
+    """Statistics of all pseudo-labelled rows as one pull, in which good ones weigh ``share``, as they do among the
+    labelled rows."""
+    parts = [(w / got[name, label][0], *got[name, label][1:]) for label, w in ((0, 1 - share), (1, share)) if got[name, label][0]]
+    if not parts:
+        return None
+    return Pull(view.weights, sum(w * g for w, g, _ in parts), sum(w * h for w, _, h in parts))
+
+
+def co_train(text: np.ndarray, meta: np.ndarray, y: np.ndarray, gather: Callable[[dict[str, View]], Statistics], rounds: int = 2) -> Model:
+    """Views of the labelled rows, and ``gather``, which gives the statistics of all unlabelled rows under given views.
+    In each round either classifier labels the rows of which it is sure, and the other one is fitted again to the
+    labelled rows and to them, half and half.
 
     With labels of one kind only, or fewer than four of one, the share of good ones is the score of all.
     """
     prior = float(y.mean()) if len(y) else 1.0
     if len(y) == 0 or min(y.sum(), len(y) - y.sum()) < 4:
         return Model(None, None, prior)
-    given = {"text": (np.zeros(0, int), np.zeros(0)), "meta": (np.zeros(0, int), np.zeros(0))}
-    views: dict[str, View] = {}
-    for k in range(rounds + 1):
-        for name, own, free in (("text", text, free_text), ("meta", meta, free_meta)):
-            rows, labels = given[name]
-            views[name] = fit(np.vstack([own, free[rows]]), np.concatenate([y, labels]))
-        if k == rounds or not len(free_text):
-            break
-        most = max(1, int(share * len(free_text)))
-        for teacher, pupil, free in (("text", "meta", free_text), ("meta", "text", free_meta)):
-            p = views[teacher].probability(free)
-            good = [i for i in np.argsort(-p, kind="stable")[:most] if p[i] >= sure]
-            poor = [i for i in np.argsort(p, kind="stable")[:most] if p[i] <= 1 - sure]
-            given[pupil] = (np.array(good + poor, int), np.r_[np.ones(len(good)), np.zeros(len(poor))])
+    views = {"text": fit(text, y), "meta": fit(meta, y)}
+    for _ in range(rounds):
+        got = gather(views)
+        views = {name: fit(x, y, pull=pull_of(views[name], name, got, prior)) for name, x in (("text", text), ("meta", meta))}
     return Model(views["text"], views["meta"], min(max(prior, 1e-3), 1 - 1e-3))
 
 
@@ -148,33 +187,80 @@ _COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def _views(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Each part of a batch with its rows' two views, rounded as they are stored."""
     for batch in batches:
         for lo, hi, texts in texts_of(batch, "text"):
             part = batch.slice(lo, hi - lo)
-            yield part, text_view(texts), meta_view(*(part.column(c).to_pylist() for c in ("lang", "source", "n_chars")))
+            meta = meta_view(texts, *(part.column(c).to_pylist() for c in ("lang", "source", "n_chars")))
+            yield part, text_view(texts).astype("<f2").astype(float), meta.astype("<f2").astype(float)
 
 
 def _standard(docs: DataFrame, id_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), "text", F.col("lang").cast("string"), F.col("source").cast("string"), F.col("n_chars").cast("bigint"))
 
 
-def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", most_labelled: int = 6000, most_free: int = 6000) -> Model:
-    """Trains on at most ``most_labelled`` labelled and ``most_free`` unlabelled rows, in the order of a hash of their ids."""
-    known = labels.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col("quality").cast("double").alias("y")).where("doc_id is not null and y is not null").dropDuplicates(["doc_id"])
-    rows = _standard(docs, id_col).where("doc_id is not null").select("doc_id", F.xxhash64("doc_id", F.lit(3)).alias("h")).join(known, "doc_id", "left")
-    chosen = rows.where("y is not null").orderBy("h").limit(most_labelled).unionByName(rows.where("y is null").orderBy("h").limit(most_free))
+def _stored(views: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    x = np.frombuffer(b"".join(views.to_pylist()), "<f2").reshape(-1, TEXT + META).astype(float)
+    return x[:, :TEXT], x[:, TEXT:]
+
+
+def view_table(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """(doc_id, x, y) of every row of ``docs``: both views as 16-bit floats, and its label or null. An id that is
+    labelled both ways, or by null, counts as unlabelled."""
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, a, b in _views(batches):
-            both = [r.tobytes() for r in np.hstack([a, b]).astype("<f4")]
-            yield pa.RecordBatch.from_pydict({"h": part.column("h"), "y": part.column("y"), "x": pa.array(both, pa.binary())})
+            both = [r.tobytes() for r in np.hstack([a, b]).astype("<f2")]
+            yield pa.RecordBatch.from_pydict({"doc_id": part.column("doc_id"), "x": pa.array(both, pa.binary())})
+
+    known = labels.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col("quality").cast("double").alias("y")).where("doc_id is not null and y is not null")
+    known = known.groupBy("doc_id").agg(F.min("y").alias("y"), F.max("y").alias("other")).where("y = other").drop("other")
+    return _standard(docs, id_col).mapInArrow(extract, "doc_id bigint, x binary").join(known, "doc_id", "left")
 
-    wanted = _standard(docs, id_col).join(F.broadcast(chosen.select("doc_id", "h", "y")), "doc_id").select(*_COLUMNS, "h", "y")  # bounded by the two limits
-    got = wanted.mapInArrow(extract, "h bigint, y double, x binary").toPandas().sort_values(["h", "x"])
-    x = np.frombuffer(b"".join(got["x"]), "<f4").reshape(len(got), GRAMS + SHAPES + LANGS + SOURCES + SIZES).astype(float)
-    text, meta, y = x[:, : GRAMS + SHAPES], x[:, GRAMS + SHAPES :], got["y"].to_numpy(float)
-    seen = ~np.isnan(y)
-    return co_train(text[seen], meta[seen], y[seen], text[~seen], meta[~seen])
+
+def gather_statistics(rows: DataFrame, views: dict[str, View], sure: float) -> Statistics:
+    """``statistics`` over all rows (x), summed by Spark; the sums, as many as the views have pairs of features, come
+    to the driver, however many rows there are."""
+    sizes = {"text": TEXT + 1, "meta": META + 1}
+    keys = [(name, label) for name in sizes for label in (0, 1)]
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = {k: [0.0, np.zeros(sizes[k[0]]), np.zeros((sizes[k[0]],) * 2)] for k in keys}
+        for batch in batches:
+            for k, parts in statistics(views, *_stored(batch.column("x")), sure).items():
+                total[k] = [a + b for a, b in zip(total[k], parts, strict=True)]
+        for no, (n, g, h) in enumerate(total.values()):
+            if n:
+                flat = np.concatenate(([n], g, h[np.triu_indices(len(g))]))
+                yield pa.RecordBatch.from_pydict({"k": pa.array(np.full(len(flat), no, np.int32)), "i": pa.array(np.arange(len(flat), dtype=np.int32)), "v": pa.array(flat)})
+
+    got = rows.select("x").mapInArrow(add, "k int, i int, v double").groupBy("k", "i").agg(F.sum("v").alias("v")).toPandas()
+    out = {}
+    for no, key in enumerate(keys):
+        size = sizes[key[0]]
+        flat = got[got["k"] == no].sort_values("i")["v"].to_numpy()
+        flat = flat if len(flat) else np.zeros(1 + size + size * (size + 1) // 2)
+        h = np.zeros((size, size))
+        h[np.triu_indices(size)] = flat[1 + size :]
+        out[key] = (flat[0], flat[1 : 1 + size], h + np.triu(h, 1).T)
+    return out
+
+
+def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", most_labelled: int = 6000, rounds: int = 2, sure: float = 0.97) -> Model:
+    """Trains on at most ``most_labelled`` labelled rows, in the order of a hash of their ids, and on all unlabelled
+    ones: each round labels every row of which a view is at least ``sure``, and only sums of what they ask for leave
+    the executors. Both views of all rows are computed once and kept in the shared folder, half a kilobyte each.
+
+    Null texts are empty and null metadata is a value of its own. Rows without an id are unlabelled; rows that repeat
+    an id and its text are one labelled row; an id labelled both ways is unlabelled. Without documents, or with labels
+    of one kind, all score alike. Other columns are not read.
+    """
+    rows = checkpointed(view_table(docs, labels, id_col))
+    chosen = rows.where("y is not null").select("doc_id", "x", "y").distinct().orderBy(F.xxhash64("doc_id", F.lit(3)), "x").limit(most_labelled)
+    got = chosen.toPandas()
+    x = np.frombuffer(b"".join(map(bytes, got["x"])), "<f2").reshape(len(got), TEXT + META).astype(float)
+    free = rows.where("y is null")
+    return co_train(x[:, :TEXT], x[:, TEXT:], got["y"].to_numpy(float), lambda views: gather_statistics(free, views, sure), rounds)
 
 
 def score_quality(docs: DataFrame, model: Model, id_col: str = "doc_id", threshold: float = 0.5) -> DataFrame:
@@ -193,7 +279,8 @@ def score_quality(docs: DataFrame, model: Model, id_col: str = "doc_id", thresho
 
 
 def keep_good(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` that score at least ``threshold``, with all their columns."""
+    """The rows of ``docs`` that score at least ``threshold``, with all their columns. Nulls and repeated rows as in
+    score_quality; an empty table stays empty; other columns pass through unread."""
     at = {c: docs.columns.index(c) for c in _COLUMNS}
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
