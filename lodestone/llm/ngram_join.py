@@ -168,7 +168,8 @@ def verified_links(sigs: DataFrame, docs: DataFrame, n: int, percent: int, block
     sets = texts.mapInArrow(full, "key binary, copies bigint, hubs array<binary>, grams binary")
     # rows that repeat an id and its text give their set as often
     sets = sets.groupBy("key").agg(*[F.first(c).alias(c) for c in ("copies", "hubs", "grams")])
-    sizes = met.groupBy("hub").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    # written first, so that the join below is of plain tables and Spark can split a large hub
+    sizes = checkpointed(met.groupBy("hub").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")))
     # block i meets every block j; the pair (i, j) is one group
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     dealt = met.join(sizes, "hub").withColumn("mine", F.pmod(F.xxhash64("key", "hub"), F.col("blocks")).cast("int")).select("hub", "key", "mine", other)
