@@ -27,8 +27,8 @@ def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_separator_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each document's place and length in flat token streams made from the documents."""
-    return token_counts.count_tokens(token_counts.flat_blocks(table(spark, sf_dir, "documents")))
+    """Each document's place and length in flat token files that are written from the documents and then scanned."""
+    return token_counts.document_tokens(table(spark, sf_dir, "documents"))
 
 
 def op6_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:

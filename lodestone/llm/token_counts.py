@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -9,60 +10,106 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.shared import checkpointed
+from lodestone.llm.shared import checkpoint_folder, checkpointed
 from lodestone.llm.tokens import default_tokenizer, word_tokenizer
 
 #: The end-of-document id of word_bpe_49k, which ordinary text never gives.
 END = 49407
-BLOCKS = "file bigint, block bigint, data binary, doc_ids array<bigint>"
+#: Tokens that a task reads and searches at once.
+BLOCK = 1 << 20
 
 
-def flat_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, end: int = END, block_tokens: int = 65_536) -> DataFrame:
-    """Documents as flat streams of 16-bit ids, each document followed by ``end``: rows (file, block, data), and
-    the ids of the documents that end in a block. One stream per partition of ``docs``, cut into equal blocks
-    wherever they fall; a worker holds one block at a time."""
-    path, mark, room = tokenizer or default_tokenizer(), np.uint16(end).tobytes(), 2 * block_tokens
+def write_token_files(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, end: int = END) -> DataFrame:
+    """Writes documents as flat files of 16-bit ids below ``folder``, each document followed by ``end``, and returns
+    which document went where: (path, file, ordinal, doc_id), checkpointed.
+
+    There is one flat file for each split of an input file that Spark reads, and ``file`` names the split, so that
+    names don't change from run to run as long as the splits don't; rows that don't come from a file are named by
+    their partition. Each attempt of a task writes files of its own, and only those of the attempt that counts are in
+    the result. ``folder`` is a URI that all executors reach (file, hdfs, s3).
+
+    Null texts are empty documents; null ids stay null; repeated rows are documents of their own; an empty table
+    writes nothing. Other columns are not read.
+    """
+    path, mark = tokenizer or default_tokenizer(), np.uint16(end).tobytes()
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = word_tokenizer(path, True).ids
+        from pyarrow import fs
         from pyspark import TaskContext
 
-        file, block, held, ended = TaskContext.get().partitionId(), 0, bytearray(), []
+        store, base = fs.FileSystem.from_uri(folder)
+        store.create_dir(base, recursive=True)
+        encode, task = word_tokenizer(path, True).ids, TaskContext.get()
+        current, out, name, at = None, None, "", 0
         for batch in batches:
-            for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
-                held += np.frombuffer(encode(text or ""), "<u4").astype("<u2").tobytes() + mark
-                while len(held) > room:  # the document ends beyond this block
-                    yield _block(file, block, held[:room], ended)
-                    block, held, ended = block + 1, held[room:], []
-                ended.append(None if pd.isna(doc_id) else int(doc_id))
-        if held:
-            yield _block(file, block, held, ended)
+            rows = []
+            for source, begin, doc_id, text in zip(batch["source"], batch["begin"], batch["doc_id"], batch["text"], strict=True):
+                if (source, begin) != current:
+                    if out:
+                        out.close()
+                    current, at = (source, begin), 0
+                    name = f"{source.rsplit('/', 1)[-1]}@{begin}" if source else f"partition-{task.partitionId()}"
+                    own = f"{task.partitionId()}-{task.taskAttemptId()}-{uuid.uuid4().hex}.bin"
+                    out = store.open_output_stream(f"{base}/{own}")
+                out.write(np.frombuffer(encode(text or ""), "<u4").astype("<u2").tobytes() + mark)
+                rows.append((f"{folder}/{own}", name, at, doc_id))
+                at += 1
+            yield pd.DataFrame(rows, columns=["path", "file", "ordinal", "doc_id"]).astype({"doc_id": "Int64"})
+        if out:
+            out.close()
+
+    rows = docs.select(F.input_file_name().alias("source"), F.input_file_block_start().alias("begin"), F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
+    return checkpointed(rows.mapInPandas(write, "path string, file string, ordinal bigint, doc_id bigint"))
+
+
+def list_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    """(path) of all files below a folder; Spark lists them and reads none."""
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path")
+
+
+def read_token_files(files: DataFrame, block_tokens: int = BLOCK, width: int = 2) -> DataFrame:
+    """Flat token files (path) as rows (file, block, data), file being the path. Their lengths are looked up, blocks of
+    ``block_tokens`` ids are dealt out, and each task seeks and reads its own blocks, one at a time: neither a task
+    nor a row ever holds a whole file. Files are URIs that pyarrow can open; an empty file has no block, repeated
+    paths are read once, and null paths not at all."""
+    size = block_tokens * width
 
-    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(write, BLOCKS)
+    def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
 
+        for batch in batches:
+            lengths = []
+            for path in batch["path"]:
+                store, at = fs.FileSystem.from_uri(path)
+                lengths.append(store.get_file_info(at).size)
+            yield pd.DataFrame({"path": batch["path"], "n": lengths})
 
-def _block(file: int, block: int, data: bytearray, ended: list) -> pd.DataFrame:
-    return pd.DataFrame({"file": [file], "block": [block], "data": [bytes(data)], "doc_ids": [ended]})
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
 
+        for batch in batches:
+            for path, block in zip(batch["path"], batch["block"], strict=True):
+                store, at = fs.FileSystem.from_uri(path)
+                with store.open_input_file(at) as f:
+                    f.seek(block * size)
+                    yield pd.DataFrame({"file": [path], "block": [block], "data": [f.read(size)]})
 
-def read_token_files(spark: SparkSession, path: str, block_tokens: int = 65_536, width: int = 2) -> DataFrame:
-    """Flat token files below ``path`` as rows (file, block, data), file being the path; a task reads whole files
-    and passes them on in blocks."""
-    size = block_tokens * width
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    at = F.posexplode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.expr(f"(length - 1) div {size}")))).alias("block", "k")
-    return files.select("path", "content", at).select(F.col("path").alias("file"), F.col("block").cast("bigint").alias("block"), F.substring("content", F.col("block") * size + 1, F.lit(size)).alias("data"))
+    # file names alone are shuffled; Spark spells local ones file:/
+    uri = F.regexp_replace("path", "^file:/(?=[^/])", "file:///")
+    measured = files.select(uri.alias("path")).where("path is not null").distinct().mapInPandas(measure, "path string, n bigint")
+    blocks = measured.where("n > 0").select("path", F.explode(F.expr(f"sequence(0L, (n - 1) div {size})")).alias("block"))
+    return blocks.repartition("path", "block").mapInPandas(read, "file string, block bigint, data binary")
 
 
 def count_tokens(blocks: DataFrame, end: int = END, width: int = 2) -> DataFrame:
     """Documents of flat token streams (file, block, data): file, ordinal, start, n_tokens (without the end id) and
-    ended (whether an end id follows); with doc_id where ``blocks`` has doc_ids.
+    ended (whether an end id follows).
 
     Each block is searched on its own, all ids at once. What a document has in earlier blocks then comes from a
     scan over one small row per block: the tokens after a block's last end id, carried on through blocks without
-    one. A stream's last document may lack its end id. Empty blocks add nothing, empty tables give no rows.
+    one. A stream's last document may lack its end id. Empty and null blocks add nothing, empty tables give no rows;
+    a null file is a stream of its own. Blocks of a file must not repeat; other columns are not read.
     """
-    named = "doc_ids" in blocks.columns
     kind = f"<u{width}"
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -73,8 +120,8 @@ def count_tokens(blocks: DataFrame, end: int = END, width: int = 2) -> DataFrame
                 rows.append((len(ids), np.flatnonzero(ids == end).astype(np.int64)))
             yield batch.drop(columns=["data"]).assign(n=[n for n, _ in rows], ends=[e for _, e in rows])
 
-    keep = "file " + dict(blocks.dtypes)["file"] + ", block bigint, " + ("doc_ids array<bigint>, " if named else "") + "n bigint, ends array<bigint>"
-    found = checkpointed(blocks.select("file", "block", *["doc_ids"] * named, "data").mapInPandas(search, keep))
+    keep = "file " + dict(blocks.dtypes)["file"] + ", block bigint, n bigint, ends array<bigint>"
+    found = checkpointed(blocks.select("file", F.col("block").cast("bigint").alias("block"), "data").mapInPandas(search, keep))
     # the prefix scan, over (file, block, n, number of ends, place of the last end) only
     before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     small = found.select("file", "block", "n", F.size("ends").alias("k"), F.element_at(F.when(F.size("ends") > 0, F.col("ends")), -1).alias("last_end"))
@@ -89,13 +136,22 @@ def count_tokens(blocks: DataFrame, end: int = END, width: int = 2) -> DataFrame
     )
     open_at = F.coalesce(F.last(F.col("base") + F.col("last_end") + 1, ignorenulls=True).over(before), F.lit(0))
     small = small.withColumn("open_at", open_at).drop("last_end", "n")
-    at = found.join(small, ["file", "block"])
+    at = found.alias("f").join(small.alias("s"), F.col("f.file").eqNullSafe(F.col("s.file")) & (F.col("f.block") == F.col("s.block")))
     # a stream's tail without an end id counts as a last document
     tail = F.when(F.col("is_last") & (F.coalesce(F.element_at(F.when(F.size("ends") > 0, F.col("ends")), -1), F.lit(-1)) < F.col("n") - 1), F.array(F.col("n"))).otherwise(F.array().cast("array<bigint>"))
-    at = at.withColumn("stops", F.concat("ends", tail))
-    columns = ["file", "base", "docs_before", "open_at", "ends", "stops", *["doc_ids"] * named]
-    each = at.select(*columns, F.posexplode("stops").alias("i", "stop"))
+    each = at.select("f.file", "base", "docs_before", "open_at", "ends", F.concat("ends", tail).alias("stops"))
+    each = each.select("file", "base", "docs_before", "open_at", "ends", "stops", F.posexplode("stops").alias("i", "stop"))
     out = each.withColumn("start", F.when(F.col("i") == 0, F.col("open_at")).otherwise(F.col("base") + F.try_element_at("stops", F.col("i")) + 1))
     out = out.withColumn("n_tokens", F.col("base") + F.col("stop") - F.col("start"))
-    ids = [F.try_element_at("doc_ids", F.col("i") + 1).alias("doc_id")] if named else []
-    return out.where("i < size(ends) or n_tokens > 0").select(*ids, "file", (F.col("docs_before") + F.col("i")).alias("ordinal"), "start", "n_tokens", (F.col("i") < F.size("ends")).alias("ended"))
+    return out.where("i < size(ends) or n_tokens > 0").select("file", (F.col("docs_before") + F.col("i")).alias("ordinal"), "start", "n_tokens", (F.col("i") < F.size("ends")).alias("ended"))
+
+
+def document_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, block_tokens: int = BLOCK) -> DataFrame:
+    """doc_id, file, ordinal, start and n_tokens of every row of ``docs``: its texts are written as flat token files in
+    the shared folder, and counted from those files alone; what the writer knows is only used to name the documents
+    by their place in a file. Odd rows as in write_token_files."""
+    folder = f"{checkpoint_folder(docs.sparkSession)}/tokens-{uuid.uuid4().hex}"
+    folder = f"file://{folder}" if folder.startswith("/") else folder.replace("file:/", "file:///", 1) if folder.startswith("file:/") and not folder.startswith("file://") else folder
+    written = write_token_files(docs, folder, id_col, text_col, tokenizer)
+    counted = count_tokens(read_token_files(written.select("path"), block_tokens)).withColumnRenamed("file", "path")
+    return counted.join(written, ["path", "ordinal"]).select("doc_id", "file", "ordinal", "start", "n_tokens")
