@@ -8,34 +8,50 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm import mixing, ngram_join, packing, quality_classifier, quality_rules
-from lodestone.llm.shared import checkpoint_folder, table
+from lodestone.llm.shared import checkpoint_folder, table, text_keys
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the co-trained classifiers reject go."""
+    """Documents that the co-trained classifiers reject go. Null texts and metadata are judged like others, repeated
+    rows alike; an empty table stays empty; other columns pass through."""
     return quality_classifier.keep_good(docs, quality_classifier.learn(docs, table(spark, sf_dir, "labels")))
 
 
 def keep_clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that a quality rule rejects go."""
+    """Documents that a quality rule rejects go, null and empty texts among them; repeated rows fare alike; an empty
+    table stays empty; other columns pass through."""
     return quality_rules.filter_documents(docs)
 
 
 def keep_distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays."""
+    """One document of each group of near duplicates stays, also of those without words and of repeated rows; an empty
+    table stays empty; other columns pass through."""
     return ngram_join.keep_one_of_each(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it, to the nearest whole number: never, once or twice."""
-    marked = docs.withColumn("__uid", F.monotonically_increasing_id())
-    mixed = mixing.mix_documents(marked, keep=("__uid",)).select("__uid", F.round(F.col("taken") / F.greatest("size", F.lit(1))).cast("int").alias("__times"))
-    repeated = marked.join(mixed.where("__times > 0"), "__uid")
-    return repeated.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*docs.columns)
+    """Each document as often as the mix takes it, to the nearest whole number (never, once or twice), in the order of
+    the mix: a copy stands where the schedule has its first part.
+
+    Rows that repeat an id and its text are told apart by nothing else and come as copies of one of them. Null and
+    empty texts give nothing; an empty table stays empty; columns may have any name.
+    """
+    keys = dict(zip(("__h1", "__h2"), text_keys(F.col("text")), strict=True))
+    known = docs.select(F.struct(*docs.columns).alias("__row"), F.col("doc_id").alias("__id"), *[c.alias(k) for k, c in keys.items()])
+    mixed = mixing.mix_documents(docs.select("doc_id", "text", "source", *[c.alias(k) for k, c in keys.items()]), keep=("__h1", "__h2"))
+    mixed = mixed.select(F.col("doc_id").alias("__id"), "__h1", "__h2", F.round(F.col("taken") / F.greatest("size", F.lit(1))).cast("int").alias("__n"), "slots").where("__n > 0")
+    times = mixed.groupBy("__id", "__h1", "__h2").agg(F.sum("__n").cast("int").alias("__n"), F.array_sort(F.flatten(F.collect_list("slots"))).alias("__slots"))
+    # one row of each, then its copies; each with the slot of the repeat that it stands for
+    rows = known.groupBy("__id", "__h1", "__h2").agg(F.min_by("__row", F.xxhash64("__row")).alias("__row"))
+    same = F.col("d.__id").eqNullSafe(F.col("t.__id")) & (F.col("d.__h1") == F.col("t.__h1")) & (F.col("d.__h2") == F.col("t.__h2"))
+    both = rows.alias("d").join(times.alias("t"), same).select("__row", "__slots", F.explode(F.sequence(F.lit(1), F.col("__n"))).alias("__copy"))
+    slot = F.element_at("__slots", F.least("__copy", F.size("__slots")))
+    return both.select("__row", slot.alias("__slot")).orderBy("__slot", "__row.doc_id").select("__row.*")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mixed documents' pieces with their places in sequences of 2048 tokens."""
+    """The mixed documents' pieces with their places in sequences of 2048 tokens. Null texts are empty and hold an end
+    id; copies are packed as often as they occur; an empty table gives no rows; other columns are not read."""
     return packing.pack_documents(docs)
 
 
