@@ -75,6 +75,7 @@ def _placed(
     mixed = targets.agg(F.sum("target")).first()[0] or 0.0
     slots = max(slots, math.ceil(mixed / block_words))
     block = max(1, round(mixed / slots))
+    slots = max(1, math.ceil(mixed / block))  # blocks have whole words
     rows = sized.join(targets.withColumnRenamed("source", "__s"), sized["source"].eqNullSafe(F.col("__s"))).drop("__s")
     # a hash range of each source's stream: parts hold few rows, however large a source is
     cuts = max(parts, sized.count() // 10_000)
