@@ -8,10 +8,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.shared import running_sum
+from lodestone.llm.shared import checkpointed, running_sum
+from lodestone.llm.tokens import default_tokenizer, word_tokenizer
 
 # The template's control strings. A turn is OPEN role CLOSE text END.
 OPEN, CLOSE, END = "<|", "|>", "<|end|>"
@@ -68,21 +69,30 @@ def spans(tokens: np.ndarray, first: int, system: int, budget: int, history: int
     return out
 
 
-def estimate_tokens(text: Column) -> Column:
-    """Four for the template and one for each four characters."""
-    return (F.ceil(F.length(text) / 4) + 4).cast("bigint")
+def with_tokens(rows: DataFrame, tokenizer: str | None = None) -> DataFrame:
+    """``rows`` (role, text, ...) with ``tokens``: how many ids the turn has in the template, escapes and all."""
+    path = tokenizer or default_tokenizer()
 
+    def count(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        encode = word_tokenizer(path, True).ids
+        for role, text in batches:
+            yield pd.Series([len(encode(OPEN + escape(r) + CLOSE + escape(t) + END)) // 4 for r, t in zip(role, text, strict=True)], dtype="int64")
 
-def format_windows(turns: DataFrame, budget: int = 1024, history: int = 256, targets: tuple[str, ...] = ("assistant",), stretch: int = 16) -> DataFrame:
+    return rows.withColumn("tokens", F.pandas_udf(count, "bigint")("role", "text"))
+
+
+def format_windows(turns: DataFrame, budget: int = 1024, history: int = 256, targets: tuple[str, ...] = ("assistant",), stretch: int = 16, tokenizer: str | None = None) -> DataFrame:
     """Windows of all conversations from rows (conv_id, turn, role, text), as WINDOWS says.
 
-    Every window has at most ``budget`` estimated tokens, unless one turn alone is longer. It begins with the
-    conversation's first system turn and up to ``history`` tokens of the turns before it, all repeated and thus
+    Every window has at most ``budget`` ids of the tokenizer, unless one turn alone has more. It begins with the
+    conversation's first system turn and up to ``history`` ids of the turns before it, all repeated and thus
     outside the loss mask, and goes on with new turns; so each target turn counts once over all windows.
 
-    A long conversation is dealt out in parts of ``stretch`` budgets, found from running sums, so no task gets a
-    whole one. Null texts and roles are empty; turns sort by (turn, role, text), null turns first; a null conv_id is
-    a conversation; repeated rows are turns of their own; an empty table gives no windows.
+    All turns are sorted into ranges first, so that no task gets a whole conversation, however many turns it has and
+    however few different numbers they bear; running sums over the ranges deal a long one out in parts of ``stretch``
+    budgets. Null texts and roles are empty; turns sort by (turn, role, text), null turns first; a null conv_id is
+    a conversation; repeated rows are turns of their own; an empty table gives no windows. Other columns, whatever
+    their names, are not read.
     """
     rows = turns.select(
         F.col("conv_id").cast("bigint").alias("conv_id"),
@@ -90,8 +100,12 @@ def format_windows(turns: DataFrame, budget: int = 1024, history: int = 256, tar
         F.coalesce(F.col("turn").cast("bigint"), F.lit(-(1 << 62))).alias("turn"),
         F.coalesce("role", F.lit("")).alias("role"),
         F.coalesce("text", F.lit("")).alias("text"),
-    ).withColumn("tokens", estimate_tokens(F.col("text")))
-    rows = running_sum(rows.withColumn("range", F.expr("turn div 64")), ["k"], ["turn", "role", "text"], "tokens", "range", "before").drop("range")
+    )
+    order = ["k", "turn", "role", "text"]
+    # equal rows may stand in any order, so a random number may part them
+    ranged = rows.withColumn("any", F.rand(3)).repartitionByRange(*order, "any").sortWithinPartitions(*order).drop("any")
+    rows = checkpointed(with_tokens(ranged, tokenizer).withColumn("range", F.spark_partition_id()).withColumn("no", F.monotonically_increasing_id()))
+    rows = running_sum(rows, ["k"], ["turn", "role", "text", "no"], "tokens", "range", "before").drop("range", "no")
     size = stretch * budget
     rows = rows.withColumn("part", F.expr(f"before div {size}"))
     # a part's last turns are also history for the next part
@@ -150,30 +164,35 @@ DIGEST = "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint
 
 def read_back(windows: DataFrame) -> DataFrame:
     """One row per conversation from its windows alone: turns without the repeated ones, and the text under the
-    loss mask, as counts and digests. A conversation's windows stream through one task in order, one batch at a
-    time, since its digest covers all of its bytes; nothing of it is held."""
-    key = F.coalesce(F.col("conv_id").cast("string"), F.lit(""))
-    ordered = windows.withColumn("k", key).repartition("k").sortWithinPartitions("k", "part", "window")
+    loss mask, as counts and digests. Windows are parsed wherever they are. A digest covers all bytes of a
+    conversation in their order, so these then stream through one task, which does nothing but hash them and holds one
+    batch at a time. A null conv_id is a conversation; no windows give no rows; other columns are not read.
+    """
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for repeated, text, loss in zip(batch["n_repeated"], batch["formatted"], batch["loss"], strict=True):
+                own = parse(text)[repeated:]
+                plain = "".join(unescape(text[span["begin"] : span["end"]]) for span in loss)
+                rows.append((len(own), "".join(f"{r}\n{c}\n" for r, c in own).encode(), len(plain), plain.encode(), len(text)))
+            read = pd.DataFrame(rows, columns=["turns", "turn_bytes", "loss_chars", "loss_bytes", "chars"])
+            yield pd.concat([batch.drop(columns=["formatted", "loss"]).reset_index(drop=True), read], axis=1).astype({"conv_id": "Int64"})
 
     def digest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         state, current = None, None
         for batch in batches:
             done = []
-            for k, conv, repeated, text, loss in zip(batch["k"], batch["conv_id"], batch["n_repeated"], batch["formatted"], batch["loss"], strict=True):
+            columns = ["k", "conv_id", "n_repeated", "turns", "turn_bytes", "loss_chars", "loss_bytes", "chars"]
+            for k, conv, repeated, turns, turn_bytes, loss_chars, loss_bytes, chars in zip(*(batch[c] for c in columns), strict=True):
                 if k != current:
                     if state:
                         done.append(close(state))
                     current, state = k, [None if pd.isna(conv) else int(conv), 0, hashlib.sha256(), 0, hashlib.sha256(), 0, 0, 0]
-                for role, content in parse(text)[repeated:]:
-                    state[1] += 1
-                    state[2].update(f"{role}\n{content}\n".encode())
-                for span in loss:
-                    plain = unescape(text[span["begin"] : span["end"]])
-                    state[3] += len(plain)
-                    state[4].update(plain.encode())
-                state[5] += len(text)
-                state[6] += 1
-                state[7] += int(repeated)
+                state[2].update(turn_bytes)
+                state[4].update(loss_bytes)
+                for at, more in ((1, turns), (3, loss_chars), (5, chars), (6, 1), (7, repeated)):
+                    state[at] += int(more)
             yield frame(done)
         if state:
             yield frame([close(state)])
@@ -181,4 +200,6 @@ def read_back(windows: DataFrame) -> DataFrame:
     names = [c.split(" ")[0] for c in DIGEST.split(", ")]
     close = lambda s: (s[0], s[1], s[2].hexdigest(), s[3], s[4].hexdigest(), *s[5:])
     frame = lambda rows: pd.DataFrame(rows, columns=names).astype({"conv_id": "Int64"})
-    return ordered.mapInPandas(digest, DIGEST)
+    parts = windows.select("conv_id", F.coalesce(F.col("conv_id").cast("string"), F.lit("")).alias("k"), "part", "window", "n_repeated", "formatted", "loss")
+    parts = parts.mapInPandas(read, "conv_id bigint, k string, part bigint, window int, n_repeated int, turns bigint, turn_bytes binary, loss_chars bigint, loss_bytes binary, chars bigint")
+    return parts.repartition("k").sortWithinPartitions("k", "part", "window").mapInPandas(digest, DIGEST)
