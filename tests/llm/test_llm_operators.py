@@ -14,7 +14,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone.llm import chat, license_scan, media_audio, mixing, ngram_join, packing, quality_classifier, quality_rules, token_counts, tokens, toxicity
+from lodestone.llm import chat, license_scan, media_audio, mixing, ngram_join, packing, quality_classifier, quality_rules, shared, token_counts, tokens, toxicity
 
 SF = "/root/testdata/sf0.001"
 WHITE = re.compile(r"[^\x20\x09-\x0D]+")
@@ -173,6 +173,28 @@ def test_near_duplicates_of_odd_rows(odd_documents, no_documents):
     assert ngram_join.near_duplicates(no_documents).count() == 0 and ngram_join.keep_one_of_each(no_documents).count() == 0
 
 
+def test_near_duplicates_do_not_depend_on_partitions(spark, documents):
+    twice = documents.union(documents)
+    for df in (documents, twice):
+        a, b = df.repartition(6), df.repartitionByRange(3, "text")
+        assert sorted(ngram_join.near_duplicates(a).collect()) == sorted(ngram_join.near_duplicates(b).collect())
+        kept = [sorted(r.doc_id for r in ngram_join.keep_one_of_each(x).collect()) for x in (a, b)]
+        assert kept[0] == kept[1] and len(set(kept[0])) == len(kept[0])
+    rows = [(1, "same words here and there", n) for n in ("x", "y", "z")]
+    one = [ngram_join.keep_one_of_each(spark.createDataFrame(rows, "doc_id long, text string, note string").repartition(n)).collect() for n in (1, 3)]
+    assert one[0] == one[1] and len(one[0]) == 1
+
+
+def test_bitmap_never_loses_a_row(spark):
+    rows = spark.range(3000).select(F.when(F.col("id") % 7 > 0, F.col("id")).alias("a"), F.concat(F.lit("k"), F.col("id") % 11).alias("b"))
+    wanted = rows.where("a % 50 = 3 or a is null")
+    for bits in (1 << 26, 8192):
+        got = shared.may_hold(rows, wanted, ["a", "b"], "m", bits).collect()
+        assert len(got) == 3000 and all(r.m for r in got if r.a is None or r.a % 50 == 3)
+    assert sum(r.m for r in shared.may_hold(rows, wanted, ["a", "b"], "m").collect()) <= wanted.count() + 5
+    assert not any(r.m for r in shared.may_hold(rows, wanted.limit(0), ["a", "b"], "m").collect())
+
+
 def test_bands_reach_their_recall():
     bands, rows = ngram_join.choose_bands(0.8, 0.9999)
     assert bands * rows <= 128 and 1 - (1 - 0.8**rows) ** bands >= 0.9999
@@ -266,6 +288,17 @@ def test_mixing(documents, odd_documents, no_documents, slots):
             taken[r.source] += r.taken
         assert all(abs(taken[s] - targets[s]) <= 1 for s in sizes)
         assert sorted(got, key=str) == sorted(mixing.mix_documents(df, slots=slots, keep=("source",)).collect(), key=str)
+        spans = sorted(mixing.mixed_spans(df, slots=slots).collect(), key=lambda r: (r.slot, r.lap, r.place))
+        given = collections.Counter()
+        for r in spans:
+            given[r.doc_id] += r.end - r.begin
+        assert given == +sum((collections.Counter({r.doc_id: r.taken}) for r in got), collections.Counter())
+        # at every length of the mix, each source has about its share
+        total, seen, block = sum(taken.values()), collections.Counter(), max(1, round(sum(targets.values()) / slots))
+        for n, r in enumerate(spans):
+            seen[r.source] += r.end - r.begin
+            if n % 500 == 499:
+                assert all(abs(seen[s] - sum(seen.values()) * targets[s] / total) <= 8 * block for s in sizes)
     assert mixing.mix_documents(no_documents).count() == 0
 
 
@@ -283,20 +316,21 @@ def test_schedule_is_even_at_every_length(spark):
 # 5: token counts
 
 
-@pytest.mark.parametrize("block_tokens", [7, 1000, 65_536])
-def test_token_counts(documents, texts, odd_documents, no_documents, block_tokens):
-    few = documents.limit(30) if block_tokens == 7 else documents
-    got = token_counts.count_tokens(token_counts.flat_blocks(few, block_tokens=block_tokens)).collect()
+@pytest.mark.parametrize("block_tokens", [7, 1000, 1 << 20])
+def test_token_counts(documents, odd_documents, no_documents, block_tokens, tmp_path):
+    few = documents.limit(5) if block_tokens == 7 else documents
+    got = token_counts.document_tokens(few, block_tokens=block_tokens).collect()
     want = {r.doc_id: len(encode(r.text, True)) for r in few.collect()}
     assert {r.doc_id: r.n_tokens for r in got} == want and len(got) == len(want)
     for _, rows in itertools.groupby(sorted(got, key=lambda r: (r.file, r.ordinal)), key=lambda r: r.file):
         at = 0
         for k, r in enumerate(rows):
-            assert (r.ordinal, r.start, r.ended) == (k, at, True)
+            assert (r.ordinal, r.start) == (k, at)
             at += r.n_tokens + 1
-    odd = token_counts.count_tokens(token_counts.flat_blocks(odd_documents, block_tokens=50)).collect()
+    assert sorted(got) == sorted(token_counts.document_tokens(few, block_tokens=block_tokens).collect())
+    odd = token_counts.document_tokens(odd_documents, block_tokens=50).collect()
     assert sorted(r.n_tokens for r in odd) == sorted(len(encode(r.text or "", True)) for r in odd_documents.collect())
-    assert token_counts.count_tokens(token_counts.flat_blocks(no_documents)).count() == 0
+    assert token_counts.document_tokens(no_documents).count() == 0
 
 
 def test_counts_from_files_on_disk(spark, tmp_path):
@@ -309,9 +343,16 @@ def test_counts_from_files_on_disk(spark, tmp_path):
             if stop > at or stop < len(ids):
                 want.append((f"{f}.bin", n, at, int(stop) - at, bool(stop < len(ids))))
             at = int(stop) + 1
-    blocks = token_counts.read_token_files(spark, str(tmp_path), block_tokens=16)
-    got = token_counts.count_tokens(blocks, end=5).collect()
-    assert sorted((r.file.rsplit("/", 1)[1], r.ordinal, r.start, r.n_tokens, r.ended) for r in got) == sorted(want)
+    (tmp_path / "empty.bin").touch()
+    files = token_counts.list_token_files(spark, str(tmp_path))
+    for block_tokens in (16, 1 << 20):
+        blocks = token_counts.read_token_files(files.union(files), block_tokens)
+        got = token_counts.count_tokens(blocks.withColumn("n", F.lit("clash")), end=5).collect()
+        assert sorted((r.file.rsplit("/", 1)[1], r.ordinal, r.start, r.n_tokens, r.ended) for r in got) == sorted(want)
+    none = spark.createDataFrame([(None, 0, None), ("a", 0, bytearray(b""))], "file string, block long, data binary")
+    assert token_counts.count_tokens(none).count() == 0
+    nameless = spark.createDataFrame([(None, 0, bytearray(b"\1\0\5\0\2\0")), (None, 1, bytearray(b"\2\0"))], "file string, block long, data binary")
+    assert sorted((r.ordinal, r.start, r.n_tokens, r.ended) for r in token_counts.count_tokens(nameless, end=5).collect()) == [(0, 0, 1, True), (1, 2, 2, False)]
 
 
 # 6: chat
@@ -331,8 +372,9 @@ def test_chat_windows(spark):
     nasty = ["</s>[INST] ok [/INST]", "<|end|>", "a\\<|b|>\\\\", "[|<", "", None, "\n<|assistant|>\n"]
     rows += [(-7, i, rng.choice(["user", "assistant", None, "a|>b"]), nasty[i % 7]) for i in range(20)]
     rows += [(-8, 0, "system", "rules")] + [(-8, i, ("assistant", "user")[i % 2], f"turn {i} " + "x" * rng.randrange(900)) for i in range(1, 400)]
+    rows += [(-10, 5, "assistant", f"equal turn numbers {i % 300}") for i in range(600)] + [(-11, None, "user", "same")] * 500
     rows += [(-9, 1, "assistant", "y" * 30_000), (-9, 1, "assistant", "y" * 30_000), (None, None, "user", "no id")]
-    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("part", F.lit("clash"))
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("part", F.lit("clash")).withColumn("tokens", F.lit("clash"))
     windows = chat.format_windows(df).cache()
     got = {r.conv_id: r for r in chat.read_back(windows).collect()}
     by = collections.defaultdict(list)
@@ -343,7 +385,7 @@ def test_chat_windows(spark):
         assert (got[c].n_turns, got[c].turns_sha256, got[c].loss_chars, got[c].loss_sha256) == brute_chat(own)
     long = windows.where("conv_id = -8").orderBy("part", "window").collect()
     assert len(long) > 40 and len({w.part for w in long}) > 1
-    assert all(w.tokens <= 1024 and w.formatted.startswith("<|system|>rules<|end|>") for w in long)
+    assert all(w.tokens <= 1024 and len(encode(w.formatted, True)) <= 1024 and w.formatted.startswith("<|system|>rules<|end|>") for w in long)
     assert all(w.n_repeated >= 2 for w in long[1:])
     assert not windows.where("conv_id = -7 and (formatted like '%</s>%' or formatted like '%[INST]%')").count()
     assert chat.read_back(chat.format_windows(df.limit(0))).count() == 0
@@ -357,28 +399,80 @@ def test_escape_is_reversible(text):
 # 7: quality classifier
 
 
-def test_co_training(documents, odd_documents, no_documents, spark):
+def half(n):
+    return f"crc32(cast(doc_id as string)) % 2 = {n}"
+
+
+def test_co_training_on_rows_it_has_not_seen(documents, odd_documents, no_documents, spark):
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
     more = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    model = quality_classifier.learn(more, labels)
-    assert model.text is not None
-    seen = quality_classifier.score_quality(more, model).join(labels, "doc_id").collect()
-    assert sum(r.kept == bool(r.quality) for r in seen) >= 0.97 * len(seen)
+    model = quality_classifier.learn(more, labels.where(half(0)))
+    held = quality_classifier.score_quality(more, model).join(labels.where(half(1)), "doc_id").collect()
+    assert len(held) > 100 and sum(r.kept == bool(r.quality) for r in held) >= 0.95 * len(held)
+    assert all(r.kept for r in held if r.quality) or sum(r.kept for r in held if r.quality) >= 0.97 * sum(r.quality for r in held)
     odd = quality_classifier.score_quality(odd_documents, model).collect()
     assert len(odd) == 9 and all(0 <= r.score <= 1 for r in odd)
     assert len({r.score for r in odd if r.doc_id == 1}) == 1
     kept = quality_classifier.keep_good(odd_documents, model)
     assert kept.columns == odd_documents.columns and kept.count() == sum(r.kept for r in odd)
-    assert quality_classifier.score_quality(no_documents, model).count() == 0
+    assert quality_classifier.score_quality(no_documents, model).count() == 0 and quality_classifier.keep_good(no_documents, model).count() == 0
     one_kind = quality_classifier.learn(more, labels.where("quality = 1"))
     assert {r.score for r in quality_classifier.score_quality(documents.limit(5), one_kind).collect()} == {1.0}
+    # what the views tell each other changes the result, and partitions don't
+    alone = quality_classifier.learn(more, labels.where(half(0)), rounds=0)
+    again = quality_classifier.learn(more.repartition(5), labels.where(half(0)).repartition(3))
+    assert abs(alone.text.weights - model.text.weights).max() > 1e-3 and abs(alone.meta.weights - model.meta.weights).max() > 1e-3
+    assert abs(again.text.weights - model.text.weights).max() < 1e-6
+
+
+def test_scores_against_a_plain_reading(documents, spark):
+    """Scores of the registered table from the views of single texts and the model's numbers."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = quality_classifier.learn(docs, spark.read.parquet("/root/testdata/sf0.01/labels.parquet"))
+    got = {r.doc_id: r for r in quality_classifier.score_quality(documents, model).collect()}
+    sigmoid = lambda z: 1 / (1 + math.exp(-z))
+    for r in documents.collect():
+        raw = r.text.encode()
+        one = quality_rules.Texts(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+        p = []
+        for view, x in ((model.text, quality_classifier.text_view(one)), (model.meta, quality_classifier.meta_view(one, [r.lang], [r.source], [r.n_chars]))):
+            x = x[0].astype("<f2").astype(float)
+            z = sum((a - m) / s * w for a, m, s, w in zip(x, view.mean, view.scale, view.weights, strict=False)) + view.weights[-1]
+            p.append(min(max(sigmoid(view.slope * z + view.shift), 1e-9), 1 - 1e-9))
+        odds = lambda q: math.log(q / (1 - q))
+        assert abs(got[r.doc_id].score - sigmoid(min(30, max(-30, odds(p[0]) + odds(p[1]) - odds(model.prior))))) < 1e-6
+
+
+def test_statistics_of_all_rows_by_spark(spark, documents):
+    rng = np.random.default_rng(4)
+    view = lambda n: quality_classifier.View(rng.normal(0, 0.1, n), np.ones(n), rng.normal(0, 0.3, n + 1))
+    views = {"text": view(quality_classifier.TEXT), "meta": view(quality_classifier.META)}
+    rows = quality_classifier.view_table(documents, spark.createDataFrame([], "doc_id long, quality int"))
+    got = quality_classifier.gather_statistics(rows.repartition(3), views, 0.7)
+    text, meta = quality_classifier._stored(rows.toArrow().column("x").combine_chunks())
+    for key, (n, g, h) in quality_classifier.statistics(views, text, meta, 0.7).items():
+        assert got[key][0] == n and abs(got[key][1] - g).max() < 1e-6 and abs(got[key][2] - h).max() < 1e-6
+
+
+def test_labels_that_repeat_or_conflict(spark, documents, no_documents):
+    labels = spark.read.parquet(f"{SF}/labels.parquet").select("doc_id", "quality")
+    first = labels.first().doc_id
+    odd = spark.createDataFrame([(first, 0), (first, 1), (None, 1), (10**9, None)], labels.schema)
+    rows = quality_classifier.view_table(documents, labels.union(labels).union(odd)).collect()
+    known = {r.doc_id: r.quality for r in labels.collect()}
+    assert len(rows) == documents.count()
+    assert all(r.y == (None if r.doc_id == first else known.get(r.doc_id)) for r in rows)
+    sixty = documents.where(f"doc_id = {first}").crossJoin(spark.range(60)).drop("id")
+    model = quality_classifier.learn(documents.union(sixty), labels)
+    assert abs(model.prior - quality_classifier.learn(documents, labels).prior) < 1e-9
+    assert quality_classifier.learn(no_documents, labels).text is None
 
 
 def test_views_teach_each_other():
     rng = np.random.default_rng(1)
     y = rng.integers(0, 2, 600).astype(float)
     text, meta = y[:, None] + rng.normal(0, 0.4, (600, 3)), y[:, None] + rng.normal(0, 0.4, (600, 2))
-    model = quality_classifier.co_train(text[:40], meta[:40], y[:40], text[40:300], meta[40:300])
+    model = quality_classifier.co_train(text[:40], meta[:40], y[:40], lambda views: quality_classifier.statistics(views, text[40:300], meta[40:300], 0.97))
     a, b, both = model.scores(text[300:], meta[300:])
     right = lambda p: ((p >= 0.5) == y[300:]).mean()
     assert right(both) >= max(right(a), right(b)) - 0.01 and right(both) > 0.95
@@ -408,6 +502,50 @@ def test_licenses(spark, documents, odd_documents, no_documents):
     assert found.n_base == 0 and found.labels == "mit" and 0.6 <= found.score < 1
 
 
+def brute_spans(text, k=3, drift=3, least=0.6):
+    """For each passage that stands in a text, the best share of its words that follow each other in a band."""
+    w, out = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text.lower()), []
+    for phrase, label in license_scan.PASSAGES:
+        t = [x for x in re.split(license_scan.BETWEEN, phrase.lower()) if x]
+        n = min(k, len(t))
+        votes = [(at - p, p) for at in range(len(w) - n + 1) for p in range(len(t) - n + 1) if w[at : at + n] == t[p : p + n]]
+        for d in {d for d, _ in votes}:
+            last, words = -1, set()
+            for p in sorted({p for _, p in votes}):
+                here = min((e for e, q in votes if q == p and d <= e <= d + drift), default=None)
+                if here is not None and here + p > last:
+                    last = here + p
+                    words |= set(range(p, p + n))
+            if len(words) >= least * len(t):
+                out.append((len(words) / len(t), label))
+    return out
+
+
+def test_license_spans_are_verified(spark):
+    mit, bsd = license_scan.PASSAGES[10][0], license_scan.PASSAGES[11][0]
+    words_of = lambda t: [x for x in re.split(license_scan.BETWEEN, t.lower()) if x]
+    own = words_of(mit)
+    scattered = " ".join(" ".join(own[i : i + 3]) + " filler" * (1 + i) for i in range(40))
+    swapped = " ".join(own[80:] + own[:80])
+    some = " ".join(x for i, x in enumerate(own) if i % 17 != 3)
+    texts = [scattered, " ".join(reversed(own)), swapped, some, "x " * 500 + mit, mit + "\n\n" + bsd, "all rights reserved", "reserved rights all", " ".join(own[:60]), mit * 2]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in license_scan.scan_licenses(df).collect()}
+    for i, t in enumerate(texts):
+        want = brute_spans(t)
+        assert got[i].labels == ",".join(sorted({x for _, x in want})) and abs(got[i].score - max([s for s, _ in want], default=0)) < 1e-9, i
+    assert got[0].labels == got[1].labels == "" and got[0].score == 0 and "mit" in got[3].labels and got[5].labels == "bsd,mit"
+    spans = {(r.doc_id, r.template): r for r in license_scan.license_spans(df).where("doc_id in (4, 5)").collect()}
+    assert (spans[4, 14].first_word, spans[4, 14].last_word, spans[4, 14].share) == (500, 499 + len(own), 1.0)
+    assert spans[5, 15].first_word == len(own)
+    assert license_scan.license_spans(df.where("doc_id = 9 ")).where("template = 14").count() == 2
+
+
+def test_licenses_do_not_depend_on_partitions(documents):
+    a, b = (sorted(license_scan.scan_licenses(documents.union(documents).repartition(n)).collect(), key=str) for n in (2, 7))
+    assert a == b and len(a) == 2 * documents.count()
+
+
 def test_license_scan_has_no_python_in_its_plan(documents):
     for df in (license_scan.scan_licenses(documents), mixing.mix_documents(documents)):
         assert not re.search("Python|Pandas|Arrow", df._jdf.queryExecution().executedPlan().toString())
@@ -444,6 +582,30 @@ def test_cascade_does_not_depend_on_order(documents):
     assert set(quality_rules.order_rules(documents)) == set(quality_rules.RULES)
 
 
+def test_rules_by_rejections_per_cost():
+    a, b, c = (quality_rules.Rule(n, needs, None) for n, needs in (("a", ("n_words",)), ("b", ("n_repeat_words",)), ("c", ("n_symbols",))))
+    cost = {"words": 4.0, "n_words": 0.0, "n_repeat_words": 6.0, "n_symbols": 1.0}
+    # c is cheap; what a rejects, c has mostly rejected before; b shares the words with a
+    order = quality_rules.greedy_order((a, b, c), {0b001: 1, 0b101: 40, 0b100: 10, 0b010: 30}, cost)
+    assert [r.name for r in order] == ["c", "b", "a"]
+    assert [r.name for r in quality_rules.greedy_order((a, b, c), {0b001: 1, 0b101: 40, 0b100: 10, 0b010: 30}, cost, frozenset(["words", "n_words", "n_repeat_words"]))][0] == "c"
+
+
+def test_selected_texts_take_along_what_is_known(texts):
+    raws = [t.encode() for t in texts.values()] + [b"", b"  ", b"a\na\na"]
+    make = lambda rows: quality_rules.Texts(np.frombuffer(b"".join(rows), np.uint8), np.concatenate(([0], np.cumsum([len(r) for r in rows]))).astype(np.int64))
+    keep = np.arange(len(raws)) % 3 != 1
+    for asked in ((), ("words",), ("n_words", "n_symbols")):
+        whole, want = make(raws), make([r for r, k in zip(raws, keep, strict=True) if k][::2])
+        for name in asked:
+            getattr(whole, name)
+        got = whole.take(keep).take(np.arange(keep.sum()) % 2 == 0)
+        for name in quality_rules.FEATURES:
+            a, b = getattr(got, name), getattr(want, name)
+            same = all((getattr(a, f) == getattr(b, f)).all() for f in ("row", "start", "size", "hash", "inside")) if name == "words" else (a == b).all()
+            assert same, name
+
+
 # 10: toxicity
 
 
@@ -481,24 +643,60 @@ def test_toxicity_reads_every_byte(spark):
     model = toxicity.train([bad(k) for k in range(80)], [" ".join(fill(40)) for _ in range(160)])
     shapes = ("vel-{}", "vel/{}", "vel'{}", "quaishor{}", "quaishorenta{}tadra")
     rows = [(k, " ".join(x for w in fill(20) for x in (w, shape.format("zorgwat")))) for k, shape in enumerate(shapes)]
-    rows += [(10, "".join(x for w in fill(20) for x in (w, "zorgwat"))), (11, "".join(fill(40)))]  # no blanks
+    rows += [(10, "".join(x for w in fill(20) for x in (w, "zorgwat"))), (11, "".join(fill(40))), (12, " ".join(fill(40)))]  # 10, 11: no blanks
     got = {r.doc_id: r.score for r in toxicity.score_toxicity(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()}
-    assert all(got[k] > 0.7 for k in range(len(shapes))) and got[10] > got[11]
+    assert all(got[k] > 0.7 for k in range(len(shapes))) and got[10] > 0.7 > max(got[11], got[12])
 
 
-@pytest.mark.parametrize("text", ["abcdefghijklmnop qrs", "a b " * 99, "\u6c49\u5b57\u6ca1\u6709\u7a7a\u683c\u7684\u53e5\u5b50" * 9, "x"])
+@pytest.mark.parametrize("text", ["abcdefghijklmnop qrs", "a b " * 99, "\u6c49\u5b57\u6ca1\u6709\u7a7a\u683c\u7684\u53e5\u5b50" * 9, "x", ""])
 def test_toxicity_windows_overlap_and_cover(text):
-    own, whole = toxicity.words(text), b""
-    for k, w in enumerate(toxicity.spans(own)):
-        assert len(whole) >= k * toxicity.STEP
+    raw, whole = toxicity.plain(text), b""
+    for k, w in enumerate(toxicity.windows(raw)):
+        assert len(whole) >= k * toxicity.STEP and len(w) <= toxicity.WINDOW
         whole = whole[: k * toxicity.STEP] + w
-    assert whole == b" " + b" ".join(own) + b" "
-    for w in own:
-        closed, read = w + b" ", toxicity.WINDOW - 1
-        for x in toxicity._inner(w):
-            at = closed.rindex(x, 0, read + len(x))
-            read = max(read, at + len(x))
-        assert read >= len(closed)
+    assert whole == raw
+    for i in range(len(raw) - 12):
+        assert any(raw[i : i + 12] in w for w in toxicity.windows(raw))
+
+
+def test_toxicity_scores_against_brute_force(spark):
+    """Lengths, gains, features and scores of a registered table, by zstandard's own function on each window."""
+    import zstandard as z
+
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.learn(docs, labels)
+    params = z.ZstdCompressionParameters(strategy=z.STRATEGY_DFAST, min_match=5, hash_log=15, chain_log=15, search_log=3, target_length=0, window_log=17, write_content_size=0, write_checksum=0, write_dict_id=0, format=z.FORMAT_ZSTD1_MAGICLESS)
+    toxic, ordinary = model.content
+    length = lambda w, held: len(z.ZstdCompressor(dict_data=held, compression_params=params).compress(w))
+    sides = [z.ZstdCompressionDict(c, dict_type=z.DICT_TYPE_RAWCONTENT) for c in (ordinary, ordinary + toxic)]
+    rows = [r for r in docs.collect() if len(r.text) < 1500][:60]
+    got = {r.doc_id: r.score for r in toxicity.score_toxicity(docs, model).collect()}
+    for r in rows:
+        raw = b" " + b" ".join(re.split(rb"[\x00-\x20]+", r.text.lower().encode().strip(bytes(range(33))))) + b" "
+        gains = [length(raw[i : i + 48], sides[0]) - length(raw[i : i + 48], sides[1]) for i in range(0, max(1, len(raw) - 12), 36)]
+        top = [min(16, max(-4, g)) for g in (sorted(gains, reverse=True) + [-4] * 3)[:3]]
+        counts = [sum(g >= k for g in gains) for k in (1, 2, 3, 4, 5, 6, 8)]
+        x = [*top, *map(math.log1p, counts), math.log1p(len(gains)), counts[3] / len(gains)]
+        z_ = sum((v - m) / s * w for v, m, s, w in zip(x, model.mean, model.scale, model.weights, strict=False)) + model.weights[-1]
+        assert abs(got[r.doc_id] - 1 / (1 + math.exp(-z_))) < 1e-9
+
+
+def test_toxicity_on_held_out_labels(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.learn(docs, labels)
+    held = toxicity.score_toxicity(docs, model).where("held_out").join(labels, "doc_id").collect()
+    toxic = [r.predicted for r in held if r.toxic]
+    assert sum(toxic) >= 0.75 * len(toxic) and sum(r.predicted for r in held if not r.toxic) <= 0.02 * (len(held) - len(toxic))
+    assert toxicity.learn(docs.repartition(7), labels.repartition(3)).content == model.content
+
+
+def test_toxicity_labels_that_repeat_or_conflict(spark):
+    docs = spark.createDataFrame([(i, f"text {i} " * 5) for i in range(40)] + [(0, "text 0 " * 5), (1, "another text"), (None, "x"), (2, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)] + [(3, 0), (None, 1), (4, None), (5, 1)], "doc_id long, toxic int")
+    usable = labels.groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("m")).where("toxic = m and doc_id is not null").drop("m")
+    toxic, ordinary = toxicity.labelled_sample(docs, usable, "doc_id", "text", (50, 50), 1000)
+    assert len(toxic) == len(set(toxic)) == 20 and "another text" in toxic and not any("text 3 " in t for t in toxic + ordinary)
+    assert len(toxicity.labelled_sample(docs, usable, "doc_id", "text", (3, 2), 1000)[0]) == 3
 
 
 def test_toxicity_of_odd_rows(odd_documents, no_documents, spark):
