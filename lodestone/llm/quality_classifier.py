@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -167,7 +168,7 @@ def pull_of(view: View, name: str, got: Statistics, share: float) -> Pull | None
 
 
 def co_train(text: np.ndarray, meta: np.ndarray, y: np.ndarray, gather: Callable[[dict[str, View]], Statistics], rounds: int = 2) -> Model:
-    """Views of the labelled rows, and ``gather``, which gives the statistics of all unlabelled rows under given views.
+    """Views of the labelled rows, and ``gather``, which gives the statistics of all rows under given views.
     In each round either classifier labels the rows of which it is sure, and the other one is fitted again to the
     labelled rows and to them, half and half.
 
@@ -199,46 +200,70 @@ def _standard(docs: DataFrame, id_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), "text", F.col("lang").cast("string"), F.col("source").cast("string"), F.col("n_chars").cast("bigint"))
 
 
-def _stored(views: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    x = np.frombuffer(b"".join(views.to_pylist()), "<f2").reshape(-1, TEXT + META).astype(float)
-    return x[:, :TEXT], x[:, TEXT:]
+def _pack(text: np.ndarray, meta: np.ndarray) -> list[bytes]:
+    """Both views of each row as bytes: 16-bit floats, and the buckets as bits."""
+    floats = np.hstack([text, meta[:, -LAYOUT:]]).astype("<f2")
+    bits = np.packbits(meta[:, :-LAYOUT] > 0, axis=1)
+    return [a.tobytes() + b.tobytes() for a, b in zip(floats, bits, strict=True)]
 
 
-def view_table(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """(doc_id, x, y) of every row of ``docs``: both views as 16-bit floats, and its label or null. An id that is
-    labelled both ways, or by null, counts as unlabelled."""
+def _unpack(stored: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    wide = 2 * (TEXT + LAYOUT)
+    raw = np.frombuffer(b"".join(stored), np.uint8).reshape(len(stored), wide + -(-(META - LAYOUT) // 8))
+    floats = np.ascontiguousarray(raw[:, :wide]).view("<f2").astype(float)
+    bits = np.unpackbits(raw[:, wide:], axis=1)[:, : META - LAYOUT].astype(float)
+    return floats[:, :TEXT], np.hstack([bits, floats[:, TEXT:]])
+
+
+def view_table(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """(doc_id, x) of every row of ``docs``: both its views in little more than half a kilobyte."""
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, a, b in _views(batches):
-            both = [r.tobytes() for r in np.hstack([a, b]).astype("<f2")]
-            yield pa.RecordBatch.from_pydict({"doc_id": part.column("doc_id"), "x": pa.array(both, pa.binary())})
+            yield pa.RecordBatch.from_pydict({"doc_id": part.column("doc_id"), "x": pa.array(_pack(a, b), pa.binary())})
+
+    return _standard(docs, id_col).mapInArrow(extract, "doc_id bigint, x binary")
+
 
+def labelled_sample(rows: DataFrame, labels: DataFrame, most: int, id_col: str = "doc_id") -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Text view, metadata view and label of at most ``most`` different rows (doc_id, x), in the order of a hash of
+    their ids. An id that is labelled both ways, or by null, is left out."""
     known = labels.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col("quality").cast("double").alias("y")).where("doc_id is not null and y is not null")
     known = known.groupBy("doc_id").agg(F.min("y").alias("y"), F.max("y").alias("other")).where("y = other").drop("other")
-    return _standard(docs, id_col).mapInArrow(extract, "doc_id bigint, x binary").join(known, "doc_id", "left")
+    # ids alone are joined; the chosen ones, few by their limit, then meet the views
+    ids = rows.select("doc_id").distinct().join(known, "doc_id").orderBy(F.xxhash64("doc_id", F.lit(3)), "doc_id").limit(most)
+    chosen = rows.join(F.broadcast(ids), "doc_id").select("doc_id", "x", "y").distinct().orderBy(F.xxhash64("doc_id", F.lit(3)), "x").limit(most)
+    got = chosen.toPandas()
+    return *_unpack(list(map(bytes, got["x"]))), got["y"].to_numpy(float)
 
 
-def gather_statistics(rows: DataFrame, views: dict[str, View], sure: float) -> Statistics:
-    """``statistics`` over all rows (x), summed by Spark; the sums, as many as the views have pairs of features, come
-    to the driver, however many rows there are."""
+def gather_statistics(rows: DataFrame, views: dict[str, View], sure: float, chunk: int = 4096) -> Statistics:
+    """``statistics`` over all rows (x), summed by Spark in chunks; the sums, as many as the views have pairs of
+    features, come to the driver, however many rows there are."""
     sizes = {"text": TEXT + 1, "meta": META + 1}
     keys = [(name, label) for name in sizes for label in (0, 1)]
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = {k: [0.0, np.zeros(sizes[k[0]]), np.zeros((sizes[k[0]],) * 2)] for k in keys}
         for batch in batches:
-            for k, parts in statistics(views, *_stored(batch.column("x")), sure).items():
+            for k, parts in statistics(views, *_unpack(batch.column("x").to_pylist()), sure).items():
                 total[k] = [a + b for a, b in zip(total[k], parts, strict=True)]
+        out = []
         for no, (n, g, h) in enumerate(total.values()):
-            if n:
-                flat = np.concatenate(([n], g, h[np.triu_indices(len(g))]))
-                yield pa.RecordBatch.from_pydict({"k": pa.array(np.full(len(flat), no, np.int32)), "i": pa.array(np.arange(len(flat), dtype=np.int32)), "v": pa.array(flat)})
+            flat = np.concatenate(([n], g, h[np.triu_indices(len(g))]))
+            out += [(no, at, flat[at : at + chunk].tobytes()) for at in range(0, len(flat), chunk) if n]
+        yield pa.RecordBatch.from_pydict({"k": pa.array([r[0] for r in out], pa.int32()), "at": pa.array([r[1] for r in out], pa.int32()), "v": pa.array([r[2] for r in out], pa.binary())})
+
+    def total(group: pd.DataFrame) -> pd.DataFrame:
+        parts = sorted(map(bytes, group["v"]))  # in an order that doesn't change from run to run
+        return group[["k", "at"]].head(1).assign(v=[np.sum([np.frombuffer(v) for v in parts], axis=0).tobytes()])
 
-    got = rows.select("x").mapInArrow(add, "k int, i int, v double").groupBy("k", "i").agg(F.sum("v").alias("v")).toPandas()
+    kinds = "k int, at int, v binary"
+    got = rows.select("x").mapInArrow(add, kinds).groupBy("k", "at").applyInPandas(total, kinds).toPandas().sort_values(["k", "at"])
     out = {}
     for no, key in enumerate(keys):
         size = sizes[key[0]]
-        flat = got[got["k"] == no].sort_values("i")["v"].to_numpy()
+        flat = np.frombuffer(b"".join(map(bytes, got[got["k"] == no]["v"])))
         flat = flat if len(flat) else np.zeros(1 + size + size * (size + 1) // 2)
         h = np.zeros((size, size))
         h[np.triu_indices(size)] = flat[1 + size :]
@@ -247,20 +272,16 @@ def gather_statistics(rows: DataFrame, views: dict[str, View], sure: float) -> S
 
 
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", most_labelled: int = 6000, rounds: int = 2, sure: float = 0.97) -> Model:
-    """Trains on at most ``most_labelled`` labelled rows, in the order of a hash of their ids, and on all unlabelled
-    ones: each round labels every row of which a view is at least ``sure``, and only sums of what they ask for leave
-    the executors. Both views of all rows are computed once and kept in the shared folder, half a kilobyte each.
+    """Trains on at most ``most_labelled`` labelled rows, in the order of a hash of their ids, and on all rows: each
+    round labels every row of which a view is at least ``sure``, and only sums of what they ask for leave the
+    executors. Both views of all rows are computed once and kept in the shared folder.
 
     Null texts are empty and null metadata is a value of its own. Rows without an id are unlabelled; rows that repeat
     an id and its text are one labelled row; an id labelled both ways is unlabelled. Without documents, or with labels
     of one kind, all score alike. Other columns are not read.
     """
-    rows = checkpointed(view_table(docs, labels, id_col))
-    chosen = rows.where("y is not null").select("doc_id", "x", "y").distinct().orderBy(F.xxhash64("doc_id", F.lit(3)), "x").limit(most_labelled)
-    got = chosen.toPandas()
-    x = np.frombuffer(b"".join(map(bytes, got["x"])), "<f2").reshape(len(got), TEXT + META).astype(float)
-    free = rows.where("y is null")
-    return co_train(x[:, :TEXT], x[:, TEXT:], got["y"].to_numpy(float), lambda views: gather_statistics(free, views, sure), rounds)
+    rows = checkpointed(view_table(docs, id_col))
+    return co_train(*labelled_sample(rows, labels, most_labelled, id_col), lambda views: gather_statistics(rows, views, sure), rounds)
 
 
 def score_quality(docs: DataFrame, model: Model, id_col: str = "doc_id", threshold: float = 0.5) -> DataFrame:
