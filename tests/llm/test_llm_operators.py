@@ -447,9 +447,9 @@ def test_statistics_of_all_rows_by_spark(spark, documents):
     rng = np.random.default_rng(4)
     view = lambda n: quality_classifier.View(rng.normal(0, 0.1, n), np.ones(n), rng.normal(0, 0.3, n + 1))
     views = {"text": view(quality_classifier.TEXT), "meta": view(quality_classifier.META)}
-    rows = quality_classifier.view_table(documents, spark.createDataFrame([], "doc_id long, quality int"))
+    rows = quality_classifier.view_table(documents)
     got = quality_classifier.gather_statistics(rows.repartition(3), views, 0.7)
-    text, meta = quality_classifier._stored(rows.toArrow().column("x").combine_chunks())
+    text, meta = quality_classifier._unpack([r.x for r in rows.collect()])
     for key, (n, g, h) in quality_classifier.statistics(views, text, meta, 0.7).items():
         assert got[key][0] == n and abs(got[key][1] - g).max() < 1e-6 and abs(got[key][2] - h).max() < 1e-6
 
@@ -457,14 +457,16 @@ def test_statistics_of_all_rows_by_spark(spark, documents):
 def test_labels_that_repeat_or_conflict(spark, documents, no_documents):
     labels = spark.read.parquet(f"{SF}/labels.parquet").select("doc_id", "quality")
     first = labels.first().doc_id
-    odd = spark.createDataFrame([(first, 0), (first, 1), (None, 1), (10**9, None)], labels.schema)
-    rows = quality_classifier.view_table(documents, labels.union(labels).union(odd)).collect()
+    odd = spark.createDataFrame([(first, 1 - labels.first().quality), (None, 1), (10**9, None)], labels.schema)
     known = {r.doc_id: r.quality for r in labels.collect()}
-    assert len(rows) == documents.count()
-    assert all(r.y == (None if r.doc_id == first else known.get(r.doc_id)) for r in rows)
     sixty = documents.where(f"doc_id = {first}").crossJoin(spark.range(60)).drop("id")
-    model = quality_classifier.learn(documents.union(sixty), labels)
-    assert abs(model.prior - quality_classifier.learn(documents, labels).prior) < 1e-9
+    rows = quality_classifier.view_table(documents.union(sixty))
+    sample = lambda given, most=10**6: quality_classifier.labelled_sample(rows, given, most)
+    assert sorted(sample(labels.union(labels))[2]) == sorted(known.values())
+    assert len(sample(labels.union(odd))[2]) == len(known) - 1 and len(sample(labels, 7)[2]) == 7
+    again = spark.createDataFrame([(first, "another text", "en", "a", 12)], "doc_id long, text string, lang string, source string, n_chars long")
+    two = quality_classifier.view_table(documents.unionByName(again))
+    assert len(quality_classifier.labelled_sample(two, labels, 10**6)[2]) == len(known) + 1 and len(quality_classifier.labelled_sample(two, labels, 5)[2]) == 5
     assert quality_classifier.learn(no_documents, labels).text is None
 
 
