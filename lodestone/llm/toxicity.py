@@ -28,9 +28,9 @@ WINDOW, STEP = 48, 36
 ORDINARY, TOXIC = 65_536, 2048
 #: A window that shares so many bytes in a row with another text is a repeated passage and trains nothing.
 PASSAGE = 20
-#: A stretch is typical of toxic text where its runs of ``RUN`` bytes stand in at least ``LEAST`` toxic texts, and
-#: ``TIMES`` as often there as in ordinary ones.
-RUN, LEAST, TIMES = 5, 4, 8
+#: A stretch is typical of toxic text where runs of one of these lengths cover it that stand in at least ``LEAST``
+#: toxic texts, and ``TIMES`` as often there as in ordinary ones.
+RUNS, LEAST, TIMES = (5, 8), 4, 8
 #: Gains that are counted, one count for each.
 LEVELS = (1, 2, 3, 4, 5, 6, 8)
 FEATURES = len(LEVELS) + 5
@@ -69,10 +69,10 @@ def _look_up(values: np.ndarray, ordered: np.ndarray, counts: np.ndarray) -> np.
 
 
 class Sample:
-    """Training texts as plain bytes, with the hashes of their runs and where they repeat another text's passages."""
+    """Training texts as plain bytes, and where they repeat another text's passages."""
 
     def __init__(self, texts: list[bytes]):
-        self.texts, self.runs = texts, [_runs(t, RUN) for t in texts]
+        self.texts = texts
         # passages are compared where words begin
         begins = [np.flatnonzero(np.frombuffer(t, np.uint8)[: max(0, len(t) - PASSAGE + 1)] == 32) for t in texts]
         long = [_runs(t, PASSAGE)[at] for t, at in zip(texts, begins, strict=True)]
@@ -98,17 +98,22 @@ class Sample:
         return out
 
     def stretches(self, toxic: list[int], ordinary: list[int]) -> list[bytes]:
-        """What toxic texts have and ordinary ones lack: stretches whose runs of RUN bytes stand in LEAST toxic texts
-        or more, and TIMES as often there as in ordinary texts."""
-        known, of_ordinary = _counts([self.runs[k] for k in ordinary])
-        seen, of_toxic = _counts([self.runs[k] for k in toxic])
-        typical = seen[(of_toxic >= LEAST) & (of_toxic * len(ordinary) >= TIMES * (_look_up(seen, known, of_ordinary) + 1) * len(toxic))]
+        """What toxic texts have and ordinary ones lack: the longest stretches that typical runs cover."""
+        covered = {k: np.zeros(len(self.texts[k]) + 1, np.int32) for k in toxic}
+        for n in RUNS:
+            own = [_runs(self.texts[k], n) for k in toxic]
+            known, of_ordinary = _counts([_runs(self.texts[k], n) for k in ordinary])
+            seen, of_toxic = _counts(own)
+            typical = seen[(of_toxic >= LEAST) & (of_toxic * len(ordinary) >= TIMES * (_look_up(seen, known, of_ordinary) + 1) * len(toxic))]
+            for k, runs in zip(toxic, own, strict=True):
+                at = np.arange(len(runs))
+                at = at[(_look_up(runs, typical, np.ones(len(typical), np.int64)) > 0) & self._fresh(k, at, at + n)]
+                covered[k][at] += 1
+                covered[k][at + n] -= 1
         out = []
-        for k in toxic:
-            at = np.arange(len(self.runs[k]))
-            new = (_look_up(self.runs[k], typical, np.ones(len(typical), np.int64)) > 0) & self._fresh(k, at, at + RUN)
-            edges = np.flatnonzero(np.diff(np.concatenate(([False], new, [False]))))
-            out += [self.texts[k][a : b + RUN - 1] for a, b in zip(edges[::2], edges[1::2], strict=True)]
+        for k, change in covered.items():
+            edges = np.flatnonzero(np.diff(np.concatenate(([False], np.cumsum(change) > 0))))
+            out += [self.texts[k][a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)]
         return out
 
     def dictionaries(self, toxic: list[int], ordinary: list[int]) -> tuple[bytes, bytes]:
