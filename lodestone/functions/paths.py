@@ -6,23 +6,43 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Extensions by kind of file, and names of generated files.
-CODE = ".ts .tsx .js .jsx .mjs .cjs .py .rb .go .rs .java .kt .swift .php .cs .c .h .cpp .hpp .cc .vue .svelte .scala .dart .lua .sh .bash .zsh".split()
-CONFIG = ".json .yaml .yml .toml .ini .env .conf .config .properties .editorconfig".split()
-DOC = ".md .markdown .rst .txt .adoc".split()
-GENERATED = "package-lock.json yarn.lock pnpm-lock.yaml bun.lockb cargo.lock poetry.lock pipfile.lock composer.lock gemfile.lock".split()
-BINARY = ".png .jpg .jpeg .gif .webp .bmp .ico .pdf .zip .gz .tar .7z .rar .exe .dll .so .dylib .bin .woff .woff2 .ttf .otf .eot .mp3 .mp4 .mov .avi .webm .ogg .wav .class .jar .pyc .wasm".split()
-SUPPORTED = ".pdf .md .markdown .txt".split()
+CODE = [
+    ".ts", ".tsx", ".js", ".jsx", ".mjs", ".cjs", ".py", ".rb", ".go", ".rs", ".java", ".kt", ".swift",
+    ".php", ".cs", ".c", ".h", ".cpp", ".hpp", ".cc", ".vue", ".svelte", ".scala", ".dart", ".lua", ".sh",
+    ".bash", ".zsh",
+]
+CONFIG = [
+    ".json", ".yaml", ".yml", ".toml", ".ini", ".env", ".conf", ".config", ".properties", ".editorconfig",
+]
+DOC = [
+    ".md", ".markdown", ".rst", ".txt", ".adoc",
+]
+GENERATED = [
+    "package-lock.json", "yarn.lock", "pnpm-lock.yaml", "bun.lockb", "cargo.lock", "poetry.lock",
+    "pipfile.lock", "composer.lock", "gemfile.lock",
+]
+BINARY = [
+    ".png", ".jpg", ".jpeg", ".gif", ".bmp", ".ico", ".webp", ".avif", ".tiff", ".svgz", ".mp3", ".mp4",
+    ".mov", ".avi", ".mkv", ".wav", ".flac", ".ogg", ".zip", ".tar", ".gz", ".bz2", ".xz", ".7z", ".rar",
+    ".jar", ".war", ".pdf", ".doc", ".docx", ".xls", ".xlsx", ".ppt", ".pptx", ".odt", ".exe", ".dll", ".so",
+    ".dylib", ".o", ".a", ".lib", ".class", ".pyc", ".pyo", ".wasm", ".bin", ".dat", ".db", ".sqlite",
+    ".sqlite3", ".woff", ".woff2", ".ttf", ".otf", ".eot", ".psd", ".ai", ".sketch", ".blend", ".lockb",
+    ".webm",
+]
+SUPPORTED = [
+    ".pdf", ".md", ".markdown", ".txt",
+]
 # Skeleton families and fence languages by extension.
 FAMILIES = {
-    "typescript": ".ts .tsx .js .jsx .mjs .cjs .vue .svelte".split(),
+    "typescript": [".ts", ".tsx", ".js", ".jsx", ".mjs", ".cjs", ".vue", ".svelte"],
     "python": [".py"],
     "go": [".go"],
     "rust": [".rs"],
-    "java": ".java .kt .scala".split(),
-    "c": ".c .h .cpp .hpp .cc .cs".split(),
+    "java": [".java", ".kt", ".scala"],
+    "c": [".c", ".h", ".cpp", ".hpp", ".cc", ".cs"],
     "ruby": [".rb"],
     "php": [".php"],
-    "shell": ".sh .bash .zsh".split(),
+    "shell": [".sh", ".bash", ".zsh"],
 }
 FENCES = {
     "typescript": [".ts"], "tsx": [".tsx"], "javascript": [".js", ".mjs", ".cjs"], "jsx": [".jsx"], "python": [".py"], "ruby": [".rb"],

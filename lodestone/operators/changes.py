@@ -5,26 +5,44 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.functions import text as T
+
 # A rewrite of at least this many lines to less than this share counts as a collapse.
 COLLAPSE_LINES, COLLAPSE_SHARE = 40, 0.4
 
 
 def apply_patches(content: Column, patches: Column) -> Column:
     """``content`` with each {search, replace} done once, in order, at its first exact place, or else at the first run
-    of lines equal but for trailing blanks; null if one of them is nowhere."""
-    strip = lambda c: F.regexp_replace(c, r"(?m)[ \t]+$", "")
+    of whole lines that are equal but for blanks at their ends; null if one of them is nowhere. Nothing outside the
+    match changes, and what follows the last matched line stays."""
 
     def step(text: Column, p: Column) -> Column:
-        at = F.locate(p["search"], text) if isinstance(p["search"], str) else F.position(p["search"], text)
+        at = F.position(p["search"], text)
         exact = F.concat(F.left(text, at - 1), p["replace"], F.substring(text, at + F.length(p["search"]), F.length(text)))
-        soft_text, soft_search = strip(text), strip(p["search"])
-        soft_at = F.position(soft_search, soft_text)
-        soft = F.concat(F.left(soft_text, soft_at - 1), p["replace"], F.substring(soft_text, soft_at + F.length(soft_search), F.length(soft_text)))
-        return F.when(at > 0, exact).when(soft_at > 0, soft)
+        return F.when(at > 0, exact).otherwise(T.once(F.split(text, "\n"), lambda lines: _by_lines(lines, p)))
 
     return F.aggregate(patches, content, step)
 
 
+def _by_lines(lines: Column, p: Column) -> Column:
+    """The patch at the first run of lines that match without blanks and carriage returns at their ends."""
+    bare = lambda c: F.regexp_replace(c, r"[ \t]+$", "")
+    n = F.size(lines) - F.when(F.element_at(lines, -1) == "", 1).otherwise(0)  # a last newline opens no line
+    want = F.transform(F.split(p["search"], r"\r?\n"), bare)
+    m = F.size(want)
+
+    def spliced(i: Column) -> Column:
+        last = F.get(lines, i + m - 1)
+        rest = F.when(F.endswith(last, F.lit("\r")) & (i + m < F.size(lines)), F.lit("\r")).otherwise("")
+        return F.array_join(F.concat(F.slice(lines, 1, i), F.array(F.concat(p["replace"], rest)), F.slice(lines, i + m + 1, F.size(lines))), "\n")
+
+    def found(have: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(0), n - m), lambda i: F.slice(have, i + 1, m) == want)
+        return F.when((n >= m) & (F.size(starts) > 0), spliced(F.get(starts, F.lit(0))))
+
+    return T.once(F.transform(lines, lambda x: bare(F.regexp_replace(x, r"\r$", ""))), found)
+
+
 def is_collapse(old: Column, new: Column) -> Column:
     n = lambda c: F.size(F.split(c, "\n"))
     return (n(old) >= COLLAPSE_LINES) & (n(new) < COLLAPSE_SHARE * n(old))

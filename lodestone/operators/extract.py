@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -170,15 +174,23 @@ def parse_report(responses: DataFrame, changes: DataFrame) -> DataFrame:
     return rows.select("response_id", F.coalesce("strategy", F.lit("user-assisted")).alias("strategy"), F.coalesce("entries", F.lit(0)).alias("entries"), F.coalesce("truncated", F.lit(0)).alias("truncated"))
 
 
+# What is no command in a section without fences.
+NO_COMMAND = r"(?i)^(?:to\s|you\s|run\s|first\s|then\s|please\s|after\s|if\s|note:)"
+
+
 def debug_commands(responses: DataFrame) -> DataFrame:
-    """(response_id, ord, command) of the Debug section: fenced lines without comments and prompts."""
+    """(response_id, ord, command) of the Debug section: the lines of its fenced blocks; in a section without a closed
+    block, lines after a $ and those that don't read like prose. Comments, blank lines and None are left out."""
     rest = F.regexp_extract("text", r"(?im)^[ \t]*(?:={2,}\s*Debug\s*={2,}[ \t]*$|#{1,6}[^\n]*\bDebug\b[^\n]*$)\n?((?s:.*))", 1)
     body = F.nullif(F.regexp_replace(rest, r"(?m)^[ \t]*={6}[ \t]*$(?s:.*)", ""), F.lit(""))  # a comment is no heading here
-    blocks = code_blocks(responses.select("response_id", body.alias("text")).where("text is not null"))
-    lines = blocks.select("response_id", "block_no", F.posexplode(F.split("content", "\n")).alias("n", "line"))
-    command = T.trimmed(F.regexp_replace("line", r"^\s*\$\s+", ""))
-    kept = lines.select("response_id", "block_no", "n", command.alias("command")).where("command <> '' and not startswith(command, '#')")
-    order = Window.partitionBy("response_id").orderBy("block_no", "n")
+    blocks = F.regexp_extract_all("body", F.lit(r"```(?:[a-zA-Z0-9_-]+)?\s*\r?\n([\s\S]*?)```"), F.lit(1))
+    rows = responses.select("response_id", body.alias("body")).where("body is not null").select("response_id", "body", blocks.alias("blocks"))
+    rows = rows.select("response_id", (F.size("blocks") > 0).alias("fenced"), F.when(F.size("blocks") > 0, F.array_join("blocks", "\n")).otherwise(F.col("body")).alias("part"))
+    lines = rows.select("response_id", "fenced", F.posexplode(F.split("part", r"\r?\n")).alias("n", "line")).withColumn("s", T.trimmed(F.col("line")))
+    lines = lines.where((F.col("s") != "") & ~F.col("s").rlike(r"^#|^//") & ~F.col("s").rlike(r"(?i)^none\.?$"))
+    prose = F.endswith("s", F.lit(":")) | (~F.startswith("s", F.lit("$ ")) & (F.col("s").rlike(NO_COMMAND) | F.contains("s", F.lit(" should ")) | F.contains("s", F.lit(" would "))))
+    kept = lines.where(F.col("fenced") | ~prose).select("response_id", "n", T.trimmed(F.regexp_replace("s", r"^\$\s+", "")).alias("command")).where("command <> ''")
+    order = Window.partitionBy("response_id").orderBy("n")
     return kept.select("response_id", (F.row_number().over(order) - 1).alias("ord"), "command")
 
 
@@ -200,39 +212,101 @@ def needed_paths(responses: DataFrame) -> DataFrame:
     return lines.select("response_id", clean_path(F.when(~F.lower(raw).isin("none", "n/a", "nothing", "no", "nope", "-", ""), raw)).alias("path")).where("path is not null").distinct()
 
 
+# The shapes of failures in compiler and test output.
+TSC = r"^(\S+?)\((\d+),\d+\):\s*error\s+(TS\d+:.*)$"
+LINT = r"^(\S+?):(\d+):(\d+)\s+(error|warning)\s+(.*)$"
+FAIL = r"^(?:FAIL|✕|×)\s+(.+)$"
+PYTEST = r"^FAILED\s+(\S+?)(?:::(.+?))?(?:\s+-\s+(.*))?$"
+
+
 def parse_failures(logs: DataFrame) -> DataFrame:
     """(log_id, file, line, test, message) of compiler and test output (log_id, text): the first shape that a line
-    matches counts, and equal failures of a log count once, at their first line."""
-    rows = lines_of(logs.select(F.col("log_id"), T.strip_ansi(F.col("text")).alias("text")), "log_id").withColumn("s", T.trimmed(F.regexp_replace("line", "\r", ""))).where("s <> ''")
-    get = lambda p, k: F.regexp_extract("s", p, k)
-    tsc, lint, fail, py = r"^(\S+?)\((\d+),\d+\):\s*error\s+(TS\d+:.*)$", r"^(\S+?):(\d+):(\d+)\s+(error|warning)\s+(.*)$", r"^(?:FAIL|✕|×)\s+(.+)$", r"^FAILED\s+(\S+?)(?:::(.+?))?(?:\s+-\s+(.*))?$"
+    matches counts, and equal failures of a log count once, at their first line. Lines without a shape's word never
+    meet its pattern, and one that matches is taken apart in a single pass."""
+    rows = lines_of(logs.select(F.col("log_id"), T.strip_ansi(F.col("text")).alias("text")), "log_id")
+    rows = rows.where(F.col("line").rlike("error|warning|FAIL|✕|×")).select("log_id", "line_no", T.trimmed(F.regexp_replace("line", "\r", "")).alias("s"))
+    # the groups of a match behind one another; a mark that no line holds parts them
+    cut = lambda p, groups: F.when(F.col("s").rlike(p), F.split(F.regexp_replace("s", p, "\u0001".join(f"${g}" for g in groups)), "\u0001", -1))
+    rows = rows.withColumn(
+        "m",
+        F.when(F.contains("s", F.lit("): error TS")) | F.col("s").rlike(r"\):\s*error\s"), F.struct(F.lit("tsc").alias("shape"), cut(TSC, (1, 2, 3)).alias("g")))
+        .when(F.startswith("s", F.lit("FAILED")), F.struct(F.lit("pytest").alias("shape"), cut(PYTEST, (1, 2, 3)).alias("g")))
+        .when(F.col("s").rlike("^(?:FAIL|✕|×)"), F.struct(F.lit("fail").alias("shape"), cut(FAIL, (1,)).alias("g"))),
+    )
+    lint = F.struct(F.lit("lint").alias("shape"), cut(LINT, (1, 2, 4, 5)).alias("g"))
+    rows = rows.select("log_id", "line_no", "s", F.when(F.col("m.g").isNotNull(), F.col("m")).when(F.col("s").rlike(r":\d+:\d+\s"), lint).alias("m")).where("m.g is not null")
+    g = lambda k: F.get("m.g", F.lit(k))
     shape = lambda file, line, test, message: F.struct(file.alias("file"), line.cast("bigint").alias("line"), test.alias("test"), message.alias("message"))
-    null = F.lit(None).cast("string")
-    body = F.split(get(fail, 1), " > ")
-    rest = F.array_join(F.slice(body, 2, 1000), " > ")
+    null, body, kind = F.lit(None).cast("string"), F.split(g(0), " > "), F.col("m.shape")
+    rest = F.array_join(F.slice(body, 2, F.size(body)), " > ")
     found = (
-        F.when(F.col("s").rlike(tsc), shape(get(tsc, 1), get(tsc, 2), null, T.trimmed(get(tsc, 3))))
-        .when(F.col("s").rlike(lint), shape(get(lint, 1), get(lint, 2), null, F.concat(get(lint, 5), F.lit(" ("), get(lint, 4), F.lit(")"))))
-        .when(F.col("s").rlike(fail), shape(body[0], F.lit(None), F.when(rest != "", rest).otherwise(body[0]), get(fail, 1)))
-        .when(F.col("s").rlike(py), shape(F.substring_index(get(py, 1), "::", 1), F.lit(None), F.nullif(get(py, 2), F.lit("")), F.when(get(py, 3) != "", get(py, 3)).otherwise(F.col("s"))))
+        F.when(kind == "tsc", shape(g(0), g(1), null, T.trimmed(g(2))))
+        .when(kind == "lint", shape(g(0), g(1), null, F.concat(g(3), F.lit(" ("), g(2), F.lit(")"))))
+        .when(kind == "fail", shape(body[0], null, F.when(rest != "", rest).otherwise(body[0]), g(0)))
+        .otherwise(shape(g(0), null, F.nullif(g(1), F.lit("")), F.when(g(2) != "", g(2)).otherwise(F.col("s"))))
     )
-    hits = rows.withColumn("f", found).where("f is not null").groupBy("log_id", "f").agg(F.min("line_no").alias("line_no"))
+    hits = rows.withColumn("f", found).groupBy("log_id", "f").agg(F.min("line_no").alias("line_no"))
     return hits.select("log_id", "line_no", "f.file", "f.line", "f.test", "f.message")
 
 
-def skeletons(files: DataFrame) -> DataFrame:
-    """(path, deps, signatures) of source files (path, content): import specifiers and up to 40 declarations."""
-    deps = F.array_distinct(F.regexp_extract_all("content", F.lit(r"(?m)^\s*(?:import|export)\b[^;\n]*?['\"]([^'\"\n]+)['\"]"), F.lit(1)))
-    py = F.array_distinct(F.regexp_extract_all("content", F.lit(r"(?m)^\s*(?:from\s+([\w.]+)\s+import|import\s+[\w.]+)"), F.lit(1)))
-    ts = F.regexp_extract_all("content", F.lit(r"(?m)^(export\s+(?:default\s+)?(?:async\s+)?(?:function|class|interface|type|enum|const|abstract\s+class)\b[^{;\n]{0,400}?)\s*(?:\{|;|=>|$)"), F.lit(1))
-    defs = F.regexp_extract_all("content", F.lit(r"(?m)^\s*((?:async\s+)?def\s+\w+\([^)]*\)|class\s+\w+[^:\n]*)"), F.lit(1))
-    python = P.family(F.col("path")) == "python"
-    return files.select("path", F.when(python, py).otherwise(deps).alias("deps"), F.slice(F.transform(F.when(python, defs).otherwise(ts), T.trimmed), 1, 40).alias("signatures"))
+# Dependencies and declarations by family of languages.
+IMPORTS = {
+    "typescript": r"""(?m)^\s*import\s+(?:[\s\S]*?)\s+from\s+['"]([^'"]+)['"]""",
+    "python": r"(?m)^\s*(?:from\s+|import\s+)([\w.]+)",
+}
+GO_IMPORTS = r"import\s*\(([\s\S]*?)\)"
+EXPORT = r"(?m)^(?=(export\s+(?:default\s+)?(?:async\s+)?(?:function|class|const|let|var|type|interface|enum|abstract\s+class)\s+[A-Za-z_$][\w$]*[\s\S]{0,400}))"
+DECLARATIONS = {
+    "python": r"(?m)^(?:async\s+)?def\s+\w+\s*\([^)]*\)[^:]*:",
+    "go": r"(?m)^func\s+(?:\([^)]*\)\s+)?\w+\s*\([^)]*\)[^{]*",
+    "rust": r"(?m)^(?:pub\s+)?(?:fn|struct|enum|trait|impl|mod)\s+\w+[^{;]*",
+    "java": r"(?m)^(?:public|private|protected|internal)?\s*(?:static\s+)?(?:class|interface|enum|record)\s+\w+[^{]*|^\s*(?:public|private|protected|internal)?\s*(?:static\s+)?[\w<>\[\],\s]+\s+\w+\s*\([^)]*\)\s*(?:throws\s+[\w,\s]+)?",
+    "c": r"(?m)^(?:class|struct|enum|union)\s+\w+[^{;]*|^[\w:<>~*&\s]+\s+\w+\s*\([^;{]*\)\s*(?:const\s*)?[;{]",
+    "ruby": r"(?m)^\s*(?:def\s+\w+|class\s+\w+|module\s+\w+)[^\n]*",
+    "php": r"(?m)^\s*(?:public|private|protected|static|abstract|final|\s)*(?:function\s+\w+|class\s+\w+|interface\s+\w+|trait\s+\w+)[^\n{]*",
+    "shell": r"(?m)^\s*(?:function\s+)?\w+\s*\(\s*\)\s*\{[^\n]*|^\w+(?=\s*\(\))",
+}
+_BRACKET = re.compile(r"=>|[(<\[)>\];{]")
+
+
+def cut_signature(text: str, most: int = 400) -> str:
+    """A declaration up to what ends it outside brackets: a brace, or with it a semicolon or an arrow."""
+    depth, end = 0, min(len(text), most)
+    for m in _BRACKET.finditer(text[:end]):
+        mark = m[0]
+        if depth == 0 and mark in "{;=>" and mark != ">":
+            end = m.start() if mark == "{" else m.end()
+            break
+        depth += 1 if mark in "(<[" else -1 if mark in (")", ">", "]", "=>") else 0
+    return re.sub(r"\s*\{$", "", re.sub(r"\s+", " ", text[:end]).strip())
+
+
+def _cut_signatures(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    for batch in batches:
+        yield batch.map(lambda found: [s for s in map(cut_signature, found) if s] if found is not None else None)
+
+
+def skeletons(files: DataFrame, most: int = 40) -> DataFrame:
+    """(path, deps, signatures) of source files (path, content): import specifiers and up to ``most`` declarations, by
+    the family of the path's ending; other files have none. A short Python helper finds where the brackets of an
+    export close; all else are Spark's own expressions."""
+    kind, none = P.family(F.col("path")), F.array().cast("array<string>")
+    rows = files.select("path", "content", kind.alias("kind"))
+    every = lambda p, g=0: F.regexp_extract_all("content", F.lit(p), F.lit(g))
+    go = F.regexp_extract_all(F.regexp_extract("content", GO_IMPORTS, 1), F.lit('"([^"]+)"'), F.lit(1))
+    deps = F.when(F.col("kind") == "go", go)
+    for name, p in IMPORTS.items():
+        deps = deps.when(F.col("kind") == name, every(p, 1))
+    tidy = lambda c: F.transform(c, lambda x: T.trimmed(F.regexp_replace(x, r"\s+", " ")))
+    found = F.when(F.col("kind") == "typescript", F.pandas_udf(_cut_signatures, "array<string>")(F.slice(F.when(F.col("kind") == "typescript", every(EXPORT, 1)).otherwise(none), 1, most)))
+    for name, p in DECLARATIONS.items():
+        found = found.when(F.col("kind") == name, tidy(F.slice(every(p), 1, most)))
+    return rows.select("path", F.array_distinct(F.coalesce(deps, none)).alias("deps"), F.coalesce(found, none).alias("signatures"))
 
 
 def import_edges(parsed: DataFrame, files: DataFrame) -> DataFrame:
     """(src, dst), both ways, of relative imports that name a file: nine endings are tried, the first there wins."""
-    endings = ["", ".ts", ".tsx", ".js", ".jsx", ".py", "/index.ts", "/index.tsx", "/index.js"]
+    endings = ["", ".ts", ".tsx", ".js", ".jsx", ".json", "/index.ts", "/index.tsx", "/index.js"]
     rows = parsed.select("path", F.explode("deps").alias("dep")).where("startswith(dep, '.')")
     parts = F.filter(F.split(F.concat_ws("/", F.regexp_extract("path", r"^(.*)/[^/]*$", 1), "dep"), "/"), lambda x: (x != "") & (x != "."))
     flat = F.aggregate(parts, F.array().cast("array<string>"), lambda a, x: F.when(x == "..", F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(0)))).otherwise(F.concat(a, F.array(x))))
@@ -243,14 +317,53 @@ def import_edges(parsed: DataFrame, files: DataFrame) -> DataFrame:
     return one.unionByName(one.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
 
 
+DATA_URI = r"!\[[^\]]*\]\(data:image/([a-z+]+);base64,([^)]*)\)"
+
+
+def _figure_parts(text: Column) -> Column:
+    """A text as parts (before, mark, kind, data): what stands before each inline image, its mark up to the link, its
+    kind and what it decodes to, null where it doesn't; the last part holds what follows them all."""
+    marks = F.regexp_extract_all(text, F.lit(DATA_URI), F.lit(0))
+    between = F.split(text, DATA_URI, -1)
+    pairs = F.zip_with(between, marks, lambda b, m: F.struct(b.alias("before"), m.alias("mark")))
+    return F.transform(
+        pairs,
+        lambda p: F.struct(
+            p["before"].alias("before"),
+            p["mark"].alias("mark"),
+            F.regexp_extract(p["mark"], DATA_URI, 1).alias("kind"),
+            F.try_to_binary(F.nullif(F.regexp_extract(p["mark"], DATA_URI, 2), F.lit("")), F.lit("base64")).alias("data"),
+        ),
+    )
+
+
+def _ending(kind: Column) -> Column:
+    return F.when(kind == "jpeg", "jpg").when(kind == "svg+xml", "svg").otherwise(kind)
+
+
 def data_uri_figures(docs: DataFrame) -> DataFrame:
     """(doc_id, figure_no, file, data) of inline base64 images that decode, numbered in each document from 1."""
-    uri = r"!\[[^\]]*\]\(data:image/([a-z+]+);base64,([^)]*)\)"
-    found = F.arrays_zip(F.regexp_extract_all("text", F.lit(uri), F.lit(1)).alias("kind"), F.regexp_extract_all("text", F.lit(uri), F.lit(2)).alias("code"))
-    rows = docs.select("doc_id", F.posexplode(found).alias("n", "f")).select("doc_id", "n", "f.kind", F.try_to_binary(F.col("f.code"), F.lit("base64")).alias("data")).where("data is not null")
-    no = F.row_number().over(Window.partitionBy("doc_id").orderBy("n"))
-    ending = F.when(F.col("kind") == "jpeg", "jpg").when(F.col("kind") == "svg+xml", "svg").otherwise(F.col("kind"))
-    return rows.select("doc_id", no.alias("figure_no"), F.concat(F.lit("figure-"), no, F.lit("."), ending).alias("file"), "data")
+    rows = docs.select("doc_id", F.posexplode(F.filter(_figure_parts(F.col("text")), lambda p: p["data"].isNotNull())).alias("n", "f"))
+    no = F.col("n") + 1
+    return rows.select("doc_id", no.alias("figure_no"), F.concat(F.lit("figure-"), no, F.lit("."), _ending(F.col("f.kind"))).alias("file"), "f.data")
+
+
+def rewrite_figure_links(docs: DataFrame, folder: str = "figures") -> DataFrame:
+    """(doc_id, text) with the link of each image that decodes turned to its file, as data_uri_figures names it, below
+    ``folder``; those that don't decode stay as they are and have no number."""
+    step = lambda s, p: T.once(
+        F.struct((s["n"] + F.when(p["data"].isNotNull(), 1).otherwise(0)).alias("n"), p.alias("p")),
+        lambda x: F.struct(
+            x["n"].alias("n"),
+            F.concat(
+                s["out"],
+                F.coalesce(p["before"], F.lit("")),
+                F.when(p["data"].isNotNull(), F.concat(F.regexp_extract(p["mark"], r"^(!\[[^\]]*\]\()", 1), F.lit(f"{folder}/figure-"), x["n"], F.lit("."), _ending(p["kind"]), F.lit(")"))).otherwise(F.coalesce(p["mark"], F.lit(""))),
+            ).alias("out"),
+        ),
+    )
+    start = F.struct(F.lit(0).alias("n"), F.lit("").alias("out"))
+    return docs.select("doc_id", F.aggregate(_figure_parts(F.coalesce("text", F.lit(""))), start, step)["out"].alias("text"))
 
 
 def read_json_rows(replies: DataFrame, key: str, row_schema: str, names: tuple[str, ...]) -> DataFrame:

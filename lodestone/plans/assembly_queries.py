@@ -93,7 +93,7 @@ def _skeletons(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.skeletons(rows).join(rows.select("path", "content"), "path").withColumn("project", F.substring_index("path", "/", 1))
 
 
-MAP = f"{SOURCES}, entries AS (SELECT d, path, '### ' || path || chr(10) || 'imports: ./p' || (k + 1) || ', node:fs' || chr(10) || 'export function f' || k || '(a: number): string' || chr(10) || 'export const c' || k || ' = 1' AS e FROM sources)"
+MAP = f"{SOURCES}, entries AS (SELECT d, path, '### ' || path || chr(10) || 'imports: ./p' || (k + 1) || ', node:fs' || chr(10) || 'export function f' || k || '(a: number): string' || chr(10) || 'export const c' || k || ' = 1;' AS e FROM sources)"
 
 
 @register("asm02_codebase_map", f"WITH {MAP} SELECT d AS project, md5(string_agg(e, chr(10) || chr(10) ORDER BY path)) AS digest FROM entries GROUP BY d")

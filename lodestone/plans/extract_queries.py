@@ -130,7 +130,7 @@ def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select(k.alias("k"), F.concat(folder, F.lit("/p"), k, F.lit(".ts")).alias("path"), content.alias("content"))
 
 
-@register("ext10_skeletons", f"WITH {SOURCES} SELECT path, './p' || (k + 1) || ',node:fs' AS deps, 'export function f' || k || '(a: number): string|export const c' || k || ' = 1' AS signatures FROM sources")
+@register("ext10_skeletons", f"WITH {SOURCES} SELECT path, './p' || (k + 1) || ',node:fs' AS deps, 'export function f' || k || '(a: number): string|export const c' || k || ' = 1;' AS signatures FROM sources")
 def ext10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.skeletons(sources(spark, sf_dir)).select("path", F.array_join("deps", ",").alias("deps"), F.array_join("signatures", "|").alias("signatures"))
 
@@ -141,12 +141,15 @@ def jon04(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.import_edges(X.skeletons(files), files)
 
 
-@register("ext11_data_uri_figures", "SELECT doc_id, 1 AS figure_no, 'figure-1.jpg' AS file, md5(source || lang) AS digest FROM documents WHERE doc_id % 3 = 0 UNION ALL SELECT doc_id, 2, 'figure-2.png', md5(source) FROM documents WHERE doc_id % 3 = 0")
+@register("ext11_data_uri_figures", "SELECT doc_id, unnest([1, 2, 0]) AS figure_no, unnest(['figure-1.jpg', 'figure-2.png', 'text']) AS file, unnest([md5(text), md5(source), md5('a' || chr(10) || '![f](figures/figure-1.jpg)' || chr(10) || chr(10) || '![f](data:image/png;base64,*not base64*)' || chr(10) || chr(10) || '![f](figures/figure-2.png)' || chr(10) || text)]) AS digest FROM documents")
 def ext11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two images that decode, one of them the whole text, and one that doesn't; then the rewritten text itself."""
     figure = lambda kind, c: F.concat(F.lit(f"\n![f](data:image/{kind};base64,"), c, F.lit(")\n"))
-    text = F.concat(F.lit("a"), figure("jpeg", F.base64(F.concat("source", "lang"))), figure("png", F.lit("*not base64*")), figure("png", F.base64("source")))
-    docs = table(spark, sf_dir, "documents").where("doc_id % 3 = 0").select("doc_id", text.alias("text"))
-    return X.data_uri_figures(docs).select("doc_id", "figure_no", "file", F.md5("data").alias("digest"))
+    coded = F.regexp_replace(F.base64(F.encode("text", "UTF-8")), r"\s", "")
+    text = F.concat(F.lit("a"), figure("jpeg", coded), figure("png", F.lit("*not base64*")), figure("png", F.base64("source")), "text")
+    docs = table(spark, sf_dir, "documents").select("doc_id", text.alias("text"))
+    figures = X.data_uri_figures(docs).select("doc_id", "figure_no", "file", F.md5("data").alias("digest"))
+    return figures.unionByName(X.rewrite_figure_links(docs).select("doc_id", F.lit(0).alias("figure_no"), F.lit("text").alias("file"), F.md5("text").alias("digest")))
 
 
 def _replies(spark: SparkSession, sf_dir: str, name: str, row: list) -> DataFrame:

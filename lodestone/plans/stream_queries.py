@@ -42,13 +42,21 @@ def str02(spark: SparkSession, sf_dir: str) -> DataFrame:
     return J.replay(J.stream_sessions(J.read_stream(spark, folder)), "append", "sessions")
 
 
-@register("str03_stream_index", "SELECT count(DISTINCT text)::BIGINT AS chunks, 1::BIGINT AS widths FROM documents")
+@register("str03_stream_index", "SELECT doc_id AS chunk_id, md5(text) AS digest, count(*) OVER (PARTITION BY text)::BIGINT AS alike, (SELECT count(DISTINCT text) FROM documents)::BIGINT AS embedded FROM documents")
 def str03(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whole documents as chunks; equal texts are embedded once."""
-    folder = scratch_folder(spark, "stream-index")
+    """Whole documents as chunks, each with a row, and how many share its vector; equal texts are embedded once, which
+    is counted where it is done."""
+    folder, asked = scratch_folder(spark, "stream-index"), []
     docs = J.read_stream(spark, f"{sf_dir.rstrip('/')}/documents.parquet").select(F.col("doc_id").alias("chunk_id"), "text")
-    J.stream_index(docs, lambda b: b, H.embed_chunks, folder)
-    return spark.read.parquet(f"{folder}/index").agg(F.count("*").alias("chunks"), F.countDistinct(F.size("embedding")).alias("widths"))
+
+    def embed(chunks: DataFrame) -> DataFrame:
+        asked.append(chunks.count())
+        return H.embed_chunks(chunks)
+
+    J.stream_index(docs, lambda b: b, embed, folder)
+    rows = J.read_stream_index(spark, folder)
+    per = rows.groupBy("key", "embedding").agg(F.count("*").alias("alike"))
+    return rows.join(per, ["key", "embedding"]).select("chunk_id", F.md5("text").alias("digest"), "alike", F.lit(sum(asked)).cast("bigint").alias("embedded"))
 
 
 @register("udf01_embedder")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -11,26 +12,34 @@ from pyspark.sql import functions as F
 from lodestone.functions import paths as P
 
 # Folders that a scan never enters.
-SKIPPED = "node_modules .git dist build out .next coverage __pycache__ .venv venv target .idea .vscode".split()
+SKIPPED = ["node_modules", ".git", "dist", "build", "__pycache__", "venv", ".venv", "target", "bin", "obj", ".next", ".cache"]
+# Fixed value: names of backups that are never listed.
+BACKUP = r"(?i)\.bak(?:\.[0-9T]+)?$"
 
 
 def scratch_folder(spark: SparkSession, name: str) -> str:
-    """A new folder in the session's shared checkpoint folder; a local one only where the session has none."""
+    """A new folder in the session's shared checkpoint folder; only a session on this machine alone may lack one."""
     base = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = tempfile.mkdtemp(prefix="checkpoints-")
         spark.sparkContext.setCheckpointDir(base)
     return f"{base}/{name}-{uuid.uuid4().hex}"
 
 
 def scan_tree(spark: SparkSession, root: str, with_content: bool = False) -> DataFrame:
-    """(path, name, dir, size) of all files below ``root``, less skipped folders, backups and binary extensions.
-    Spark lists them; contents are only read when asked for."""
+    """(path, name, dir, size) of all files below ``root``, less those in skipped folders at any depth below it,
+    backups and binary extensions; folders come before files, each by name. Spark lists them, and follows no links of
+    its own; contents are only read when asked for."""
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    rows = rows.withColumn("name", P.basename(F.col("path"))).withColumn("dir", F.regexp_extract("path", r"^(.*)/[^/]*$", 1))
-    skipped = F.exists(F.split("dir", "/"), lambda s: s.isin(SKIPPED))
-    kept = rows.where(~skipped & ~F.endswith("name", F.lit(".bak")) & ~P.extension(F.col("name")).isin(P.BINARY))
-    return kept.select("path", "name", "dir", F.col("length").alias("size"), *["content"] * with_content)
+    plain = lambda c: F.regexp_replace(F.regexp_replace(c, "^[A-Za-z][A-Za-z0-9+.-]*:/{0,2}", "/"), "/+", "/")
+    below = F.substring(plain(F.col("path")), F.length(F.regexp_replace(plain(F.lit(root)), "/$", "")) + 2, F.length("path"))
+    rows = rows.withColumn("name", P.basename(F.col("path"))).withColumn("dir", F.regexp_extract("path", r"^(.*)/[^/]*$", 1)).withColumn("__parts", F.split(below, "/"))
+    folders = F.slice("__parts", 1, F.size("__parts") - 1)
+    kept = rows.where(~F.exists(folders, lambda s: s.isin(SKIPPED)) & ~F.col("name").rlike(BACKUP) & ~P.extension(F.col("name")).isin(P.BINARY))
+    place = F.concat(F.transform(folders, lambda s: F.concat(F.lit("0"), s)), F.array(F.concat(F.lit("1"), "name")))
+    return kept.orderBy(place).select("path", "name", "dir", F.col("length").alias("size"), *["content"] * with_content)
 
 
 def binary_sniff(files: DataFrame) -> DataFrame:
@@ -40,18 +49,21 @@ def binary_sniff(files: DataFrame) -> DataFrame:
 
 
 def read_text(files: DataFrame, most_bytes: int = 5 << 20) -> tuple[DataFrame, DataFrame]:
-    """Texts (path, content) of files within ``most_bytes``, and the others with a reason."""
-    size = F.octet_length("content")
+    """Texts (path, content) of files within ``most_bytes``, and the others with a reason. Where ``files`` has a
+    ``length``, as Spark's listing gives it, that decides, so that the contents of large files are never read."""
+    size = F.col("length") if "length" in files.columns else F.octet_length("content")
     good = files.where(size <= most_bytes).select("path", F.decode("content", "UTF-8").alias("content"))
     return good, files.where(size > most_bytes).select("path", F.lit("too large").alias("reason"), size.cast("bigint").alias("size"))
 
 
 def ignore_filter(files: DataFrame, rules: DataFrame) -> DataFrame:
     """Files (path) that no rule set ignores. Rules (base, ord, pattern, negated) count below their own base, the last
-    match of a base decides for it, and any base that ignores a file is enough."""
-    under = (F.col("base") == "") | F.startswith("path", F.concat("base", F.lit("/")))
+    match of a base decides for it, and any base that ignores a file is enough. A path meets the rules of its own
+    folders alone, by an equi-join."""
+    parts = F.split("path", "/")
+    bases = F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
     inside = F.when(F.col("base") == "", F.col("path")).otherwise(F.expr("substring(path, length(base) + 2)"))
-    hits = files.select("path").join(rules, under).where(F.regexp_like(inside, F.col("pattern")))
+    hits = files.select("path", F.explode(bases).alias("base")).join(rules, "base").where(F.regexp_like(inside, F.col("pattern")))
     last = hits.groupBy("path", "base").agg(F.max_by("negated", "ord").alias("negated"))
     return files.join(last.where("not negated").select("path").distinct(), "path", "left_anti")
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -75,21 +76,36 @@ def stream_sessions(turns: DataFrame, most_turns: int = 12, idle_ms: int | None
 
 
 def stream_index(documents: DataFrame, chunk: Callable[[DataFrame], DataFrame], embed: Callable[[DataFrame], DataFrame], folder: str) -> None:
-    """Documents from a stream to an index in ``folder``: only chunks (chunk_id, text) whose text is new are embedded,
-    and a batch that is run again adds nothing."""
+    """Documents from a stream to an index in ``folder``: every chunk (chunk_id, text) gets a row with its vector, but
+    only texts that neither the index nor an earlier chunk has are embedded. A chunk that is there already adds
+    nothing, nor does a batch that is run again; a chunk whose text has changed gets a new row, the one that
+    read_stream_index shows."""
     spark = documents.sparkSession
 
     def step(batch: DataFrame, number: int) -> None:
-        chunks = chunk(batch).withColumn("key", F.sha2("text", 256)).dropDuplicates(["key"])
-        stored = f"{folder}/index"
+        chunks = chunk(batch).withColumn("key", F.sha2("text", 256)).dropDuplicates(["chunk_id", "key"])
+        stored, known = f"{folder}/index", None
         try:
-            known = spark.read.parquet(stored).where(F.col("batch") != number).select("key")
-            fresh = chunks.join(known, "key", "left_anti")
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e):
+            known = spark.read.parquet(stored).where(F.col("batch") != number)
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
                 raise
-            fresh = chunks
-        vectors = fresh.join(embed(fresh), "chunk_id").withColumn("batch", F.lit(number))
-        vectors.write.partitionBy("batch").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(stored)
+        if known is not None:
+            chunks = chunks.join(known.select("chunk_id", "key"), ["chunk_id", "key"], "left_anti")
+            vectors = chunks.select("key").distinct().join(known.select("key", "embedding"), "key").groupBy("key").agg(F.first("embedding").alias("embedding"))
+            fresh = chunks.join(known.select("key").distinct(), "key", "left_anti")
+        else:
+            vectors, fresh = None, chunks
+        one = fresh.groupBy("key").agg(F.min_by(F.struct("chunk_id", "text"), "chunk_id").alias("c")).select("key", "c.*")
+        made = one.select("key", "chunk_id").join(embed(one.select("chunk_id", "text")), "chunk_id").select("key", "embedding")
+        every = made if vectors is None else made.unionByName(vectors)
+        rows = chunks.join(every, "key").withColumn("batch", F.lit(number))
+        rows.write.partitionBy("batch").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(stored)
 
     documents.writeStream.foreachBatch(step).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+
+
+def read_stream_index(spark: SparkSession, folder: str) -> DataFrame:
+    """The latest row of each chunk that stream_index has written."""
+    rows = spark.read.parquet(f"{folder}/index")
+    return rows.groupBy("chunk_id").agg(F.max_by(F.struct("text", "key", "embedding"), "batch").alias("r")).select("chunk_id", "r.*")
