@@ -6,61 +6,68 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
+from lodestone.sources.files import checkpointed
 
 K1, B, STEM_WEIGHT = 1.5, 0.75, 0.8
 BODY, PATH, SYMBOL = 1.0, 3.0, 2.0
 
 # Words without value for retrieval.
-STOPWORDS = (
-    "a about above after again against all am an and any are aren't as at be because been before being below between both but by "
-    "can can't cannot could couldn't did didn't do does doesn't doing don't down during each few for from further had hadn't has hasn't "
-    "have haven't having he her here hers herself him himself his how i if in into is isn't it its itself let me more most my myself no nor "
-    "not of off on once only or other ought our ours ourselves out over own same she should shouldn't so some such than that the their theirs "
-    "them themselves then there these they this those through to too under until up very was wasn't we were weren't what when where which "
-    "while who whom why with won't would wouldn't you your yours yourself yourselves app please make want need trying sure actually properly"
-).split()
+STOPWORDS = [
+    "a", "about", "above", "after", "again", "against", "all", "am", "an", "and", "any", "are", "aren't", "as",
+    "at", "be", "because", "been", "before", "being", "below", "between", "both", "but", "by", "can", "can't",
+    "cannot", "could", "couldn't", "did", "didn't", "do", "does", "doesn't", "doing", "don't", "down", "during",
+    "each", "few", "for", "from", "further", "had", "hadn't", "has", "hasn't", "have", "haven't", "having", "he",
+    "her", "here", "hers", "herself", "him", "himself", "his", "how", "i", "if", "in", "into", "is", "isn't", "it",
+    "its", "itself", "let", "me", "more", "most", "my", "myself", "no", "nor", "not", "of", "off", "on", "once",
+    "only", "or", "other", "ought", "our", "ours", "ourselves", "out", "over", "own", "same", "she", "should",
+    "shouldn't", "so", "some", "such", "than", "that", "the", "their", "theirs", "them", "themselves", "then",
+    "there", "these", "they", "this", "those", "through", "to", "too", "under", "until", "up", "very", "was",
+    "wasn't", "we", "were", "weren't", "what", "when", "where", "which", "while", "who", "whom", "why", "with",
+    "won't", "would", "wouldn't", "you", "your", "yours", "yourself", "yourselves", "app", "please", "make", "want",
+    "need", "trying", "sure", "actually", "properly",
+]
 # Words of users and the identifiers that code uses for them.
 SYNONYMS = {
-    "login": "auth signin session token credential",
-    "logout": "signout session auth",
-    "auth": "login signin session token permission",
-    "session": "token auth cookie state",
-    "indicator": "status badge state dot signal pulse spinner working idle paused",
-    "status": "indicator state working idle paused badge",
-    "working": "busy generating thinking loading active progress",
-    "paused": "pause continue resume interrupted",
-    "idle": "ready inactive standby",
-    "spinner": "loading indicator progress spin",
-    "button": "btn click press action submit trigger",
-    "modal": "dialog popup overlay window",
-    "dialog": "modal popup alert confirm",
-    "page": "view screen component dashboard panel",
-    "dashboard": "panel view prompt board home",
-    "tree": "hierarchy node filetree folder",
-    "tab": "tabs switcher navigation panel",
-    "dark": "theme darkmode light color mode",
-    "theme": "dark light mode tailwind color style",
-    "color": "theme style css class bg",
-    "slow": "perf performance latency speed cache debounce throttle optimize",
-    "fast": "speed perf performance latency cache optimize",
-    "faster": "speed perf performance latency cache optimize",
-    "sluggish": "slow perf performance latency lag speed cache optimize",
-    "lag": "latency slow delay perf performance",
-    "speed": "perf performance fast latency cache",
-    "perf": "performance speed latency cache benchmark",
-    "ai": "llm model provider prompt completion chat webchat",
-    "llm": "ai model provider chat deepseek groq openai",
-    "chat": "webchat conversation prompt message reply response",
-    "webchat": "chat window deepseek chatgpt browser target",
-    "prompt": "instruction template builder query input",
-    "file": "path fs document entry tree",
-    "folder": "dir directory path folder",
-    "git": "vcs commit diff branch log history",
-    "diff": "patch change viewer compare hunk",
-    "test": "spec unit e2e vitest playwright assert",
-    "error": "fail failure exception catch reject warn",
-    "bug": "issue fix error defect problem",
-    "upload": "import scanner attach file converter",
+    "login": ["auth", "signin", "session", "token", "credential"],
+    "logout": ["signout", "session", "auth"],
+    "auth": ["login", "signin", "session", "token", "permission"],
+    "session": ["token", "auth", "cookie", "state"],
+    "indicator": ["status", "badge", "state", "dot", "signal", "pulse", "spinner", "working", "idle", "paused"],
+    "status": ["indicator", "state", "working", "idle", "paused", "badge"],
+    "working": ["busy", "generating", "thinking", "loading", "active", "progress"],
+    "paused": ["pause", "continue", "resume", "interrupted"],
+    "idle": ["ready", "inactive", "standby"],
+    "spinner": ["loading", "indicator", "progress", "spin"],
+    "button": ["btn", "click", "press", "action", "submit", "trigger"],
+    "modal": ["dialog", "popup", "overlay", "window"],
+    "dialog": ["modal", "popup", "alert", "confirm"],
+    "page": ["view", "screen", "component", "dashboard", "panel"],
+    "dashboard": ["panel", "view", "prompt", "board", "home"],
+    "tree": ["hierarchy", "node", "filetree", "folder"],
+    "tab": ["tabs", "switcher", "navigation", "panel"],
+    "dark": ["theme", "darkmode", "light", "color", "mode"],
+    "theme": ["dark", "light", "mode", "tailwind", "color", "style"],
+    "color": ["theme", "style", "css", "class", "bg"],
+    "slow": ["perf", "performance", "latency", "speed", "cache", "debounce", "throttle", "optimize"],
+    "fast": ["speed", "perf", "performance", "latency", "cache", "optimize"],
+    "faster": ["speed", "perf", "performance", "latency", "cache", "optimize"],
+    "sluggish": ["slow", "perf", "performance", "latency", "lag", "speed", "cache", "optimize"],
+    "lag": ["latency", "slow", "delay", "perf", "performance"],
+    "speed": ["perf", "performance", "fast", "latency", "cache"],
+    "perf": ["performance", "speed", "latency", "cache", "benchmark"],
+    "ai": ["llm", "model", "provider", "prompt", "completion", "chat", "webchat"],
+    "llm": ["ai", "model", "provider", "chat", "deepseek", "groq", "openai"],
+    "chat": ["webchat", "conversation", "prompt", "message", "reply", "response"],
+    "webchat": ["chat", "window", "deepseek", "chatgpt", "browser", "target"],
+    "prompt": ["instruction", "template", "builder", "query", "input"],
+    "file": ["path", "fs", "document", "entry", "tree"],
+    "folder": ["dir", "directory", "path", "folder"],
+    "git": ["vcs", "commit", "diff", "branch", "log", "history"],
+    "diff": ["patch", "change", "viewer", "compare", "hunk"],
+    "test": ["spec", "unit", "e2e", "vitest", "playwright", "assert"],
+    "error": ["fail", "failure", "exception", "catch", "reject", "warn"],
+    "bug": ["issue", "fix", "error", "defect", "problem"],
+    "upload": ["import", "scanner", "attach", "file", "converter"],
 }
 
 
@@ -90,28 +97,34 @@ def bm25_scores(docs: DataFrame, queries: DataFrame, with_stems: bool = True) ->
     """(query_id, path, score) of every document with a query term, for queries (query_id, terms).
 
     Where a document lacks a term, 0.8 times its weight for the term's stem counts instead. A term's document
-    frequency is that of the term itself if any document has it, else of its stem. Postings meet only the terms
-    that some query has, and only those travel on.
+    frequency is that of the term itself if any document has it, else of its stem.
+
+    Texts are tokenised once, into an index (path, doc_len, tokens with weights) that is written to the shared folder.
+    Only its distinct tokens are stemmed; those that some query term needs, exactly or by stem, pick their postings,
+    and only those travel on.
     """
-    docs = docs.select("*", (F.size("body") + 2 * F.size("path_tokens")).alias("doc_len"))
-    asked = queries.select("query_id", F.explode_outer("terms").alias("term")).where("term is not null").withColumn("stem", T.stem(F.col("term")))
-    wanted = asked.select("term", "stem").distinct()
-    stats = docs.agg(F.count("*").alias("n"), F.avg("doc_len").alias("avg_len"))
-    weigh = lambda c, w: F.transform(c, lambda t: F.struct(t.alias("term"), F.lit(w).alias("w")))
-    # outer, since a plain explode also filters by the array's size, which would tokenise every text once more
-    spread = docs.select("path", "doc_len", F.explode_outer(F.concat(weigh("body", BODY), weigh("path_tokens", PATH), weigh("symbols", SYMBOL))).alias("t"))
-    spread = spread.where("t is not null").select("path", "doc_len", F.col("t.term").alias("token"), F.col("t.w").alias("w"))
+    weigh = lambda c, w: F.transform(c, lambda t: F.struct(t.alias("token"), F.lit(w).alias("w")))
+    channels = F.concat(weigh("body", BODY), weigh("path_tokens", PATH), weigh("symbols", SYMBOL))
+    index = checkpointed(docs.select("path", (F.size("body") + 2 * F.size("path_tokens")).alias("doc_len"), channels.alias("t")))
+    asked = queries.select("query_id", F.explode_outer("terms").alias("term")).where("term is not null")
+    wanted = asked.select("term").distinct().withColumn("stem", T.stem(F.col("term")))
+    stats = index.agg(F.count("*").alias("n"), F.avg("doc_len").alias("avg_len"))
+    spread = index.select("path", "doc_len", F.explode("t").alias("t")).select("path", "doc_len", "t.token", "t.w")
+    # the vocabulary, each word stemmed once, and which words speak for which terms
+    words = spread.select("token").distinct().withColumn("stem", T.stem(F.col("token")))
+    needed = words.join(wanted, "stem").select("token", "term") if with_stems else words.select("token", F.col("token").alias("term")).join(wanted.select("term"), "term", "left_semi")
+    met = spread.join(needed, "token")
     # one row per document and wanted term: its own weight there, and that of all tokens with its stem
-    met = spread.withColumn("stem", T.stem(F.col("token"))).join(wanted, "stem")
     tf = met.groupBy("term", "path", "doc_len").agg(F.sum(F.when(F.col("token") == F.col("term"), F.col("w")).otherwise(0.0)).alias("exact"), F.sum("w").alias("stem_w"))
+    tf = checkpointed(tf)
     df = tf.groupBy("term").agg(F.count_if(F.col("exact") > 0).alias("own"), F.count("*").alias("by_stem"))
-    df = df.select("term", F.when(F.col("own") > 0, F.col("own")).otherwise(F.col("by_stem") if with_stems else F.lit(1)).alias("df"))
-    tf = tf.select("path", "doc_len", "term", F.when(F.col("exact") > 0, F.col("exact")).otherwise(F.col("stem_w") * STEM_WEIGHT if with_stems else F.lit(None).cast("double")).alias("tf")).where("tf is not null")
-    scored = tf.join(df, "term").join(stats)
+    df = df.select("term", F.when(F.col("own") > 0, F.col("own")).otherwise(F.col("by_stem")).alias("df"))
+    tf = tf.select("path", "doc_len", "term", F.when(F.col("exact") > 0, F.col("exact")).otherwise(F.col("stem_w") * STEM_WEIGHT).alias("tf"))
+    scored = tf.join(df, "term").join(F.broadcast(stats))  # one row
     idf = F.log1p((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     norm = F.col("tf") + K1 * (1 - B + B * F.col("doc_len") / F.when(F.col("avg_len") == 0, 1).otherwise(F.col("avg_len")))
     part = scored.select("path", "term", (idf * F.col("tf") * (K1 + 1) / norm).alias("part"))
-    return asked.select("query_id", "term").join(part, "term").groupBy("query_id", "path").agg(F.sum("part").alias("score")).where("score > 0")
+    return asked.join(part, "term").groupBy("query_id", "path").agg(F.sum("part").alias("score")).where("score > 0")
 
 
 def topk(scored: DataFrame, k: int, by: str = "query_id", score: str = "score", tie: str = "path") -> DataFrame:
@@ -124,7 +137,7 @@ def topk(scored: DataFrame, k: int, by: str = "query_id", score: str = "score",
 def expand_terms(pieces: DataFrame) -> DataFrame:
     """(query_id, kind, term, ord) from queries (query_id, terms): primary terms without stopwords, or all of them if
     nothing else is left; then stems and synonyms that aren't primary, in first-seen order."""
-    synonyms = F.create_map(*[x for k, v in SYNONYMS.items() for x in (F.lit(k), F.array(*map(F.lit, v.split())))])
+    synonyms = F.create_map(*[x for k, v in SYNONYMS.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
     good = F.filter("terms", lambda t: ~t.isin(STOPWORDS))
     rows = pieces.select("query_id", F.when(F.size(good) > 0, good).otherwise(F.col("terms")).alias("primary"), good.alias("good"))
     more = lambda t: F.concat(
@@ -155,19 +168,41 @@ def graph_expand(candidates: DataFrame, edges: DataFrame, seeds: int = 10) -> Da
     return hits.join(known, ["query_id", "path"], "left").select("query_id", "path", (F.col("k") * 0.3 + F.when(F.col("known"), 0.0).otherwise(0.1)).alias("bump"))
 
 
-def cochange_in(candidates: DataFrame, commits: DataFrame) -> DataFrame:
-    """(path, together, bump): how often candidates (path) share a commit (commit, path), without a self join."""
-    inside = commits.join(candidates.select("path"), "path", "left_semi")
-    sizes = inside.withColumn("k", F.count("*").over(Window.partitionBy("commit"))).where("k >= 2")
-    return sizes.groupBy("path").agg(F.sum(F.col("k") - 1).alias("together")).withColumn("bump", F.least("together", F.lit(10)) * 0.4)
+def cochange_in(candidates: DataFrame, commits: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """(path, together, bump): how often candidates (path) share a commit (commit, path), without a self join; apart
+    for each value of the columns ``by`` of the candidates."""
+    keys = by or []
+    inside = commits.join(candidates.select(*keys, "path"), "path")
+    sizes = inside.withColumn("k", F.count("*").over(Window.partitionBy(*keys, "commit"))).where("k >= 2")
+    return sizes.groupBy(*keys, "path").agg(F.sum(F.col("k") - 1).alias("together")).withColumn("bump", F.least("together", F.lit(10)) * 0.4)
+
 
+def cochange_out(candidates: DataFrame, commits: DataFrame, seeds: DataFrame, least: int = 2, by: list[str] | None = None) -> DataFrame:
+    """(path, together, bump) of files that aren't candidates but share commits with seeds, at least ``least`` times;
+    apart for each value of the columns ``by``."""
+    keys = by or []
+    hit = commits.join(seeds.select(*keys, "path"), "path").groupBy(*keys, "commit").agg(F.count("*").alias("k"))
+    outside = hit.join(commits, "commit").join(candidates.select(*keys, "path"), [*keys, "path"], "left_anti")
+    return outside.groupBy(*keys, "path").agg(F.sum("k").alias("together")).where(F.col("together") >= least).withColumn("bump", F.least("together", F.lit(6)) * 0.3)
 
-def cochange_out(candidates: DataFrame, commits: DataFrame, seeds: DataFrame, least: int = 2) -> DataFrame:
-    """(path, together, bump) of files that aren't candidates but share commits with seeds, at least ``least`` times."""
-    marked = commits.join(seeds.select("path", F.lit(1).alias("seed")), "path", "left")
-    counted = marked.withColumn("k", F.sum(F.coalesce("seed", F.lit(0))).over(Window.partitionBy("commit"))).where("k > 0")
-    outside = counted.join(candidates.select("path"), "path", "left_anti")
-    return outside.groupBy("path").agg(F.sum("k").alias("together")).where(F.col("together") >= least).withColumn("bump", F.least("together", F.lit(6)) * 0.3)
+
+def hybrid_search(signals: DataFrame, edges: DataFrame, commits: DataFrame, known: DataFrame, directory: Column, weights: dict[str, float], seeds: int = 10, limit: int = 60) -> DataFrame:
+    """(query_id, path, score, rank) from the hits of several searches (query_id, path, signal, raw).
+
+    Hits on known paths are fused by rank. The best ``seeds`` of each query then reach over edges (src, dst) to their
+    neighbours; candidates, the neighbours among them, gain by commits (commit, path) that they share, and known files
+    enter that share two or more commits with seeds. What is left is diversified over directories.
+    """
+    # scores that decide an order are rounded, so that sums in another order don't change it
+    fused = fuse_ranks(signals, weights).join(known, "path", "left_semi")  # unknown paths keep their ranks
+    fused = checkpointed(fused.select("query_id", "path", F.round("score", 9).alias("score")))
+    top = topk(fused, seeds).select("query_id", "path")
+    graph = graph_expand(fused, edges, seeds).join(known, "path", "left_semi").select("query_id", "path", F.col("bump").alias("score"))
+    pool = checkpointed(fused.unionByName(graph).groupBy("query_id", "path").agg(F.sum("score").alias("score")))
+    inside = cochange_in(pool, commits, ["query_id"]).select("query_id", "path", F.col("bump").alias("score"))
+    outside = cochange_out(pool, commits, top, by=["query_id"]).join(known, "path", "left_semi").select("query_id", "path", F.col("bump").alias("score"))
+    every = pool.unionByName(inside).unionByName(outside).groupBy("query_id", "path").agg(F.round(F.sum("score"), 9).alias("score"))
+    return diversify(every, directory, limit=limit)
 
 
 def diversify(candidates: DataFrame, directory: Column, penalty: float = 0.7, limit: int = 60, by: str = "query_id") -> DataFrame:

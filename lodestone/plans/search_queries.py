@@ -16,13 +16,13 @@ lens AS (SELECT path, (len(body) + 2 * len(path_tokens))::BIGINT AS doc_len FROM
 posts AS (SELECT path, term, sum(w) AS weight FROM (
   SELECT path, unnest(body) AS term, 1.0::DOUBLE AS w FROM bm25 UNION ALL SELECT path, unnest(path_tokens), 3.0 FROM bm25 UNION ALL SELECT path, unnest(symbols), 2.0 FROM bm25) GROUP BY ALL),
 stems AS (SELECT path, {sql_stem("term")} AS stem, sum(weight) AS weight FROM posts GROUP BY ALL)"""
-QUERIES = f"""asked AS (SELECT query_id, term, {sql_stem("term")} AS stem FROM (SELECT item_id AS query_id, unnest({sql_tokens("text")}[1:12]) AS term FROM benchmark))"""
+QUERIES = f"""asked AS (SELECT query_id, term, {sql_stem("term")} AS stem FROM (SELECT item_id AS query_id, unnest({sql_tokens("text")}) AS term FROM benchmark))"""
 
 
-def _scores(stems: bool) -> str:
+def _scores(stems: bool, asked: str = QUERIES) -> str:
     fallback = "CASE WHEN p.weight IS NOT NULL THEN p.weight ELSE 0.8 * s.weight END" if stems else "p.weight"
     df_fallback = "(SELECT count(*) FROM stems WHERE stems.stem = q.stem)" if stems else "NULL"
-    return f"""{DOCS}, {QUERIES},
+    return f"""{DOCS}, {asked},
 terms AS (SELECT DISTINCT term, stem FROM asked),
 dfs AS (SELECT term, stem, coalesce(nullif((SELECT count(*) FROM posts WHERE posts.term = q.term), 0), nullif({df_fallback}, 0), 1) AS df FROM terms q),
 tfs AS (SELECT l.path, l.doc_len, t.term, t.df, {fallback} AS tf FROM dfs t JOIN {"stems s USING (stem) JOIN lens l USING (path) LEFT JOIN posts p ON p.path = l.path AND p.term = t.term" if stems else "posts p USING (term) JOIN lens l USING (path)"}),
@@ -67,11 +67,12 @@ def jon02(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.bm25_scores(_docs(spark, sf_dir), queries(spark, sf_dir)).groupBy("query_id").agg(F.count("*").alias("hits"), F.round(F.sum("score"), 3).alias("total"))
 
 
-TOP = f"{_scores(True)}, top AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, path) AS rank FROM scores QUALIFY rank <= 60)"
+TOP_60 = "top AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, path) AS rank FROM scores QUALIFY rank <= 60)"
+TOP = f"{_scores(True)}, {TOP_60}"
 
 
-def bm25_top(spark: SparkSession, sf_dir: str, k: int = 60) -> DataFrame:
-    scored = S.bm25_scores(_docs(spark, sf_dir), queries(spark, sf_dir)).withColumn("near", F.round("score", 9))
+def bm25_top(spark: SparkSession, sf_dir: str, asked: DataFrame | None = None, k: int = 60) -> DataFrame:
+    scored = S.bm25_scores(_docs(spark, sf_dir), asked or queries(spark, sf_dir)).withColumn("near", F.round("score", 9))
     return S.topk(scored, k, score="near").drop("near")
 
 
@@ -84,7 +85,7 @@ def _sql_list(words: list[str]) -> str:
     return "[" + ", ".join("'" + w.replace("'", "''") + "'" for w in words) + "]"
 
 
-_SYN = " UNION ALL ".join(f"SELECT '{k}' AS word, {_sql_list(v.split())} AS syn" for k, v in S.SYNONYMS.items())
+_SYN = " UNION ALL ".join(f"SELECT '{k}' AS word, {_sql_list(v)} AS syn" for k, v in S.SYNONYMS.items())
 EXPANDED = f"""pieces AS (SELECT item_id AS query_id, {sql_tokens("'the login file tests ' || text")} AS terms FROM benchmark),
 syns AS ({_SYN}), stop AS (SELECT unnest({_sql_list(S.STOPWORDS)}) AS w),
 words AS (SELECT query_id, unnest(terms) AS term, generate_subscripts(terms, 1) AS i FROM pieces),
@@ -103,5 +104,13 @@ SELECT query_id, 'primary' AS kind, term, (row_number() OVER (PARTITION BY query
 SELECT query_id, 'expanded', term, (row_number() OVER (PARTITION BY query_id ORDER BY o) - 1)::INTEGER FROM extra""",
 )
 def jon03(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return expanded(spark, sf_dir).select("query_id", "kind", "term", "ord")
+
+
+def expanded(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), T.tokenize(F.concat(F.lit("the login file tests "), F.col("text"))).alias("terms"))
-    return S.expand_terms(items).select("query_id", "kind", "term", "ord")
+    return S.expand_terms(items)
+
+
+#: BM25 hits of the expanded queries, for the hybrid search.
+EXPANDED_TOP = f"""{_scores(True, EXPANDED + ", asked AS (SELECT query_id, term, " + sql_stem("term") + " AS stem FROM (SELECT query_id, term FROM prim UNION SELECT query_id, term FROM extra))")}, {TOP_60}"""

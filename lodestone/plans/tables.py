@@ -28,9 +28,9 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
 FILES = "files AS (SELECT doc_id, source || '/' || lang || '/doc-' || doc_id || '.md' AS path, text AS content FROM documents)"
 
 
-def queries(spark: SparkSession, sf_dir: str, words: int = 12) -> DataFrame:
-    """Benchmark items as queries: query_id, terms (the first distinct tokens of the text)."""
-    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.slice(T.tokenize(F.col("text")), 1, words).alias("terms"))
+def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items as queries: query_id, terms (all distinct tokens of the text)."""
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), T.tokenize(F.col("text")).alias("terms"))
 
 
 def sql_tokens(x: str) -> str:

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from lodestone.operators import search as S
 from lodestone.operators import vectors as V
 from lodestone.plans.registry import register
-from lodestone.plans.search_queries import TOP, bm25_top
-from lodestone.plans.tables import table
+from lodestone.plans.search_queries import EXPANDED_TOP, bm25_top, expanded
+from lodestone.plans.tables import files, table
 
 
 def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -181,18 +181,44 @@ def win07(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.recent_files(log.join(lines, "o_orderkey"))
 
 
-HYBRID = f"""{TOP},
-signals AS (SELECT query_id, path, 'text' AS signal, score AS raw FROM top UNION ALL SELECT query_id, path, 'graph', len(path)::DOUBLE FROM top WHERE rank % 3 = 0),
-fused AS (SELECT query_id, path, sum(CASE signal WHEN 'graph' THEN 3.0 ELSE 2.0 END / (row_number + 4)) AS score FROM (
-  SELECT *, row_number() OVER (PARTITION BY query_id, signal ORDER BY round(raw, 9) DESC, path) AS row_number FROM signals) GROUP BY ALL),
-worth AS (SELECT *, round(score, 9) * pow(0.7, row_number() OVER (PARTITION BY query_id, regexp_replace(path, '/[^/]*$', '') ORDER BY round(score, 9) DESC, path) - 1) AS w FROM fused)"""
-
-
-@register("top05_hybrid_search", f"WITH {HYBRID} SELECT query_id, path, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(w, 9) DESC, path)::INTEGER AS rank FROM worth QUALIFY rank <= 60")
+HYBRID = f"""{EXPANDED_TOP},
+known AS (SELECT path FROM files WHERE doc_id % 10 <> 7),
+sym AS (SELECT item_id AS query_id, path, length(content)::DOUBLE AS raw FROM benchmark JOIN files ON doc_id % 97 = item_id % 97 QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY raw DESC, path) <= 60),
+recent AS (SELECT path, doc_id::DOUBLE AS raw FROM files ORDER BY doc_id DESC LIMIT 60),
+sig AS (SELECT query_id, path, 'graph' AS s, 3.0::DOUBLE AS w, raw FROM sym UNION ALL SELECT query_id, path, 'text', 2.0, round(score, 9) FROM top UNION ALL SELECT item_id, path, 'recent', 1.5, raw FROM recent, benchmark),
+fused AS (SELECT query_id, path, round(sum(w / (n + 4)), 9) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id, s ORDER BY raw DESC, path) AS n FROM sig) WHERE path IN (SELECT path FROM known) GROUP BY query_id, path),
+seeds AS (SELECT query_id, path FROM fused QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, path) <= 10),
+pairs AS (SELECT a.path AS src, b.path AS dst FROM files a JOIN files b ON b.doc_id = a.doc_id + 3),
+edges AS (SELECT src, dst FROM pairs UNION ALL SELECT dst, src FROM pairs),
+near AS (SELECT s.query_id, dst AS path, count(*) AS k FROM seeds s JOIN edges ON src = s.path WHERE dst IN (SELECT path FROM known) GROUP BY ALL),
+graph AS (SELECT n.query_id, n.path, k * 0.3 + CASE WHEN f.path IS NULL THEN 0.1 ELSE 0 END AS score FROM near n LEFT JOIN fused f ON f.query_id = n.query_id AND f.path = n.path),
+pool AS (SELECT query_id, path, sum(score) AS score FROM (SELECT query_id, path, score FROM fused UNION ALL SELECT query_id, path, score FROM graph) GROUP BY query_id, path),
+commits AS (SELECT 'a' || doc_id // 4 AS c, path FROM files UNION ALL SELECT 'b' || doc_id % 211, path FROM files),
+ins AS (SELECT query_id, path, least(sum(k - 1), 10) * 0.4 AS score FROM (SELECT p.query_id, p.path, count(*) OVER (PARTITION BY p.query_id, c) AS k FROM pool p JOIN commits m ON m.path = p.path) WHERE k >= 2 GROUP BY query_id, path),
+hits AS (SELECT s.query_id, c, count(*) AS k FROM seeds s JOIN commits m ON m.path = s.path GROUP BY ALL),
+outs AS (SELECT h.query_id, m.path, least(sum(k), 6) * 0.3 AS score FROM hits h JOIN commits m USING (c) LEFT JOIN pool p ON p.query_id = h.query_id AND p.path = m.path WHERE p.path IS NULL AND m.path IN (SELECT path FROM known) GROUP BY h.query_id, m.path HAVING sum(k) >= 2),
+total AS (SELECT query_id, path, round(sum(score), 9) AS score FROM (SELECT * FROM pool UNION ALL SELECT * FROM ins UNION ALL SELECT * FROM outs) GROUP BY query_id, path),
+worth AS (SELECT *, round(score * pow(0.7::DOUBLE, row_number() OVER (PARTITION BY query_id, regexp_replace(path, '/[^/]*$', '') ORDER BY score DESC, path) - 1), 9) AS w FROM total)"""
+
+
+@register("top05_hybrid_search", f"WITH {HYBRID} SELECT query_id, path, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY w DESC, path)::INTEGER AS rank FROM worth QUALIFY rank <= 60")
 def top05(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """BM25 hits and, as the graph signal, every third of them by length of path; fused and diversified."""
-    top = bm25_top(spark, sf_dir)
-    text = top.select("query_id", "path", F.lit("text").alias("signal"), F.round("score", 9).alias("raw"))
-    graph = top.where("rank % 3 = 0").select("query_id", "path", F.lit("graph").alias("signal"), F.length("path").cast("double").alias("raw"))
-    fused = S.fuse_ranks(text.unionByName(graph), {"graph": 3, "text": 2}).withColumn("score", F.round("score", 9))
-    return S.diversify(fused, F.regexp_replace("path", "/[^/]*$", "")).select("query_id", "path", F.round("score", 6).alias("score"), "rank")
+    """Expanded queries over all documents as files: BM25 hits, hits of a symbol index (documents by a remainder of
+    their id), the newest files; then imports (ids three apart), shared commits, and diversity over folders. A tenth of
+    the files is unknown to the scan."""
+    docs = files(spark, sf_dir)
+    asked = expanded(spark, sf_dir).groupBy("query_id").agg(F.collect_set("term").alias("terms"))
+    text = bm25_top(spark, sf_dir, asked).select("query_id", "path", F.lit("text").alias("signal"), F.round("score", 9).alias("raw"))
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), (F.col("item_id") % 97).alias("m"))
+    hits = docs.select((F.col("doc_id") % 97).alias("m"), "path", F.length("content").cast("double").alias("raw")).join(items, "m")
+    symbols = S.topk(hits, 60, score="raw").select("query_id", "path", F.lit("graph").alias("signal"), "raw")
+    newest = docs.select("path", F.col("doc_id").cast("double").alias("raw")).orderBy(F.col("raw").desc()).limit(60)
+    recent = items.join(F.broadcast(newest)).select("query_id", "path", F.lit("recent").alias("signal"), "raw")  # 60 rows for each query
+    ids = docs.select("doc_id", "path")
+    pairs = ids.withColumn("doc_id", F.col("doc_id") + 3).withColumnRenamed("path", "src").join(ids.withColumnRenamed("path", "dst"), "doc_id").select("src", "dst")
+    edges = pairs.unionByName(pairs.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    commit = lambda name, c: ids.select(F.concat(F.lit(name), c).alias("commit"), "path")
+    commits = commit("a", F.expr("doc_id div 4")).unionByName(commit("b", F.col("doc_id") % 211))
+    known = ids.where("doc_id % 10 <> 7").select("path")
+    found = S.hybrid_search(text.unionByName(symbols).unionByName(recent), edges, commits, known, F.regexp_replace("path", "/[^/]*$", ""), {"graph": 3, "text": 2, "recent": 1.5})
+    return found.select("query_id", "path", F.round("score", 6).alias("score"), "rank")

@@ -28,6 +28,14 @@ def scratch_folder(spark: SparkSession, name: str) -> str:
     return f"{base}/{name}-{uuid.uuid4().hex}"
 
 
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` written to the session's shared checkpoint folder: used more than once, computed once."""
+    scratch_folder(df.sparkSession, "checkpoint")
+    if not df.sparkSession.sparkContext.getCheckpointDir():
+        df.sparkSession.sparkContext.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir"))
+    return df.checkpoint()
+
+
 def scan_tree(spark: SparkSession, root: str, with_content: bool = False) -> DataFrame:
     """(path, name, dir, size) of all files below ``root``, less those in skipped folders at any depth below it,
     backups and binary extensions; folders come before files, each by name. Spark lists them, and follows no links of
