@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,17 +20,74 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
 
-def cosine_scores(chunks: DataFrame, queries: DataFrame, where: Column | None = None) -> DataFrame:
+def _packs(vectors: DataFrame, columns: dict[str, str], rows: int) -> DataFrame:
+    """Vectors (embedding) of one width packed together, as unit rows of a matrix: (width, data, one array for each of
+    ``columns``, by name and type)."""
+
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            batch = batch[batch["embedding"].notna()]
+            for width, part in batch.groupby(batch["embedding"].map(len)):
+                for at in range(0, len(part), rows):
+                    own = part.iloc[at : at + rows]
+                    x = np.stack(own["embedding"].to_list()).astype(float).reshape(len(own), width)
+                    norm = np.sqrt((x * x).sum(1, keepdims=True))
+                    data = np.divide(x, norm, out=x, where=norm > 0).tobytes()
+                    yield pd.DataFrame({"width": [width], "data": [data], **{c: [own[c].tolist()] for c in columns}})
+
+    arrays = ", ".join(f"{c} array<{kind}>" for c, kind in columns.items())
+    return vectors.select("embedding", *columns).mapInPandas(pack, f"width int, data binary, {arrays}")
+
+
+def cosine_scores(chunks: DataFrame, queries: DataFrame, where: Column | None = None, least: float | None = None, most: int | None = None, block: int = 2048) -> DataFrame:
     """(query_id, chunk_id, document, score) of stated queries (query_id, embedding) against all chunks (chunk_id,
-    document, embedding). ``where`` drops chunks before any score is computed; widths that differ give no rows."""
+    document, embedding). ``where`` drops chunks before any score is computed; widths that differ and null vectors give
+    no rows. Blocks of queries meet blocks of chunks, each as one matrix product; only scores of at least ``least``
+    leave it, and of each query at most the ``most`` best with all that equal the last of them."""
+    kinds = {**dict(chunks.dtypes), **dict(queries.select("query_id").dtypes)}
     rows = chunks if where is None else chunks.where(where)
-    rows = unit_vectors(rows).withColumn("width", F.size("embedding"))
-    asked = unit_vectors(queries).select("query_id", F.col("embedding").alias("q"), F.size("embedding").alias("width"))
-    return rows.join(asked, "width").select("query_id", "chunk_id", "document", dot(F.col("embedding"), F.col("q")).alias("score"))
+    have = _packs(rows, {c: kinds[c] for c in ("chunk_id", "document")}, block)
+    asked = _packs(queries, {"query_id": kinds["query_id"]}, block)
+    asked = asked.select(F.col("width").alias("q_width"), F.col("data").alias("q_data"), "query_id")
+
+    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for r in batch.itertuples():
+                if r.width != r.q_width or not r.width:
+                    continue
+                got = np.frombuffer(r.q_data).reshape(-1, r.width) @ np.frombuffer(r.data).reshape(-1, r.width).T
+                keep = np.ones(got.shape, bool) if least is None else got >= least
+                if most is not None and most < got.shape[1]:
+                    keep &= got >= np.partition(got, -most, axis=1)[:, -most][:, None]
+                q, c = np.nonzero(keep)
+                take = lambda values, at: pd.Series(list(values), dtype=object).iloc[at].reset_index(drop=True)
+                yield pd.DataFrame({"query_id": take(r.query_id, q), "chunk_id": take(r.chunk_id, c), "document": take(r.document, c), "score": got[q, c]})
+
+    return have.crossJoin(asked).mapInPandas(score, f"query_id {kinds['query_id']}, chunk_id {kinds['chunk_id']}, document {kinds['document']}, score double")
+
+
+def nearest(chunks: DataFrame, queries: DataFrame, k: int, where: Column | None = None) -> DataFrame:
+    """The best ``k`` chunks of each query, with their rank: the best of each pair of blocks, then the best of these."""
+    return vector_topk(cosine_scores(chunks, queries, where, most=k), k)
+
+
+def retrieve(chunks: DataFrame, queries: DataFrame, picks: DataFrame, top_k: int, shortlist: int = 30, rerank: bool = True, where: Column | None = None) -> DataFrame:
+    """The ``top_k`` (1 to 50) chunks of each query out of a ``shortlist``, with candidate_count, reranked and warning.
+    Picks (query_id, picks) of a reranker count only if asked for and where the shortlist has more than ``top_k``; a
+    query for which the reranker gave nothing usable keeps its shortlist and a warning."""
+    if not 1 <= top_k <= 50:
+        raise ValueError(f"top_k must be from 1 to 50, not {top_k}")
+    short = nearest(chunks, queries, shortlist, where).withColumn("candidate_count", F.count("*").over(Window.partitionBy("query_id")))
+    wanted = F.lit(rerank) & (F.col("candidate_count") > top_k)
+    use = short.where(wanted).select("query_id").distinct()
+    chosen = apply_picks(short, picks.join(use, "query_id", "left_semi"), top_k)
+    warning = F.when(wanted & ~F.col("reranked"), "no usable pick; the shortlist is shown as it was ranked")
+    return chosen.withColumn("warning", warning)
 
 
 def vector_topk(scored: DataFrame, k: int) -> DataFrame:
-    """The best ``k`` chunks of each query; Spark keeps k rows a query in each partition before the shuffle."""
+    """The best ``k`` rows of each query by score, equal ones by chunk_id; Spark keeps k rows a query in each partition
+    before the shuffle."""
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "chunk_id")
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 

@@ -121,7 +121,7 @@ def asm04(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    top = V.vector_topk(V.cosine_scores(_vectors(spark, sf_dir), _asked(spark, sf_dir)), 8)
+    top = V.nearest(_vectors(spark, sf_dir), _asked(spark, sf_dir), 8)
     return top.select("query_id", "rank", F.concat(F.lit("d"), "document").alias("document"), F.when(F.col("chunk_id") % 2 == 0, "Intro").alias("heading_path"), F.concat(F.lit("text of "), "chunk_id").alias("text"))
 
 

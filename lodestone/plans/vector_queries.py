@@ -33,20 +33,20 @@ def fn12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("vec_id", F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x), 6).alias("total"), F.round(V.dot(F.col("embedding"), F.col("embedding")), 6).alias("norm"))
 
 
-@register("jon10_cosine_scores", f"WITH {COSINE} SELECT query_id, chunk_id, document, round(score, 6) AS score FROM cosine")
+@register("jon10_cosine_scores", f"WITH {COSINE} SELECT query_id, chunk_id, document, round(score, 6) AS score FROM cosine WHERE score >= 0.25")
 def jon10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return V.cosine_scores(_chunks(spark, sf_dir), _asked(spark, sf_dir)).withColumn("score", F.round("score", 6))
+    return V.cosine_scores(_chunks(spark, sf_dir), _asked(spark, sf_dir), least=0.25).withColumn("score", F.round("score", 6))
 
 
 @register("prj10_doc_filter", f"WITH {COSINE} SELECT query_id, chunk_id, document, round(score, 6) AS score, rank::INTEGER AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM cosine WHERE document % 2 = 0) WHERE rank <= 10")
 def prj10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    top = V.vector_topk(V.cosine_scores(_chunks(spark, sf_dir), _asked(spark, sf_dir), F.col("document") % 2 == 0), 10)
+    top = V.nearest(_chunks(spark, sf_dir), _asked(spark, sf_dir), 10, F.col("document") % 2 == 0)
     return top.withColumn("score", F.round("score", 6))
 
 
 @register("top02_vector_topk", f"WITH {COSINE} SELECT query_id, chunk_id, document, round(score, 6) AS score, rank::INTEGER AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM cosine) WHERE rank <= 30")
 def top02(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return V.vector_topk(V.cosine_scores(_chunks(spark, sf_dir), _asked(spark, sf_dir)), 30).withColumn("score", F.round("score", 6))
+    return V.nearest(_chunks(spark, sf_dir), _asked(spark, sf_dir), 30).withColumn("score", F.round("score", 6))
 
 
 def _picks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,16 +63,16 @@ PICKED = f"""{SHORT}, picked AS (
 
 @register("jon12_apply_picks", f"WITH {PICKED} SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY o)::INTEGER AS place, reranked FROM picked QUALIFY place <= 8")
 def jon12(spark: SparkSession, sf_dir: str) -> DataFrame:
-    short = V.vector_topk(V.cosine_scores(_chunks(spark, sf_dir), _asked(spark, sf_dir)), 30)
+    short = V.nearest(_chunks(spark, sf_dir), _asked(spark, sf_dir), 30)
     return V.apply_picks(short, _picks(spark, sf_dir), 8).select("query_id", "chunk_id", "place", "reranked")
 
 
-@register("top03_retrieve", f"WITH {PICKED} SELECT query_id, count(*)::BIGINT AS hits, (SELECT count(*) FROM short s WHERE s.query_id = p.query_id)::BIGINT AS candidate_count, bool_or(reranked) AS reranked, round(sum(score), 6) AS total FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY o) AS place FROM picked QUALIFY place <= 8) p GROUP BY query_id")
+@register("top03_retrieve", f"""WITH {PICKED}, kept AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY o) AS place FROM picked QUALIFY place <= 8)
+SELECT query_id, count(*)::BIGINT AS hits, (SELECT count(*) FROM short s WHERE s.query_id = p.query_id)::BIGINT AS candidate_count, bool_or(reranked) AS reranked, round(sum(score), 6) AS total,
+  CASE WHEN bool_or(reranked) THEN '' ELSE 'no usable pick; the shortlist is shown as it was ranked' END AS warning FROM kept p GROUP BY query_id""")
 def top03(spark: SparkSession, sf_dir: str) -> DataFrame:
-    short = V.vector_topk(V.cosine_scores(_chunks(spark, sf_dir), _asked(spark, sf_dir)), 30)
-    counts = short.groupBy("query_id").agg(F.count("*").alias("candidate_count"))
-    hits = V.apply_picks(short, _picks(spark, sf_dir), 8).groupBy("query_id").agg(F.count("*").alias("hits"), F.max("reranked").alias("reranked"), F.round(F.sum("score"), 6).alias("total"))
-    return hits.join(counts, "query_id")
+    got = V.retrieve(_chunks(spark, sf_dir), _asked(spark, sf_dir), _picks(spark, sf_dir), 8)
+    return got.groupBy("query_id").agg(F.count("*").alias("hits"), F.max("candidate_count").alias("candidate_count"), F.max("reranked").alias("reranked"), F.round(F.sum("score"), 6).alias("total"), F.coalesce(F.max("warning"), F.lit("")).alias("warning"))
 
 
 @register("agg03_index_meta", "SELECT count(DISTINCT label)::BIGINT AS document_count, count(*)::BIGINT AS chunk_count, max(len(embedding))::BIGINT AS dimensions FROM embeddings")
