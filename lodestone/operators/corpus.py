@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import paths as P
 from lodestone.functions import text as T
+from lodestone.sources.files import checkpointed
 
 
 def scan_documents(docs: DataFrame, state: DataFrame, converted: DataFrame) -> DataFrame:
@@ -30,6 +31,29 @@ def upsert_state(state: DataFrame, updates: DataFrame) -> DataFrame:
     return rows.select("slug", status.alias("status"), F.col("r.seq").alias("seq"))
 
 
+def index_status(meta: DataFrame) -> DataFrame:
+    """Adds built (has chunks) to index facts, whose chunk_count counts 0 where it is null."""
+    count = F.coalesce("chunk_count", F.lit(0)).cast("bigint")
+    return meta.withColumn("chunk_count", count).withColumn("built", count > 0)
+
+
+def skipped_documents(wanted: DataFrame, converted: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Documents that were asked for but not converted: reported, not dropped."""
+    return wanted.join(converted.select(key), key, "left_anti")
+
+
+def ordered_paths(files: DataFrame, by: str = "project", order: str = "path") -> DataFrame:
+    """Each row's place among those with the same ``by``, from 1, by code points of ``order``. Rows are sorted into
+    ranges and numbered inside them; what earlier ranges hold is added, so that no project's rows meet in one task."""
+    ranged = files.repartitionByRange(by, order).sortWithinPartitions(by, order).withColumn("__part", F.spark_partition_id())
+    ranged = checkpointed(ranged)
+    within = F.row_number().over(Window.partitionBy(by, "__part").orderBy(order))
+    sizes = ranged.groupBy(by, "__part").agg(F.count("*").alias("__n"))
+    before = Window.partitionBy(by).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select(by, "__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__base"))
+    return ranged.withColumn("__within", within).join(sizes, [by, "__part"]).withColumn("place", (F.col("__base") + F.col("__within")).cast("bigint")).drop("__part", "__within", "__base")
+
+
 def corpus_signature(files: DataFrame, by: str = "project") -> DataFrame:
     """(project, files, signature): changes when the set of paths does; no order, so no sort of a project's paths."""
     parts = F.sum(F.conv(F.substring(F.md5("path"), 1, 8), 16, 10).cast("decimal(30,0)"))
@@ -41,17 +65,30 @@ def doc_lines(docs: DataFrame) -> DataFrame:
     tildes and closes on the same character; this is a fold over one document's fence lines."""
     rows = docs.select("doc_id", F.split(F.coalesce("text", F.lit("")), "\n").alias("lines"))
     mark = lambda line: F.regexp_extract(line, r"^\s*(```+|~~~+)", 1)
-    marks = F.transform("lines", lambda x: F.left(mark(x), F.lit(1)))
-    # state: the open fence's character or empty; before each line
-    states = F.aggregate(
-        marks,
-        F.struct(F.lit("").alias("open"), F.array().cast("array<string>").alias("seen")),
-        lambda s, m: F.struct(F.when(m == "", s["open"]).when(s["open"] == "", m).when(s["open"] == m, F.lit("")).otherwise(s["open"]).alias("open"), F.concat(s["seen"], F.array(s["open"])).alias("seen")),
-    )
-    fenced = F.when(F.exists(marks, lambda m: m != ""), states["seen"]).otherwise(F.transform("lines", lambda _: F.lit("")))
-    zipped = rows.select("doc_id", F.posexplode(F.arrays_zip(F.col("lines"), fenced.alias("open"))).alias("line_no", "z"))
-    line = F.col("z.lines")
-    return zipped.select("doc_id", "line_no", line.alias("line"), (F.col("z.open") != "").alias("in_fence"), (mark(line) != "").alias("is_fence"))
+
+    def fold(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            yield batch.map(lambda marks: list(fenced_ranges(marks)))
+
+    # only lines that open or close a fence enter the fold, as (place, character); it gives ranges of lines
+    marks = F.filter(F.transform("lines", lambda x, i: F.struct(i.alias("i"), F.left(mark(x), F.lit(1)).alias("c"))), lambda m: m["c"] != "")
+    ranges = F.when(F.size(marks) > 0, F.pandas_udf(fold, "array<struct<start:int,stop:int>>")(marks)).otherwise(F.array().cast("array<struct<start:int,stop:int>>"))
+    each = rows.withColumn("ranges", ranges).select("doc_id", "ranges", F.posexplode("lines").alias("line_no", "line"))
+    inside = F.when(F.size("ranges") > 0, F.exists("ranges", lambda r: (r["start"] < F.col("line_no")) & (F.col("line_no") <= r["stop"]))).otherwise(False)
+    return each.select("doc_id", "line_no", "line", inside.alias("in_fence"), (mark(F.col("line")) != "").alias("is_fence"))
+
+
+def fenced_ranges(marks: list[dict]) -> Iterator[dict]:
+    """For fence marks (place i, character c) in order: the lines after each opening up to its closing."""
+    opened = None
+    for m in marks:
+        if opened is None:
+            opened = m
+        elif opened["c"] == m["c"]:
+            yield {"start": opened["i"], "stop": m["i"]}
+            opened = None
+    if opened is not None:
+        yield {"start": opened["i"], "stop": (1 << 31) - 1}
 
 
 def sections(lines: DataFrame) -> DataFrame:

@@ -149,6 +149,13 @@ def expand_terms(pieces: DataFrame) -> DataFrame:
     return both[0].unionByName(both[1])
 
 
+def merge_terms(local: Column, generated: Column) -> Column:
+    """A query's own terms in their order, then those of a generated text that are new: words of 2 to 40 letters and
+    digits without stopwords."""
+    made = F.filter(F.split(F.lower(generated), "[^a-z0-9]+"), lambda t: ~t.isin(STOPWORDS) & F.length(t).between(2, 40))
+    return F.array_distinct(F.concat(local, made))
+
+
 def fuse_ranks(signals: DataFrame, weights: dict[str, float], damp: int = 5) -> DataFrame:
     """(query_id, path, score, reasons) from (query_id, path, signal, raw): each signal gives weight / (rank + damp),
     ranks from 0 by raw score, ties by path; reasons in the order of the weights."""

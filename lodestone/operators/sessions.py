@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
+from lodestone.operators.corpus import ordered_paths
 
 
 def stop_at_first_failure(stages: DataFrame, by: list[str], order: list[str]) -> DataFrame:
@@ -102,7 +103,8 @@ def quota_audit(requests: DataFrame, tokens: int = 25_000, calls: int = 80, seco
 
 
 def fixed_batches(rows: DataFrame, n: int, by: str, order: str) -> DataFrame:
-    return rows.withColumn("batch", F.floor((F.row_number().over(Window.partitionBy(by).orderBy(order)) - 1) / n))
+    """Adds batch: the rows of each key in their order, ``n`` to a batch."""
+    return ordered_paths(rows, by, order).withColumn("batch", F.floor((F.col("place") - 1) / n)).drop("place")
 
 
 def zero_fill_verdicts(candidates: DataFrame, verdicts: DataFrame) -> DataFrame:

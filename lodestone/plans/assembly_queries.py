@@ -21,10 +21,17 @@ from lodestone.plans.vector_queries import _chunks as _vectors
 from lodestone.sources import files as L
 
 
-@register("src01_scan_tree")
+@register("src01_scan_tree", "SELECT source, lang, sum(octet_length(encode(replace(text, chr(10), ' '))) + 1)::BIGINT AS size FROM documents GROUP BY ALL")
 def src01(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The files that hold the tables."""
-    return L.scan_tree(spark, sf_dir).select("name", "size")
+    """All documents as lines of files, a folder for each source and language, and what a scan of that tree finds;
+    a second tree below a skipped folder isn't found."""
+    root = L.scratch_folder(spark, "tree")
+    lines = table(spark, sf_dir, "documents").select("source", "lang", F.regexp_replace("text", "\n", " ").alias("value"))
+    for folder in (root, f"{root}/node_modules"):
+        lines.write.partitionBy("source", "lang").mode("append").text(folder)
+    found = L.scan_tree(spark, root).where("name like 'part-%'")
+    of = lambda c: F.regexp_extract("dir", f"{c}=([^/]*)", 1).alias(c)
+    return found.select(of("source"), of("lang"), "size").groupBy("source", "lang").agg(F.sum("size").alias("size"))
 
 
 _IGNORED = "SELECT p_partkey FROM part WHERE NOT (p_size > 40 AND p_partkey % 10 <> 3)"
@@ -163,13 +170,10 @@ def asm06(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.turn_prompt(sessions, fitted.join(contents, "path"), sessions.select("session_id", F.lit("All verification stages passed.").alias("summary")))
 
 
-_NOTED = "documents WHERE doc_id % 3 = 0"
-
-
-@register("jon13_attach_figure_notes", f"SELECT doc_id, source || chr(10) || '![a](img/f1.png)' || chr(10) || '> first of ' || doc_id || chr(10) || '![b](img/f1.png)' || chr(10) || chr(10) || '## Figures' || chr(10) || '- f2.png: second' AS text FROM {_NOTED}")
+@register("jon13_attach_figure_notes", "SELECT doc_id, source || chr(10) || '![a](img/f1.png)' || chr(10) || '> first of ' || doc_id || chr(10) || '![b](img/f1.png)' || chr(10) || text || chr(10) || chr(10) || '## Figures' || chr(10) || '- f2.png: second' AS text FROM documents")
 def jon13(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").where("doc_id % 3 = 0")
-    text = docs.select("doc_id", F.concat("source", F.lit("\n![a](img/f1.png)\n![b](img/f1.png)")).alias("text"))
+    docs = table(spark, sf_dir, "documents")
+    text = docs.select("doc_id", F.concat("source", F.lit("\n![a](img/f1.png)\n![b](img/f1.png)\n"), "text").alias("text"))
     notes = docs.select("doc_id", F.lit("f1.png").alias("file"), F.concat(F.lit("first of "), "doc_id").alias("note")).unionByName(docs.select("doc_id", F.lit("f2.png").alias("file"), F.lit("second").alias("note")))
     return A.attach_figure_notes(text, notes)
 

@@ -8,10 +8,12 @@ from pyspark.sql import functions as F
 from lodestone.functions import paths as P
 from lodestone.functions import text as T
 from lodestone.operators import corpus as C
+from lodestone.operators import ranking as R
 from lodestone.operators import search as S
 from lodestone.plans.registry import register
 from lodestone.plans.search_queries import _sql_list
 from lodestone.plans.tables import FILES, files, spread, sql_tokens, table
+from lodestone.sources import files as L
 
 TRIM = "regexp_replace({}, '^\\s+|\\s+$', '', 'g')"
 
@@ -50,7 +52,7 @@ def fn06(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _docs(spark, sf_dir).select("doc_id", T.truncate_sentence(F.col("text"), 300).alias("cut"))
 
 
-@register("fn05_extract_abstract", _cut("SELECT doc_id, regexp_replace('Abstract words of ' || source || chr(10) || left(text, 2000), '^\\s+|\\s+$', '', 'g') AS t FROM documents", 1200).replace("AS cut", "AS abstract"))
+@register("fn05_extract_abstract", _cut("SELECT doc_id, regexp_replace('Abstract words of ' || source || chr(10) || text, '^\\s+|\\s+$', '', 'g') AS t FROM documents", 1200).replace("AS cut", "AS abstract"))
 def fn05(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A labelled abstract for even documents, else the first paragraph after a heading; both hold the same text."""
     body = F.concat(F.lit("Abstract words of "), "source", F.lit("\n"), "text")
@@ -97,9 +99,9 @@ def fn13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _docs(spark, sf_dir).select("doc_id", T.content_hash(F.col("text")).alias("hash"))
 
 
-@register("fn14_strip_ansi", "SELECT doc_id, source || ': ' || lang AS plain FROM documents")
+@register("fn14_strip_ansi", "SELECT doc_id, source || ': ' || text AS plain FROM documents")
 def fn14(spark: SparkSession, sf_dir: str) -> DataFrame:
-    painted = F.concat(F.lit("\u001b[31m"), "source", F.lit("\u001b[0m: \u001b[1;32m"), "lang", F.lit("\u001b[K"))
+    painted = F.concat(F.lit("\u001b[31m"), "source", F.lit("\u001b[0m: \u001b[1;32m"), "text", F.lit("\u001b[K"))
     return _docs(spark, sf_dir).select("doc_id", T.strip_ansi(painted).alias("plain"))
 
 
@@ -168,22 +170,16 @@ def prj07(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits.join(known, "path", "left_semi").groupBy("path").agg(F.sum("l_quantity").alias("score"))
 
 
-VERDICTS = "verdicts AS (SELECT p_brand AS query_id, p_partkey AS path, (p_size % 4)::DOUBLE AS score, (p_retailprice % 100) / 100 AS confidence FROM part WHERE p_partkey % 7 <> 0)"
+VERDICTS = "verdicts AS (SELECT p_brand AS query_id, p_partkey AS path, (p_size % 4)::DOUBLE AS score, (p_retailprice % 100) / 100 AS confidence FROM part)"
 
 
 def _verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "part").where("p_partkey % 7 <> 0").select(F.col("p_brand").alias("query_id"), F.col("p_partkey").alias("path"), (F.col("p_size") % 4).cast("double").alias("score"), ((F.col("p_retailprice") % 100) / 100).alias("confidence"))
-
-
-def route_verdicts(verdicts: DataFrame) -> DataFrame:
-    """include: score >= 2.5 with confidence >= 0.85; flag: score >= 1.5; others are dropped."""
-    bucket = F.when((F.col("score") >= 2.5) & (F.col("confidence") >= 0.85), "include").when(F.col("score") >= 1.5, "flag")
-    return verdicts.withColumn("bucket", bucket).where("bucket is not null")
+    return table(spark, sf_dir, "part").select(F.col("p_brand").alias("query_id"), F.col("p_partkey").alias("path"), (F.col("p_size") % 4).cast("double").alias("score"), ((F.col("p_retailprice") % 100) / 100).alias("confidence"))
 
 
 @register("prj08_route_verdicts", f"WITH {VERDICTS} SELECT query_id, path, CASE WHEN score >= 2.5 AND confidence >= 0.85 THEN 'include' ELSE 'flag' END AS bucket FROM verdicts WHERE score >= 1.5")
 def prj08(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return route_verdicts(_verdicts(spark, sf_dir)).select("query_id", "path", "bucket")
+    return R.route_verdicts(_verdicts(spark, sf_dir)).select("query_id", "path", "bucket")
 
 
 @register("prj09_coerce_verdict", "SELECT p_partkey, CASE WHEN p_partkey % 5 = 0 THEN 0 ELSE least(3, p_size % 6) END::DOUBLE AS score, CASE WHEN p_partkey % 5 = 0 THEN 0 ELSE least(1, greatest(0, (p_size - 10) / 20.0)) END::DOUBLE AS confidence FROM part")
@@ -192,14 +188,19 @@ def prj09(spark: SparkSession, sf_dir: str) -> DataFrame:
     bad = F.col("p_partkey") % 5 == 0
     score = F.when(bad, F.lit("n/a")).otherwise(((F.col("p_size") % 6) + F.lit(0.2)).cast("string"))
     confidence = F.when(bad, F.lit("")).otherwise(((F.col("p_size") - 10) / 20.0).cast("string"))
-    clean = lambda c, hi: F.least(F.lit(hi), F.greatest(F.lit(0.0), F.coalesce(F.try_cast(c, "double") if hasattr(F, "try_cast") else c.try_cast("double"), F.lit(0.0))))
-    return table(spark, sf_dir, "part").select("p_partkey", F.round(clean(score, 3.0)).alias("score"), clean(confidence, 1.0).alias("confidence"))
+    rows = table(spark, sf_dir, "part").select("p_partkey", score.alias("score"), confidence.alias("confidence"))
+    return R.coerce_verdicts(rows).select("p_partkey", "score", "confidence")
 
 
-@register("src05_read_head", "SELECT doc_id, left(text, 400) AS head FROM documents WHERE lang = 'en' AND regexp_matches(text, '^[ -~\\n]*$')")
+@register(
+    "src05_read_head",
+    """SELECT doc_id, left(text, n) || CASE WHEN octet_length(encode(left(text, n))) < 400 AND n < length(text) THEN chr(65533) ELSE '' END AS head
+FROM (SELECT doc_id, text, list_max(list_filter(range(0, 401), lambda i: octet_length(encode(left(text, i::BIGINT))) <= 400)) AS n FROM (SELECT doc_id, text FROM documents))""",
+)
 def src05(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = F.encode("text", "UTF-8")
-    return _docs(spark, sf_dir).where("lang = 'en'").where(F.col("text").rlike(r"^[ -~\n]*$")).select("doc_id", F.decode(F.substring(raw, 1, 400), "UTF-8").alias("head"))
+    """The first 400 bytes, which may end inside a character."""
+    files_ = _docs(spark, sf_dir).select(F.col("doc_id").alias("path"), F.encode("text", "UTF-8").alias("content"))
+    return L.read_head(files_, 400).select(F.col("path").alias("doc_id"), "head")
 
 
 STATUS = """SELECT path, CASE WHEN doc_id % 4 = 3 THEN 'failed' WHEN quality = 1 AND toxic = 0 AND doc_id % 2 = 0 THEN 'converted' WHEN toxic = 1 THEN 'failed' ELSE 'ready' END AS status,
@@ -224,11 +225,10 @@ def src07(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.upsert_state(rows.where("seq % 2 = 0").unionByName(nameless), rows.where("seq % 2 = 1"))
 
 
-@register("src10_index_status", "SELECT doc_id, quality = 1 AS built, CASE WHEN quality = 1 THEN doc_id ELSE 0 END::BIGINT AS chunks FROM labels WHERE doc_id > 0")
+@register("src10_index_status", "SELECT doc_id, quality = 1 AS built, CASE WHEN quality = 1 THEN doc_id + 1 ELSE 0 END::BIGINT AS chunks FROM labels")
 def src10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    meta = table(spark, sf_dir, "labels").where("doc_id > 0").select("doc_id", F.when(F.col("quality") == 1, F.col("doc_id")).alias("chunk_count"))
-    chunks = F.coalesce("chunk_count", F.lit(0)).cast("bigint")
-    return meta.select("doc_id", (chunks > 0).alias("built"), chunks.alias("chunks"))
+    meta = table(spark, sf_dir, "labels").select("doc_id", F.when(F.col("quality") == 1, F.col("doc_id") + 1).alias("chunk_count"))
+    return C.index_status(meta).select("doc_id", "built", F.col("chunk_count").alias("chunks"))
 
 
 @register("src13_corpus_signature", f"WITH {FILES} SELECT source AS project, count(*)::BIGINT AS files, md5(count(*) || ':' || sum(('0x' || left(md5(path), 8))::BIGINT::HUGEINT)) AS signature FROM files JOIN documents USING (doc_id) GROUP BY source")
@@ -241,19 +241,18 @@ def agg05(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.tree_rollup(files(spark, sf_dir).select(F.lit("all").alias("project"), "path", (F.col("doc_id") % 2 == 0).alias("selected")))
 
 
-@register("top04_ordered_paths", f"WITH {FILES} SELECT path, row_number() OVER (PARTITION BY split_part(path, '/', 1) ORDER BY path)::INTEGER AS place FROM files")
+@register("top04_ordered_paths", f"WITH {FILES} SELECT path, row_number() OVER (PARTITION BY split_part(path, '/', 1) ORDER BY path)::BIGINT AS place FROM files")
 def top04(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    return files(spark, sf_dir).select("path", F.row_number().over(Window.partitionBy(F.substring_index("path", "/", 1)).orderBy("path")).alias("place"))
+    docs = files(spark, sf_dir).select(F.substring_index("path", "/", 1).alias("project"), "path")
+    return C.ordered_paths(docs, "project").select("path", "place")
 
 
-@register("set03_merge_terms", f"WITH a AS (SELECT item_id AS query_id, {sql_tokens('text')} AS l FROM benchmark), b AS (SELECT query_id, list_concat(l[1:8], list_filter(l[5:20], lambda w: NOT list_contains(l[1:8], w) AND NOT list_contains({_sql_list(S.STOPWORDS)}, w))) AS m FROM a) SELECT query_id, array_to_string(m, ' ') AS terms FROM b")
+@register("set03_merge_terms", f"WITH a AS (SELECT item_id AS query_id, {sql_tokens('text')} AS l FROM benchmark), h AS (SELECT query_id, l, l[1:len(l) // 2] AS own FROM a), b AS (SELECT query_id, list_concat(own, list_filter(l, lambda w: NOT list_contains(own, w) AND NOT list_contains({_sql_list(S.STOPWORDS)}, w))) AS m FROM h) SELECT query_id, array_to_string(m, ' ') AS terms FROM b")
 def set03(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A query's first eight tokens, then generated ones (here its fifth to twentieth) without stopwords or repeats."""
+    """The first half of a query's tokens as its own terms, and all of them as generated ones."""
     rows = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), T.tokenize(F.col("text")).alias("l"))
-    local, made = F.slice("l", 1, 8), F.filter(F.slice("l", 5, 16), lambda t: ~t.isin(S.STOPWORDS) & F.length(t).between(2, 40))
-    return rows.select("query_id", F.array_join(F.array_distinct(F.concat(local, made)), " ").alias("terms"))
+    merged = S.merge_terms(F.slice("l", 1, F.floor(F.size("l") / 2).cast("int")), F.array_join("l", ", "))
+    return rows.select("query_id", F.array_join(merged, " ").alias("terms"))
 
 
 def _headed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -278,10 +277,10 @@ def win03(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.sections(C.doc_lines(_headed(spark, sf_dir))).select("doc_id", F.col("section_no").cast("bigint").alias("section_no"), F.md5("text").alias("digest"))
 
 
-@register("win02_fence_state", "SELECT doc_id, i::INTEGER AS line_no, i BETWEEN 1 AND 2 OR i = 4 AS in_fence FROM documents, (VALUES (0), (1), (2), (3), (4)) v(i)")
+@register("win02_fence_state", "SELECT doc_id, unnest(range(0, 4 + len(string_split(text, chr(10)))))::INTEGER AS line_no, line_no BETWEEN 1 AND 2 OR line_no > 3 AS in_fence FROM documents")
 def win02(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each source name inside a fence of backticks that holds a line of tildes, then an open fence of tildes."""
-    made = F.concat(F.lit("```\n~~~ not its end\n```\n~~~\n"), "source")
+    """A fence of backticks that holds a line of tildes, then each text inside an open fence of tildes."""
+    made = F.concat(F.lit("```\n~~~ not its end\n```\n~~~\n"), "text")
     return C.doc_lines(_docs(spark, sf_dir).select("doc_id", made.alias("text"))).select("doc_id", F.col("line_no").cast("int").alias("line_no"), "in_fence")
 
 

@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from lodestone.operators import changes as C
 from lodestone.operators import extract as X
+from lodestone.operators import ranking as R
 from lodestone.plans.registry import register
 from lodestone.plans.tables import table
+from lodestone.sources import files as L
 
 ANSWERS = "answers AS (SELECT conv_id * 1000 + turn AS response_id, conv_id, turn, text, (conv_id + turn) % 6 AS k, 'src/c' || conv_id || '/t' || turn || '.md' AS path FROM conversations WHERE role = 'assistant')"
 
@@ -182,26 +184,23 @@ def src12(spark: SparkSession, sf_dir: str) -> DataFrame:
     hit = F.struct(F.when(F.col("p_partkey") % 4 != 0, F.concat(F.lit("src\\p"), "p_partkey")).alias("path"), F.when(F.col("p_size") % 3 != 0, F.col("p_size").cast("double")).alias("score"))
     per = part.groupBy("p_brand").agg(F.to_json(F.collect_list(hit)).alias("list"))
     text = F.when(F.col("p_brand").rlike("[02468]$"), F.col("list")).otherwise(F.concat(F.lit('{"results":'), "list", F.lit("}")))
-    row = "array<struct<path:string,score:double>>"
-    hits = F.when(F.startswith(text, F.lit("[")), F.from_json(text, row)).otherwise(F.from_json(text, f"results {row}")["results"])
-    rows = per.select(F.col("p_brand").alias("query_id"), F.explode(hits).alias("h")).where("h.path is not null and h.path <> ''")
-    return rows.select("query_id", F.regexp_replace("h.path", r"\\", "/").alias("path"), F.coalesce("h.score", F.lit(1.0)).alias("score"))
+    return R.read_symbol_hits(per.select(F.col("p_brand").alias("query_id"), text.alias("text")))
 
 
-@register("src08_read_commit_log", "SELECT o_custkey % 25 AS project, l_orderkey AS commit, 'src/p' || l_partkey AS path FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY ALL")
+@register(
+    "src08_read_commit_log",
+    """WITH o AS (SELECT o_custkey % 25 AS project, o_orderkey AS o, row_number() OVER (PARTITION BY o_custkey % 25 ORDER BY o_orderkey DESC) - 1 AS seq FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem) QUALIFY seq < 40)
+SELECT project, seq::BIGINT AS seq, o AS commit, 'src/p' || l_partkey AS path, count(*)::BIGINT AS times FROM o JOIN lineitem ON l_orderkey = o GROUP BY ALL""",
+)
 def src08(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One log per project: a commit line for each order, then its files with backslashes and blank lines."""
-    from pyspark.sql import Window
-
     lines = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders"), F.col("o_orderkey") == F.col("l_orderkey"))
-    files = lines.select((F.col("o_custkey") % 25).alias("project"), F.col("l_orderkey").alias("o"), F.col("l_linenumber").alias("n"), F.concat(F.lit("src\\p"), "l_partkey").alias("line"))
+    files = lines.select((F.col("o_custkey") % 25).alias("project"), F.col("l_orderkey").alias("o"), (F.col("l_linenumber") + 1).alias("n"), F.concat(F.lit("src\\p"), "l_partkey").alias("line"))
     heads = files.select("project", "o", F.lit(0).alias("n"), F.concat(F.lit("__C__"), "o").alias("line")).distinct()
     blanks = files.select("project", "o", F.lit(99).alias("n"), F.lit("  ").alias("line")).distinct()
-    log = files.unionByName(heads).unionByName(blanks)
-    order = Window.partitionBy("project").orderBy("o", "n")
-    seq = log.withColumn("commit", F.last(F.when(F.startswith("line", F.lit("__C__")), F.substring("line", 6, 40)), ignorenulls=True).over(order))
-    rows = seq.where("not startswith(line, '__C__') and trim(line) <> ''")
-    return rows.select("project", F.col("commit").cast("bigint").alias("commit"), F.regexp_replace("line", r"\\", "/").alias("path")).distinct()
+    log = files.unionByName(heads).unionByName(blanks).withColumn("line_no", F.struct("o", "n"))
+    read = L.read_commit_log(log)
+    return read.groupBy("project", "seq", F.col("commit").cast("bigint").alias("commit"), "path").agg(F.count("*").alias("times"))
 
 
 def _versions(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
+from lodestone.operators import corpus as C
+from lodestone.operators import ranking as R
 from lodestone.operators import sessions as S
 from lodestone.plans.corpus_queries import VERDICTS, _verdicts
 from lodestone.plans.registry import register
@@ -71,13 +73,13 @@ def win13(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("agg14_batch_usage", f"WITH {VERDICTS}, b AS (SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY path) - 1) // 20 AS batch FROM verdicts) SELECT query_id, count(DISTINCT batch)::BIGINT AS calls, sum(path)::BIGINT AS tokens FROM b GROUP BY query_id")
 def agg14(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = S.fixed_batches(_verdicts(spark, sf_dir), 20, "query_id", "path").groupBy("query_id", "batch").agg(F.sum("path").alias("tokens"))
-    return rows.groupBy("query_id").agg(F.count("*").alias("calls"), F.sum("tokens").alias("tokens"))
+    return R.batch_usage(S.fixed_batches(_verdicts(spark, sf_dir), 20, "query_id", "path").withColumn("tokens", F.col("path")))
 
 
-@register("jon17_zero_fill_verdicts", f"WITH {VERDICTS} SELECT p_brand AS query_id, p_partkey AS path, coalesce(score, 0) AS score, round(coalesce(confidence, 0), 6) AS confidence FROM part LEFT JOIN verdicts ON path = p_partkey")
+@register("jon17_zero_fill_verdicts", f"WITH {VERDICTS.replace('FROM part)', 'FROM part WHERE p_partkey % 7 <> 0)')} SELECT p_brand AS query_id, p_partkey AS path, coalesce(score, 0) AS score, round(coalesce(confidence, 0), 6) AS confidence FROM part LEFT JOIN verdicts ON path = p_partkey")
 def jon17(spark: SparkSession, sf_dir: str) -> DataFrame:
-    first = _verdicts(spark, sf_dir).withColumn("ord", F.lit(0))
+    """All parts as candidates, of which every seventh has no verdict."""
+    first = _verdicts(spark, sf_dir).where("path % 7 <> 0").withColumn("ord", F.lit(0))
     later = first.withColumn("ord", F.lit(1)).withColumn("score", F.lit(9.0))
     candidates = table(spark, sf_dir, "part").select(F.col("p_brand").alias("query_id"), F.col("p_partkey").alias("path"))
     return S.zero_fill_verdicts(candidates, later.unionByName(first)).withColumn("confidence", F.round("confidence", 6))
@@ -148,7 +150,7 @@ def set02(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("set05_skipped_documents", "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 1)")
 def set05(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
-    return table(spark, sf_dir, "documents").select("doc_id").join(done, "doc_id", "left_anti")
+    return C.skipped_documents(table(spark, sf_dir, "documents").select("doc_id"), done)
 
 
 @register("set06_changed_paths", f"WITH {TURNS}, a AS (SELECT DISTINCT session_id, length(text) % 10 AS path FROM turns WHERE outcome = 'applied'), e AS (SELECT DISTINCT session_id, length(text) % 10 AS path FROM turns WHERE role = 'user') SELECT a.session_id, count(*)::BIGINT AS changed, count(e.path)::BIGINT AS expected FROM a LEFT JOIN e ON a.session_id = e.session_id AND a.path = e.path GROUP BY a.session_id")

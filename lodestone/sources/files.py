@@ -64,6 +64,28 @@ def read_text(files: DataFrame, most_bytes: int = 5 << 20) -> tuple[DataFrame, D
     return good, files.where(size > most_bytes).select("path", F.lit("too large").alias("reason"), size.cast("bigint").alias("size"))
 
 
+def read_head(files: DataFrame, n: int = 16_384) -> DataFrame:
+    """(path, head): the first ``n`` bytes of contents as text; a character that the cut splits becomes U+FFFD."""
+    return files.select("path", F.make_valid_utf8(F.substring("content", 1, n).cast("string")).alias("head"))
+
+
+def read_commit_log(lines: DataFrame, by: str = "project", most: int | None = 40, order: str = "line_no") -> DataFrame:
+    """(project, seq, commit, ord, path) of the ``most`` last commits of each project's log (project, line_no, line):
+    lines that begin with __C__ open a commit (seq from 0, the newest first), the other lines that aren't blank are
+    its files, with slashes. The log is sorted into ranges, so that a long one is read by many tasks."""
+    ranged = checkpointed(lines.select(by, order, "line").repartitionByRange(by, order).sortWithinPartitions(by, order).withColumn("__part", F.spark_partition_id()))
+    head = F.startswith("line", F.lit("__C__"))
+    within = Window.partitionBy(by, "__part").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = ranged.withColumn("__n", F.sum(F.when(head, 1).otherwise(0)).over(within)).withColumn("__c", F.last(F.when(head, F.substring("line", 6, 200)), ignorenulls=True).over(within))
+    before = Window.partitionBy(by).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = rows.groupBy(by, "__part").agg(F.max("__n").alias("__k"), F.max_by("__c", F.when(F.col("__c").isNotNull(), F.col(order))).alias("__last"))
+    parts = parts.select(by, "__part", F.coalesce(F.sum("__k").over(before), F.lit(0)).alias("__base"), F.last("__last", ignorenulls=True).over(before).alias("__open"), F.sum("__k").over(Window.partitionBy(by)).alias("__all"))
+    rows = rows.where(~head & (F.trim("line") != "")).join(parts, [by, "__part"])
+    rows = rows.withColumn("seq", F.col("__all") - F.col("__base") - F.col("__n")).withColumn("commit", F.coalesce("__c", "__open")).where("commit is not null")
+    rows = rows if most is None else rows.where(F.col("seq") < most)
+    return rows.select(by, "seq", "commit", F.col(order).alias("ord"), F.regexp_replace("line", r"\\", "/").alias("path"))
+
+
 def ignore_filter(files: DataFrame, rules: DataFrame) -> DataFrame:
     """Files (path) that no rule set ignores. Rules (base, ord, pattern, negated) count below their own base, the last
     match of a base decides for it, and any base that ignores a file is enough. A path meets the rules of its own
