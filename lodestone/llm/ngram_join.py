@@ -73,7 +73,7 @@ def signatures(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
     salt = mix(np.arange(1, bands + 1, dtype=np.uint64))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (whole.slice(lo, 512) for whole in batches for lo in range(0, whole.num_rows, 512)):
             keys, sizes, found = [], [], []
             for _, g in _sets(batch, n):
                 keys.append(_key(g))
@@ -161,9 +161,11 @@ def verified_links(sigs: DataFrame, docs: DataFrame, n: int, percent: int, block
     texts = near.alias("d").join(wanted.alias("w"), _same_row("d", "w")).select("key", "copies", "hubs", "text")
 
     def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [g.astype("<u8").tobytes() for _, g in _sets(batch, n)]
-            yield pa.RecordBatch.from_pydict({"key": batch.column("key"), "copies": batch.column("copies"), "hubs": batch.column("hubs"), "grams": pa.array(sets, pa.binary())})
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 256):  # few at once, since sets are larger than their texts
+                batch = whole.slice(lo, 256)
+                sets = [g.astype("<u8").tobytes() for _, g in _sets(batch, n)]
+                yield pa.RecordBatch.from_pydict({"key": batch.column("key"), "copies": batch.column("copies"), "hubs": batch.column("hubs"), "grams": pa.array(sets, pa.binary())})
 
     sets = texts.mapInArrow(full, "key binary, copies bigint, hubs array<binary>, grams binary")
     # rows that repeat an id and its text give their set as often

@@ -237,7 +237,7 @@ def labelled_sample(rows: DataFrame, labels: DataFrame, most: int, id_col: str =
     return *_unpack(list(map(bytes, got["x"]))), got["y"].to_numpy(float)
 
 
-def gather_statistics(rows: DataFrame, views: dict[str, View], sure: float, chunk: int = 4096) -> Statistics:
+def gather_statistics(rows: DataFrame, views: dict[str, View], sure: float, chunk: int = 4096, rows_at_once: int = 512) -> Statistics:
     """``statistics`` over all rows (x), summed by Spark in chunks; the sums, as many as the views have pairs of
     features, come to the driver, however many rows there are."""
     sizes = {"text": TEXT + 1, "meta": META + 1}
@@ -246,8 +246,9 @@ def gather_statistics(rows: DataFrame, views: dict[str, View], sure: float, chun
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = {k: [0.0, np.zeros(sizes[k[0]]), np.zeros((sizes[k[0]],) * 2)] for k in keys}
         for batch in batches:
-            for k, parts in statistics(views, *_unpack(batch.column("x").to_pylist()), sure).items():
-                total[k] = [a + b for a, b in zip(total[k], parts, strict=True)]
+            for lo in range(0, batch.num_rows, rows_at_once):
+                for k, parts in statistics(views, *_unpack(batch.column("x").slice(lo, rows_at_once).to_pylist()), sure).items():
+                    total[k] = [a + b for a, b in zip(total[k], parts, strict=True)]
         out = []
         for no, (n, g, h) in enumerate(total.values()):
             flat = np.concatenate(([n], g, h[np.triu_indices(len(g))]))
