@@ -11,8 +11,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import udtf
 
+from lodestone.functions.chunking import chunk_markdown
+
 Embedder = Callable[[list[str]], list[np.ndarray]]
 Scorer = Callable[[pd.DataFrame], pd.DataFrame]
+Extractor = Callable[[list], list]
 
 
 def hashing_embedder(width: int = 64) -> Embedder:
@@ -66,27 +69,35 @@ def score_candidates(candidates: DataFrame, scorer: Scorer | None = None) -> Dat
     return candidates.groupBy("query_id", "batch").applyInPandas(run, f"query_id {kinds['query_id']}, path {kinds['path']}, score double, confidence double")
 
 
-def extract_texts(pages: DataFrame, key: str = "page_id") -> DataFrame:
-    """(key, ok, markdown, reason) of pages (key, html): tags stripped, scripts and styles dropped."""
-    body = F.regexp_replace("html", r"(?is)<(script|style)\b.*?</\1\s*>", " ")
-    plain = F.regexp_replace(F.regexp_replace(body, r"(?s)<[^>]*>", " "), r"[ \t\r\n]+", " ")
-    clean = F.trim(plain)
-    ok = F.coalesce(clean, F.lit("")) != ""
-    return pages.select(key, ok.alias("ok"), F.when(ok, clean).alias("markdown"), F.when(~ok, "no text").alias("reason"))
+def extract_texts(pages: DataFrame, key: str = "page_id", extractor: Extractor | None = None, batch: int = 50) -> DataFrame:
+    """(key, ok, markdown, reason) of pages (key, html). An ``extractor`` gets contents in batches and gives for each
+    its markdown, or an exception that says why there is none; without one, tags are stripped and scripts and styles
+    dropped, by Spark's own expressions."""
+    if extractor is None:
+        body = F.regexp_replace("html", r"(?is)<(script|style)\b.*?</\1\s*>", " ")
+        clean = F.trim(F.regexp_replace(F.regexp_replace(body, r"(?s)<[^>]*>", " "), r"[ \t\r\n]+", " "))
+        ok = F.coalesce(clean, F.lit("")) != ""
+        return pages.select(key, ok.alias("ok"), F.when(ok, clean).alias("markdown"), F.when(~ok, "no text").alias("reason"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            for at in range(0, len(rows), batch):
+                part = rows.iloc[at : at + batch]
+                got = list(extractor(part["html"].tolist()))
+                if len(got) != len(part):
+                    raise ValueError(f"{len(part)} pages gave {len(got)} texts")
+                bad = [isinstance(x, Exception) or not x for x in got]
+                reasons = [(str(x) if isinstance(x, Exception) else "no text") if b else None for x, b in zip(got, bad, strict=True)]
+                yield pd.DataFrame({key: part[key], "ok": [not b for b in bad], "markdown": [None if b else x for x, b in zip(got, bad, strict=True)], "reason": reasons})
+
+    kind = dict(pages.dtypes)[key]
+    return pages.select(key, "html").mapInPandas(run, f"{key} {kind}, ok boolean, markdown string, reason string")
 
 
-@udtf(returnType="chunk_index int, text string, tokens int")
+@udtf(returnType="chunk_index int, heading_path string, text string, tokens int", useArrow=True)
 class ChunkText:
-    """A text's lines packed into chunks of about ``limit`` tokens, for LATERAL in SQL."""
-
-    def eval(self, text: str, limit: int):
-        held, used, n = [], 0, 0
-        for line in (text or "").split("\n"):
-            cost = -(-len(line) * 10 // 32)
-            if held and used + cost > limit:
-                yield n, "\n".join(held), used
-                held, used, n = [], 0, n + 1
-            held.append(line)
-            used += cost
-        if held:
-            yield n, "\n".join(held), used
+    """The chunks of one text, as the chunker of ``operators.corpus`` makes them, for LATERAL in SQL."""
+
+    def eval(self, text: str, tokens: int, overlap: int):
+        for n, (path, chunk, size) in enumerate(chunk_markdown(text or "", tokens, overlap)):
+            yield n, path, chunk, size

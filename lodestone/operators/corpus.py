@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import paths as P
 from lodestone.functions import text as T
+from lodestone.functions.chunking import chunk_ranges
 from lodestone.sources.files import checkpointed
 
 
@@ -129,22 +130,6 @@ def chunk_sections(parts: DataFrame, tokens: int = 300, overlap: int = 50) -> Da
     return cut.select("doc_id", "section_no", "heading_path", "k", text.alias("text"), F.col("r.tokens").alias("tokens")).where("text <> ''")
 
 
-def chunk_ranges(sizes: list[int], tokens: int, overlap: int) -> list[dict]:
-    out, start, total = [], 0, 0
-    for i, n in enumerate(sizes):
-        if i > start and total + n > tokens:
-            out.append({"start": start, "stop": i, "tokens": total})
-            kept, back = 0, i
-            while back > start and kept + sizes[back - 1] <= overlap:
-                back -= 1
-                kept += sizes[back]
-            start, total = back, kept
-        total += n
-    if sizes:
-        out.append({"start": start, "stop": len(sizes), "tokens": total})
-    return out
-
-
 def number_chunks(chunks: DataFrame) -> DataFrame:
     """chunk_index over the whole document and chunk_id doc#index."""
     order = Window.partitionBy("doc_id").orderBy("section_no", "k")

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from typing import Any
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -113,53 +117,73 @@ def zero_fill_verdicts(candidates: DataFrame, verdicts: DataFrame) -> DataFrame:
     return candidates.join(first, ["query_id", "path"], "left").select("query_id", "path", F.coalesce("v.score", F.lit(0.0)).alias("score"), F.coalesce("v.confidence", F.lit(0.0)).alias("confidence"))
 
 
+def fold_in_order(rows: DataFrame, by: str, order: list[str], start: Callable[[], Any], step: Callable[[Any, Any], tuple], out: str) -> DataFrame:
+    """``rows`` with the columns of ``out`` (DDL), which ``step(state, row)`` gives for each row of a key in its order;
+    ``start()`` makes a key's first state. A key's rows stream through one task in Arrow batches: only the state is
+    held, however many rows there are."""
+    names = [c.split()[0] for c in out.split(", ")]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, state = None, None
+        for batch in batches:
+            got = []
+            for row in batch.itertuples(index=False):
+                own = getattr(row, by)
+                if state is None or not (own == key or pd.isna(own) and pd.isna(key)):
+                    key, state = own, start()
+                got.append(step(state, row))
+            yield batch.assign(**{n: [g[k] for g in got] for k, n in enumerate(names)})
+
+    kinds = ", ".join(f"{c} {kind}" for c, kind in rows.dtypes)
+    return rows.repartition(by).sortWithinPartitions(by, *order).mapInPandas(run, f"{kinds}, {out}")
+
+
 def pack_batches(items: DataFrame, most_tokens: int = 15_000, most_items: int = 50, by: str = "shard") -> DataFrame:
     """(shard, ord, tokens, batch): items in order, a new batch when the next item would not fit or the batch is
-    full; one too large stands alone. The fold runs over a shard's sorted sizes, which bounds it."""
-    rows = items.groupBy(by).agg(F.array_sort(F.collect_list(F.struct("ord", "tokens"))).alias("items"))
-    start = F.struct(F.lit(0).cast("bigint").alias("batch"), F.lit(0).cast("bigint").alias("used"), F.lit(0).alias("n"), F.array().cast("array<struct<ord:bigint,tokens:bigint,batch:bigint>>").alias("out"))
+    full; one too large stands alone."""
 
-    def step(s: Column, x: Column) -> Column:
-        new = (s["n"] > 0) & ((s["used"] + x["tokens"] > most_tokens) | (s["n"] >= most_items))
-        batch = s["batch"] + F.when(new, 1).otherwise(0)
-        placed = F.struct(x["ord"].cast("bigint").alias("ord"), x["tokens"].cast("bigint").alias("tokens"), batch.alias("batch"))
-        return F.struct(batch.alias("batch"), (F.when(new, F.lit(0)).otherwise(s["used"]) + x["tokens"]).cast("bigint").alias("used"), F.when(new, 1).otherwise(s["n"] + 1).alias("n"), F.concat(s["out"], F.array(placed)).alias("out"))
+    def step(s: dict, row: Any) -> tuple:
+        if s["n"] and (s["used"] + row.tokens > most_tokens or s["n"] >= most_items):
+            s.update(batch=s["batch"] + 1, used=0, n=0)
+        s.update(used=s["used"] + row.tokens, n=s["n"] + 1)
+        return (s["batch"],)
 
-    return rows.select(by, F.explode(F.aggregate("items", start, step)["out"]).alias("p")).select(by, "p.ord", "p.tokens", "p.batch")
+    rows = items.select(by, F.col("ord").cast("bigint").alias("ord"), F.col("tokens").cast("bigint").alias("tokens"))
+    return fold_in_order(rows, by, ["ord", "tokens"], lambda: {"batch": 0, "used": 0, "n": 0}, step, "batch bigint")
 
 
 def fit_to_budget(files: DataFrame, budget: int, by: str = "query_id", per_file: float = 0.45, outline: float = 0.15) -> DataFrame:
     """(query_id, path, tokens, fate) of files (query_id, priority, path, tokens, outline_tokens): included while
     they fit, else their outline under its own limit, else omitted; a file that doesn't fit doesn't stop later ones."""
-    rows = files.groupBy(by).agg(F.array_sort(F.collect_list(F.struct("priority", "path", "tokens", "outline_tokens"))).alias("items"))
     most, most_outline = max(1, int(budget * per_file)), int(budget * outline)
-    start = F.struct(F.lit(0).cast("bigint").alias("used"), F.lit(0).cast("bigint").alias("outlined"), F.array().cast("array<struct<path:string,tokens:bigint,fate:string>>").alias("out"))
 
-    def step(s: Column, x: Column) -> Column:
-        whole = (x["tokens"] <= most) & (s["used"] + x["tokens"] <= budget)
-        part = ~whole & x["outline_tokens"].isNotNull() & (s["outlined"] + x["outline_tokens"] <= most_outline)
-        part = F.coalesce(part, F.lit(False))
-        fate = F.when(whole, "included").when(part, "outline").otherwise("omitted")
-        placed = F.struct(x["path"].cast("string").alias("path"), x["tokens"].cast("bigint").alias("tokens"), fate.alias("fate"))
-        return F.struct((s["used"] + F.when(whole, x["tokens"]).otherwise(0)).cast("bigint").alias("used"), (s["outlined"] + F.when(part, x["outline_tokens"]).otherwise(0)).cast("bigint").alias("outlined"), F.concat(s["out"], F.array(placed)).alias("out"))
+    def step(s: dict, row: Any) -> tuple:
+        if row.tokens <= most and s["used"] + row.tokens <= budget:
+            s["used"] += row.tokens
+            return ("included",)
+        if row.outline_tokens >= 0 and s["outlined"] + row.outline_tokens <= most_outline:
+            s["outlined"] += row.outline_tokens
+            return ("outline",)
+        return ("omitted",)
 
-    return rows.select(by, F.explode(F.aggregate("items", start, step)["out"]).alias("p")).select(by, "p.path", "p.tokens", "p.fate")
+    none = F.lit(-1)  # stands for no outline
+    rows = files.select(by, "priority", F.col("path").cast("string").alias("path"), F.col("tokens").cast("bigint").alias("tokens"), F.coalesce("outline_tokens", none).cast("bigint").alias("outline_tokens"))
+    return fold_in_order(rows, by, ["priority", "path", "tokens"], lambda: {"used": 0, "outlined": 0}, step, "fate string").select(by, "path", "tokens", "fate")
 
 
 def fill_prompt(files: DataFrame, budget: int | None, by: str = "query_id") -> DataFrame:
     """(query_id, ord, tokens, included): files in the given order, skipping what doesn't fit but trying later ones;
     no budget takes all."""
+    rows = files.select(by, F.col("ord").cast("bigint").alias("ord"), F.col("tokens").cast("bigint").alias("tokens"))
     if budget is None:
-        return files.select(by, "ord", "tokens", F.lit(True).alias("included"))
-    rows = files.groupBy(by).agg(F.array_sort(F.collect_list(F.struct("ord", "tokens"))).alias("items"))
-    start = F.struct(F.lit(0).cast("bigint").alias("used"), F.array().cast("array<struct<ord:bigint,tokens:bigint,included:boolean>>").alias("out"))
+        return rows.withColumn("included", F.lit(True))
 
-    def step(s: Column, x: Column) -> Column:
-        fits = s["used"] + x["tokens"] <= budget
-        placed = F.struct(x["ord"].cast("bigint").alias("ord"), x["tokens"].cast("bigint").alias("tokens"), fits.alias("included"))
-        return F.struct((s["used"] + F.when(fits, x["tokens"]).otherwise(0)).cast("bigint").alias("used"), F.concat(s["out"], F.array(placed)).alias("out"))
+    def step(s: dict, row: Any) -> tuple:
+        fits = s["used"] + row.tokens <= budget
+        s["used"] += row.tokens if fits else 0
+        return (bool(fits),)
 
-    return rows.select(by, F.explode(F.aggregate("items", start, step)["out"]).alias("p")).select(by, "p.ord", "p.tokens", "p.included")
+    return fold_in_order(rows, by, ["ord", "tokens"], lambda: {"used": 0}, step, "included boolean")
 
 
 def rollback_plan(before: DataFrame, now: DataFrame) -> DataFrame:
@@ -181,6 +205,31 @@ def read_sessions(raw: DataFrame, most_bytes: int = 8 << 20) -> DataFrame:
     return rows.where(good).select("s.id", "s.project", "s.status", "s.updated_at", F.size("s.turns").cast("bigint").alias("turns"))
 
 
+def session_summaries(sessions: DataFrame) -> DataFrame:
+    """``sessions`` (as read_sessions gives them) with place, the newest of each project first, and active: whether it
+    is the newest of its project that is still in play."""
+    open_ = F.when(F.col("status").isin("active", "awaiting-response"), F.struct("updated_at", "id"))
+    newest = sessions.groupBy("project").agg(F.max(open_)["id"].alias("__open"))
+    placed = ordered_paths(sessions.withColumn("__order", F.struct(-F.col("updated_at"), "id")), "project", "__order").drop("__order")
+    known = placed.alias("s").join(newest.alias("n"), F.col("s.project").eqNullSafe(F.col("n.project")))
+    return known.select("s.*", F.coalesce(F.col("id") == F.col("__open"), F.lit(False)).alias("active"))
+
+
+def context_candidates(files: DataFrame, requested: DataFrame, applied: DataFrame, recall: DataFrame, by: str = "session_id") -> DataFrame:
+    """(session, path, priority, missing) of files (session, path): 0 if requested, 1 if changed last turn, 2 and up by
+    recall (path, rank, of); others are left out, and what is requested but not there is missing."""
+    key = [by, "path"]
+    rows = files.select(*key, F.lit(True).alias("there")).join(requested.select(*key, F.lit(True).alias("asked")), key, "full_outer")
+    rows = rows.join(applied.select(*key, F.lit(True).alias("changed")), key, "left").join(recall.select(*key, "rank", "of"), key, "left")
+    priority = F.when(F.col("asked"), 0.0).when(F.col("changed"), 1.0).when(F.col("rank").isNotNull(), 2 + F.col("rank") / F.col("of"))
+    return rows.select(*key, priority.alias("priority"), F.col("there").isNull().alias("missing")).where("priority is not null")
+
+
+def changed_paths(turns: DataFrame, by: str = "session_id") -> DataFrame:
+    """The distinct paths that a session's turns (session, path, outcome) have applied."""
+    return turns.where("outcome = 'applied'").select(by, "path").distinct()
+
+
 def last_verification(turns: DataFrame, by: str = "session_id") -> DataFrame:
     return turns.where("verification is not null").groupBy(by).agg(F.max("turn").alias("turn"), F.max_by("verification", "turn").alias("verification"))
 

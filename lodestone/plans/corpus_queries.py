@@ -255,7 +255,7 @@ def set03(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("query_id", F.array_join(merged, " ").alias("terms"))
 
 
-def _headed(spark: SparkSession, sf_dir: str) -> DataFrame:
+def headed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as headed markdown: source and lang as headings, and every fifth line a deeper one."""
     lines = F.transform(F.split("text", "\n"), lambda x, i: F.when(i % 5 == 4, F.concat(F.lit("### "), x)).otherwise(x))
     return _docs(spark, sf_dir).select("doc_id", F.concat(F.lit("# "), "source", F.lit("\n## "), "lang", F.lit("\n"), F.array_join(lines, "\n")).alias("text"))
@@ -269,12 +269,12 @@ secs AS (SELECT doc_id, section_no, max(source || ' > ' || lang || coalesce(' >
 
 @register("win01_heading_paths", f"WITH {HEADED} SELECT doc_id, section_no::BIGINT AS section_no, heading_path FROM secs WHERE text <> ''")
 def win01(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.sections(C.doc_lines(_headed(spark, sf_dir))).select("doc_id", F.col("section_no").cast("bigint").alias("section_no"), "heading_path")
+    return C.sections(C.doc_lines(headed(spark, sf_dir))).select("doc_id", F.col("section_no").cast("bigint").alias("section_no"), "heading_path")
 
 
 @register("win03_split_sections", f"WITH {HEADED} SELECT doc_id, section_no::BIGINT AS section_no, md5(text) AS digest FROM secs WHERE text <> ''")
 def win03(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.sections(C.doc_lines(_headed(spark, sf_dir))).select("doc_id", F.col("section_no").cast("bigint").alias("section_no"), F.md5("text").alias("digest"))
+    return C.sections(C.doc_lines(headed(spark, sf_dir))).select("doc_id", F.col("section_no").cast("bigint").alias("section_no"), F.md5("text").alias("digest"))
 
 
 @register("win02_fence_state", "SELECT doc_id, unnest(range(0, 4 + len(string_split(text, chr(10)))))::INTEGER AS line_no, line_no BETWEEN 1 AND 2 OR line_no > 3 AS in_fence FROM documents")
@@ -285,12 +285,12 @@ def win02(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.number_chunks(C.chunk_sections(C.sections(C.doc_lines(_headed(spark, sf_dir)))))
+    return C.number_chunks(C.chunk_sections(C.sections(C.doc_lines(headed(spark, sf_dir)))))
 
 
 @register("win04_chunk_sections")
 def win04(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.chunk_sections(C.sections(C.doc_lines(_headed(spark, sf_dir))))
+    return C.chunk_sections(C.sections(C.doc_lines(headed(spark, sf_dir))))
 
 
 @register("win05_number_chunks")
@@ -307,5 +307,5 @@ def agg04(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("prj11_embed_input", f"WITH {HEADED} SELECT doc_id, section_no::BIGINT AS section_no, md5(heading_path || chr(10) || chr(10) || text) AS digest FROM secs WHERE text <> ''")
 def prj11(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = C.sections(C.doc_lines(_headed(spark, sf_dir)))
+    rows = C.sections(C.doc_lines(headed(spark, sf_dir)))
     return rows.select("doc_id", F.col("section_no").cast("bigint").alias("section_no"), F.md5(C.embed_input(F.col("heading_path"), F.col("text"))).alias("digest"))

@@ -126,12 +126,13 @@ def win14(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledger.unionByName(kept.select("session_id", "turn", F.concat(F.lit("kept as "), "index").alias("entry")))
 
 
-@register("src11_read_sessions", "SELECT 's-' || conv_id AS id, 'p' || (conv_id % 7) AS project, CASE WHEN conv_id % 3 = 0 THEN 'active' ELSE 'green' END AS status, conv_id * 1000 AS updated_at, count(*)::BIGINT AS turns FROM conversations WHERE conv_id % 10 <> 9 GROUP BY conv_id")
+@register("src11_read_sessions", "WITH s AS (SELECT 's-' || conv_id AS id, 'p' || (conv_id % 7) AS project, CASE WHEN conv_id % 3 = 0 THEN 'active' ELSE 'green' END AS status, conv_id * 1000 AS updated_at, count(*)::BIGINT AS turns FROM conversations WHERE conv_id % 10 <> 9 GROUP BY conv_id) SELECT *, row_number() OVER (PARTITION BY project ORDER BY updated_at DESC)::BIGINT AS place, status = 'active' AND updated_at = max(CASE WHEN status = 'active' THEN updated_at END) OVER (PARTITION BY project) AS active FROM s")
 def src11(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations as session files; every tenth is cut off."""
     per = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.collect_list(F.struct("turn", "role")).alias("turns"))
     text = F.to_json(F.struct(F.concat(F.lit("s-"), "conv_id").alias("id"), F.concat(F.lit("p"), F.col("conv_id") % 7).alias("project"), F.when(F.col("conv_id") % 3 == 0, "active").otherwise("green").alias("status"), (F.col("conv_id") * 1000).alias("updated_at"), "turns"))
-    return S.read_sessions(per.select(F.when(F.col("conv_id") % 10 == 9, F.left(text, F.lit(20))).otherwise(text).alias("value")))
+    read = S.read_sessions(per.select(F.when(F.col("conv_id") % 10 == 9, F.left(text, F.lit(20))).otherwise(text).alias("value")))
+    return S.session_summaries(read)
 
 
 SNAPSHOTS = """b AS (SELECT o_orderkey AS path, CASE WHEN o_orderkey % 3 = 0 THEN 'backup' WHEN o_orderkey % 3 = 1 THEN 'untracked' ELSE 'index' END AS origin, o_orderstatus AS hash FROM orders WHERE o_orderkey % 5 <> 0),
@@ -156,7 +157,7 @@ def set05(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("set06_changed_paths", f"WITH {TURNS}, a AS (SELECT DISTINCT session_id, length(text) % 10 AS path FROM turns WHERE outcome = 'applied'), e AS (SELECT DISTINCT session_id, length(text) % 10 AS path FROM turns WHERE role = 'user') SELECT a.session_id, count(*)::BIGINT AS changed, count(e.path)::BIGINT AS expected FROM a LEFT JOIN e ON a.session_id = e.session_id AND a.path = e.path GROUP BY a.session_id")
 def set06(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = _turns(spark, sf_dir).withColumn("path", F.length("text") % 10)
-    changed = turns.where("outcome = 'applied'").select("session_id", "path").distinct()
+    changed = S.changed_paths(turns)
     both = changed.intersect(turns.where("role = 'user'").select("session_id", "path")).withColumn("hit", F.lit(1))
     return changed.join(both, ["session_id", "path"], "left").groupBy("session_id").agg(F.count("*").alias("changed"), F.count("hit").alias("expected"))
 
@@ -197,10 +198,6 @@ def jon18(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns as files: turn 2 is requested but missing, assistants' turns were changed, all are recalled by length."""
     turns = _turns(spark, sf_dir).select("session_id", F.col("turn").alias("path"), "role", F.length("text").alias("n"))
     recall = turns.select("session_id", "path", (F.row_number().over(Window.partitionBy("session_id").orderBy("n", "path")) - 1).alias("rank"), F.count("*").over(Window.partitionBy("session_id")).alias("of"))
-    files = turns.where("path <> 2").select("session_id", "path", F.lit(True).alias("there"))
-    requested = turns.select("session_id").distinct().select("session_id", F.lit(2).cast("bigint").alias("path"), F.lit(True).alias("asked"))
-    applied = turns.where("role = 'assistant'").select("session_id", "path", F.lit(True).alias("changed"))
-    key = ["session_id", "path"]
-    rows = files.join(requested, key, "full_outer").join(applied, key, "left").join(recall, key, "left")
-    priority = F.when(F.col("asked"), 0.0).when(F.col("changed"), 1.0).when(F.col("rank").isNotNull(), 2 + F.col("rank") / F.col("of"))
-    return rows.select(*key, F.round(priority, 6).alias("priority"), F.col("there").isNull().alias("missing")).where("priority is not null")
+    requested = turns.select("session_id").distinct().withColumn("path", F.lit(2).cast("bigint"))
+    rows = S.context_candidates(turns.where("path <> 2"), requested, turns.where("role = 'assistant'"), recall)
+    return rows.withColumn("priority", F.round("priority", 6))

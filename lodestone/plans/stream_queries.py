@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lodestone.functions import hooks as H
 from lodestone.functions import text as T
 from lodestone.operators import vectors as V
+from lodestone.plans.corpus_queries import headed
 from lodestone.plans.registry import register
 from lodestone.plans.session_queries import TURNS, _turns
 from lodestone.plans.tables import table
@@ -34,11 +35,15 @@ def str04(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     "str02_stream_sessions",
-    f"WITH {TURNS}, n AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY turn) AS k FROM turns) SELECT session_id, turn, k::BIGINT AS turns, CASE WHEN outcome = 'applied' THEN 'green' WHEN outcome = 'no-op' OR k >= 12 THEN 'blocked' ELSE 'awaiting-response' END AS status, true AS accepted FROM n",
+    f"""WITH {TURNS}, f AS (SELECT *, CASE WHEN asks AND row_number() OVER (PARTITION BY session_id, asks, turn % 10 ORDER BY turn) = 1 THEN 1 ELSE 0 END AS new FROM turns),
+n AS (SELECT *, row_number() OVER w AS k, sum(new) OVER w AS supplied, sum((outcome = 'regressed')::INTEGER) OVER w AS regressions FROM f WINDOW w AS (PARTITION BY session_id ORDER BY turn))
+SELECT session_id, turn, k::BIGINT AS turns, CASE WHEN outcome = 'applied' THEN 'green' WHEN outcome = 'no-op' OR k >= 12 THEN 'blocked' ELSE 'awaiting-response' END AS status, true AS accepted, supplied::BIGINT AS supplied, regressions::BIGINT AS regressions FROM n""",
 )
 def str02(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns that ask for context name a path by the last digit of their number."""
     folder = scratch_folder(spark, "turns")
-    _turns(spark, sf_dir).select("session_id", "turn", "outcome").write.parquet(folder)
+    needs = F.when(F.col("needs") > 0, F.array(F.concat(F.lit("src/"), F.col("turn") % 10))).otherwise(F.array().cast("array<string>"))
+    _turns(spark, sf_dir).select("session_id", "turn", "outcome", needs.alias("needs")).write.parquet(folder)
     return J.replay(J.stream_sessions(J.read_stream(spark, folder)), "append", "sessions")
 
 
@@ -94,4 +99,4 @@ def udf05(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("udf06_chunk_text")
 def udf06(spark: SparkSession, sf_dir: str) -> DataFrame:
     spark.udtf.register("chunk_text", H.ChunkText)
-    return spark.sql("SELECT doc_id, c.chunk_index, c.tokens, md5(c.text) AS digest FROM {docs} d, LATERAL chunk_text(d.text, 300) c", docs=table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return spark.sql("SELECT doc_id, c.chunk_index, c.heading_path, c.tokens, md5(c.text) AS digest FROM {docs} d, LATERAL chunk_text(d.text, 300, 50) c", docs=headed(spark, sf_dir))

@@ -49,30 +49,35 @@ def stream_progress(events: DataFrame) -> DataFrame:
 
 
 def stream_sessions(turns: DataFrame, most_turns: int = 12, idle_ms: int | None = None) -> DataFrame:
-    """(session_id, turn, turns, status, accepted): a session's state after each of its turns (session_id, turn,
-    outcome). A turn not newer than the last one is rejected; turns are counted over the whole session. With
+    """(session_id, turn, turns, status, accepted, supplied, regressions): a session's state after each of its turns
+    (session_id, turn, outcome, needs: paths asked for). A turn not newer than the last one is rejected and changes
+    nothing; turns are counted over the whole session, as are the different paths supplied and the regressions. With
     ``idle_ms``, a session that stays idle so long is forgotten; a replay needs no such clock."""
-    schema = "session_id bigint, turn bigint, turns bigint, status string, accepted boolean"
+    schema = "session_id bigint, turn bigint, turns bigint, status string, accepted boolean, supplied bigint, regressions bigint"
 
     def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        last, count, status = state.get if state.exists else (-(1 << 62), 0, "awaiting-response")
+        last, count, status, supplied, regressions = state.get if state.exists else (-(1 << 62), 0, "awaiting-response", [], 0)
+        supplied = list(supplied)
         rows = pd.concat(list(batches)).sort_values(["turn", "outcome"])
         out = []
-        for turn, outcome in zip(rows["turn"].tolist(), rows["outcome"].tolist(), strict=True):
+        for turn, outcome, needs in zip(rows["turn"].tolist(), rows["outcome"].tolist(), rows["needs"].tolist(), strict=True):
             accepted = turn > last
             if accepted:
                 last, count = turn, count + 1
                 status = "green" if outcome == "applied" else "blocked" if outcome == "no-op" or count >= most_turns else "awaiting-response"
-            out.append((key[0], turn, count, status, accepted))
-        state.update((last, count, status))
+                supplied += [p for p in dict.fromkeys(needs if needs is not None else []) if p not in supplied]
+                regressions += outcome == "regressed"
+            out.append((key[0], turn, count, status, accepted, len(supplied), regressions))
+        state.update((last, count, status, supplied, int(regressions)))
         if idle_ms:
             state.setTimeoutDuration(idle_ms)
-        yield pd.DataFrame(out, columns=["session_id", "turn", "turns", "status", "accepted"])
+        yield pd.DataFrame(out, columns=[c.split()[0] for c in schema.split(", ")])
 
-    return turns.groupBy("session_id").applyInPandasWithState(fold, schema, "last bigint, turns bigint, status string", "append", GroupStateTimeout.ProcessingTimeTimeout if idle_ms else GroupStateTimeout.NoTimeout)
+    kinds = "last bigint, turns bigint, status string, supplied array<string>, regressions bigint"
+    return turns.groupBy("session_id").applyInPandasWithState(fold, schema, kinds, "append", GroupStateTimeout.ProcessingTimeTimeout if idle_ms else GroupStateTimeout.NoTimeout)
 
 
 def stream_index(documents: DataFrame, chunk: Callable[[DataFrame], DataFrame], embed: Callable[[DataFrame], DataFrame], folder: str) -> None:
