@@ -48,19 +48,25 @@ def codebase_map(skeletons: DataFrame, by: str = "project") -> DataFrame:
     return rows.groupBy(by).agg(ordered("path", "entry", "\n\n").alias("map")).withColumn("tokens", T.estimate_tokens(F.col("map")))
 
 
+def _paths(c: Column) -> Column:
+    return F.array_sort(F.collect_list(F.when(c, F.col("path"))))
+
+
 def coding_prompt(picked: DataFrame, trees: DataFrame, contract: str, by: str = "project") -> DataFrame:
-    """(project, prompt, skipped, sensitive) from files (project, path, content, included) and their trees: secrets
-    and files beyond the budget are named but not shown."""
-    rows = picked.withColumn("secret", P.is_sensitive(P.basename(F.col("path"))))
+    """(project, prompt, skipped, sensitive, unreadable) from files (project, path, content, included) and their trees:
+    included files are shown whole; among them those whose names look like secrets are reported, not dropped. Files
+    beyond the budget and files without content are named."""
+    rows = picked.withColumn("readable", F.col("content").isNotNull()).withColumn("shown", F.col("included") & F.col("readable"))
     fence = T.safe_fence(F.col("content"))
-    shown = F.concat(F.lit("File: "), "path", F.lit("\n"), fence, P.fence_language(F.col("path")), F.lit("\n"), "content", F.lit("\n"), fence)
-    rows = rows.withColumn("shown", F.when(F.col("included") & ~F.col("secret"), shown))
+    text = F.concat(F.lit("File: "), "path", F.lit("\n"), fence, P.fence_language(F.col("path")), F.lit("\n"), "content", F.lit("\n"), fence)
+    rows = rows.withColumn("text", F.when(F.col("shown"), text))
     per = rows.groupBy(by).agg(
-        ordered("path", "shown", "\n\n").alias("files"),
-        F.count_if(~F.col("included") & ~F.col("secret")).alias("skipped"),
-        F.count_if("secret").alias("sensitive"),
+        ordered("path", "text", "\n\n").alias("files"),
+        _paths(~F.col("included") & F.col("readable")).alias("skipped"),
+        _paths(F.col("shown") & P.is_sensitive(P.basename(F.col("path")))).alias("sensitive"),
+        _paths(~F.col("readable")).alias("unreadable"),
     )
-    return per.join(trees, by).select(by, F.concat("listing", F.lit("\n\n"), "files", F.lit("\n\n" + contract)).alias("prompt"), "skipped", "sensitive")
+    return per.join(trees, by).select(by, F.concat("listing", F.lit("\n\n"), "files", F.lit("\n\n" + contract)).alias("prompt"), "skipped", "sensitive", "unreadable")
 
 
 def full_document_prompt(docs: DataFrame, by: str = "request", chars: int = 400_000) -> DataFrame:
@@ -90,17 +96,78 @@ def prompt_summary(prompts: DataFrame, hits: DataFrame) -> DataFrame:
     return prompts.join(cites, "query_id").select("query_id", T.estimate_tokens(F.col("prompt")).alias("tokens"), F.col("documents").alias("documents"), F.col("excerpts").alias("chunks"), "citations")
 
 
-def turn_prompt(sessions: DataFrame, files: DataFrame, stages: DataFrame) -> DataFrame:
-    """(session_id, prompt): task, files with their hashes or outlines, what was omitted, and failed stages."""
-    shown = F.when(F.col("fate") == "included", F.concat(F.lit("File: "), "path", F.lit(" #"), T.content_hash(F.col("content")), F.lit("\n"), "content"))
-    listed = files.withColumn("shown", shown).groupBy("session_id").agg(
-        ordered("path", "shown", "\n\n").alias("files"),
-        ordered("path", F.when(F.col("fate") == "outline", F.col("path")), ", ").alias("outlines"),
-        ordered("path", F.when(F.col("fate") == "omitted", F.col("path")), ", ").alias("omitted"),
+def fenced(text: Column) -> Column:
+    fence = T.safe_fence(text)
+    return F.concat(fence, F.lit("\n"), text, F.lit("\n"), fence)
+
+
+def verification_text(stages: Column, failures: int = 25, lines: int = 40) -> Column:
+    """Stages (stage, command, success, failures, output) as text: a failed one with its first ``failures`` failures
+    (file, line, test, message), or the last ``lines`` lines of its output if none was read."""
+
+    def failure(x: Column) -> Column:
+        where = F.concat_ws(":", x["file"], x["line"].cast("string"))
+        return F.concat(F.lit("- "), where, F.when(F.coalesce(x["test"], F.lit("")) != "", F.concat(F.lit(" "), x["test"])).otherwise(""), F.lit(": "), F.coalesce(x["message"], F.lit("")))
+
+    def stage(r: Column) -> Column:
+        head = F.concat(r["stage"], F.lit(" (`"), r["command"], F.lit("`) — "), F.when(r["success"], "PASSED").otherwise("FAILED"))
+        out = F.split(F.coalesce(r["output"], F.lit("")), "\n")
+        last = F.array_join(F.slice(out, F.greatest(F.lit(1), F.size(out) - lines + 1), lines), "\n")
+        body = F.when(F.size(r["failures"]) > 0, F.array_join(F.transform(F.slice(r["failures"], 1, failures), failure), "\n")).otherwise(last)
+        return F.when(r["success"], head).otherwise(F.concat(head, F.lit("\n"), body))
+
+    return F.array_join(F.transform(stages, stage), "\n\n")
+
+
+def turn_prompt(sessions: DataFrame, files: DataFrame, contract: str = "", by: str = "session_id") -> DataFrame:
+    """(session_id, prompt, tokens, included, omitted) of sessions (session_id, turn, task, plan, decisions, applied,
+    verification, nonce) and their files (session_id, path, content, outline, fate).
+
+    In order, each where there is something to say: the task, the plan with its boxes, facts, what happened since the
+    last turn, files whole with their hashes, outlines, files not shown, verification, what to do next, the contract
+    and the nonce.
+    """
+    n_lines = F.size(F.split("content", "\n"))
+    whole = F.concat(F.lit("### "), "path", F.lit(" · "), n_lines, F.lit(" lines · sha "), T.content_hash(F.col("content")), F.lit("\n\n"), fenced(F.col("content")))
+    outline = F.concat(F.lit("### "), "path", F.lit("\n\n"), fenced(F.coalesce("outline", F.lit(""))))
+    absent = F.concat(F.lit("- "), "path", F.lit(" ("), n_lines, F.lit(" lines)"))
+    of = lambda fate, c: F.when(F.col("fate") == fate, c)
+    listed = files.groupBy(by).agg(
+        ordered("path", of("included", whole), "\n\n").alias("files"),
+        ordered("path", of("outline", outline), "\n\n").alias("outlines"),
+        ordered("path", of("omitted", absent), "\n").alias("absent"),
+        _paths(F.col("fate") == "included").alias("included"),
+        _paths(F.col("fate") == "omitted").alias("omitted"),
+    )
+    boxes = {"done": "[x]", "active": "[>]", "blocked": "[!]"}
+    box = lambda status: F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in boxes.items() for x in kv]), status), F.lit("[ ]"))
+    plan = F.array_join(F.transform("plan", lambda p, i: F.concat(box(p["status"]), F.lit(" "), i + 1, F.lit(". "), p["text"])), "\n")
+    failed = F.transform(F.filter("verification", lambda r: ~r["success"]), lambda r: r["stage"])
+    since = F.concat_ws(
+        "\n",
+        F.when(F.size("applied") > 0, F.concat(F.lit("- applied: "), F.array_join("applied", ", "))),
+        F.when(F.size("verification") > 0, F.when(F.size(failed) == 0, "- verification: all stages passed").otherwise(F.concat(F.lit("- verification: "), F.array_join(failed, ", "), F.lit(" FAILED")))),
+    )
+    part = lambda title, c: F.when(F.coalesce(c, F.lit("")) != "", F.concat(F.lit(f"## {title}\n\n"), c))
+    rows = sessions.join(listed, by, "left")
+    prompt = F.concat_ws(
+        "\n\n",
+        F.concat(F.lit("# Coding session — turn "), "turn"),
+        part("Task", F.col("task")),
+        part("Plan", plan),
+        part("Project facts", F.array_join(F.transform("decisions", lambda d: F.concat(F.lit("- "), d)), "\n")),
+        part("Since the last turn", since),
+        part("Files — current on-disk content", F.col("files")),
+        part("File outlines — signatures only", F.col("outlines")),
+        part("Not shown — request with ===Need===", F.col("absent")),
+        part("Verification output", F.when(F.size("verification") > 0, fenced(verification_text(F.col("verification"))))),
+        part("Your next action", F.lit("Take the smallest step that advances the plan; ask for a file that is not shown with ===Need===.")),
+        F.nullif(F.lit(contract), F.lit("")),
+        part("Turn reference", F.col("nonce")),
     )
-    part = lambda title, c: F.when(F.coalesce(c, F.lit("")) != "", F.concat(F.lit(f"## {title}\n"), c))
-    rows = sessions.join(listed, "session_id", "left").join(stages, "session_id", "left")
-    return rows.select("session_id", F.concat_ws("\n\n", part("Task", F.col("task")), part("Files", F.col("files")), part("Outlines", F.col("outlines")), part("Omitted", F.col("omitted")), part("Verification", F.col("summary"))).alias("prompt"))
+    none = F.array().cast("array<string>")
+    rows = rows.withColumn("prompt", prompt)
+    return rows.select(by, "prompt", T.estimate_tokens(F.col("prompt")).alias("tokens"), F.coalesce("included", none).alias("included"), F.coalesce("omitted", none).alias("omitted"))
 
 
 def attach_figure_notes(docs: DataFrame, notes: DataFrame) -> DataFrame:

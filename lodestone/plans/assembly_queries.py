@@ -115,10 +115,14 @@ def agg06(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("asm03_coding_prompt")
 def asm03(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = sources(spark, sf_dir).withColumn("project", F.substring_index("path", "/", 1))
-    sized = rows.select(F.col("project").alias("query_id"), F.col("k").alias("ord"), T.estimate_tokens(F.col("content")).alias("tokens"))
+    """Sources of a folder within 2000 tokens; some can't be read, some have names of secrets."""
+    k = F.col("k")
+    path = F.when(k % 11 == 3, F.concat(F.col("project"), F.lit("/.env."), k)).otherwise(F.col("path"))
+    rows = sources(spark, sf_dir).withColumn("project", F.substring_index("path", "/", 1)).select("k", "project", path.alias("path"), F.when(k % 13 != 5, F.col("content")).alias("content"))
+    sized = rows.where("content is not null").select(F.col("project").alias("query_id"), F.col("k").alias("ord"), T.estimate_tokens(F.col("content")).alias("tokens"))
     fit = S.fill_prompt(sized, 2000).select(F.col("ord").alias("k"), "included")
-    return A.coding_prompt(rows.join(fit, "k"), A.tree_listing(rows.select("project", "path")), "Answer with whole files.")
+    picked = rows.join(fit, "k", "left").withColumn("included", F.coalesce("included", F.lit(False)))
+    return A.coding_prompt(picked, A.tree_listing(rows.select("project", "path")), "Answer with whole files.")
 
 
 @register("asm04_full_document_prompt", "SELECT source || '-' || (doc_id // 100) AS request, md5(string_agg('## doc-' || doc_id || chr(10) || chr(10) || CASE WHEN length(text) > 4000 THEN left(text, 4000) || chr(10) || chr(10) || '[TRUNCATED: the document is longer than the limit]' ELSE text END, chr(10) || chr(10) ORDER BY 'doc-' || doc_id)) AS digest, count(*)::BIGINT AS documents FROM documents GROUP BY ALL")
@@ -163,11 +167,28 @@ def jon11(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("asm06_turn_prompt")
 def asm06(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Groups of documents as sessions, fitted to a budget."""
+    """Groups of documents as sessions, fitted to a budget; their labels as verification."""
     fitted = S.fit_to_budget(_budget_files(spark, sf_dir), 8000).select(F.col("query_id").alias("session_id"), "path", "fate")
-    contents = table(spark, sf_dir, "documents").select(F.concat(F.lit("doc-"), "doc_id").alias("path"), F.col("text").alias("content"))
-    sessions = fitted.select("session_id").distinct().withColumn("task", F.concat(F.lit("summarise "), "session_id"))
-    return A.turn_prompt(sessions, fitted.join(contents, "path"), sessions.select("session_id", F.lit("All verification stages passed.").alias("summary")))
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("doc-"), "doc_id").alias("path"), F.col("text").alias("content"), F.substring_index("text", "\n", 1).alias("outline"))
+    files_ = fitted.join(docs, "path")
+    failure = F.struct(F.col("path").alias("file"), F.col("doc_id").alias("line"), F.lit(None).cast("string").alias("test"), F.lit("poor").alias("message"))
+    judged = files_.join(table(spark, sf_dir, "labels"), "doc_id", "left")
+    failures = F.transform(F.array_sort(F.collect_list(F.when(F.col("quality") == 0, F.struct("doc_id", failure.alias("f"))))), lambda x: x["f"])
+    per = judged.groupBy("session_id").agg(failures.alias("failures"), F.min("doc_id").alias("first"), F.count_if(F.col("toxic") == 1).alias("toxic"))
+    lint = F.struct(F.lit("lint").alias("stage"), F.lit("run lint").alias("command"), (F.size("failures") == 0).alias("success"), "failures", F.lit("").alias("output"))
+    tests = F.struct(F.lit("test").alias("stage"), F.lit("run tests").alias("command"), (F.col("toxic") == 0).alias("success"), F.array().cast("array<struct<file:string,line:bigint,test:string,message:string>>").alias("failures"), F.array_join(F.transform(F.sequence(F.lit(1), F.lit(60)), lambda i: F.concat(F.lit("line "), i)), "\n").alias("output"))
+    step = lambda status, text: F.struct(F.lit(status).alias("status"), F.lit(text).alias("text"))
+    sessions = per.select(
+        "session_id",
+        (F.col("first") % 7 + 1).alias("turn"),
+        F.concat(F.lit("summarise "), "session_id").alias("task"),
+        F.array(step("done", "read"), step("active", "write"), step("blocked", "check"), step("pending", "send")).alias("plan"),
+        F.when(F.col("first") % 2 == 0, F.array(F.lit("plain words"), F.lit("short"))).otherwise(F.array().cast("array<string>")).alias("decisions"),
+        F.when(F.col("first") % 3 == 0, F.array(F.concat(F.lit("doc-"), "first"))).otherwise(F.array().cast("array<string>")).alias("applied"),
+        F.array(lint, tests).alias("verification"),
+        F.concat(F.lit("n-"), "first").alias("nonce"),
+    )
+    return A.turn_prompt(sessions, files_, "Answer with whole files.")
 
 
 @register("jon13_attach_figure_notes", "SELECT doc_id, source || chr(10) || '![a](img/f1.png)' || chr(10) || '> first of ' || doc_id || chr(10) || '![b](img/f1.png)' || chr(10) || text || chr(10) || chr(10) || '## Figures' || chr(10) || '- f2.png: second' AS text FROM documents")
