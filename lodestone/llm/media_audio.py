@@ -1,9 +1,10 @@
 """MPEG audio as a media column: a writer that carries any payload, and a tolerant reader.
 
-The reader skips ID3v2 tags (and their footer) and an ID3v1 tag where frames or junk end, without reading their
-fields (but for the writer's own length); after junk it takes a header again if the next one agrees or its CRC does.
-It reads Xing/Info and VBRI tables, checks the CRC of protected frames of layers I and III (not of layer II), and
-returns the exact duration as samples over rate and one seek offset per frame. The writer makes MPEG-1 layer III
+The reader takes the text fields of ID3v2 tags and of an ID3v1 tag where frames or junk end; after junk it takes a
+header again if the next one agrees or its CRC does. It reads Xing/Info and VBRI tables with their seek points and the
+encoder's delay and padding, checks the CRC of protected frames of layers I and III (not of layer II, whose CRC covers
+a length that its allocation tables give), and returns the exact duration as samples over rate, less delay and
+padding, and one seek offset per frame. The writer makes MPEG-1 layer III
 mono frames of silence whose ancillary bytes hold the payload, each protected by its CRC, at the smallest
 bitrate that fits, behind an ID3v2 tag (with the payload's length) and a Xing frame with a 100-entry seek table.
 """
@@ -36,7 +37,7 @@ SAMPLES = {(True, 1): 384, (True, 2): 1152, (True, 3): 1152, (False, 1): 384, (F
 BODY = 4 + 2 + 17
 UNIT = 64
 
-PROBE = "struct<payload:binary,payload_bytes:bigint,frames:bigint,bad_crc:bigint,junk_bytes:bigint,samples:bigint,rate:int,duration_us:bigint,vbr:string,tag_bytes:bigint,frame_offsets:array<bigint>,seek_ok:boolean>"
+PROBE = "struct<payload:binary,payload_bytes:bigint,frames:bigint,bad_crc:bigint,junk_bytes:bigint,samples:bigint,rate:int,duration_us:bigint,vbr:string,tag_bytes:bigint,frame_offsets:array<bigint>,seek_ok:boolean,skipped_samples:bigint,tags:map<string,string>>"
 
 
 def _crc_table() -> list[int]:
@@ -134,21 +135,48 @@ def write_mpeg(payload: bytes) -> bytes:
     return tag + xing + b"".join(frames)
 
 
+_ENCODINGS = ("latin-1", "utf-16", "utf-16-be", "utf-8")
+
+
+def id3v2_fields(tag: bytes) -> dict[str, str]:
+    """The text frames of an ID3v2.3 or 2.4 tag by their four letters, own ones (TXXX) by their description."""
+    out, at, end = {}, 10, 10 + _unsyncsafe(tag[6:10])
+    if tag[5] & 0x40:  # an extended header
+        at += _unsyncsafe(tag[10:14]) if tag[3] == 4 else 4 + int.from_bytes(tag[10:14], "big")
+    while at + 10 <= min(end, len(tag)) and tag[at : at + 4].strip(b"\0"):
+        name, size = tag[at : at + 4], _unsyncsafe(tag[at + 4 : at + 8]) if tag[3] == 4 else int.from_bytes(tag[at + 4 : at + 8], "big")
+        body = tag[at + 10 : at + 10 + size]
+        if name[:1] == b"T" and body and body[0] < 4:
+            text = body[1:].decode(_ENCODINGS[body[0]], "replace").rstrip("\0")
+            key, _, value = text.partition("\0") if name == b"TXXX" else (name.decode("latin-1"), "", text)
+            out.setdefault(key.lstrip("\ufeff"), value.lstrip("\ufeff"))
+        at += 10 + size
+    return out
+
+
+def id3v1_fields(tag: bytes) -> dict[str, str]:
+    """Title, artist, album and year of the 128 bytes of an ID3v1 tag, under the names that ID3v2 gives them."""
+    places = {"TIT2": (3, 33), "TPE1": (33, 63), "TALB": (63, 93), "TYER": (93, 97)}
+    got = {k: tag[a:b].split(b"\0")[0].decode("latin-1").strip() for k, (a, b) in places.items()}
+    return {k: v for k, v in got.items() if v}
+
+
 _SYNC = re.compile(rb"\xff[\xe0-\xff]", re.S)
 
 
 def read_mpeg(raw: bytes) -> dict:
     """What PROBE says. Damaged or foreign bytes never raise: they are counted as junk, and absent parts are zero."""
-    at, end, tags, length = 0, len(raw), 0, None
+    at, end, tags, length, fields, skipped = 0, len(raw), 0, None, {}, 0
     while raw[at : at + 3] == b"ID3" and end - at >= 10:
         size = 10 + _unsyncsafe(raw[at + 6 : at + 10]) + (10 if raw[at + 5] & 0x10 else 0)
         if m := re.search(rb"TXXX.{6}\0payload\0(\d+)", raw[at : at + size], re.S):
             length = int(m[1])
+        fields = id3v2_fields(raw[at : at + size]) | fields
         at, tags = min(end, at + size), tags + size
     # a tag only where no frame holds its place: a payload may have these letters there
     tag = end - 128 if end - at >= 128 and raw[end - 128 : end - 125] == b"TAG" else end
     lost = True
-    offsets, data, junk, bad, samples, rate, vbr, table, last, audio_at = [], [], 0, 0, 0, 0, "", None, b"", at
+    offsets, data, junk, bad, samples, rate, vbr, table, last, audio_at, points, step, scale = [], [], 0, 0, 0, 0, "", None, b"", at, [], 0, 0
     while at + 4 <= end:
         head = raw[at : at + 4]
         h = header(head)
@@ -158,6 +186,7 @@ def read_mpeg(raw: bytes) -> dict:
             ok = header(after) is not None and _same_stream(head, after) or h[4] and h[5] != 2 and _crc_holds(raw, at, h[3])
         if not ok:
             if at == tag:
+                fields = id3v1_fields(raw[tag:end]) | fields
                 end, tags = tag, tags + 128
                 break
             lost = True
@@ -176,13 +205,20 @@ def read_mpeg(raw: bytes) -> dict:
             body = first
             vbr = raw[body : body + 4].decode()
             if vbr == "VBRI":
-                table = (int.from_bytes(raw[body + 14 : body + 18], "big"), int.from_bytes(raw[body + 10 : body + 14], "big"), b"")
+                number = lambda p, n: int.from_bytes(raw[body + p : body + p + n], "big")  # noqa: B023, E731
+                entries, scale, width, step = number(18, 2), number(20, 2), number(22, 2), number(24, 2)
+                points = [number(26 + width * k, width) * scale for k in range(entries)] if 1 <= width <= 4 and step else []
+                table = (number(14, 4), number(10, 4), b"")
             else:
                 flags, p, got = int.from_bytes(raw[body + 4 : body + 8], "big"), body + 8, [None, None]
                 for k in (0, 1):
                     if flags >> k & 1:
                         got[k], p = int.from_bytes(raw[p : p + 4], "big"), p + 4
                 table = (*got, raw[p : p + 100] if flags & 4 else b"")
+                p += 100 * bool(flags & 4) + 4 * bool(flags & 8)
+                if raw[p : p + 4] in (b"LAME", b"Lavf", b"Lavc"):  # the encoder's own block
+                    gap = int.from_bytes(raw[p + 21 : p + 24], "big")
+                    skipped = (gap >> 12) + (gap & 0xFFF)
         else:
             offsets.append(at)
             data.append(raw[body : at + size])
@@ -194,8 +230,15 @@ def read_mpeg(raw: bytes) -> dict:
     seek_ok = table is not None and table[0] == len(offsets) and table[1] == audio
     if seek_ok and len(table[2]) == 100 and offsets:
         seek_ok = all(abs(t - 256 * (offsets[p * len(offsets) // 100] - audio_at) // audio) <= 1 for p, t in enumerate(table[2]))
+    if seek_ok and points and offsets:
+        # each point is the bytes of ``step`` frames; together they lead to the frames' places
+        reached, places = 0, [*offsets, end]
+        for k, size in enumerate(points, 1):
+            reached += size
+            seek_ok = seek_ok and abs(reached - (places[min(len(offsets), k * step)] - offsets[0])) <= scale * k
     payload = payload[:length] if length is not None else payload
-    return {"payload": payload, "payload_bytes": len(payload), "frames": len(offsets), "bad_crc": bad, "junk_bytes": junk, "samples": samples, "rate": rate, "duration_us": samples * 1_000_000 // rate if rate else 0, "vbr": vbr, "tag_bytes": tags, "frame_offsets": offsets, "seek_ok": seek_ok}
+    skipped = min(skipped, samples)
+    return {"payload": payload, "payload_bytes": len(payload), "frames": len(offsets), "bad_crc": bad, "junk_bytes": junk, "samples": samples, "rate": rate, "duration_us": (samples - skipped) * 1_000_000 // rate if rate else 0, "vbr": vbr, "tag_bytes": tags, "frame_offsets": offsets, "seek_ok": seek_ok, "skipped_samples": skipped, "tags": fields}
 
 
 def _encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -203,9 +246,12 @@ def _encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield pd.Series([write_mpeg(padded((t or "").encode())) for t in texts], dtype=object)
 
 
+_PROBED = "payload payload_bytes frames bad_crc junk_bytes samples rate duration_us vbr tag_bytes frame_offsets seek_ok skipped_samples tags".split()
+
+
 def _probe(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     for media in batches:
-        yield pd.DataFrame([read_mpeg(m or b"") for m in media], columns=[c.split(":")[0] for c in re.sub(r"^struct<|>$", "", PROBE).split(",")])
+        yield pd.DataFrame([read_mpeg(m or b"") for m in media], columns=_PROBED)
 
 
 _DIGEST = "struct<payload_bytes:bigint,payload_sha256:string,tail_crc32:bigint,feature:string,duration_us:bigint,frame_offsets:array<bigint>>"
