@@ -111,6 +111,33 @@ def test_tags_and_headers_after_junk():
     assert read["vbr"] == "VBRI" and read["frames"] == 3 and read["seek_ok"]
 
 
+def test_fields_delays_and_seek_points(spark):
+    good = media_audio.write_mpeg(bytes(5000))
+    text = lambda name, enc, body: name + media_audio._syncsafe(len(body) + 1) + b"\0\0" + bytes([enc]) + body
+    frames = text(b"TIT2", 3, "Título".encode()) + text(b"TPE1", 1, "Ann".encode("utf-16")) + text(b"TXXX", 0, b"mood\0calm") + b"APIC" + media_audio._syncsafe(3) + b"\0\0abc"
+    tag = b"ID3\x04\0\0" + media_audio._syncsafe(len(frames) + 20) + frames + bytes(20)
+    old = b"TAG" + b"Old title".ljust(30, b"\0") + b"Bob".ljust(30, b"\0") + b"Songs".ljust(30) + b"1999" + bytes(31)
+    read = media_audio.read_mpeg(tag + good + old)
+    assert read["tags"] == {"TIT2": "Título", "TPE1": "Ann", "mood": "calm", "payload": "5000", "TALB": "Songs", "TYER": "1999"}
+    assert read["payload"] == bytes(5000) and read["junk_bytes"] == 0
+    head = bytes((0xFF, 0xFB, 0x90, 0xC0))
+    size, samples, rate, *_ = media_audio.header(head)
+    one = head + bytes(size - 4)
+    lame = head + bytes(17) + b"Info" + struct.pack(">III", 3, 6, 7 * size) + b"LAME3.100".ljust(21, b"\0") + (576 << 12 | 1000).to_bytes(3, "big")
+    read = media_audio.read_mpeg(lame.ljust(size, b"\0") + one * 6)
+    assert (read["frames"], read["samples"], read["skipped_samples"]) == (6, 6 * samples, 1576) and read["seek_ok"]
+    assert read["duration_us"] == (6 * samples - 1576) * 10**6 // rate
+
+    def vbri(points):
+        table = struct.pack(f">HHHH{len(points)}H", len(points), 1, 2, 2, *points)
+        return (head + bytes(32) + b"VBRI" + struct.pack(">HHHII", 1, 0, 0, 7 * size, 6) + table).ljust(size, b"\0") + one * 6
+
+    assert media_audio.read_mpeg(vbri([2 * size] * 3))["seek_ok"] and not media_audio.read_mpeg(vbri([2 * size, size, size]))["seek_ok"]
+    df = spark.createDataFrame([(bytearray(tag + good),), (None,), (bytearray(b"ID3\x04\0\0\0\0\0\x7fT"),)], "media binary")
+    got = [r.p for r in df.select(media_audio.probe_mpeg(F.col("media")).alias("p")).collect()]
+    assert got[0].tags["TIT2"] == "Título" and got[1].frames == 0 and got[2].frames == 0
+
+
 # 2: n-gram Jaccard join
 
 
