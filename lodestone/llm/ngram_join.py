@@ -246,7 +246,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows alone has a null class_id; an empty table gives no rows. Other columns are not read.
     """
     keyed, classes = _classes(_standard(docs, id_col, text_col), n, percent, recall)
-    named = classes.groupBy("root").agg(F.min("least").alias("class_id"))
+    classes = checkpointed(classes)
+    named = checkpointed(classes.groupBy("root").agg(F.min("least").alias("class_id")))  # so that a large class can be split
     classes = classes.join(named, "root").select("key", "class_id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
     return keyed.join(classes, "key").select("doc_id", "class_id", "n_links", F.col("n_grams").cast("bigint").alias("n_grams"))
 
@@ -276,11 +277,13 @@ def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     Null texts are empty, and one row without words stays; an empty table stays empty.
     """
     keyed, per = _classes(_standard(docs, id_col, text_col), n, percent, recall)
-    first = per.groupBy("root").agg(F.sum("copies").alias("rows"))
-    grouped = per.join(first.where("rows > 1").select("root"), "root").select("key", "root")
+    # what is joined below is written first, so that Spark can split a large class
+    per = checkpointed(per)
+    several = checkpointed(per.groupBy("root").agg(F.sum("copies").alias("rows")).where("rows > 1").select("root"))
+    grouped = per.join(several, "root").select("key", "root")
     members = keyed.join(grouped, "key").groupBy("root", *ROW).agg(F.count("*").alias("times"))
     members = checkpointed(members.withColumn("rank", F.struct(F.col("doc_id").isNull(), *ROW)))
-    best = members.groupBy("root").agg(F.min("rank").alias("best"))
+    best = checkpointed(members.groupBy("root").agg(F.min("rank").alias("best")))
     # whatever is a member goes, but for the best, of which one row stays
     verdict = members.join(best, "root").select(*ROW, "times", F.col("rank").eqNullSafe(F.col("best")).alias("stays"))
     verdict = checkpointed(verdict.where("not stays or times > 1"))
