@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import chat, license_scan, media_audio, mixing, ngram_join, packing, quality_classifier, quality_rules, token_counts, toxicity
+from lodestone.llm import chat, license_scan, media_audio, mixing, ngram_join, packing, periodic_runs, phrase_fingerprint, quality_classifier, quality_rules, spelling_variants, token_counts, toxicity
 from lodestone.llm.shared import table
 
 
@@ -57,6 +57,18 @@ def op10_compression_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(docs, toxicity.learn(docs, table(spark, sf_dir, "labels")))
 
 
+def op11_phrase_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrase_fingerprint.edited_likeness(table(spark, sf_dir, "documents"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.run_digests(table(spark, sf_dir, "documents"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants.document_variants(table(spark, sf_dir, "documents"))
+
+
 _ALL = (
     op1_mpeg_audio,
     op2_ngram_jaccard,
@@ -68,6 +80,9 @@ _ALL = (
     op8_license_diagonals,
     op9_rule_cascade,
     op10_compression_toxicity,
+    op11_phrase_fingerprint,
+    op12_periodic_runs,
+    op13_spelling_variants,
 )
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
 ORACLES: dict[str, str] = {
