@@ -131,12 +131,16 @@ def strip_ansi(text: Column) -> Column:
 
 
 def salvage_json(reply: Column) -> Column:
-    """The JSON object in a reply: inside a fence if there is one, from the first { to the last }, and without the
-    commas before a closing bracket that strict parsers refuse. Null where there is none."""
-    fenced = F.regexp_extract(reply, r"(?s)```[a-zA-Z]*\s*\n(.*?)```", 1)
-    body = F.when(fenced != "", fenced).otherwise(reply)
+    """The JSON object in a reply: inside a fence if there is one, from the first { to the last }, as it stands if it
+    parses, else without the commas before a closing bracket, if that parses. Null where there is none; an object that
+    repeats a key counts as none."""
+    fence = r"(?is)```(?:json)?\s*(.*?)```"
+    body = F.when(reply.rlike(fence), F.regexp_extract(reply, fence, 1)).otherwise(reply)
     inner = F.regexp_extract(body, r"(?s)(\{.*\})", 1)
-    return F.when(inner != "", F.regexp_replace(inner, r",(\s*[}\]])", "$1"))
+    # as the element of a list, so that nothing may follow the object
+    parses = lambda c: F.try_parse_json(F.concat(F.lit("["), c, F.lit("]"))).isNotNull()
+    loose = F.regexp_replace(inner, r",(\s*[}\]])", "$1")
+    return F.when(inner == "", None).when(parses(inner), inner).when(parses(loose), loose)
 
 
 def insert_instruction(prompt: Column, text: Column, heading: str = "## Output") -> Column:

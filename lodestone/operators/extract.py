@@ -20,6 +20,12 @@ BACKTICKED = r"`([^`\n]*?\.[A-Za-z0-9]{1,12})`"
 BOLD = r"\*\*([^*\n]*?\.[A-Za-z0-9]{1,12})\*\*"
 PAIR = r"(?m)^<<<<<<< SEARCH[ \t]*\n((?s:.*?))^={7,}[ \t]*\n((?s:.*?))^>>>>>>> REPLACE"
 FENCE = r"^ {0,3}(`{3,}|~{3,})"
+# Languages that may stand alone above a file's text.
+LANGUAGES = [
+    "ts", "typescript", "tsx", "js", "javascript", "jsx", "mjs", "cjs", "py", "python", "rb", "ruby", "go", "rs", "rust",
+    "java", "kt", "swift", "php", "cs", "c", "cpp", "h", "hpp", "css", "scss", "html", "vue", "svelte", "json", "yaml",
+    "yml", "toml", "md", "markdown", "sh", "bash", "zsh", "sql", "xml", "ini", "env",
+]
 
 
 def section_body(text: Column, name: str) -> Column:
@@ -119,9 +125,15 @@ def header_sections(responses: DataFrame) -> DataFrame:
 
 
 def plain_blocks(parts: DataFrame) -> DataFrame:
-    """Sections without fences or patch marks as whole files, blank lines at their ends trimmed."""
+    """Sections without fences or patch marks as whole files that end in a line end: a first line that names a language,
+    in brackets or by a known name alone, is left out, and so are blank lines at both ends."""
     plain = parts.where(~F.col("body").rlike(r"(?m)^ {0,3}(?:`{3,}|~{3,})") & ~F.col("body").rlike(r"(?m)^<<<<<<< SEARCH"))
-    return plain.select("response_id", "section_no", "path", F.regexp_replace("body", r"^(?:[ \t]*\n)+|(?:\n[ \t]*)+$", "").alias("content")).where(F.trim("content") != "")
+    bare = lambda c: F.regexp_replace(c, r"^(?:[^\S\n]*\n)+|(?:\n[^\S\n]*)+$", "")
+    rows = plain.select("response_id", "section_no", "path", bare(F.regexp_replace("body", r"\r\n", "\n")).alias("body"))
+    first = T.trimmed(F.substring_index("body", "\n", 1))
+    named = first.rlike(r"^\(.*\)$") | F.lower(F.translate(first, "()", "")).isin(LANGUAGES)
+    rest = F.when(named, bare(F.regexp_replace("body", r"^[^\n]*\n?", ""))).otherwise(F.col("body"))
+    return rows.withColumn("body", rest).where(T.trimmed(F.col("body")) != "").select("response_id", "section_no", "path", F.concat("body", F.lit("\n")).alias("content"))
 
 
 def patch_pairs(parts: DataFrame) -> DataFrame:

@@ -103,10 +103,13 @@ def apply_picks(shortlist: DataFrame, picks: DataFrame, top_k: int) -> DataFrame
     return joined.withColumn("place", F.row_number().over(order)).where(F.col("place") <= top_k).drop("ord")
 
 
-def reuse_vectors(chunks: DataFrame, old: DataFrame) -> DataFrame:
-    """``chunks`` (document, heading_path, text, ...) with the vector of an old chunk equal in all three, else null."""
-    key = F.sha2(F.concat_ws("\u001f", F.coalesce("document", F.lit("")), F.coalesce("heading_path", F.lit("")), F.coalesce("text", F.lit(""))), 256)
-    known = old.select(key.alias("k"), F.col("embedding").alias("vector")).groupBy("k").agg(F.first("vector").alias("vector"))
+def reuse_vectors(chunks: DataFrame, old: DataFrame, model: str) -> DataFrame:
+    """``chunks`` (document, heading_path, text, ...) with the vector of an old chunk (the same with model, embedding)
+    that is equal in all three and was made by ``model``, else null. Nulls are equal to nulls and to nothing else."""
+    parts = [F.coalesce(F.concat(F.lit("="), F.length(c).cast("string"), F.lit("="), F.col(c).cast("string")), F.lit("-")) for c in ("document", "heading_path", "text")]
+    key = F.sha2(F.concat(*parts), 256)  # lengths keep the parts apart
+    mine = old.where((F.col("model") == model) & F.col("embedding").isNotNull())
+    known = mine.select(key.alias("k"), F.col("embedding").alias("vector")).groupBy("k").agg(F.first("vector").alias("vector"))
     return chunks.withColumn("k", key).join(known, "k", "left").drop("k")
 
 

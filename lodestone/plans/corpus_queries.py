@@ -78,10 +78,12 @@ def fn09(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _docs(spark, sf_dir).select("doc_id", T.safe_fence(held).alias("fence"))
 
 
-@register("fn10_salvage_json", "SELECT p_partkey, p_name AS name, p_size::BIGINT AS size FROM part")
+@register("fn10_salvage_json", "SELECT p_partkey, p_name || CASE WHEN p_partkey % 3 <> 0 AND p_partkey % 5 = 0 THEN ' [a, ].ts,}' ELSE '' END AS name, p_size::BIGINT AS size FROM part")
 def fn10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Objects behind prose or in a fence, a third with commas too many; valid ones may hold such commas in a name."""
     part = table(spark, sf_dir, "part")
-    plain = F.to_json(F.struct(F.array(F.struct(F.col("p_name").alias("name"), F.col("p_size").alias("size"))).alias("files")))
+    name = F.concat("p_name", F.when((F.col("p_partkey") % 3 != 0) & (F.col("p_partkey") % 5 == 0), " [a, ].ts,}").otherwise(""))
+    plain = F.to_json(F.struct(F.array(F.struct(name.alias("name"), F.col("p_size").alias("size"))).alias("files")))
     loose = F.when(F.col("p_partkey") % 3 == 0, F.regexp_replace(plain, r"\]\}$", ", ] , }")).otherwise(plain)
     reply = F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit("Sure:\n```json\n"), loose, F.lit("\n```\nDone."))).otherwise(F.concat(F.lit("Here it is: "), loose, F.lit(" - that's all")))
     read = F.from_json(T.salvage_json(reply), "files array<struct<name:string,size:bigint>>")

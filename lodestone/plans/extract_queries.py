@@ -16,7 +16,8 @@ ANSWERS = "answers AS (SELECT conv_id * 1000 + turn AS response_id, conv_id, tur
 
 
 def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Assistants' turns as answers of six kinds: full fence, patch, delete, plain section, open fence, prose."""
+    """Assistants' turns as answers of six kinds: full fence, patch, delete, plain section (some with a line that names a
+    language), open fence, prose."""
     rows = table(spark, sf_dir, "conversations").where("role = 'assistant'")
     path = F.concat(F.lit("src/c"), "conv_id", F.lit("/t"), "turn", F.lit(".md"))
     k = (F.col("conv_id") + F.col("turn")) % 6
@@ -24,7 +25,7 @@ def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(k == 0, F.concat(F.lit("File: "), path, F.lit("\n```md\n"), "text", F.lit("\n```")))
         .when(k == 1, F.concat(F.lit("**File:** `"), path, F.lit("`\n<<<<<<< SEARCH\nold\n=======\n"), "text", F.lit("\n>>>>>>> REPLACE")))
         .when(k == 2, F.concat(F.lit("Delete: "), path))
-        .when(k == 3, F.concat(F.lit("## File: "), path, F.lit("\n\n"), "text"))
+        .when(k == 3, F.concat(F.lit("## File: "), path, F.element_at(F.array(F.lit("\n\n"), F.lit("\npython\n\n"), F.lit("\n\n(some words)\n")), (F.col("conv_id") % 3 + 1).cast("int")), "text"))
         .when(k == 4, F.concat(F.lit("File: "), path, F.lit("\n~~~md\n"), "text"))
         .otherwise(F.concat(F.lit("Nothing to do in part "), "conv_id"))
     )
@@ -44,13 +45,14 @@ def ext02(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.resolve_paths(X.code_blocks(part)).select("response_id", "path", "path_source")
 
 
-@register("win17_nearest_header", f"WITH {ANSWERS} SELECT response_id, path AS header FROM answers WHERE k IN (0, 4)")
+@register("win17_nearest_header", f"""WITH {ANSWERS} SELECT response_id, 1 AS line_no, path AS header FROM answers WHERE k IN (0, 4) UNION ALL
+SELECT response_id, (2 + len(string_split(text, chr(10))))::INTEGER, CASE WHEN len(string_split(text, chr(10))) <= 4 THEN path END FROM answers WHERE k = 0""")
 def win17(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = answers(spark, sf_dir).select("response_id", X.files_section(F.col("text")).alias("text"))
-    return X.nearest_header(X.lines_of(part)).where("header is not null and line_no < 3").select("response_id", "header")
+    return X.nearest_header(X.lines_of(part)).select("response_id", "line_no", "header")
 
 
-@register("ext03_plain_blocks", f"WITH {ANSWERS} SELECT response_id, path, md5(text) AS digest FROM answers WHERE k = 3")
+@register("ext03_plain_blocks", f"WITH {ANSWERS} SELECT response_id, path, md5(text || chr(10)) AS digest FROM answers WHERE k = 3")
 def ext03(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = answers(spark, sf_dir).select("response_id", X.files_section(F.col("text")).alias("text"))
     return X.plain_blocks(X.header_sections(part)).select("response_id", "path", F.md5("content").alias("digest"))
@@ -193,10 +195,11 @@ def src12(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT project, seq::BIGINT AS seq, o AS commit, 'src/p' || l_partkey AS path, count(*)::BIGINT AS times FROM o JOIN lineitem ON l_orderkey = o GROUP BY ALL""",
 )
 def src08(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One log per project: a commit line for each order, then its files with backslashes and blank lines."""
+    """One log per project: a commit line for each order, its id padded to 240 digits, then its files with backslashes
+    and blank lines."""
     lines = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders"), F.col("o_orderkey") == F.col("l_orderkey"))
     files = lines.select((F.col("o_custkey") % 25).alias("project"), F.col("l_orderkey").alias("o"), (F.col("l_linenumber") + 1).alias("n"), F.concat(F.lit("src\\p"), "l_partkey").alias("line"))
-    heads = files.select("project", "o", F.lit(0).alias("n"), F.concat(F.lit("__C__"), "o").alias("line")).distinct()
+    heads = files.select("project", "o", F.lit(0).alias("n"), F.concat(F.lit("__C__"), F.lpad(F.col("o").cast("string"), 240, "0")).alias("line")).distinct()
     blanks = files.select("project", "o", F.lit(99).alias("n"), F.lit("  ").alias("line")).distinct()
     log = files.unionByName(heads).unionByName(blanks).withColumn("line_no", F.struct("o", "n"))
     read = L.read_commit_log(log)
@@ -206,7 +209,7 @@ def src08(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Current contents: some absent, some long, some with the text that patches search for."""
     rows = answers(spark, sf_dir)
-    content = F.when(F.col("k") == 0, F.array_join(F.array_repeat(F.lit("line"), 50), "\n")).when(F.col("k") == 1, F.concat(F.lit("head\nold\n"), "body")).otherwise(F.col("body"))
+    content = F.when(F.col("k") == 0, F.array_join(F.array_repeat(F.lit("line"), 50), "\n")).when(F.col("k") == 1, F.concat(F.lit("head\nold\n"), "body")).when(F.col("k") == 3, F.concat("body", F.lit("\n"))).otherwise(F.col("body"))
     return rows.where("turn % 5 <> 3").select("path", content.alias("content"))
 
 

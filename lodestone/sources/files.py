@@ -76,7 +76,7 @@ def read_commit_log(lines: DataFrame, by: str = "project", most: int | None = 40
     ranged = checkpointed(lines.select(by, order, "line").repartitionByRange(by, order).sortWithinPartitions(by, order).withColumn("__part", F.spark_partition_id()))
     head = F.startswith("line", F.lit("__C__"))
     within = Window.partitionBy(by, "__part").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = ranged.withColumn("__n", F.sum(F.when(head, 1).otherwise(0)).over(within)).withColumn("__c", F.last(F.when(head, F.substring("line", 6, 200)), ignorenulls=True).over(within))
+    rows = ranged.withColumn("__n", F.sum(F.when(head, 1).otherwise(0)).over(within)).withColumn("__c", F.last(F.when(head, F.expr("substring(line, 6)")), ignorenulls=True).over(within))
     before = Window.partitionBy(by).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     parts = rows.groupBy(by, "__part").agg(F.max("__n").alias("__k"), F.max_by("__c", F.when(F.col("__c").isNotNull(), F.col(order))).alias("__last"))
     parts = parts.select(by, "__part", F.coalesce(F.sum("__k").over(before), F.lit(0)).alias("__base"), F.last("__last", ignorenulls=True).over(before).alias("__open"), F.sum("__k").over(Window.partitionBy(by)).alias("__all"))
