@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
 from lodestone.operators import search as S
+from lodestone.operators import search_index as I
 from lodestone.plans.registry import register
 from lodestone.plans.tables import FILES, files, queries, sql_stem, sql_tokens, table
+from lodestone.sources.files import shared_folder
+from lodestone.sources.store import table_files
 
 DOCS = f"""{FILES},
 bm25 AS (SELECT path, {sql_tokens("content")} AS body, {sql_tokens("path")} AS path_tokens, {sql_tokens("split_part(content, chr(10), 1)")} AS symbols FROM files),
@@ -35,6 +40,13 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.bm25_docs(files(spark, sf_dir))
 
 
+def bm25_index(spark: SparkSession, sf_dir: str) -> I.SearchIndex:
+    """The documents' stored index, which all queries of text search share; built anew when the files behind the table
+    have changed."""
+    folder = f"{shared_folder(spark)}/bm25-{hashlib.sha1(sf_dir.encode()).hexdigest()[:12]}"
+    return I.open_index(spark, folder, table_files(table(spark, sf_dir, "documents")), lambda: _docs(spark, sf_dir))
+
+
 @register("fn01_tokenize", f"SELECT doc_id, len(t)::BIGINT AS n, array_to_string(t, ' ') AS tokens FROM (SELECT doc_id, {sql_tokens('text')} AS t FROM documents)")
 def fn01(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", T.tokenize(F.col("text")).alias("t")).select("doc_id", F.size("t").cast("bigint").alias("n"), F.array_join("t", " ").alias("tokens"))
@@ -59,12 +71,12 @@ def agg02(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("jon01_bm25_score", f"WITH {_scores(False)} SELECT query_id, path, round(score, 6) AS score FROM scores")
 def jon01(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.bm25_scores(_docs(spark, sf_dir), queries(spark, sf_dir), False).withColumn("score", F.round("score", 6))
+    return I.index_scores(bm25_index(spark, sf_dir), queries(spark, sf_dir), False).withColumn("score", F.round("score", 6))
 
 
 @register("jon02_stem_fallback", f"WITH {_scores(True)} SELECT query_id, count(*)::BIGINT AS hits, round(sum(score), 3) AS total FROM scores GROUP BY query_id")
 def jon02(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.bm25_scores(_docs(spark, sf_dir), queries(spark, sf_dir)).groupBy("query_id").agg(F.count("*").alias("hits"), F.round(F.sum("score"), 3).alias("total"))
+    return I.index_scores(bm25_index(spark, sf_dir), queries(spark, sf_dir)).groupBy("query_id").agg(F.count("*").alias("hits"), F.round(F.sum("score"), 3).alias("total"))
 
 
 TOP_60 = "top AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, path) AS rank FROM scores QUALIFY rank <= 60)"
@@ -72,8 +84,7 @@ TOP = f"{_scores(True)}, {TOP_60}"
 
 
 def bm25_top(spark: SparkSession, sf_dir: str, asked: DataFrame | None = None, k: int = 60) -> DataFrame:
-    scored = S.bm25_scores(_docs(spark, sf_dir), asked or queries(spark, sf_dir)).withColumn("near", F.round("score", 9))
-    return S.topk(scored, k, score="near").drop("near")
+    return I.index_topk(bm25_index(spark, sf_dir), asked or queries(spark, sf_dir), k)
 
 
 @register("top01_bm25_topk", f"WITH {TOP} SELECT query_id, path, round(score, 6) AS score, rank::INTEGER AS rank FROM top")

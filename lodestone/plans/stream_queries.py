@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions import hooks as H
@@ -16,21 +16,64 @@ from lodestone.sources.files import scratch_folder
 from lodestone.streaming import jobs as J
 
 
+#: Events in two steps, every tenth in the second; how far the stream's clock, an hour late, comes in each.
+STEPS = """steps AS (SELECT *, event_id % 10 = 0 AS second FROM events),
+clock AS (SELECT max(ts) FILTER (NOT second) - INTERVAL 1 HOUR AS w1, max(ts) - INTERVAL 1 HOUR AS w2 FROM steps)"""
+QUOTA = "sum(round(value * 100)::BIGINT)::BIGINT AS used, count(*)::BIGINT AS calls, sum(round(value * 100)::BIGINT) > 20000 OR count(*) > 80 AS over"
+
+
+def _steps(spark: SparkSession, sf_dir: str, *columns: Column) -> list[DataFrame]:
+    """Events that come in two steps; nearly all of the second are late."""
+    events = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    return [events.where(c).select(*columns) for c in ("event_id % 10 <> 0", "event_id % 10 = 0")]
+
+
+def _requests(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
+    return _steps(spark, sf_dir, (F.col("user_id") % 50).alias("client"), F.col("ts"), F.round(F.col("value") * 100).cast("bigint").alias("tokens"))
+
+
 @register(
     "str01_stream_quota",
-    "SELECT user_id % 50 AS client, make_timestamp(epoch_us(ts) // 3600000000 * 3600000000) AS start, sum(round(value * 100)::BIGINT)::BIGINT AS used, count(*)::BIGINT AS calls, sum(round(value * 100)::BIGINT) > 20000 OR count(*) > 80 AS over FROM events GROUP BY ALL",
+    f"""WITH {STEPS}, w AS (SELECT user_id % 50 AS client, make_timestamp(epoch_us(ts) // 3600000000 * 3600000000) AS start, value, second FROM steps)
+SELECT client, start, {QUOTA} FROM w, clock WHERE (NOT second OR start + INTERVAL 1 HOUR > w1) AND start + INTERVAL 1 HOUR <= w2 GROUP BY client, start""",
 )
 def str01(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events as requests of 50 clients in windows of an hour; all come in one replay, none late."""
-    events = J.read_stream(spark, f"{sf_dir.rstrip('/')}/events.parquet")
-    requests = events.select((F.col("user_id") % 50).alias("client"), F.col("ts").cast("timestamp").alias("ts"), F.round(F.col("value") * 100).cast("bigint").alias("tokens"))
-    return J.replay(J.stream_quota(requests, 20_000, width="1 hour", late="60 days"), "complete", "quota")
+    """Events as requests of 50 clients in windows of an hour: those that are final, without requests that came late."""
+    return J.replay_in_steps(_requests(spark, sf_dir), lambda s: J.stream_quota(s, 20_000, width="1 hour", late="1 hour"), name="quota")
+
+
+@register(
+    "str01_sliding_quota",
+    f"""WITH {STEPS}, w AS (SELECT user_id % 50 AS client, make_timestamp((epoch_us(ts) // 900000000 - unnest([0, 1, 2, 3])) * 900000000) AS start, value, second FROM steps)
+SELECT client, start, {QUOTA} FROM w, clock WHERE NOT second OR start + INTERVAL 1 HOUR > w1 GROUP BY client, start""",
+)
+def str01_sliding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same in windows that begin every quarter of an hour, each as it was last given out."""
+    return J.replay_in_steps(_requests(spark, sf_dir), lambda s: J.stream_quota(s, 20_000, width="1 hour", slide="15 minutes", late="1 hour"), "update", ["client", "start"], name="sliding")
 
 
 @register("str04_stream_progress", "SELECT user_id AS job, event_type AS stage, count(*)::BIGINT AS done, arg_max(props, (ts, props)) AS latest FROM events GROUP BY ALL")
 def str04(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = J.read_stream(spark, f"{sf_dir.rstrip('/')}/events.parquet")
-    return J.replay(J.stream_progress(events.select(F.col("user_id").alias("job"), F.col("event_type").alias("stage"), "ts", F.col("props").alias("message"))), "complete", "progress")
+    """Each job's stages as they were last given out; the second step changes some."""
+    parts = _steps(spark, sf_dir, F.col("user_id").alias("job"), F.col("event_type").alias("stage"), F.col("ts"), F.col("props").alias("message"))
+    return J.replay_in_steps(parts, J.stream_progress, "update", ["job", "stage"], name="progress")
+
+
+def _spells(rows: str) -> str:
+    return f"""(SELECT job, min(ts) AS start, max(ts) + INTERVAL 6 HOUR AS stop, count(*)::BIGINT AS events, list(ts) AS held
+  FROM (SELECT *, sum(new) OVER (PARTITION BY job ORDER BY ts) AS spell FROM (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY job ORDER BY ts) <= INTERVAL 6 HOUR THEN 0 ELSE 1 END AS new FROM {rows})) GROUP BY job, spell)"""
+
+
+@register(
+    "str04_idle_spells",
+    f"""WITH {STEPS}, e AS (SELECT user_id % 20 AS job, ts, second FROM steps), one AS {_spells("(SELECT * FROM e WHERE NOT second)")},
+live AS (SELECT job, unnest(held) AS ts FROM one, clock WHERE stop > w1 UNION ALL SELECT job, ts FROM e, clock WHERE second AND ts + INTERVAL 6 HOUR > w1), two AS {_spells("live")}
+SELECT job, start, stop, events FROM one, clock WHERE stop <= w1 UNION ALL SELECT job, start, stop, events FROM two, clock WHERE stop <= w2""",
+)
+def str04_spells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spells of work of 20 jobs, ended by six idle hours."""
+    parts = _steps(spark, sf_dir, (F.col("user_id") % 20).alias("job"), F.col("ts"))
+    return J.replay_in_steps(parts, lambda s: J.stream_spells(s, "6 hours", "1 hour"), name="spells")
 
 
 @register(

@@ -17,15 +17,20 @@ SKIPPED = ["node_modules", ".git", "dist", "build", "__pycache__", "venv", ".ven
 BACKUP = r"(?i)\.bak(?:\.[0-9T]+)?$"
 
 
-def scratch_folder(spark: SparkSession, name: str) -> str:
-    """A new folder in the session's shared checkpoint folder; only a session on this machine alone may lack one."""
+def shared_folder(spark: SparkSession) -> str:
+    """The session's shared checkpoint folder; only a session on this machine alone may lack one."""
     base = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = tempfile.mkdtemp(prefix="checkpoints-")
         spark.sparkContext.setCheckpointDir(base)
-    return f"{base}/{name}-{uuid.uuid4().hex}"
+    return base
+
+
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared one."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
