@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from lodestone.llm.tokens import default_tokenizer, word_tokenizer
 
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
+COLUMNS = [c.split()[0] for c in PIECES.split(", ")]
 
 
 class OpenBins:
@@ -52,7 +53,8 @@ class OpenBins:
 
 
 def pieces(docs: DataFrame, capacity: int = 2048, tokenizer: str | None = None, end_id: int = 0) -> DataFrame:
-    """Each document (doc_id, text) as pieces of at most ``capacity`` ids; an id ``end_id`` follows its own ids."""
+    """Each document (doc_id, text) as pieces of at most ``capacity`` ids; an id ``end_id`` follows its own ids. ``copy``
+    numbers pieces of a batch that are equal in all."""
     path, end = tokenizer or default_tokenizer(), end_id.to_bytes(4, "little")
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -64,10 +66,10 @@ def pieces(docs: DataFrame, capacity: int = 2048, tokenizer: str | None = None,
                 for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at : at + 4 * capacity]
                     out.append((doc_id, k, at // 4, len(part) // 4, zlib.crc32(part)))
-            frame = pd.DataFrame(out, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
-            yield frame.astype({"doc_id": "Int64"})
+            frame = pd.DataFrame(out, columns=COLUMNS).astype({"doc_id": "Int64"})
+            yield frame.assign(copy=frame.groupby(COLUMNS, dropna=False).cumcount())
 
-    return docs.mapInPandas(cut, PIECES)
+    return docs.mapInPandas(cut, PIECES + ", copy bigint")
 
 
 def pack_documents(
@@ -82,8 +84,9 @@ def pack_documents(
 ) -> DataFrame:
     """Packs all documents; returns doc_id, piece, start, length, ids_crc32, sequence_id and offset for each piece.
 
-    Pieces are dealt to shards of about ``shard_chars`` characters of text by a hash of (doc_id, piece), and each
-    shard packs on its own. In a shard, pieces come in the order of a second hash, ``window`` at a time with the
+    Pieces are dealt to shards of about ``shard_chars`` characters of text by a hash of all they have, and each shard
+    packs on its own. The input partition and, for every 64 equal pieces of a batch, their number are hashed too, so
+    that no number of equal rows or null ids fills a shard. In a shard, pieces come in the order of a second hash, ``window`` at a time with the
     longest first, which lets short pieces fill what long ones leave while at most ``most_open`` bins are open.
     The number of shards follows the text's length, so a shard's work does not grow with the input; its unfilled
     bins cost less than one part in a thousand.
@@ -94,7 +97,7 @@ def pack_documents(
     docs = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
     chars = docs.agg(F.sum(F.length("text").cast("bigint"))).first()[0] or 0
     shards = -(-chars // shard_chars) or 1
-    dealt = pieces(docs, capacity, tokenizer).withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", F.lit(11)), F.lit(shards)))
+    dealt = pieces(docs, capacity, tokenizer).withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.spark_partition_id(), F.floor(F.col("copy") / 64), F.lit(11)), F.lit(shards)))
 
     def pack(group: pd.DataFrame) -> pd.DataFrame:
         group = group.assign(order=pd.util.hash_pandas_object(group[["doc_id", "piece", "ids_crc32"]], index=False).to_numpy())
@@ -104,6 +107,6 @@ def pack_documents(
         places = [bins.add(n) for n in group["length"].tolist()]
         group["sequence_id"] = [(int(s) << 32) + b for s, (b, _) in zip(group["shard"], places, strict=True)]
         group["offset"] = [o for _, o in places]
-        return group[["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]]
+        return group[[*COLUMNS, "sequence_id", "offset"]]
 
     return dealt.groupBy("shard").applyInPandas(pack, PIECES + ", sequence_id bigint, offset bigint")

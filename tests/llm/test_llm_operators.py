@@ -257,6 +257,15 @@ def test_packing(documents, texts, odd_documents, no_documents):
     assert packing.pack_documents(no_documents).count() == 0
 
 
+@pytest.mark.parametrize("text", [F.lit("one text"), F.concat(F.lit("text "), "id")])
+def test_equal_rows_and_null_ids_fill_no_shard(spark, text):
+    rows = spark.range(0, 2000, 1, 1).select(F.lit(None).cast("long").alias("doc_id"), text.alias("text"))
+    got = packing.pack_documents(rows, shard_chars=500).collect()
+    check_packing(got, [(r.doc_id, r.text) for r in rows.collect()])
+    shards = collections.Counter(r.sequence_id >> 32 for r in got)
+    assert len(got) == 2000 and len(shards) > 10 and max(shards.values()) <= 400
+
+
 def test_open_bins_stay_bounded_and_choose_the_tightest():
     rng, bins = random.Random(3), packing.OpenBins(100, 8)
     free = {}
