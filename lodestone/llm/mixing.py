@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.shared import checkpointed, running_sum
+from lodestone.llm.shared import checkpointed, running_sum, text_keys
 
 #: The fractional part of the golden ratio: multiples of it, modulo 1, spread evenly at every length.
 GOLDEN = 0.6180339887498949
@@ -69,7 +69,7 @@ def _placed(
     """Documents with their place (uid, source_no, begin, size) in their source's stream of words, and the mix: rows
     (slot, source_no, uid, lap, begin, end), words ``begin`` to ``end`` of a document in its stream's repeat ``lap``."""
     extra = [F.col(c).alias(f"__keep_{c}") for c in keep]
-    sized = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("bigint").alias("size"), F.xxhash64(F.col(id_col), F.lit(5)).alias("h"), *extra)
+    sized = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("bigint").alias("size"), F.xxhash64(F.col(id_col), *text_keys(F.col(text_col)), F.lit(5)).alias("h"), text_keys(F.col(text_col))[1].alias("tie"), *extra)
     sized = checkpointed(sized)  # later steps don't read the texts again
     targets = checkpointed(source_targets(sized, weights, share, most))
     mixed = targets.agg(F.sum("target")).first()[0] or 0.0
@@ -80,7 +80,7 @@ def _placed(
     # a hash range of each source's stream: parts hold few rows, however large a source is
     cuts = max(parts, sized.count() // 10_000)
     rows = rows.withColumn("part", F.floor((F.col("h") / 2.0**64 + 0.5) * cuts)).withColumn("uid", F.monotonically_increasing_id())
-    placed = checkpointed(running_sum(rows, ["source_no"], ["h", "doc_id", "uid"], "size", "part", "begin"))
+    placed = checkpointed(running_sum(rows, ["source_no"], ["h", "tie", "doc_id", "uid"], "size", "part", "begin"))
     chosen = schedule(targets, block, slots)
     # blocks of the stream and of its repeats, with the words that the target still allows in each
     spans = chosen.join(targets.select("source_no", "source_size", "target"), "source_no")
@@ -140,7 +140,8 @@ def mix_documents(
     repeats counted) and slots (for each repeat of it the first slot that holds a part), with the columns named in
     ``keep``.
 
-    Each source's documents stand in the order of a hash as one stream of words, cut into blocks of equal
+    Each source's documents stand in the order of a hash of id and text as one stream of words, whatever the order and
+    partitions of ``docs``, cut into blocks of equal
     length, so many that the whole mix has about ``slots`` blocks, or more where those would be longer than
     ``block_words``. The schedule's rank r of a source takes its block r, and after the last block the stream repeats;
     the last block is cut at the target. So a source gives its target to within a word, and no document more than
