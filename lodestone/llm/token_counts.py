@@ -19,8 +19,8 @@ END = 49407
 BLOCK = 1 << 20
 
 
-def write_token_files(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, end: int = END) -> DataFrame:
-    """Writes documents as flat files of 16-bit ids below ``folder``, each document followed by ``end``, and returns
+def write_token_files(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, end: int = END, width: int = 2) -> DataFrame:
+    """Writes documents as flat files of ids of ``width`` bytes (2 or 4) below ``folder``, each document followed by ``end``, and returns
     which document went where: (path, file, ordinal, doc_id), checkpointed.
 
     There is one flat file for each split of an input file that Spark reads, and ``file`` names the split, so that
@@ -28,10 +28,13 @@ def write_token_files(docs: DataFrame, folder: str, id_col: str = "doc_id", text
     their partition. Each attempt of a task writes files of its own, and only those of the attempt that counts are in
     the result. ``folder`` is a URI that all executors reach (file, hdfs, s3).
 
-    Null texts are empty documents; null ids stay null; repeated rows are documents of their own; an empty table
-    writes nothing. Other columns are not read.
+    An id that ``width`` can't hold is an error. Null texts are empty documents; null ids stay null; repeated rows are
+    documents of their own; an empty table writes nothing. Other columns are not read.
     """
-    path, mark = tokenizer or default_tokenizer(), np.uint16(end).tobytes()
+    kind, most = f"<u{width}", 1 << 8 * width
+    if end >= most:
+        raise ValueError(f"id {end} needs more than {width} bytes")
+    path, mark = tokenizer or default_tokenizer(), np.array(end, kind).tobytes()
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyarrow import fs
@@ -51,7 +54,10 @@ def write_token_files(docs: DataFrame, folder: str, id_col: str = "doc_id", text
                     name = f"{source.rsplit('/', 1)[-1]}@{begin}" if source else f"partition-{task.partitionId()}"
                     own = f"{task.partitionId()}-{task.taskAttemptId()}-{uuid.uuid4().hex}.bin"
                     out = store.open_output_stream(f"{base}/{own}")
-                out.write(np.frombuffer(encode(text or ""), "<u4").astype("<u2").tobytes() + mark)
+                ids = np.frombuffer(encode(text or ""), "<u4")
+                if len(ids) and ids.max() >= most:
+                    raise ValueError(f"id {ids.max()} of document {doc_id} needs more than {width} bytes")
+                out.write(ids.astype(kind).tobytes() + mark)
                 rows.append((f"{folder}/{own}", name, at, doc_id))
                 at += 1
             yield pd.DataFrame(rows, columns=["path", "file", "ordinal", "doc_id"]).astype({"doc_id": "Int64"})
@@ -146,12 +152,12 @@ def count_tokens(blocks: DataFrame, end: int = END, width: int = 2) -> DataFrame
     return out.where("i < size(ends) or n_tokens > 0").select("file", (F.col("docs_before") + F.col("i")).alias("ordinal"), "start", "n_tokens", (F.col("i") < F.size("ends")).alias("ended"))
 
 
-def document_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, block_tokens: int = BLOCK) -> DataFrame:
+def document_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, block_tokens: int = BLOCK, width: int = 2) -> DataFrame:
     """doc_id, file, ordinal, start and n_tokens of every row of ``docs``: its texts are written as flat token files in
     the shared folder, and counted from those files alone; what the writer knows is only used to name the documents
     by their place in a file. Odd rows as in write_token_files."""
     folder = f"{checkpoint_folder(docs.sparkSession)}/tokens-{uuid.uuid4().hex}"
     folder = f"file://{folder}" if folder.startswith("/") else folder.replace("file:/", "file:///", 1) if folder.startswith("file:/") and not folder.startswith("file://") else folder
-    written = write_token_files(docs, folder, id_col, text_col, tokenizer)
-    counted = count_tokens(read_token_files(written.select("path"), block_tokens)).withColumnRenamed("file", "path")
+    written = write_token_files(docs, folder, id_col, text_col, tokenizer, width=width)
+    counted = count_tokens(read_token_files(written.select("path"), block_tokens, width), width=width).withColumnRenamed("file", "path")
     return counted.join(written, ["path", "ordinal"]).select("doc_id", "file", "ordinal", "start", "n_tokens")
