@@ -10,6 +10,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -237,9 +238,10 @@ def labelled_sample(rows: DataFrame, labels: DataFrame, most: int, id_col: str =
     return *_unpack(list(map(bytes, got["x"]))), got["y"].to_numpy(float)
 
 
-def gather_statistics(rows: DataFrame, views: dict[str, View], sure: float, chunk: int = 4096, rows_at_once: int = 512) -> Statistics:
-    """``statistics`` over all rows (x), summed by Spark in chunks; the sums, as many as the views have pairs of
-    features, come to the driver, however many rows there are."""
+def gather_statistics(rows: DataFrame, views: dict[str, View], sure: float, chunk: int = 4096, rows_at_once: int = 512, fan_in: int = 32) -> Statistics:
+    """``statistics`` over all rows (x), summed by Spark in chunks, ``fan_in`` partial sums of a chunk at a time, in as
+    many levels as it takes; the sums, as many as the views have pairs of features, come to the driver, however many
+    rows and partitions there are."""
     sizes = {"text": TEXT + 1, "meta": META + 1}
     keys = [(name, label) for name in sizes for label in (0, 1)]
 
@@ -253,14 +255,19 @@ def gather_statistics(rows: DataFrame, views: dict[str, View], sure: float, chun
         for no, (n, g, h) in enumerate(total.values()):
             flat = np.concatenate(([n], g, h[np.triu_indices(len(g))]))
             out += [(no, at, flat[at : at + chunk].tobytes()) for at in range(0, len(flat), chunk) if n]
-        yield pa.RecordBatch.from_pydict({"k": pa.array([r[0] for r in out], pa.int32()), "at": pa.array([r[1] for r in out], pa.int32()), "v": pa.array([r[2] for r in out], pa.binary())})
+        part = TaskContext.get().partitionId()
+        yield pa.RecordBatch.from_pydict({"k": pa.array([r[0] for r in out], pa.int32()), "at": pa.array([r[1] for r in out], pa.int32()), "part": pa.array([part] * len(out), pa.int64()), "v": pa.array([r[2] for r in out], pa.binary())})
 
     def total(group: pd.DataFrame) -> pd.DataFrame:
         parts = sorted(map(bytes, group["v"]))  # in an order that doesn't change from run to run
-        return group[["k", "at"]].head(1).assign(v=[np.sum([np.frombuffer(v) for v in parts], axis=0).tobytes()])
-
-    kinds = "k int, at int, v binary"
-    got = rows.select("x").mapInArrow(add, kinds).groupBy("k", "at").applyInPandas(total, kinds).toPandas().sort_values(["k", "at"])
+        return group[["k", "at", "part"]].head(1).assign(v=[np.sum([np.frombuffer(v) for v in parts], axis=0).tobytes()])
+
+    kinds, parts = "k int, at int, part bigint, v binary", rows.rdd.getNumPartitions()
+    sums = rows.select("x").mapInArrow(add, kinds)
+    while parts > 1:
+        sums = sums.withColumn("part", F.expr(f"part div {fan_in}")).groupBy("k", "at", "part").applyInPandas(total, kinds)
+        parts = -(-parts // fan_in)
+    got = sums.toPandas().sort_values(["k", "at"])
     out = {}
     for no, key in enumerate(keys):
         size = sizes[key[0]]
