@@ -38,12 +38,17 @@ def template_grams(base: Templates = BASE, passages: Templates = PASSAGES, k: in
     return rows
 
 
-def _grams(w: Column, n: int) -> Column:
-    """Each run of ``n`` words with its place, and nulls at the end, where fewer follow."""
-    out = w
-    for k in range(1, n):
-        out = F.zip_with(out, F.slice(w, k + 1, 1 << 30), lambda a, b: F.when(b.isNotNull(), F.concat(a, F.lit(" "), b)))
-    return F.transform(out, lambda x, i: F.struct(i.alias("at"), x.alias("own")))
+def _grams(w: Column, n: int, grams: list[str]) -> Column:
+    """Each run of ``n`` words with its place that can be one of ``grams``: its first two words begin one, and another
+    has its last one. Only these are put together."""
+    starts, ends = sorted({tuple(g.split(" ")[:2]) for g in grams}), sorted({g.split(" ")[-1] for g in grams})
+    first, second = sorted({a for a, _ in starts}), sorted({b for _, b in starts})
+
+    def own(x: Column, i: Column) -> Column:
+        good = x.isin(first) & F.get(w, i + 1).isin(second) & F.get(w, i + n - 1).isin(ends)
+        return F.when(good, F.struct(i.alias("at"), F.array_join(F.slice(w, i + 1, n), " ").alias("own")))
+
+    return F.filter(F.transform(w, own), lambda g: g.isNotNull())
 
 
 _ROW = ("doc_id", "h1", "h2", "n_words")
@@ -59,7 +64,7 @@ def _bands(docs: DataFrame, id_col: str, text_col: str, base: Templates, passage
     own = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), *text_keys(F.col(text_col)), words(F.col(text_col)).alias("w"))
     lengths = sorted({r[1] for r in rows})
     itself = F.array(F.struct(F.lit(-1).alias("at"), F.lit(None).cast("string").alias("own")))
-    every = F.concat(*[F.filter(_grams(F.col("w"), n), lambda g: g["own"].isNotNull()) for n in lengths], itself)
+    every = F.concat(*[_grams(F.col("w"), n, [r[0] for r in rows if r[1] == n]) for n in lengths], itself)
     spread = own.select("doc_id", "h1", "h2", F.size("w").cast("bigint").alias("n_words"), F.explode(every).alias("g"))
     spread = spread.select(*_ROW, "g.at", "g.own").withColumn("h", F.xxhash64("own"))
     votes = spread.join(F.broadcast(grams), (spread["h"] == grams["h"]) & (F.col("own") == F.col("gram")), "left").where("own is null or template is not null")
