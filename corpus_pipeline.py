@@ -30,23 +30,23 @@ def keep_distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it, to the nearest whole number (never, once or twice), in the order of
-    the mix: a copy stands where the schedule has its first part.
+    """Each document as often as the mix takes it, to the nearest whole number (never, once or twice). The rows are in no
+    order: packing deals them out anew, and ``mixing.mixed_spans`` gives the order of the mix where it matters.
 
     Rows that repeat an id and its text are told apart by nothing else and come as copies of one of them. Null and
-    empty texts give nothing; an empty table stays empty; columns may have any name.
+    empty texts give nothing; an empty table gives no rows; columns may have any name, but maps can't be hashed: there
+    must be no such column.
     """
     keys = dict(zip(("__h1", "__h2"), text_keys(F.col("text")), strict=True))
     known = docs.select(F.struct(*docs.columns).alias("__row"), F.col("doc_id").alias("__id"), *[c.alias(k) for k, c in keys.items()])
     mixed = mixing.mix_documents(docs.select("doc_id", "text", "source", *[c.alias(k) for k, c in keys.items()]), keep=("__h1", "__h2"))
-    mixed = mixed.select(F.col("doc_id").alias("__id"), "__h1", "__h2", F.round(F.col("taken") / F.greatest("size", F.lit(1))).cast("int").alias("__n"), "slots").where("__n > 0")
-    times = mixed.groupBy("__id", "__h1", "__h2").agg(F.sum("__n").cast("int").alias("__n"), F.array_sort(F.flatten(F.collect_list("slots"))).alias("__slots"))
-    # one row of each, then its copies; each with the slot of the repeat that it stands for
+    mixed = mixed.select(F.col("doc_id").alias("__id"), "__h1", "__h2", F.round(F.col("taken") / F.greatest("size", F.lit(1))).cast("bigint").alias("__n")).where("__n > 0")
+    times = mixed.groupBy("__id", "__h1", "__h2").agg(F.sum("__n").alias("__n"))
+    # one row of each, then its copies
     rows = known.groupBy("__id", "__h1", "__h2").agg(F.min_by("__row", F.xxhash64("__row")).alias("__row"))
     same = F.col("d.__id").eqNullSafe(F.col("t.__id")) & (F.col("d.__h1") == F.col("t.__h1")) & (F.col("d.__h2") == F.col("t.__h2"))
-    both = rows.alias("d").join(times.alias("t"), same).select("__row", "__slots", F.explode(F.sequence(F.lit(1), F.col("__n"))).alias("__copy"))
-    slot = F.element_at("__slots", F.least("__copy", F.size("__slots")))
-    return both.select("__row", slot.alias("__slot")).orderBy("__slot", "__row.doc_id").select("__row.*")
+    both = rows.alias("d").join(times.alias("t"), same).select("__row", F.explode(F.expr("sequence(1L, __n)")).alias("__copy"))
+    return both.select("__row.*")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

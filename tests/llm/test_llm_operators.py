@@ -338,6 +338,16 @@ def test_mixing(documents, odd_documents, no_documents, slots):
     assert mixing.mix_documents(no_documents).count() == 0
 
 
+def test_token_ids_that_dont_fit_are_refused(spark, documents):
+    few = documents.where("doc_id < 5")
+    two, four = (sorted(map(tuple, token_counts.document_tokens(few, width=w).select("doc_id", "n_tokens").collect())) for w in (2, 4))
+    assert two == four
+    with pytest.raises(ValueError, match="70000"):
+        token_counts.write_token_files(few, "file:///tmp/never", end=70_000)
+    with pytest.raises(Exception, match="needs more than 1 bytes"):
+        token_counts.write_token_files(few, f"{shared.checkpoint_folder(spark)}/narrow", end=200, width=1)
+
+
 def test_mixing_does_not_depend_on_the_layout(spark, documents):
     """Ids with several texts, in other orders and partitions."""
     more = [(5, "w " * n, "s1") for n in (50, 400, 7, 90)] + [(None, "x y z", "s1"), (None, "x y", "s1"), (5, "w " * 7, "s1")]
@@ -492,7 +502,7 @@ def test_statistics_of_all_rows_by_spark(spark, documents):
     view = lambda n: quality_classifier.View(rng.normal(0, 0.1, n), np.ones(n), rng.normal(0, 0.3, n + 1))
     views = {"text": view(quality_classifier.TEXT), "meta": view(quality_classifier.META)}
     rows = quality_classifier.view_table(documents)
-    got = quality_classifier.gather_statistics(rows.repartition(3), views, 0.7)
+    got = quality_classifier.gather_statistics(rows.repartition(5), views, 0.7, fan_in=2)
     text, meta = quality_classifier._unpack([r.x for r in rows.collect()])
     for key, (n, g, h) in quality_classifier.statistics(views, text, meta, 0.7).items():
         assert got[key][0] == n and abs(got[key][1] - g).max() < 1e-6 and abs(got[key][2] - h).max() < 1e-6
