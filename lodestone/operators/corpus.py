@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -43,22 +43,37 @@ def skipped_documents(wanted: DataFrame, converted: DataFrame, key: str = "doc_i
     return wanted.join(converted.select(key), key, "left_anti")
 
 
-def ordered_paths(files: DataFrame, by: str = "project", order: str = "path") -> DataFrame:
-    """Each row's place among those with the same ``by``, from 1, by code points of ``order``. Rows are sorted into
-    ranges and numbered inside them; what earlier ranges hold is added, so that no project's rows meet in one task."""
+def ordered_paths(files: DataFrame, by: str = "project", order: str = "path", locale: str | None = None) -> DataFrame:
+    """Each row's place among those with the same ``by``, from 1, by code points of ``order``, or as a ``locale`` has it
+    (a collation such as UNICODE or fr; equal ones by code points). Rows are sorted into ranges and numbered inside them;
+    what earlier ranges hold is added, so that no project's rows meet in one task."""
+    if locale:
+        key = F.struct(F.collate(order, locale).alias("l"), F.col(order).alias("c"))
+        return ordered_paths(files.withColumn("__locale", key), by, "__locale").drop("__locale")
     ranged = files.repartitionByRange(by, order).sortWithinPartitions(by, order).withColumn("__part", F.spark_partition_id())
     ranged = checkpointed(ranged)
     within = F.row_number().over(Window.partitionBy(by, "__part").orderBy(order))
     sizes = ranged.groupBy(by, "__part").agg(F.count("*").alias("__n"))
     before = Window.partitionBy(by).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     sizes = sizes.select(by, "__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__base"))
-    return ranged.withColumn("__within", within).join(sizes, [by, "__part"]).withColumn("place", (F.col("__base") + F.col("__within")).cast("bigint")).drop("__part", "__within", "__base")
+    numbered = ranged.withColumn("__within", within).alias("r").join(sizes.alias("s"), F.col(f"r.{by}").eqNullSafe(F.col(f"s.{by}")) & (F.col("r.__part") == F.col("s.__part")))
+    return numbered.select("r.*", "__base").withColumn("place", (F.col("__base") + F.col("__within")).cast("bigint")).drop("__part", "__within", "__base")
 
 
-def corpus_signature(files: DataFrame, by: str = "project") -> DataFrame:
-    """(project, files, signature): changes when the set of paths does; no order, so no sort of a project's paths."""
-    parts = F.sum(F.conv(F.substring(F.md5("path"), 1, 8), 16, 10).cast("decimal(30,0)"))
-    return files.groupBy(by).agg(F.count("*").alias("files"), F.md5(F.concat_ws(":", F.count("*"), parts)).alias("signature"))
+def corpus_signature(files: DataFrame, by: str = "project", head: str | None = None) -> DataFrame:
+    """(project, files, signature): changes when the set of paths does or the latest commit, which the column ``head``
+    names; no order, so no sort of a project's paths. Two sums of 60 bits of each path's digest stand for the set."""
+    lanes = [F.sum(F.conv(F.substring(F.md5("path"), at, 15), 16, 10).cast("decimal(38,0)")) for at in (1, 17)]
+    commit = [F.coalesce(F.max(head), F.lit(""))] if head else []
+    return files.groupBy(by).agg(F.count("*").alias("files"), F.md5(F.concat_ws(":", F.count("*"), *lanes, *commit)).alias("signature"))
+
+
+def rebuild_flags(signatures: DataFrame, stored: DataFrame, by: str = "project") -> DataFrame:
+    """``signatures`` (project, signature, ...) with rebuild: whether the stored signature (project, signature) of what
+    was built from them differs or is lacking."""
+    was = stored.select(F.col(by).alias("__by"), F.col("signature").alias("__was"))
+    both = signatures.join(was, F.col(by).eqNullSafe(F.col("__by")), "left")
+    return both.withColumn("rebuild", F.coalesce(F.col("__was") != F.col("signature"), F.lit(True))).drop("__by", "__was")
 
 
 def doc_lines(docs: DataFrame) -> DataFrame:
@@ -113,12 +128,13 @@ def sections(lines: DataFrame) -> DataFrame:
     return body.select("doc_id", "section_no", "heading_path", text.alias("text")).where("text <> ''")
 
 
-def chunk_sections(parts: DataFrame, tokens: int = 300, overlap: int = 50) -> DataFrame:
+def chunk_sections(parts: DataFrame, tokens: int = 300, overlap: int = 50, counter: Callable[[Column], Column] = T.estimate_tokens) -> DataFrame:
     """(doc_id, section_no, heading_path, k, text, tokens): each section's sentences filled into chunks. A sentence is
-    never cut; on overflow the last ones, up to ``overlap`` tokens, begin the next chunk. The fold runs over one
-    section's token counts in Arrow batches; the texts themselves are put together by Spark."""
+    never cut; on overflow the last ones, up to ``overlap`` tokens, begin the next chunk. ``counter`` gives the tokens of
+    a text column. The fold runs over one section's token counts in Arrow batches; the texts themselves are put
+    together by Spark."""
     units = parts.withColumn("units", T.sentences(F.col("text")))
-    units = units.withColumn("sizes", F.transform("units", T.estimate_tokens))
+    units = units.withColumn("sizes", F.transform("units", counter))
 
     def fold(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:

@@ -217,7 +217,9 @@ def diversify(candidates: DataFrame, directory: Column, penalty: float = 0.7, li
     within a directory picks go by score, so the i-th is worth score * penalty^i. Scores stay as they were."""
     rows = candidates.withColumn("__dir", directory)
     inside = Window.partitionBy(by, "__dir").orderBy(F.col("score").desc(), "path")
-    rows = rows.withColumn("__worth", F.round(F.col("score") * F.pow(F.lit(penalty), F.row_number().over(inside) - 1), 9))
+    # no more than ``limit`` of a directory can be picked: Spark cuts to as many before the shuffle
+    rows = rows.withColumn("__n", F.row_number().over(inside)).where(F.col("__n") <= limit)
+    rows = rows.withColumn("__worth", F.round(F.col("score") * F.pow(F.lit(penalty), F.col("__n") - 1), 9)).drop("__n")
     order = Window.partitionBy(by).orderBy(F.col("__worth").desc(), "path")
     return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit).drop("__dir", "__worth")
 

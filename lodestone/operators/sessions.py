@@ -5,12 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from typing import Any
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
 from lodestone.operators.corpus import ordered_paths
+from lodestone.sources.files import checkpointed
 
 
 def stop_at_first_failure(stages: DataFrame, by: list[str], order: list[str]) -> DataFrame:
@@ -91,17 +93,24 @@ def mru_list(opens: DataFrame, most: int = 10, by: str = "user_id") -> DataFrame
     return last.withColumn("place", F.row_number().over(Window.partitionBy(by).orderBy(F.col("ts").desc(), "path"))).where(F.col("place") <= most)
 
 
-def quota_audit(requests: DataFrame, tokens: int = 25_000, calls: int = 80, seconds: int = 60, by: str = "client") -> DataFrame:
+def quota_audit(requests: DataFrame, tokens: int = 25_000, calls: int = 80, seconds: int = 60, by: str = "client", windows: int = 16) -> DataFrame:
     """Requests (client, id, ts, tokens) with what the sliding window before each holds, and whether it was over:
-    tokens beyond the limit (unless the window is empty) or one call too many."""
-    micros = F.unix_micros(F.col("ts").cast("timestamp"))
-    frame = Window.partitionBy(by).orderBy("us").rangeBetween(-(seconds * 1_000_000 - 1), 0)
-    rows = requests.withColumn("us", micros)
+    tokens beyond the limit (unless the window is empty) or one call too many.
+
+    A client's requests are cut into ranges of ``windows`` windows, and each range also gets those of the window before
+    it, so that a client with many requests is the work of many tasks.
+    """
+    width = seconds * 1_000_000
+    rows = requests.select(by, "id", "tokens", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
+    rows = rows.withColumn("__own", F.floor(F.col("us") / (width * windows)).cast("bigint"))
+    late = (F.col("__own") + 1) * (width * windows) - F.col("us") < width
+    rows = rows.withColumn("__range", F.explode(F.when(late, F.array("__own", F.col("__own") + 1)).otherwise(F.array("__own"))))
+    frame = Window.partitionBy(by, "__range").orderBy("us").rangeBetween(-(width - 1), 0)
     # of requests at the same instant, those with a lesser id came before
-    ties = Window.partitionBy(by, "us").orderBy("id").rowsBetween(0, Window.unboundedFollowing)
+    ties = Window.partitionBy(by, "__range", "us").orderBy("id").rowsBetween(0, Window.unboundedFollowing)
     used = F.sum("tokens").over(frame) - F.sum("tokens").over(ties)
     count = F.count("*").over(frame) - F.count("*").over(ties)
-    rows = rows.withColumn("used", used).withColumn("calls", count)
+    rows = rows.withColumn("used", used).withColumn("calls", count).where(F.col("__range") == F.col("__own"))
     over = ((F.col("calls") > 0) & (F.col("used") + F.col("tokens") > tokens)) | (F.col("calls") + 1 > calls)
     return rows.select(by, "id", "tokens", F.col("used").cast("bigint").alias("used"), F.col("calls").cast("bigint").alias("calls"), over.alias("over"))
 
@@ -138,18 +147,75 @@ def fold_in_order(rows: DataFrame, by: str, order: list[str], start: Callable[[]
     return rows.repartition(by).sortWithinPartitions(by, *order).mapInPandas(run, f"{kinds}, {out}")
 
 
-def pack_batches(items: DataFrame, most_tokens: int = 15_000, most_items: int = 50, by: str = "shard") -> DataFrame:
-    """(shard, ord, tokens, batch): items in order, a new batch when the next item would not fit or the batch is
-    full; one too large stands alone."""
+def next_batches(tokens: np.ndarray, n: int, most_tokens: int, most_items: int) -> np.ndarray:
+    """For each of the first ``n`` items, where the next batch begins if one begins there: behind as many items as fit,
+    one at least."""
+    total = np.concatenate(([0], np.cumsum(tokens)))
+    at = np.arange(n)
+    full = np.searchsorted(total, total[at] + most_tokens, "right") - 1
+    return np.maximum(np.minimum(full, at + most_items), at + 1)
 
-    def step(s: dict, row: Any) -> tuple:
-        if s["n"] and (s["used"] + row.tokens > most_tokens or s["n"] >= most_items):
-            s.update(batch=s["batch"] + 1, used=0, n=0)
-        s.update(used=s["used"] + row.tokens, n=s["n"] + 1)
-        return (s["batch"],)
 
-    rows = items.select(by, F.col("ord").cast("bigint").alias("ord"), F.col("tokens").cast("bigint").alias("tokens"))
-    return fold_in_order(rows, by, ["ord", "tokens"], lambda: {"batch": 0, "used": 0, "n": 0}, step, "batch bigint")
+def pack_batches(items: DataFrame, most_tokens: int = 15_000, most_items: int = 50, by: str = "shard", block: int = 4096) -> DataFrame:
+    """(shard, ord, tokens, batch): items in order, a new batch when the next item would not fit or the batch is
+    full; one too large stands alone. Tokens are not negative; a null counts nothing.
+
+    A shard's items are numbered by ranges and cut into blocks, each with the first ``most_items`` of the next one. From
+    any item the place where the next batch begins follows from running sums, so a block says for each of the places
+    where a batch may begin in it first, ``most_items`` of them, how many batches begin in it and where the next
+    block's first one does. Only these small rows are followed from block to block; then all blocks number their
+    batches at once. So no shard's items pass through one task.
+    """
+    if block < most_items:
+        raise ValueError("a block holds the items of a batch at least")
+    rows = items.select(by, F.col("ord").cast("bigint").alias("ord"), F.coalesce(F.col("tokens").cast("bigint"), F.lit(0)).alias("tokens"))
+    placed = ordered_paths(rows.withColumn("__o", F.struct("ord", "tokens")), by, "__o").drop("__o")
+    placed = checkpointed(placed.withColumn("place", F.col("place") - 1).withColumn("block", F.expr(f"place div {block}")))
+    # the first items of a block are also the last that the block before looks at
+    ahead = (F.col("place") % block < most_items) & (F.col("block") > 0)
+    seen = placed.withColumn("__b", F.explode(F.when(ahead, F.array("block", F.col("block") - 1)).otherwise(F.array("block"))))
+    seen = seen.select(by, F.col("__b").alias("block"), "ord", "tokens", "place")
+    kind = dict(placed.dtypes)[by]
+
+    def ends(group: pd.DataFrame) -> pd.DataFrame:
+        key, number = group[by].iloc[0], int(group["block"].iloc[0])
+        group = group.sort_values("place")
+        n = int(((group["place"] // block) == number).sum())
+        after = next_batches(group["tokens"].to_numpy(), n, most_tokens, most_items)
+        # pointers are doubled until they leave the block
+        to, count = np.minimum(np.concatenate((after, np.arange(n, n + most_items + 1))), n + most_items), np.concatenate((np.ones(n, np.int64), np.zeros(most_items + 1, np.int64)))
+        while (to[:n] < n).any():
+            to, count = to[to], count + count[to]
+        first = min(n, most_items)
+        return pd.DataFrame({by: [key], "block": [number], "to": [(to[:first] - n).tolist()], "count": [count[:first].tolist()]})
+
+    tables = checkpointed(seen.groupBy(by, "block").applyInPandas(ends, f"{by} {kind}, block bigint, to array<bigint>, count array<bigint>"))
+
+    def follow(group: pd.DataFrame) -> pd.DataFrame:
+        """Where the first batch of each block begins, and its number; a row of ``most_items`` numbers a block."""
+        group, at, number, out = group.sort_values("block"), 0, 0, []
+        for key, b, to, count in zip(group[by], group["block"], group["to"], group["count"], strict=True):
+            out.append((key, b, at, number))
+            if at < len(to):  # else the last batch reaches beyond the block
+                at, number = int(to[at]), number + int(count[at])
+            else:
+                at -= len(to)
+        return pd.DataFrame(out, columns=[by, "block", "first", "batch"])
+
+    starts = checkpointed(tables.groupBy(by).applyInPandas(follow, f"{by} {kind}, block bigint, first bigint, batch bigint"))
+
+    def number(group: pd.DataFrame) -> pd.DataFrame:
+        own = group.sort_values("place").reset_index(drop=True)
+        n = int((own["place"] // block == own["block"]).sum())
+        after, at, begins = next_batches(own["tokens"].to_numpy(), n, most_tokens, most_items), int(own["first"].iloc[0]), np.zeros(n, np.int64)
+        while at < n:
+            begins[at] = 1
+            at = int(after[at])
+        batch = int(own["batch"].iloc[0]) - 1 + np.cumsum(begins)
+        return own.iloc[:n][[by, "ord", "tokens"]].assign(batch=batch)
+
+    both = seen.alias("i").join(starts.alias("s"), F.col(f"i.{by}").eqNullSafe(F.col(f"s.{by}")) & (F.col("i.block") == F.col("s.block"))).select("i.*", "first", "batch")
+    return both.groupBy(by, "block").applyInPandas(number, f"{by} {kind}, ord bigint, tokens bigint, batch bigint")
 
 
 def fit_to_budget(files: DataFrame, budget: int, by: str = "query_id", per_file: float = 0.45, outline: float = 0.15) -> DataFrame:

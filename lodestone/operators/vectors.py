@@ -122,8 +122,23 @@ def alignment_report(chunks: DataFrame, vectors: DataFrame) -> DataFrame:
 
 
 def index_meta(chunks: DataFrame) -> DataFrame:
+    """One row: how many documents and chunks, and the width of vectors."""
     return chunks.agg(F.countDistinct("document").alias("document_count"), F.count("*").alias("chunk_count"), F.coalesce(F.max(F.size("embedding")), F.lit(0)).cast("bigint").alias("dimensions"))
 
 
-def remove_documents(chunks: DataFrame, gone: DataFrame) -> DataFrame:
-    return chunks.join(gone.select("document").distinct(), "document", "left_anti")
+def distinct_sketches(rows: DataFrame, column: str, by: list[str], bits: int = 14) -> DataFrame:
+    """(``by``, n, sketch): row counts and HyperLogLog sketches of a column's distinct values, for each part of a table
+    (a day, a partition), to be stored; a new part needs no other part's rows. The error is 1.04 / sqrt(2 ** bits)."""
+    return rows.groupBy(*by).agg(F.count("*").alias("n"), F.hll_sketch_agg(F.col(column).cast("string"), bits).alias("sketch"))
+
+
+def merged_sketches(sketches: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """(``by``, n, about): rows and about how many distinct values stored sketches have together."""
+    return sketches.groupBy(*(by or [])).agg(F.sum("n").alias("n"), F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("about"))
+
+
+def remove_documents(chunks: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The chunks of all other documents, and (document, removed): how many chunks each of ``gone`` (document) had."""
+    names = gone.select("document").distinct()
+    removed = names.join(chunks.groupBy("document").agg(F.count("*").alias("n")), "document", "left")
+    return chunks.join(names, "document", "left_anti"), removed.select("document", F.coalesce("n", F.lit(0)).alias("removed"))

@@ -141,5 +141,5 @@ def udf05(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("udf06_chunk_text")
 def udf06(spark: SparkSession, sf_dir: str) -> DataFrame:
-    spark.udtf.register("chunk_text", H.ChunkText)
-    return spark.sql("SELECT doc_id, c.chunk_index, c.heading_path, c.tokens, md5(c.text) AS digest FROM {docs} d, LATERAL chunk_text(d.text, 300, 50) c", docs=headed(spark, sf_dir))
+    spark.udtf.register("chunk_table", H.ChunkTable)
+    return spark.sql("SELECT doc_id, chunk_index, heading_path, tokens, md5(text) AS digest FROM chunk_table(TABLE(SELECT doc_id, text FROM {docs}), 300, 50)", docs=headed(spark, sf_dir))

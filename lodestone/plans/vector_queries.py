@@ -80,10 +80,32 @@ def agg03(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.index_meta(_chunks(spark, sf_dir))
 
 
-@register("set01_remove_documents", "SELECT label AS document, count(*)::BIGINT AS chunks FROM embeddings WHERE label NOT IN (SELECT DISTINCT label FROM embeddings WHERE label % 3 = 0) GROUP BY label")
+@register("agg03_distinct_sketch", "SELECT l_returnflag AS flag, count(*)::BIGINT AS n, true AS close, true AS same FROM lineitem GROUP BY l_returnflag UNION ALL SELECT NULL, count(*)::BIGINT, true, true FROM lineitem UNION ALL SELECT 'vectors', count(*)::BIGINT, true, true FROM embeddings")
+def agg03_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct parts of order lines from sketches of each ship month: of each return flag, of all, and distinct
+    vectors from sketches of each label; whether they are within 2 % of the exact number, and whether the union of
+    the parts' sketches equals one sketch of the whole."""
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("flag"), F.date_trunc("month", "l_shipdate").alias("part"), F.col("l_partkey").cast("string").alias("x"))
+    vectors = table(spark, sf_dir, "embeddings").select(F.lit("vectors").alias("flag"), F.col("label").cast("timestamp").alias("part"), F.to_json(F.col("embedding")).alias("x"))
+
+    def row(rows: DataFrame, by: list[str]) -> DataFrame:
+        flag = F.lit(None).cast("string") if not by else F.col("flag")
+        parts = V.merged_sketches(V.distinct_sketches(rows, "x", [*by, "part"]), by).select(flag.alias("f"), "n", "about")
+        whole = rows.groupBy(*by).agg(F.hll_sketch_estimate(F.hll_sketch_agg("x", 14)).alias("one"), F.countDistinct("x").alias("exact")).select(flag.alias("g"), "one", "exact")
+        both = parts.join(whole, F.col("f").eqNullSafe(F.col("g")))
+        return both.select(F.col("f").alias("flag"), "n", (F.abs(F.col("about") - F.col("exact")) <= 0.02 * F.col("exact")).alias("close"), (F.col("about") == F.col("one")).alias("same"))
+
+    return row(lines, ["flag"]).unionByName(row(lines, [])).unionByName(row(vectors, ["flag"]))
+
+
+@register("set01_remove_documents", "SELECT label AS document, count(*)::BIGINT AS chunks, label % 3 = 0 AS gone FROM embeddings GROUP BY label UNION ALL SELECT 1000001, 0, true")
 def set01(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that stay with their chunks, and those that go with as many as they had; one of them was never there."""
     chunks = _chunks(spark, sf_dir)
-    return V.remove_documents(chunks, chunks.where("document % 3 = 0")).groupBy("document").agg(F.count("*").alias("chunks"))
+    gone = chunks.where("document % 3 = 0").select("document").unionByName(spark.range(1).select(F.lit(1000001).cast("int").alias("document")))
+    kept, removed = V.remove_documents(chunks, gone)
+    kept = kept.groupBy("document").agg(F.count("*").alias("chunks"))
+    return kept.withColumn("gone", F.lit(False)).unionByName(removed.select("document", F.col("removed").alias("chunks"), F.lit(True).alias("gone")))
 
 
 @register("jon09_align_vectors", "SELECT count(*)::BIGINT AS chunks, count(*) FILTER (vec_id % 7 = 0)::BIGINT AS missing, count(*) FILTER (vec_id % 11 = 0 AND vec_id % 7 <> 0)::BIGINT AS repeated, 0::BIGINT AS orphans, 1::BIGINT AS widths FROM embeddings")

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import json
 import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from lodestone.functions import paths as P
+from lodestone.sources.store import latest, new_version, publish
 
 # Folders that a scan never enters.
 SKIPPED = ["node_modules", ".git", "dist", "build", "__pycache__", "venv", ".venv", "target", "bin", "obj", ".next", ".cache"]
@@ -103,18 +106,45 @@ def ignore_filter(files: DataFrame, rules: DataFrame) -> DataFrame:
     return files.join(last.where("not negated").select("path").distinct(), "path", "left_anti")
 
 
-def write_index(chunks: DataFrame, vectors: DataFrame, folder: str, model: str) -> None:
-    """Chunks, their vectors by key, and one row of facts about them."""
-    chunks.write.mode("overwrite").parquet(f"{folder}/chunks")
-    vectors.write.mode("overwrite").parquet(f"{folder}/vectors")
-    facts = vectors.agg(F.count("*").alias("vector_count"), F.max(F.size("embedding")).alias("dimensions")).withColumn("model", F.lit(model))
-    facts.write.mode("overwrite").parquet(f"{folder}/meta")
-
-
-def read_index(spark: SparkSession, folder: str) -> DataFrame:
-    """The joined index; one side without the other, or a width that differs, shows in ``sound``."""
-    chunks, vectors, meta = (spark.read.parquet(f"{folder}/{n}") for n in ("chunks", "vectors", "meta"))
-    both = chunks.join(vectors.withColumnRenamed("chunk_id", "v_id"), chunks["chunk_id"] == F.col("v_id"), "full_outer").join(F.broadcast(meta))
+def write_index(chunks: DataFrame, vectors: DataFrame, folder: str, model: str, buckets: int | None = None) -> int:
+    """Chunks (chunk_id, ...) and vectors (chunk_id, embedding) as a new version of the index in ``folder``, both in
+    ``buckets`` by chunk_id (one for each shuffle partition if not given) and sorted by it; returns the version's number.
+    Readers see it once all of it is written."""
+    spark, path = chunks.sparkSession, new_version(folder)
+    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    for name, df in (("chunks", chunks), ("vectors", vectors)):
+        table = f"writing_{uuid.uuid4().hex}"
+        kind = df.sparkSession.createDataFrame([], df.schema)  # the table exists first, so that its folder is ours to name
+        _bucketed_table(spark, table, kind, f"{path}/{name}", buckets)
+        df.select(*kind.columns).write.insertInto(table)
+        spark.sql(f"DROP TABLE {table}")
+    facts = spark.read.parquet(f"{path}/vectors").agg(F.count("*").alias("n"), F.coalesce(F.max(F.size("embedding")), F.lit(0)).alias("width")).first()
+    kept = {"model": model, "buckets": str(buckets), "vector_count": str(facts["n"]), "dimensions": str(facts["width"])}
+    return publish(spark, folder, path, **kept, chunks=chunks.schema.json(), vectors=vectors.schema.json())
+
+
+def _bucketed_table(spark: SparkSession, table: str, like: DataFrame, path: str, buckets: int) -> None:
+    columns = ", ".join(f"`{c}` {kind}" for c, kind in like.dtypes)
+    spark.sql(f"CREATE TABLE {table} ({columns}) USING parquet CLUSTERED BY (chunk_id) SORTED BY (chunk_id) INTO {buckets} BUCKETS LOCATION '{path}'")
+
+
+def read_index(spark: SparkSession, folder: str) -> DataFrame | None:
+    """The index's last whole version, chunks joined with vectors bucket by bucket, without a shuffle; one side without
+    the other, or a width that differs, shows in ``sound``. None where no index was written."""
+    found = latest(spark, folder)
+    if found is None:
+        return None
+    facts, sides = found["facts"], []
+    for name in ("chunks", "vectors"):
+        # the session's catalog knows a version under its own name, from the first time that it is read
+        table = f"lodestone_{name}_{found['path'].rsplit('/', 1)[-1]}"
+        if not spark.catalog.tableExists(table):
+            like = spark.createDataFrame([], StructType.fromJson(json.loads(facts[name])))
+            _bucketed_table(spark, table, like, f"{found['path']}/{name}", int(facts["buckets"]))
+        sides.append(spark.table(table))
+    chunks, vectors = sides
+    both = chunks.join(vectors.withColumnRenamed("chunk_id", "v_id"), chunks["chunk_id"] == F.col("v_id"), "full_outer")
+    both = both.withColumns({c: F.lit(facts[c]).cast(kind) for c, kind in (("vector_count", "bigint"), ("dimensions", "int"), ("model", "string"))})
     sound = F.col("chunk_id").isNotNull() & F.col("v_id").isNotNull() & (F.size("embedding") == F.col("dimensions"))
     return both.withColumn("sound", F.coalesce(sound, F.lit(False))).drop("v_id")
 
