@@ -117,3 +117,18 @@ def is_portable(path: Column) -> Column:
 
 def is_supported_document(name: Column) -> Column:
     return extension(name).isin(SUPPORTED)
+
+
+# Folders that a scan from a project's root doesn't enter.
+ROOT_SKIPPED = ["node_modules", "converted", ".index", "dist", "out", "release"]
+
+
+def is_listed_document(path: Column, root_mode: bool) -> Column:
+    """Whether a scan lists a path below its root: nothing in or named like a dotfile. A scan of a project's root, in
+    place of its folder of documents, lists supported formats alone, and enters none of certain folders."""
+    parts = F.split(path, "/")
+    listed = ~F.exists(parts, lambda p: F.startswith(p, F.lit(".")))
+    if not root_mode:
+        return listed
+    folders = F.slice(parts, 1, F.size(parts) - 1)
+    return listed & ~F.exists(folders, lambda p: p.isin(ROOT_SKIPPED)) & is_supported_document(path)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -48,6 +50,13 @@ def codebase_map(skeletons: DataFrame, by: str = "project") -> DataFrame:
     return rows.groupBy(by).agg(ordered("path", "entry", "\n\n").alias("map")).withColumn("tokens", T.estimate_tokens(F.col("map")))
 
 
+def map_tokens(skeletons: DataFrame, by: str = "project", per_token: float = T.CHARS_PER_TOKEN) -> DataFrame:
+    """(project, tokens) of a project's map, from the lengths of its entries; the map itself isn't put together."""
+    rows = skeletons.select(by, F.length(render_skeleton()).alias("n"))
+    chars = F.sum("n") + 2 * (F.count("*") - 1)
+    return rows.groupBy(by).agg(F.ceil(chars / F.lit(per_token)).cast("bigint").alias("tokens"))
+
+
 def _paths(c: Column) -> Column:
     return F.array_sort(F.collect_list(F.when(c, F.col("path"))))
 
@@ -90,10 +99,14 @@ def rag_prompt(questions: DataFrame, hits: DataFrame, abstracts: DataFrame) -> D
     return rows.select("query_id", F.concat(F.lit("Question: "), "question", F.lit("\n\nSources:\n"), F.coalesce("lead", F.lit("")), F.lit("\n\nExcerpts:\n"), "body").alias("prompt"), "excerpts", "documents")
 
 
-def prompt_summary(prompts: DataFrame, hits: DataFrame) -> DataFrame:
-    """(query_id, tokens, documents, chunks, citations) of finished prompts."""
-    cites = hits.withColumn("c", F.concat("document", F.lit(" > "), F.coalesce("heading_path", F.lit("")))).groupBy("query_id").agg(ordered("rank", "c", "; ").alias("citations"))
-    return prompts.join(cites, "query_id").select("query_id", T.estimate_tokens(F.col("prompt")).alias("tokens"), F.col("documents").alias("documents"), F.col("excerpts").alias("chunks"), "citations")
+def prompt_summary(prompts: DataFrame, hits: DataFrame, wanted: DataFrame, counter: Callable[[Column], Column] = T.estimate_tokens) -> DataFrame:
+    """(query_id, tokens, documents, chunks, citations, unreadable) of finished prompts: citations by file name and
+    heading; unreadable are the documents asked for (wanted: query_id, document, readable) that can't be read."""
+    name = lambda c: P.basename(F.col(c))
+    cites = hits.withColumn("c", F.concat(name("document"), F.lit(" > "), F.coalesce("heading_path", F.lit("")))).groupBy("query_id").agg(ordered("rank", "c", "; ").alias("citations"))
+    lost = wanted.where("not readable").groupBy("query_id").agg(F.array_sort(F.collect_set("document")).alias("unreadable"))
+    rows = prompts.join(cites, "query_id").join(lost, "query_id", "left")
+    return rows.select("query_id", counter(F.col("prompt")).alias("tokens"), F.col("documents").alias("documents"), F.col("excerpts").alias("chunks"), "citations", F.coalesce("unreadable", F.array().cast("array<string>")).alias("unreadable"))
 
 
 def fenced(text: Column) -> Column:
@@ -188,3 +201,13 @@ def figure_cache_plan(figures: DataFrame, cache: DataFrame, provider: str, model
     known = cache.where((F.col("provider") == provider) & (F.col("model") == model)).select("doc_id", "file", F.lit(True).alias("known")).distinct()
     rows = figures.join(known, ["doc_id", "file"], "left")
     return rows.select("doc_id", "file", F.min(F.col("known").isNotNull()).over(Window.partitionBy("doc_id")).alias("reuse"))
+
+
+def missing_figures(figures: DataFrame, notes: DataFrame) -> DataFrame:
+    """(doc_id, missing, error) of documents some of whose figures (doc_id, file) still have no note (doc_id, file, note)
+    after a run; the error names the first three."""
+    done = notes.where("note is not null").select("doc_id", "file").distinct()
+    left = figures.select("doc_id", "file").distinct().join(done, ["doc_id", "file"], "left_anti")
+    first = F.array_sort(F.collect_set(F.col("file").cast("string")))
+    per = left.groupBy("doc_id").agg(F.count("*").alias("missing"), first.alias("f"))
+    return per.select("doc_id", "missing", F.concat("missing", F.lit(" image(s) without a description: "), F.array_join(F.slice("f", 1, 3), ", ")).alias("error"))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import paths as P
 from lodestone.functions import text as T
+from lodestone.sources.files import checkpointed
 
 # How answers mark their parts.
 HEADER = r"(?i)^\s*(?:#{1,6}\s*)?(?:\*\*)?\s*File\s*:\s*(.+?)\s*$"
@@ -112,6 +113,12 @@ def nearest_header(lines: DataFrame, key: str = "response_id") -> DataFrame:
 
 def header_sections(responses: DataFrame) -> DataFrame:
     """(response_id, section_no, path, body) of what follows each File header, up to the next header or Delete line."""
+    return all_sections(responses).where("path is not null").drop("named")
+
+
+def all_sections(responses: DataFrame) -> DataFrame:
+    """The same with what stands before the first header, and those whose header names no usable path: their path is
+    null, and ``named`` says whether there is a header."""
     lines = lines_of(responses)
     mark = F.col("line").rlike(HEADER) | F.col("line").rlike(DELETE)
     order = Window.partitionBy("response_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -121,7 +128,7 @@ def header_sections(responses: DataFrame) -> DataFrame:
         F.array_sort(F.collect_list(F.when(~F.col("mark"), F.struct("line_no", "line")))).alias("ls"),
     )
     body = F.array_join(F.transform("ls", lambda x: x["line"]), "\n")
-    return named.select("response_id", "section_no", clean_path(F.nullif("raw", F.lit(""))).alias("path"), body.alias("body")).where("path is not null")
+    return named.select("response_id", "section_no", clean_path(F.nullif("raw", F.lit(""))).alias("path"), body.alias("body"), (F.coalesce("raw", F.lit("")) != "").alias("named"))
 
 
 def plain_blocks(parts: DataFrame) -> DataFrame:
@@ -180,10 +187,31 @@ def parse_changes(responses: DataFrame) -> DataFrame:
 
 
 def parse_report(responses: DataFrame, changes: DataFrame) -> DataFrame:
-    """(response_id, strategy, entries, truncated): responses without an entry are left to the user."""
+    """(response_id, strategy, entries, truncated, dropped, rejected, open_lines): responses without an entry are left to
+    the user. Dropped are fenced blocks without a path in an answer of fenced files; rejected are sections of patches
+    or plain files whose path is missing or unusable; open_lines are the lines (from 1) of fences that never close."""
+    part = checkpointed(responses.select("response_id", files_section(F.col("text")).alias("text")))
+    blocks = resolve_paths(code_blocks(part)).groupBy("response_id").agg(F.count_if(F.col("path").isNull()).alias("loose"))
+    lost = all_sections(part).where("path is null")
+    pair = F.col("body").rlike(PAIR)
+    plain = F.col("named") & ~pair & ~F.col("body").rlike(r"(?m)^ {0,3}(?:`{3,}|~{3,})") & (T.trimmed(F.col("body")) != "")
+    lost = lost.groupBy("response_id").agg(F.count_if(pair).alias("lost_patches"), F.count_if(plain).alias("lost_plain"))
+    open_ = code_blocks(responses.select("response_id", "text")).where("truncated").groupBy("response_id").agg(F.array_sort(F.collect_list(F.col("start_line") + 1)).alias("open_lines"))
     per = changes.groupBy("response_id").agg(F.first("strategy").alias("strategy"), F.count("*").alias("entries"), F.count_if("truncated").alias("truncated"))
     rows = responses.select("response_id").join(per, "response_id", "left")
-    return rows.select("response_id", F.coalesce("strategy", F.lit("user-assisted")).alias("strategy"), F.coalesce("entries", F.lit(0)).alias("entries"), F.coalesce("truncated", F.lit(0)).alias("truncated"))
+    for more in (blocks, lost, open_):
+        rows = rows.join(more, "response_id", "left")
+    count = lambda c: F.coalesce(c, F.lit(0)).cast("bigint")
+    rejected = F.when(F.col("strategy") == "patch", F.col("lost_patches")).when(F.col("strategy") == "plaintext", F.col("lost_plain"))
+    return rows.select(
+        "response_id",
+        F.coalesce("strategy", F.lit("user-assisted")).alias("strategy"),
+        count(F.col("entries")).alias("entries"),
+        count(F.col("truncated")).alias("truncated"),
+        count(F.when(F.col("strategy") == "markdown", F.col("loose"))).alias("dropped"),
+        count(rejected).alias("rejected"),
+        F.coalesce("open_lines", F.array().cast("array<int>")).alias("open_lines"),
+    )
 
 
 # What is no command in a section without fences.

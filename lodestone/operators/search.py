@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
+from lodestone.operators.corpus import ordered_paths
 from lodestone.sources.files import checkpointed
 
 K1, B, STEM_WEIGHT = 1.5, 0.75, 0.8
@@ -156,16 +157,28 @@ def merge_terms(local: Column, generated: Column) -> Column:
     return F.array_distinct(F.concat(local, made))
 
 
-def fuse_ranks(signals: DataFrame, weights: dict[str, float], damp: int = 5) -> DataFrame:
+def fuse_ranks(signals: DataFrame, weights: dict[str, float], damp: int = 5, long: bool = False) -> DataFrame:
     """(query_id, path, score, reasons) from (query_id, path, signal, raw): each signal gives weight / (rank + damp),
-    ranks from 0 by raw score, ties by path; reasons in the order of the weights."""
-    order = Window.partitionBy("query_id", "signal").orderBy(F.col("raw").desc(), "path")
+    ranks from 0 by raw score, ties by path; reasons in the order of the weights, which is that in which signals count.
+    Where a signal has a ``long`` list of hits for a query, it is ranked by ranges, in many tasks."""
+    if long:
+        rows = signals.withColumn("__by", F.struct("query_id", "signal")).withColumn("__order", F.struct((-F.col("raw")).alias("raw"), "path"))
+        rank = F.col("place") - 1
+        signals = ordered_paths(rows, "__by", "__order").drop("__by", "__order")
+    else:
+        rank = F.row_number().over(Window.partitionBy("query_id", "signal").orderBy(F.col("raw").desc(), "path")) - 1
     weight = F.element_at(F.create_map(*[x for k, v in weights.items() for x in (F.lit(k), F.lit(float(v)))]), F.col("signal"))
     place = F.element_at(F.create_map(*[x for n, k in enumerate(weights) for x in (F.lit(k), F.lit(n))]), F.col("signal"))
-    ranked = signals.withColumn("part", weight / (F.row_number().over(order) - 1 + damp)).withColumn("ord", place)
+    ranked = signals.withColumn("part", weight / (rank + damp)).withColumn("ord", place)
     return ranked.groupBy("query_id", "path").agg(F.sum("part").alias("score"), F.transform(F.array_sort(F.collect_set(F.struct("ord", "signal"))), lambda s: s["signal"]).alias("reasons"))
 
 
+def purpose(reasons: Column, graph_missing: Column) -> Column:
+    """What to tell of a hit's reasons; where no symbol index was there to ask, that too."""
+    said = F.when(F.size(reasons) > 0, F.concat(F.lit("matched via "), F.array_join(reasons, ", "))).otherwise("candidate")
+    return F.when(graph_missing, F.concat(said, F.lit(" (text only, there is no symbol index)"))).otherwise(said)
+
+
 def graph_expand(candidates: DataFrame, edges: DataFrame, seeds: int = 10) -> DataFrame:
     """(query_id, path, bump) for neighbours (src, dst) of each query's best ``seeds`` candidates: 0.3 for each
     adjacent seed, and 0.1 more once for a path that wasn't a candidate."""
@@ -194,21 +207,28 @@ def cochange_out(candidates: DataFrame, commits: DataFrame, seeds: DataFrame, le
 
 
 def hybrid_search(signals: DataFrame, edges: DataFrame, commits: DataFrame, known: DataFrame, directory: Column, weights: dict[str, float], seeds: int = 10, limit: int = 60) -> DataFrame:
-    """(query_id, path, score, rank) from the hits of several searches (query_id, path, signal, raw).
+    """(query_id, path, score, rank, reasons) from the hits of several searches (query_id, path, signal, raw).
 
     Hits on known paths are fused by rank. The best ``seeds`` of each query then reach over edges (src, dst) to their
     neighbours; candidates, the neighbours among them, gain by commits (commit, path) that they share, and known files
-    enter that share two or more commits with seeds. What is left is diversified over directories.
+    enter that share two or more commits with seeds. What is left is diversified over directories. Reasons are the
+    signals in the order of ``weights``, then import-graph, then co-change.
     """
     # scores that decide an order are rounded, so that sums in another order don't change it
     fused = fuse_ranks(signals, weights).join(known, "path", "left_semi")  # unknown paths keep their ranks
-    fused = checkpointed(fused.select("query_id", "path", F.round("score", 9).alias("score")))
+    fused = checkpointed(fused.select("query_id", "path", F.round("score", 9).alias("score"), "reasons"))
+    none = F.array().cast("array<string>")
+    because = lambda df, reason: df.select("query_id", "path", F.col("bump").alias("score"), F.array(F.lit(reason)).alias("reasons"))
+    # one row of each kind, so that the reasons of a path follow each other by kind
+    gather = lambda kind: F.flatten(F.transform(F.array_sort(F.collect_list(F.struct(kind, "reasons"))), lambda r: r["reasons"]))
     top = topk(fused, seeds).select("query_id", "path")
-    graph = graph_expand(fused, edges, seeds).join(known, "path", "left_semi").select("query_id", "path", F.col("bump").alias("score"))
-    pool = checkpointed(fused.unionByName(graph).groupBy("query_id", "path").agg(F.sum("score").alias("score")))
-    inside = cochange_in(pool, commits, ["query_id"]).select("query_id", "path", F.col("bump").alias("score"))
-    outside = cochange_out(pool, commits, top, by=["query_id"]).join(known, "path", "left_semi").select("query_id", "path", F.col("bump").alias("score"))
-    every = pool.unionByName(inside).unionByName(outside).groupBy("query_id", "path").agg(F.round(F.sum("score"), 9).alias("score"))
+    graph = because(graph_expand(fused, edges, seeds).join(known, "path", "left_semi"), "import-graph")
+    both = fused.withColumn("kind", F.lit(0)).unionByName(graph.withColumn("kind", F.lit(1)))
+    pool = checkpointed(both.groupBy("query_id", "path").agg(F.sum("score").alias("score"), gather("kind").alias("reasons")))
+    inside = because(cochange_in(pool, commits, ["query_id"]), "co-change")
+    outside = because(cochange_out(pool, commits, top, by=["query_id"]).join(known, "path", "left_semi"), "co-change")
+    every = pool.withColumn("kind", F.lit(0)).unionByName(inside.unionByName(outside).withColumn("kind", F.lit(1)))
+    every = every.groupBy("query_id", "path").agg(F.round(F.sum("score"), 9).alias("score"), F.coalesce(gather("kind"), none).alias("reasons"))
     return diversify(every, directory, limit=limit)
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
+from lodestone.sources.files import checkpointed
 
 
 def unit_vectors(vectors: DataFrame, column: str = "embedding") -> DataFrame:
@@ -39,16 +40,18 @@ def _packs(vectors: DataFrame, columns: dict[str, str], rows: int) -> DataFrame:
     return vectors.select("embedding", *columns).mapInPandas(pack, f"width int, data binary, {arrays}")
 
 
-def cosine_scores(chunks: DataFrame, queries: DataFrame, where: Column | None = None, least: float | None = None, most: int | None = None, block: int = 2048) -> DataFrame:
+def cosine_scores(chunks: DataFrame, queries: DataFrame, where: Column | None = None, least: float | None = None, most: int | None = None, block: int = 2048, most_sent: int = 64 << 20) -> DataFrame:
     """(query_id, chunk_id, document, score) of stated queries (query_id, embedding) against all chunks (chunk_id,
     document, embedding). ``where`` drops chunks before any score is computed; widths that differ and null vectors give
     no rows. Blocks of queries meet blocks of chunks, each as one matrix product; only scores of at least ``least``
-    leave it, and of each query at most the ``most`` best with all that equal the last of them."""
+    leave it, and of each query at most the ``most`` best with all that equal the last of them. Queries of up to
+    ``most_sent`` bytes are sent to all tasks; more are numbered by block, and each block of chunks is sent to each."""
     kinds = {**dict(chunks.dtypes), **dict(queries.select("query_id").dtypes)}
     rows = chunks if where is None else chunks.where(where)
     have = _packs(rows, {c: kinds[c] for c in ("chunk_id", "document")}, block)
     asked = _packs(queries, {"query_id": kinds["query_id"]}, block)
-    asked = asked.select(F.col("width").alias("q_width"), F.col("data").alias("q_data"), "query_id")
+    asked = asked.select(F.col("width").alias("q_width"), F.col("data").alias("q_data"), "query_id", F.monotonically_increasing_id().alias("q_no"))
+    asked = checkpointed(asked)
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -63,7 +66,14 @@ def cosine_scores(chunks: DataFrame, queries: DataFrame, where: Column | None =
                 take = lambda values, at: pd.Series(list(values), dtype=object).iloc[at].reset_index(drop=True)
                 yield pd.DataFrame({"query_id": take(r.query_id, q), "chunk_id": take(r.chunk_id, c), "document": take(r.document, c), "score": got[q, c]})
 
-    return have.crossJoin(asked).mapInPandas(score, f"query_id {kinds['query_id']}, chunk_id {kinds['chunk_id']}, document {kinds['document']}, score double")
+    size = asked.agg(F.coalesce(F.sum(F.length("q_data")), F.lit(0))).first()[0]
+    if size <= most_sent:
+        both = have.crossJoin(F.broadcast(asked.drop("q_no")))
+    else:
+        numbers = asked.agg(F.collect_list("q_no").alias("all"))  # a number for each ``block`` queries
+        spread = have.crossJoin(F.broadcast(numbers)).withColumn("q_no", F.explode("all")).drop("all")
+        both = spread.join(asked, "q_no").drop("q_no")
+    return both.mapInPandas(score, f"query_id {kinds['query_id']}, chunk_id {kinds['chunk_id']}, document {kinds['document']}, score double")
 
 
 def nearest(chunks: DataFrame, queries: DataFrame, k: int, where: Column | None = None) -> DataFrame:

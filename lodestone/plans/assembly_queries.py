@@ -112,7 +112,7 @@ def asm02(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("agg06_map_tokens", f"WITH {MAP} SELECT d AS project, ceil(length(string_agg(e, chr(10) || chr(10))) / 3.2::DOUBLE)::BIGINT AS tokens FROM entries GROUP BY d")
 def agg06(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return A.codebase_map(_skeletons(spark, sf_dir)).select("project", "tokens")
+    return A.map_tokens(_skeletons(spark, sf_dir))
 
 
 @register("asm03_coding_prompt")
@@ -156,9 +156,13 @@ def asm05(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rag(spark, sf_dir)
 
 
-@register("agg11_prompt_summary", f"WITH {RAG} SELECT query_id, ceil(length(prompt) / 3.2::DOUBLE)::BIGINT AS tokens, documents, excerpts AS chunks, citations FROM rag")
+@register("agg11_prompt_summary", f"WITH {RAG} SELECT query_id, ceil(length(prompt) / 3.2::DOUBLE)::BIGINT AS tokens, documents, excerpts AS chunks, citations, CASE WHEN query_id % 200 = 0 THEN ['x/a.pdf', 'x/q' || query_id || '.pdf'] ELSE [] END AS unreadable FROM rag")
 def agg11(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return A.prompt_summary(_rag(spark, sf_dir), _hits(spark, sf_dir))
+    """Hits lie in folders; every second question also asked for two documents that can't be read."""
+    hits = _hits(spark, sf_dir)
+    lost = hits.where("query_id % 200 = 0").select("query_id", F.explode(F.array(F.concat(F.lit("x/q"), "query_id", F.lit(".pdf")), F.lit("x/a.pdf"))).alias("document"), F.lit(False).alias("readable"))
+    wanted = hits.select("query_id", "document", F.lit(True).alias("readable")).unionByName(lost)
+    return A.prompt_summary(_rag(spark, sf_dir), hits.withColumn("document", F.concat(F.lit("docs/in/"), "document")), wanted)
 
 
 @register("jon11_preambles", f"WITH {RAG} SELECT DISTINCT query_id, document, 'about ' || document AS abstract FROM hits")
@@ -201,6 +205,14 @@ def jon13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.attach_figure_notes(text, notes)
 
 
+@register("jon14_missing_figures", "WITH f AS (SELECT DISTINCT l_orderkey AS doc_id, l_linenumber AS file FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F')) SELECT doc_id, count(*)::BIGINT AS missing, count(*) || ' image(s) without a description: ' || array_to_string(list_sort(list(file::VARCHAR))[1:3], ', ') AS error FROM f WHERE file % 3 <> 1 GROUP BY doc_id")
+def jon14_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order lines as figures after a run: finished orders have all their notes, others every third."""
+    lines = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders"), F.col("o_orderkey") == F.col("l_orderkey"))
+    figures = lines.select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("file"), F.when((F.col("o_orderstatus") == "F") | (F.col("l_linenumber") % 3 == 1), "seen").alias("note"))
+    return A.missing_figures(figures, figures)
+
+
 @register("jon14_figure_cache_plan", "SELECT doc_id, file, bool_and(known) OVER (PARTITION BY doc_id) AS reuse FROM (SELECT l_orderkey AS doc_id, l_linenumber AS file, bool_or(l_partkey % 3 <> 0) AS known FROM lineitem GROUP BY ALL)")
 def jon14(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order lines as figures; the cache lacks some or has them by another model."""

@@ -160,9 +160,15 @@ def prj05(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", P.is_portable(F.concat_ws("/", F.lit("src"), F.regexp_replace("p_name", r"[^\w ]", "x"), end)).alias("portable"))
 
 
-@register("prj06_supported_document", f"WITH {_NAMED} SELECT count(*)::BIGINT AS n FROM named WHERE doc_id % 14 = 3")
+_BELOW = ["", "node_modules/", ".git/", "a/out/", "a/b.dist/", "converted/x/", "out.md/"]
+
+
+@register("prj06_supported_document", "SELECT doc_id, doc_id % 14 = 3 AS supported, doc_id // 14 % 7 <> 2 AS in_docs, doc_id % 14 = 3 AND doc_id // 14 % 7 IN (0, 4, 6) AS in_root FROM documents")
 def prj06(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _named(spark, sf_dir).where(P.is_supported_document(F.col("path"))).agg(F.count("*").alias("n"))
+    """Documents of many formats in folders that scans enter or not."""
+    folder = F.element_at(F.array(*map(F.lit, _BELOW)), (F.expr("doc_id div 14") % 7 + 1).cast("int"))
+    path = F.concat(folder, "path")
+    return _named(spark, sf_dir).select("doc_id", P.is_supported_document(path).alias("supported"), P.is_listed_document(path, False).alias("in_docs"), P.is_listed_document(path, True).alias("in_root"))
 
 
 @register("prj07_known_only", "SELECT l_partkey AS path, sum(l_quantity)::DOUBLE AS score FROM lineitem WHERE l_partkey IN (SELECT p_partkey FROM part WHERE p_size > 20) GROUP BY l_partkey")

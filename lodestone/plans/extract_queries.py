@@ -81,9 +81,17 @@ def ext06(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _changes(spark, sf_dir).select("response_id", "strategy", "kind", "path", "truncated")
 
 
-@register("agg13_parse_report", f"WITH {CHANGES} SELECT a.response_id, coalesce(strategy, 'user-assisted') AS strategy, count(c.path)::BIGINT AS entries, count(*) FILTER (truncated)::BIGINT AS truncated FROM answers a LEFT JOIN changes c USING (response_id) GROUP BY ALL")
+@register("agg13_parse_report", f"WITH {CHANGES} SELECT a.response_id, coalesce(strategy, 'user-assisted') AS strategy, count(c.path)::BIGINT AS entries, count(*) FILTER (truncated)::BIGINT AS truncated, max((k = 0)::INTEGER)::BIGINT AS dropped, max((k IN (1, 3))::INTEGER)::BIGINT AS rejected, CASE WHEN max(k) = 4 THEN [3] ELSE [] END AS open_lines FROM answers a LEFT JOIN changes c USING (response_id) GROUP BY ALL")
 def agg13(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return X.parse_report(answers(spark, sf_dir), _changes(spark, sf_dir))
+    """Answers with a fenced example far below any path, a patch for no path, or a plain section whose path is none."""
+    more = (
+        F.when(F.col("k") == 0, "\nSuch as:" + "\n" * 9 + "```\nshort\n```")
+        .when(F.col("k") == 1, "\nFile: ???\n<<<<<<< SEARCH\na\n=======\nb\n>>>>>>> REPLACE")
+        .when(F.col("k") == 3, "\nFile: nowhere\nbody")
+        .otherwise("")
+    )
+    rows = answers(spark, sf_dir).select("response_id", F.concat(F.substring_index("text", "\n======\n===Explanation===", 1), more, F.lit("\n======\n===Explanation==="), F.substring_index("text", "\n======\n===Explanation===", -1)).alias("text"))
+    return X.parse_report(rows, X.parse_changes(rows))
 
 
 @register("set04_merge_entries", f"WITH {CHANGES} SELECT response_id, path, CASE kind WHEN 'delete' THEN 0 WHEN 'full' THEN 1 ELSE 2 END AS branch FROM changes")

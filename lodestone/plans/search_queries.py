@@ -123,5 +123,5 @@ def expanded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.expand_terms(items)
 
 
-#: BM25 hits of the expanded queries, for the hybrid search.
-EXPANDED_TOP = f"""{_scores(True, EXPANDED + ", asked AS (SELECT query_id, term, " + sql_stem("term") + " AS stem FROM (SELECT query_id, term FROM prim UNION SELECT query_id, term FROM extra))")}, {TOP_60}"""
+#: BM25 hits of the expanded queries and of terms that a model generated, for the hybrid search.
+EXPANDED_TOP = f"""{_scores(True, EXPANDED + ", asked AS (SELECT query_id, term, " + sql_stem("term") + " AS stem FROM (SELECT query_id, term FROM prim UNION SELECT query_id, term FROM extra UNION SELECT item_id, unnest(['session', 'token', 'item' || item_id]) FROM benchmark))")}, {TOP_60}"""

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.operators import corpus as C
 from lodestone.operators import search as S
 from lodestone.operators import vectors as V
 from lodestone.plans.registry import register
@@ -135,20 +136,22 @@ def win06(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = table(spark, sf_dir, "part")
     signal = lambda name, raw: part.select(F.col("p_brand").alias("query_id"), F.col("p_partkey").alias("path"), F.lit(name).alias("signal"), F.col(raw).cast("double").alias("raw"))
     graph = _parts(spark, sf_dir).select(F.col("brand").alias("query_id"), "path", F.lit("graph").alias("signal"), F.col("score").alias("raw"))
-    fused = S.fuse_ranks(graph.unionByName(signal("text", "p_retailprice")).unionByName(signal("recent", "p_size")), {"graph": 3, "text": 2, "recent": 1.5})
+    fused = S.fuse_ranks(graph.unionByName(signal("text", "p_retailprice")).unionByName(signal("recent", "p_size")), {"graph": 3, "text": 2, "recent": 1.5}, long=True)
     return fused.select("query_id", "path", F.round("score", 12).alias("score"))
 
 
 @register(
     "agg10_reasons",
-    """SELECT p_brand AS query_id, p_partkey AS path, 'matched via ' || CASE WHEN EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey) THEN 'graph, ' ELSE '' END || 'text' || CASE WHEN p_size % 2 = 0 THEN ', recent' ELSE '' END AS purpose FROM part""",
+    """SELECT p_brand AS query_id, p_partkey AS path, 'matched via ' || CASE WHEN p_brand NOT LIKE '%1' AND EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey) THEN 'graph, ' ELSE '' END || 'text' || CASE WHEN p_size % 2 = 0 THEN ', recent' ELSE '' END || CASE WHEN p_brand LIKE '%1' THEN ' (text only, there is no symbol index)' ELSE '' END AS purpose FROM part""",
 )
 def agg10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Brands whose name ends in 1 have no symbol index."""
     part = table(spark, sf_dir, "part")
     signal = lambda df, name, raw: df.select(F.col("p_brand").alias("query_id"), F.col("p_partkey").alias("path"), F.lit(name).alias("signal"), F.col(raw).cast("double").alias("raw"))
     graph = _parts(spark, sf_dir).select(F.col("brand").alias("query_id"), "path", F.lit("graph").alias("signal"), F.col("score").alias("raw"))
-    fused = S.fuse_ranks(graph.unionByName(signal(part, "text", "p_retailprice")).unionByName(signal(part.where("p_size % 2 = 0"), "recent", "p_size")), {"graph": 3, "text": 2, "recent": 1.5})
-    return fused.select("query_id", "path", F.concat(F.lit("matched via "), F.array_join("reasons", ", ")).alias("purpose"))
+    graph = graph.where("query_id not like '%1'")
+    fused = S.fuse_ranks(graph.unionByName(signal(part, "text", "p_retailprice")).unionByName(signal(part.where("p_size % 2 = 0"), "recent", "p_size")), {"graph": 3, "text": 2, "recent": 1.5}, long=True)
+    return fused.select("query_id", "path", S.purpose(F.col("reasons"), F.endswith("query_id", F.lit("1"))).alias("purpose"))
 
 
 @register("win08_diversify", f"WITH {PARTS}, d AS (SELECT *, score * pow(0.7, row_number() OVER (PARTITION BY brand ORDER BY score DESC, path) - 1) AS worth FROM parts) SELECT path, brand, round(score, 2) AS score, row_number() OVER (ORDER BY round(worth, 9) DESC, path)::INTEGER AS rank FROM d QUALIFY rank <= 60")
@@ -194,11 +197,9 @@ COMMITS = "commits AS (SELECT c_nationkey AS project, l_partkey AS path, dense_r
 
 @register("win07_recent_files", f"WITH {COMMITS}, f AS (SELECT project, path, min(seq * 100 + ord) AS newest FROM commits GROUP BY ALL) SELECT project, path, row_number() OVER (PARTITION BY project ORDER BY newest, path)::INTEGER AS rank FROM f QUALIFY rank <= 60")
 def win07(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
-
     orders = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("c_custkey") == F.col("o_custkey"))
-    seq = F.row_number().over(Window.partitionBy("c_nationkey").orderBy(F.col("o_orderdate").desc(), F.col("o_orderkey").desc()))
-    log = orders.select(F.col("c_nationkey").alias("project"), "o_orderkey", seq.alias("seq"))
+    newest = F.struct((-F.unix_micros(F.col("o_orderdate").cast("timestamp"))).alias("at"), (-F.col("o_orderkey")).alias("key"))
+    log = C.ordered_paths(orders.select(F.col("c_nationkey").alias("project"), "o_orderkey", newest.alias("newest")), "project", "newest").select("project", "o_orderkey", F.col("place").alias("seq"))
     lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_partkey").alias("path"), F.col("l_linenumber").alias("ord"))
     return S.recent_files(log.join(lines, "o_orderkey"))
 
@@ -220,16 +221,20 @@ ins AS (SELECT query_id, path, least(sum(k - 1), 10) * 0.4 AS score FROM (SELECT
 hits AS (SELECT s.query_id, c, count(*) AS k FROM seeds s JOIN commits m ON m.path = s.path GROUP BY ALL),
 outs AS (SELECT h.query_id, m.path, least(sum(k), 6) * 0.3 AS score FROM hits h JOIN commits m USING (c) LEFT JOIN pool p ON p.query_id = h.query_id AND p.path = m.path WHERE p.path IS NULL AND m.path IN (SELECT path FROM known) GROUP BY h.query_id, m.path HAVING sum(k) >= 2),
 total AS (SELECT query_id, path, round(sum(score), 9) AS score FROM (SELECT * FROM pool UNION ALL SELECT * FROM ins UNION ALL SELECT * FROM outs) GROUP BY query_id, path),
+why AS (SELECT query_id, path, CASE s WHEN 'graph' THEN 0 WHEN 'text' THEN 1 ELSE 2 END AS o, s AS reason FROM sig UNION SELECT query_id, path, 3, 'import-graph' FROM near UNION SELECT query_id, path, 4, 'co-change' FROM ins UNION SELECT query_id, path, 4, 'co-change' FROM outs),
+reasons AS (SELECT query_id, path, string_agg(reason, ',' ORDER BY o) AS reasons FROM why GROUP BY query_id, path),
 worth AS (SELECT *, round(score * pow(0.7::DOUBLE, row_number() OVER (PARTITION BY query_id, regexp_replace(path, '/[^/]*$', '') ORDER BY score DESC, path) - 1), 9) AS w FROM total)"""
 
 
-@register("top05_hybrid_search", f"WITH {HYBRID} SELECT query_id, path, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY w DESC, path)::INTEGER AS rank FROM worth QUALIFY rank <= 60")
+@register("top05_hybrid_search", f"WITH {HYBRID} SELECT query_id, path, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY w DESC, path)::INTEGER AS rank, reasons FROM worth JOIN reasons USING (query_id, path) QUALIFY rank <= 60")
 def top05(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Expanded queries over all documents as files: BM25 hits, hits of a symbol index (documents by a remainder of
     their id), the newest files; then imports (ids three apart), shared commits, and diversity over folders. A tenth of
     the files is unknown to the scan."""
     docs = files(spark, sf_dir)
     asked = expanded(spark, sf_dir).groupBy("query_id").agg(F.collect_set("term").alias("terms"))
+    generated = F.concat(F.lit("The session, token: for Item"), "query_id")  # what a model would add
+    asked = asked.select("query_id", S.merge_terms(F.col("terms"), generated).alias("terms"))
     text = bm25_top(spark, sf_dir, asked).select("query_id", "path", F.lit("text").alias("signal"), F.round("score", 9).alias("raw"))
     items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), (F.col("item_id") % 97).alias("m"))
     hits = docs.select((F.col("doc_id") % 97).alias("m"), "path", F.length("content").cast("double").alias("raw")).join(items, "m")
@@ -243,4 +248,4 @@ def top05(spark: SparkSession, sf_dir: str) -> DataFrame:
     commits = commit("a", F.expr("doc_id div 4")).unionByName(commit("b", F.col("doc_id") % 211))
     known = ids.where("doc_id % 10 <> 7").select("path")
     found = S.hybrid_search(text.unionByName(symbols).unionByName(recent), edges, commits, known, F.regexp_replace("path", "/[^/]*$", ""), {"graph": 3, "text": 2, "recent": 1.5})
-    return found.select("query_id", "path", F.round("score", 6).alias("score"), "rank")
+    return found.select("query_id", "path", F.round("score", 6).alias("score"), "rank", F.array_join("reasons", ",").alias("reasons"))
