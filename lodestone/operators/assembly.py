@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import paths as P
 from lodestone.functions import text as T
+from lodestone.operators.corpus import ordered_paths
+from lodestone.sources.files import checkpointed
 
 
 def ordered(order: str | Column, value: str | Column, sep: str) -> Column:
@@ -17,13 +19,15 @@ def ordered(order: str | Column, value: str | Column, sep: str) -> Column:
     return F.array_join(F.transform(pairs, lambda x: x["v"]), sep)
 
 
-def tree_listing(files: DataFrame, by: str = "project") -> DataFrame:
-    """(project, listing): a tree of the paths with box characters, folders and files by name."""
+def tree_lines(files: DataFrame, by: str = "project") -> DataFrame:
+    """(project, place, line): a tree of the paths with box characters, folders and files by name, a row for each line.
+    A line is drawn from the flags of the nodes above it, and places come from ranges: no project meets in one task."""
     parts = F.split("path", "/")
     nodes = files.select(by, F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "/"))).alias("node")).distinct()
     nodes = nodes.withColumn("parent", F.regexp_extract("node", r"^(.*)/[^/]*$", 1))
-    is_last = F.row_number().over(Window.partitionBy(by, "parent").orderBy(F.col("node").desc())) == 1
-    nodes = nodes.withColumn("is_last", is_last)
+    # a folder's last entry is its greatest; one row for each folder
+    last = nodes.groupBy(by, "parent").agg(F.max("node").alias("node")).select(by, "node", F.lit(True).alias("is_last"))
+    nodes = checkpointed(nodes.join(last, [by, "node"], "left").withColumn("is_last", F.coalesce("is_last", F.lit(False))))
     steps = F.split("node", "/")
     above = nodes.select(by, "node", F.posexplode(F.transform(F.sequence(F.lit(1), F.size(steps)), lambda n: F.array_join(F.slice(steps, 1, n), "/"))).alias("depth", "up"))
     marks = above.join(nodes.select(by, F.col("node").alias("up"), "is_last"), [by, "up"])
@@ -31,8 +35,13 @@ def tree_listing(files: DataFrame, by: str = "project") -> DataFrame:
     n = F.size("m")
     indent = F.array_join(F.transform(F.slice("m", 1, n - 1), lambda x: F.when(x["is_last"], "    ").otherwise("│   ")), "")
     own = F.when(F.element_at("m", -1)["is_last"], "└── ").otherwise("├── ")
-    line = line.select(by, "node", F.concat(indent, own, P.basename(F.col("node"))).alias("line"))
-    return line.groupBy(by).agg(ordered(F.regexp_replace("node", "/", "\u0001"), "line", "\n").alias("listing"))
+    line = line.select(by, F.regexp_replace("node", "/", "\u0001").alias("__node"), F.concat(indent, own, P.basename(F.col("node"))).alias("line"))
+    return ordered_paths(line, by, "__node").select(by, "place", "line")
+
+
+def tree_listing(files: DataFrame, by: str = "project") -> DataFrame:
+    """(project, listing): the lines of tree_lines as one text, for projects that a prompt can hold."""
+    return tree_lines(files, by).groupBy(by).agg(ordered("place", "line", "\n").alias("listing"))
 
 
 def render_skeleton() -> Column:
@@ -44,8 +53,14 @@ def render_skeleton() -> Column:
     return F.when(kind == "asset", F.concat(F.lit("### "), "path")).when(kind == "code", code).otherwise(F.concat(F.lit("### "), "path", F.lit("\n"), T.preview(F.col("content"))))
 
 
+def map_entries(skeletons: DataFrame, by: str = "project") -> DataFrame:
+    """(project, place, path, entry): a project's map as a row for each file, in the order of the paths."""
+    return ordered_paths(skeletons.select(by, "path", render_skeleton().alias("entry")), by).select(by, "place", "path", "entry")
+
+
 def codebase_map(skeletons: DataFrame, by: str = "project") -> DataFrame:
-    """(project, map, tokens): all entries by path, a blank line between them."""
+    """(project, map, tokens): the entries of map_entries as one text, a blank line between them, for projects that a
+    prompt can hold."""
     rows = skeletons.withColumn("entry", render_skeleton())
     return rows.groupBy(by).agg(ordered("path", "entry", "\n\n").alias("map")).withColumn("tokens", T.estimate_tokens(F.col("map")))
 

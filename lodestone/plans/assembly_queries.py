@@ -92,9 +92,10 @@ def jon08(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.reuse_vectors(docs, old, "present").select("document", F.get("vector", F.lit(0)).alias("kept"))
 
 
-@register("asm01_tree_listing", f"WITH {SOURCES}, n AS (SELECT d, path, row_number() OVER (PARTITION BY d ORDER BY path DESC) AS r FROM sources) SELECT d AS project, '└── ' || d || chr(10) || string_agg('    ' || CASE WHEN r = 1 THEN '└── ' ELSE '├── ' END || split_part(path, '/', 2), chr(10) ORDER BY path) AS listing FROM n GROUP BY d")
+@register("asm01_tree_listing", f"""WITH {SOURCES}, n AS (SELECT d, path, row_number() OVER (PARTITION BY d ORDER BY path) AS r, count(*) OVER (PARTITION BY d) AS n FROM sources)
+SELECT d AS project, 1::BIGINT AS place, '└── ' || d AS line FROM n GROUP BY d UNION ALL SELECT d, r + 1, '    ' || CASE WHEN r = n THEN '└── ' ELSE '├── ' END || split_part(path, '/', 2) FROM n""")
 def asm01(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return A.tree_listing(sources(spark, sf_dir).select(F.substring_index("path", "/", 1).alias("project"), "path"))
+    return A.tree_lines(sources(spark, sf_dir).select(F.substring_index("path", "/", 1).alias("project"), "path"))
 
 
 def _skeletons(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -105,9 +106,9 @@ def _skeletons(spark: SparkSession, sf_dir: str) -> DataFrame:
 MAP = f"{SOURCES}, entries AS (SELECT d, path, '### ' || path || chr(10) || 'imports: ./p' || (k + 1) || ', node:fs' || chr(10) || 'export function f' || k || '(a: number): string' || chr(10) || 'export const c' || k || ' = 1;' AS e FROM sources)"
 
 
-@register("asm02_codebase_map", f"WITH {MAP} SELECT d AS project, md5(string_agg(e, chr(10) || chr(10) ORDER BY path)) AS digest FROM entries GROUP BY d")
+@register("asm02_codebase_map", f"WITH {MAP} SELECT d AS project, row_number() OVER (PARTITION BY d ORDER BY path)::BIGINT AS place, path, e AS entry FROM entries")
 def asm02(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return A.codebase_map(_skeletons(spark, sf_dir)).select("project", F.md5("map").alias("digest"))
+    return A.map_entries(_skeletons(spark, sf_dir))
 
 
 @register("agg06_map_tokens", f"WITH {MAP} SELECT d AS project, ceil(length(string_agg(e, chr(10) || chr(10))) / 3.2::DOUBLE)::BIGINT AS tokens FROM entries GROUP BY d")
