@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -57,19 +59,21 @@ def pieces(docs: DataFrame, capacity: int = 2048, tokenizer: str | None = None,
     numbers pieces of a batch that are equal in all."""
     path, end = tokenizer or default_tokenizer(), end_id.to_bytes(4, "little")
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = word_tokenizer(path).ids
-        for batch in batches:
-            out = []
-            for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
+        for batch in (whole.slice(lo, 1024) for whole in batches for lo in range(0, whole.num_rows, 1024)):
+            out, seen = [], Counter()
+            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 ids = encode(text or "") + end
                 for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at : at + 4 * capacity]
-                    out.append((doc_id, k, at // 4, len(part) // 4, zlib.crc32(part)))
-            frame = pd.DataFrame(out, columns=COLUMNS).astype({"doc_id": "Int64"})
-            yield frame.assign(copy=frame.groupby(COLUMNS, dropna=False).cumcount())
+                    row = (doc_id, k, at // 4, len(part) // 4, zlib.crc32(part))
+                    out.append((*row, seen[row]))
+                    seen[row] += 1
+            kinds = [pa.int32() if c == "piece" else pa.int64() for c in (*COLUMNS, "copy")]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=[*COLUMNS, "copy"])
 
-    return docs.mapInPandas(cut, PIECES + ", copy bigint")
+    return docs.select("doc_id", "text").mapInArrow(cut, PIECES + ", copy bigint")
 
 
 def pack_documents(

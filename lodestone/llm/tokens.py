@@ -9,7 +9,7 @@ from functools import lru_cache
 import numpy as np
 
 #: Words kept by a worker; the cache starts anew beyond it.
-CACHE_WORDS = 1_500_000
+CACHE_WORDS = 500_000
 _FOLD = bytes.maketrans(b"\n\r\tABCDEFGHIJKLMNOPQRSTUVWXYZ", b"   abcdefghijklmnopqrstuvwxyz")
 _MARKS = b".,;:!?"
 
