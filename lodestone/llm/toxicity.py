@@ -1,19 +1,20 @@
 """Toxicity by compression distance: one zstandard dictionary for toxic text, one for ordinary text.
 
-A text is compressed in overlapping windows of running bytes, each once with the dictionary of ordinary text alone and
-once with the toxic dictionary behind it. What a window gains from the toxic dictionary is the difference of the two
-lengths: words that both kinds of text have cost the same either way. How many windows gain how much is calibrated to
-a probability on texts that the dictionaries were not trained on.
-
-Both dictionaries are trained by zstandard. Training fills a dictionary with what recurs most, so two things are kept
-from it: passages that stand in several texts, and, for the toxic dictionary, stretches that ordinary text has too.
+A text is compressed in overlapping windows of running bytes, each once with the dictionary of ordinary text and
+nothing behind it, and once with the toxic dictionary there. What a window gains is the difference of the two lengths:
+all that the ordinary dictionary has costs the same either way. How many windows gain how much is calibrated to a
+probability on texts that the dictionaries were not trained on.
+
+Both dictionaries are trained by zstandard, and two things are kept from the ordinary one: passages that stand in several
+texts, and windows that hold what is typical of toxic text. Typical are runs of bytes that toxic texts have more often
+than chance explains; the toxic dictionary is trained on the stretches that they cover.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,12 +26,14 @@ _WHITE = re.compile(rb"[\x00-\x20]+")
 #: Bytes of a window, and from one to the next; anything of up to ``WINDOW - STEP`` bytes is whole in one of them.
 WINDOW, STEP = 48, 36
 #: Sizes of the dictionaries in bytes.
-ORDINARY, TOXIC = 65_536, 2048
+ORDINARY, TOXIC = 65_536, 4096
 #: A window that shares so many bytes in a row with another text is a repeated passage and trains nothing.
 PASSAGE = 20
-#: A stretch is typical of toxic text where runs of one of these lengths cover it that stand in at least ``LEAST``
-#: toxic texts, and ``TIMES`` as often there as in ordinary ones.
-RUNS, LEAST, TIMES = (5, 8), 4, 8
+#: Lengths of runs that are compared, and how many times a text counts that has one more often.
+RUNS, CAPPED = (5, 6, 8), 4
+#: A run is typical if ``LEAST`` toxic texts or more have it, if the log-likelihood ratio of its share of texts is at
+#: least ``SURE``, and that of its counts at least ``FLOOR`` and ``SHARE`` of what the strongest runs have.
+LEAST, SURE, FLOOR, SHARE = 4, 16, 30, 0.05
 #: Gains that are counted, one count for each.
 LEVELS = (1, 2, 3, 4, 5, 6, 8)
 FEATURES = len(LEVELS) + 5
@@ -55,10 +58,30 @@ def _runs(raw: bytes, n: int) -> np.ndarray:
     return (((out ^ (out >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(32)).astype(np.uint32)
 
 
-def _counts(runs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """The runs of all texts, in order, and how many texts have each."""
-    every = [np.unique(r) for r in runs]
-    return np.unique(np.concatenate(every), return_counts=True) if every else (np.zeros(0, np.uint32), np.zeros(0, np.int64))
+def _counts(runs: Iterable[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The runs of all texts, in order, how many texts have each, and how often, a text counting ``CAPPED`` times at
+    most."""
+    packed = []
+    for own in runs:
+        values, n = np.unique(own, return_counts=True)
+        packed.append(values.astype(np.uint64) << np.uint64(4) | np.minimum(n, CAPPED).astype(np.uint64))
+    every = np.concatenate(packed) if packed else np.zeros(0, np.uint64)
+    every.sort()
+    values = (every >> np.uint64(4)).astype(np.uint32)
+    first = np.flatnonzero(np.append(True, values[1:] != values[:-1])) if len(values) else np.zeros(0, np.int64)
+    if not len(first):
+        return values, first, first
+    times = np.add.reduceat((every & np.uint64(15)).astype(np.uint8), first, dtype=np.int64)
+    return values[first], np.diff(np.append(first, len(values))), times
+
+
+def surprise(a: np.ndarray, b: np.ndarray, of_a: int, of_b: int) -> np.ndarray:
+    """The log-likelihood ratio of ``a`` out of ``of_a`` and ``b`` out of ``of_b`` against one share for both; 0 where
+    the first share isn't the larger."""
+    part = lambda k, n, share: k * np.log(np.maximum(share, 1e-300)) + (n - k) * np.log(np.maximum(1 - share, 1e-300))
+    both = (a + b) / (of_a + of_b)
+    ratio = 2 * (part(a, of_a, a / of_a) + part(b, of_b, b / of_b) - part(a, of_a, both) - part(b, of_b, both))
+    return np.where(a * of_b > b * of_a, ratio, 0.0)
 
 
 def _look_up(values: np.ndarray, ordered: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -76,7 +99,7 @@ class Sample:
         # passages are compared where words begin
         begins = [np.flatnonzero(np.frombuffer(t, np.uint8)[: max(0, len(t) - PASSAGE + 1)] == 32) for t in texts]
         long = [_runs(t, PASSAGE)[at] for t, at in zip(texts, begins, strict=True)]
-        ordered, counts = _counts(long)
+        ordered, counts, _ = _counts(long)
         ordered, counts = ordered[counts > 1], counts[counts > 1]  # few, so that looking them up is fast
         self.repeated = []  # for each text: how many passages that another text has too begin before each byte
         for t, at, own in zip(texts, begins, long, strict=True):
@@ -89,59 +112,74 @@ class Sample:
         bad = self.repeated[k]
         return bad[np.minimum(stop, len(bad) - 1)] == bad[np.maximum(0, first - PASSAGE + 1)]
 
-    def windows(self, which: list[int]) -> list[bytes]:
-        out = []
-        for k in which:
-            own = windows(self.texts[k])
-            first = np.arange(len(own)) * STEP
-            out += [w for w, good in zip(own, self._fresh(k, first, first + WINDOW), strict=True) if good]
-        return out
-
-    def stretches(self, toxic: list[int], ordinary: list[int]) -> list[bytes]:
-        """What toxic texts have and ordinary ones lack: the longest stretches that typical runs cover."""
-        covered = {k: np.zeros(len(self.texts[k]) + 1, np.int32) for k in toxic}
+    def typical(self, toxic: list[int], ordinary: list[int]) -> dict[int, np.ndarray]:
+        """The runs, by length, that are typical of toxic texts."""
+        found = {}
         for n in RUNS:
-            own = [_runs(self.texts[k], n) for k in toxic]
-            known, of_ordinary = _counts([_runs(self.texts[k], n) for k in ordinary])
-            seen, of_toxic = _counts(own)
-            typical = seen[(of_toxic >= LEAST) & (of_toxic * len(ordinary) >= TIMES * (_look_up(seen, known, of_ordinary) + 1) * len(toxic))]
-            for k, runs in zip(toxic, own, strict=True):
-                at = np.arange(len(runs))
-                at = at[(_look_up(runs, typical, np.ones(len(typical), np.int64)) > 0) & self._fresh(k, at, at + n)]
-                covered[k][at] += 1
-                covered[k][at + n] -= 1
-        out = []
-        for k, change in covered.items():
-            edges = np.flatnonzero(np.diff(np.concatenate(([False], np.cumsum(change) > 0))))
-            out += [self.texts[k][a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)]
-        return out
+            known, others, of_others = _counts(_runs(self.texts[k], n) for k in ordinary)
+            seen, own, of_own = _counts(_runs(self.texts[k], n) for k in toxic)
+            others, of_others = _look_up(seen, known, others), _look_up(seen, known, of_others)
+            often = surprise(of_own, of_others, CAPPED * len(toxic), CAPPED * len(ordinary))
+            good = (own >= LEAST) & (surprise(own, others, len(toxic), len(ordinary)) >= SURE)
+            found[n] = seen[good], often[good]
+        top = max((np.sort(often)[-20:].mean() for _, often in found.values() if len(often)), default=0.0)
+        return {n: seen[often >= max(FLOOR, SHARE * top)] for n, (seen, often) in found.items()}
+
+    def covered(self, k: int, typical: dict[int, np.ndarray]) -> np.ndarray:
+        """Which bytes of text ``k`` typical runs cover."""
+        change = np.zeros(len(self.texts[k]) + 1, np.int32)
+        for n, runs in typical.items():
+            at = np.flatnonzero(_look_up(_runs(self.texts[k], n), runs, np.ones(len(runs), np.int64)))
+            change[at] += 1
+            change[at + n] -= 1
+        return np.cumsum(change)[:-1] > 0
 
     def dictionaries(self, toxic: list[int], ordinary: list[int]) -> tuple[bytes, bytes]:
-        """The toxic and the ordinary dictionary."""
-        return trained(TOXIC, self.stretches(toxic, ordinary)), trained(ORDINARY, self.windows(ordinary))
+        """The toxic dictionary, of the stretches that typical runs cover, and the ordinary one, of windows without any."""
+        if not toxic or not ordinary:
+            return b"", b""
+        typical, stretches, plain_windows = self.typical(toxic, ordinary), [], []
+        for k in toxic:
+            edges = np.flatnonzero(np.diff(np.concatenate(([False], self.covered(k, typical), [False]))))
+            stretches += [self.texts[k][a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)]
+        for k in ordinary:
+            own, held = windows(self.texts[k]), np.concatenate(([0], np.cumsum(self.covered(k, typical))))
+            first = np.arange(len(own)) * STEP
+            stop = np.minimum(first + WINDOW, len(held) - 1)
+            good = self._fresh(k, first, first + WINDOW) & (held[stop] == held[first])
+            plain_windows += [own[i] for i in np.flatnonzero(good)]
+        return trained(TOXIC, stretches), trained(ORDINARY, plain_windows)
+
+
+#: What stands before the content of a dictionary that zstandard trains: its mark, and its last three offsets.
+MAGIC, OFFSETS = b"\x37\xa4\x30\xec", b"\x01\0\0\0\x04\0\0\0\x08\0\0\0"
 
 
 def trained(size: int, samples: list[bytes]) -> bytes:
-    """A dictionary that zstandard trains on the samples; where they are too few for that, the last of them."""
+    """The content, without header and tables, of a dictionary that zstandard trains on the samples; where they are too
+    few for that, the last of them."""
     import zstandard as z
 
     try:
-        return z.train_dictionary(size, [s for s in samples if len(s) >= 8], k=16, d=6).as_bytes()
+        made = z.train_dictionary(size, [s for s in samples if len(s) >= 8], k=16, d=6).as_bytes()
     except (z.ZstdError, ValueError):
         return b"".join(dict.fromkeys(samples))[-size:]
+    at = made.find(OFFSETS)
+    return made[at + len(OFFSETS) :] if made.startswith(MAGIC) and at > 0 else made
 
 
 class Gains:
-    """The gains of a text's windows: compressed length with the ordinary dictionary, less that with the toxic one
-    behind it. Matches have five bytes or more, and no entropy coding blurs the lengths of such short windows."""
+    """The gains of a text's windows: compressed length with the ordinary dictionary and as many zero bytes, less that
+    with the toxic one in their place, so that whatever the ordinary one has is as far away in both. Matches have five
+    bytes or more, and no entropy coding blurs the lengths of such short windows."""
 
     def __init__(self, content: tuple[bytes, bytes]):
         import zstandard as z
 
         toxic, ordinary = content
-        params = z.ZstdCompressionParameters(strategy=z.STRATEGY_DFAST, min_match=5, hash_log=15, chain_log=15, search_log=3, target_length=0, window_log=17, write_content_size=0, write_checksum=0, write_dict_id=0, format=z.FORMAT_ZSTD1_MAGICLESS)
+        params = z.ZstdCompressionParameters(strategy=z.STRATEGY_LAZY2, min_match=5, hash_log=15, chain_log=15, search_log=6, target_length=64, window_log=17, write_content_size=0, write_checksum=0, write_dict_id=0, format=z.FORMAT_ZSTD1_MAGICLESS)
         self.sides = []
-        for held in (ordinary, ordinary + toxic):
+        for held in (ordinary + bytes(len(toxic)), ordinary + toxic):
             held = z.ZstdCompressionDict(held.rjust(16), dict_type=z.DICT_TYPE_RAWCONTENT)
             held.precompute_compress(compression_params=params)
             self.sides.append(z.ZstdCompressor(dict_data=held, compression_params=params).compress)
@@ -187,7 +225,7 @@ def logistic(x: np.ndarray, y: np.ndarray, l2: float = 1e-3, steps: int = 50) ->
     return w
 
 
-def train(toxic: list[str], ordinary: list[str], folds: int = 2) -> Model:
+def train(toxic: list[str], ordinary: list[str], folds: int = 4) -> Model:
     """Dictionaries from all texts; the calibration from gains of each fold under dictionaries of the others.
 
     Without texts of both kinds the score is the share of toxic ones.

@@ -1,4 +1,4 @@
-"""The ten operators on odd inputs and against brute force."""
+"""The first ten operators on odd inputs and against brute force."""
 
 import collections
 import hashlib
@@ -721,10 +721,10 @@ def test_toxicity_scores_against_brute_force(spark):
 
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     model = toxicity.learn(docs, labels)
-    params = z.ZstdCompressionParameters(strategy=z.STRATEGY_DFAST, min_match=5, hash_log=15, chain_log=15, search_log=3, target_length=0, window_log=17, write_content_size=0, write_checksum=0, write_dict_id=0, format=z.FORMAT_ZSTD1_MAGICLESS)
+    params = z.ZstdCompressionParameters(strategy=z.STRATEGY_LAZY2, min_match=5, hash_log=15, chain_log=15, search_log=6, target_length=64, window_log=17, write_content_size=0, write_checksum=0, write_dict_id=0, format=z.FORMAT_ZSTD1_MAGICLESS)
     toxic, ordinary = model.content
     length = lambda w, held: len(z.ZstdCompressor(dict_data=held, compression_params=params).compress(w))
-    sides = [z.ZstdCompressionDict(c, dict_type=z.DICT_TYPE_RAWCONTENT) for c in (ordinary, ordinary + toxic)]
+    sides = [z.ZstdCompressionDict(c, dict_type=z.DICT_TYPE_RAWCONTENT) for c in (ordinary + bytes(len(toxic)), ordinary + toxic)]
     rows = [r for r in docs.collect() if len(r.text) < 1500][:60]
     got = {r.doc_id: r.score for r in toxicity.score_toxicity(docs, model).collect()}
     for r in rows:
