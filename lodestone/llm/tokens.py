@@ -8,8 +8,8 @@ from functools import lru_cache
 
 import numpy as np
 
-#: Words kept by a worker; the cache starts anew beyond it.
-CACHE_WORDS = 500_000
+#: Words kept by a worker. Common ones come early, so a full cache stays as it is, and others are looked up each time.
+CACHE_WORDS = 1_000_000
 _FOLD = bytes.maketrans(b"\n\r\tABCDEFGHIJKLMNOPQRSTUVWXYZ", b"   abcdefghijklmnopqrstuvwxyz")
 _MARKS = b".,;:!?"
 
@@ -37,7 +37,8 @@ class _Words(dict):
             ids = self[word[:-1]] + self[word[-1:]]
         else:
             ids = self.whole(word.decode())
-        self[word] = ids
+        if len(self) < CACHE_WORDS:
+            self[word] = ids
         return ids
 
 
@@ -62,8 +63,6 @@ class WordTokenizer:
         folded = raw.translate(_FOLD)
         if b"<|" in raw or not (text.isascii() or unicodedata.is_normalized("NFC", text) and unicodedata.is_normalized("NFC", folded.decode())):
             return self.words.whole(text)
-        if len(self.words) > CACHE_WORDS:
-            self.words = _Words(self.tokenizer)
         return b"".join(map(self.words.__getitem__, folded.split(b" ")))
 
 
