@@ -207,9 +207,9 @@ def src08(spark: SparkSession, sf_dir: str) -> DataFrame:
     and blank lines."""
     lines = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders"), F.col("o_orderkey") == F.col("l_orderkey"))
     files = lines.select((F.col("o_custkey") % 25).alias("project"), F.col("l_orderkey").alias("o"), (F.col("l_linenumber") + 1).alias("n"), F.concat(F.lit("src\\p"), "l_partkey").alias("line"))
-    heads = files.select("project", "o", F.lit(0).alias("n"), F.concat(F.lit("__C__"), F.lpad(F.col("o").cast("string"), 240, "0")).alias("line")).distinct()
-    blanks = files.select("project", "o", F.lit(99).alias("n"), F.lit("  ").alias("line")).distinct()
-    log = files.unionByName(heads).unionByName(blanks).withColumn("line_no", F.struct("o", "n"))
+    heads = files.select("project", "o").distinct()
+    marks = F.array(F.struct(F.lit(0).alias("n"), F.concat(F.lit("__C__"), F.lpad(F.col("o").cast("string"), 240, "0")).alias("line")), F.struct(F.lit(99).alias("n"), F.lit("  ").alias("line")))
+    log = files.unionByName(heads.select("project", "o", F.inline(marks))).withColumn("line_no", F.struct("o", "n"))
     read = L.read_commit_log(log)
     return read.groupBy("project", "seq", F.col("commit").cast("bigint").alias("commit"), "path").agg(F.count("*").alias("times"))
 

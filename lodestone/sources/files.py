@@ -80,7 +80,14 @@ def read_head(files: DataFrame, n: int = 16_384) -> DataFrame:
 def read_commit_log(lines: DataFrame, by: str = "project", most: int | None = 40, order: str = "line_no") -> DataFrame:
     """(project, seq, commit, ord, path) of the ``most`` last commits of each project's log (project, line_no, line):
     lines that begin with __C__ open a commit (seq from 0, the newest first), the other lines that aren't blank are
-    its files, with slashes. The log is sorted into ranges, so that a long one is read by many tasks."""
+    its files, with slashes. Lines before the ``most``-th last opening of a project are left out first, so that what is
+    left doesn't grow with the log; it is sorted into ranges, so that a long one is read by many tasks."""
+    if most is not None:
+        opened = lines.where(F.startswith("line", F.lit("__C__"))).select(by, F.col(order).alias("__at"))
+        newest = Window.partitionBy(by).orderBy(F.col("__at").desc())
+        last = opened.withColumn("__k", F.row_number().over(newest)).where(F.col("__k") <= most).groupBy(by).agg(F.min("__at").alias("__from"))
+        last = checkpointed(last)
+        lines = lines.join(F.broadcast(last) if last.count() <= 100_000 else last, by).where(F.col(order) >= F.col("__from")).drop("__from")
     ranged = checkpointed(lines.select(by, order, "line").repartitionByRange(by, order).sortWithinPartitions(by, order).withColumn("__part", F.spark_partition_id()))
     head = F.startswith("line", F.lit("__C__"))
     within = Window.partitionBy(by, "__part").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)

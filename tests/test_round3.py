@@ -6,6 +6,7 @@ import pytest
 from compare import TABLES, duck, rows_of, rows_of_sql
 from lodestone.plans import queries as _registered  # noqa: F401
 from lodestone.plans import registry
+from lodestone.sources import files
 
 SF = "/root/testdata/sf0.001"
 
@@ -26,3 +27,16 @@ def test_words_of_texts_without_words(spark, odd_tables):
     assert (columns, rows) == rows_of_sql(duck(odd_tables), registry.oracle_sql()["fn01_tokenize"])
     assert columns == ["doc_id", "n", "tokens"]
     assert {r[0]: r[1:] for r in rows if r[0] != "1"} == {"2": ("0", ""), "3": ("None", "None"), "4": ("0", ""), "5": ("0", "")}
+
+
+def test_only_the_last_commits_of_a_log_are_ranged(spark, monkeypatch):
+    """What is sorted into ranges doesn't grow with the log, where only so many commits are wanted."""
+    rows = [(p, 3 * n + k, line) for p, last in (("a", 300), ("b", 2)) for n in range(last) for k, line in enumerate((f"__C__{p}{n}", f"src\\{n}", " "))]
+    log = spark.createDataFrame([("a", -1, "before"), ("c", 5, "none"), *rows], "project string, line_no long, line string")
+    held, keep = [], files.checkpointed
+    monkeypatch.setattr(files, "checkpointed", lambda df: held.append(keep(df)) or held[-1])
+    got = sorted(tuple(r) for r in files.read_commit_log(log, most=3).collect())
+    assert got == [("a", k, f"a{299 - k}", 3 * (299 - k) + 1, f"src/{299 - k}") for k in range(3)] + [("b", k, f"b{1 - k}", 3 * (1 - k) + 1, f"src/{1 - k}") for k in range(2)]
+    assert max(df.count() for df in held) == 15
+    whole = files.read_commit_log(log, most=None)
+    assert got == sorted(tuple(r) for r in whole.where("seq < 3").collect()) and whole.count() == 302
