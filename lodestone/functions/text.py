@@ -71,7 +71,7 @@ def stem(word: Column) -> Column:
 
 def trimmed(text: Column) -> Column:
     """Without white space of any kind at both ends."""
-    return F.regexp_replace(text, r"^\s+|\s+$", "")
+    return F.btrim(text, F.lit(" \t\n\u000b\f\r"))
 
 
 def sentences(text: Column) -> Column:

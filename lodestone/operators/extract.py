@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Iterator
 
@@ -264,17 +265,21 @@ def parse_failures(logs: DataFrame) -> DataFrame:
     matches counts, and equal failures of a log count once, at their first line. Lines without a shape's word never
     meet its pattern, and one that matches is taken apart in a single pass."""
     rows = lines_of(logs.select(F.col("log_id"), T.strip_ansi(F.col("text")).alias("text")), "log_id")
-    rows = rows.where(F.col("line").rlike("error|warning|FAIL|✕|×")).select("log_id", "line_no", T.trimmed(F.regexp_replace("line", "\r", "")).alias("s"))
+    # what is made from a line goes through a generator: Spark would otherwise put its patterns in place of each use
+    only = lambda c: F.explode(F.array(c))
+    worded = functools.reduce(Column.__or__, [F.contains("line", F.lit(w)) for w in ("error", "warning", "FAIL", "✕", "×")])
+    rows = rows.where(worded).select("log_id", "line_no", only(T.trimmed(F.replace("line", F.lit("\r"), F.lit("")))).alias("s"))
     # the groups of a match behind one another; a mark that no line holds parts them
     cut = lambda p, groups: F.when(F.col("s").rlike(p), F.split(F.regexp_replace("s", p, "\u0001".join(f"${g}" for g in groups)), "\u0001", -1))
-    rows = rows.withColumn(
-        "m",
+    first = (
         F.when(F.contains("s", F.lit("): error TS")) | F.col("s").rlike(r"\):\s*error\s"), F.struct(F.lit("tsc").alias("shape"), cut(TSC, (1, 2, 3)).alias("g")))
         .when(F.startswith("s", F.lit("FAILED")), F.struct(F.lit("pytest").alias("shape"), cut(PYTEST, (1, 2, 3)).alias("g")))
-        .when(F.col("s").rlike("^(?:FAIL|✕|×)"), F.struct(F.lit("fail").alias("shape"), cut(FAIL, (1,)).alias("g"))),
+        .when(F.col("s").rlike("^(?:FAIL|✕|×)"), F.struct(F.lit("fail").alias("shape"), cut(FAIL, (1,)).alias("g")))
     )
+    rows = rows.select("log_id", "line_no", "s", only(first).alias("m"))
     lint = F.struct(F.lit("lint").alias("shape"), cut(LINT, (1, 2, 4, 5)).alias("g"))
-    rows = rows.select("log_id", "line_no", "s", F.when(F.col("m.g").isNotNull(), F.col("m")).when(F.col("s").rlike(r":\d+:\d+\s"), lint).alias("m")).where("m.g is not null")
+    last = F.when(F.col("m.g").isNotNull(), F.col("m")).when(F.col("s").rlike(r":\d+:\d+\s"), lint)
+    rows = rows.select("log_id", "line_no", "s", only(last).alias("m")).where("m.g is not null")
     g = lambda k: F.get("m.g", F.lit(k))
     shape = lambda file, line, test, message: F.struct(file.alias("file"), line.cast("bigint").alias("line"), test.alias("test"), message.alias("message"))
     null, body, kind = F.lit(None).cast("string"), F.split(g(0), " > "), F.col("m.shape")

@@ -4,6 +4,7 @@ import duckdb
 import pytest
 
 from compare import TABLES, duck, rows_of, rows_of_sql
+from lodestone.operators import extract
 from lodestone.plans import queries as _registered  # noqa: F401
 from lodestone.plans import registry
 from lodestone.sources import files
@@ -40,3 +41,12 @@ def test_only_the_last_commits_of_a_log_are_ranged(spark, monkeypatch):
     assert max(df.count() for df in held) == 15
     whole = files.read_commit_log(log, most=None)
     assert got == sorted(tuple(r) for r in whole.where("seq < 3").collect()) and whole.count() == 302
+
+
+def test_patterns_of_failures_stand_once_in_the_plan(spark):
+    log = "\u001b[31msrc/a.ts(12,5): error TS2322: no\u001b[0m\r\nsrc/b.ts:3:9  error  bad  rule\nFAILED t.py::test_a - why\n\t FAIL src/a.test.ts > suite > case \nan error\nsrc/a.ts(12,5): error TS2322: no"
+    hits = extract.parse_failures(spark.createDataFrame([(1, log)], "log_id int, text string"))
+    got = [tuple(r)[1:] for r in hits.orderBy("line_no").collect()]
+    assert got == [(0, "src/a.ts", 12, None, "TS2322: no"), (1, "src/b.ts", 3, None, "bad  rule (error)"), (2, "t.py", None, "test_a", "why"), (3, "src/a.test.ts", None, "suite > case", "src/a.test.ts > suite > case")]
+    plan = hits._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RLIKE") == 7  # each once; they were put in place of each use before
