@@ -2,8 +2,10 @@
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from compare import TABLES, duck, rows_of, rows_of_sql
+from lodestone.functions import text
 from lodestone.operators import extract
 from lodestone.plans import queries as _registered  # noqa: F401
 from lodestone.plans import registry
@@ -50,3 +52,10 @@ def test_patterns_of_failures_stand_once_in_the_plan(spark):
     assert got == [(0, "src/a.ts", 12, None, "TS2322: no"), (1, "src/b.ts", 3, None, "bad  rule (error)"), (2, "t.py", None, "test_a", "why"), (3, "src/a.test.ts", None, "suite > case", "src/a.test.ts > suite > case")]
     plan = hits._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("RLIKE") == 7  # each once; they were put in place of each use before
+
+
+def test_words_are_not_cut_at_a_negated_class(spark):
+    """Such a class of several ranges took most of the time of tokenising."""
+    words = spark.createDataFrame([("a1, B2 getHTTPUrl \u212aelvin _x_ " + "z" * 41 + " " + "y" * 40,)], "text string").select(text.tokenize(F.col("text")).alias("t"))
+    assert words.first().t == ["a1", "b2", "gethttpurl", "elvin", "y" * 40, "get", "http", "url", "kelvin"]
+    assert "[^a-z" not in words._jdf.queryExecution().optimizedPlan().toString()
