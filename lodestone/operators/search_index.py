@@ -194,8 +194,10 @@ def best_in_shard(use: np.ndarray, idf: np.ndarray, rows: list[tuple], avg_len:
     return q[place < k], d[place < k], scores[q, d][place < k], scored
 
 
-def _found(index: SearchIndex, queries: DataFrame, k: int | None, stems: bool, block: int) -> DataFrame:
-    """(query_id, path, score): of each query the ``k`` best documents of each shard, or all with a score."""
+def _found(index: SearchIndex, queries: DataFrame, k: int | None, stems: bool, block: int, total: bool = False, most_sent: int = 500_000) -> DataFrame:
+    """(query_id, shard, local, score): of each query the ``k`` best documents of each shard, or all with a score; with
+    ``total`` only (query_id, hits, total) of each shard. Words of up to ``most_sent`` pairs with queries are sent to all
+    tasks, so that postings stay where they are read and only those of these words travel."""
     kind = dict(queries.dtypes)["query_id"]
     asked = queries.select("query_id", F.explode_outer("terms").alias("term")).where("term is not null").distinct()
     asked = checkpointed(asked.withColumn("part", F.pmod(F.xxhash64("query_id"), F.lit(max(1, -(-queries.count() // block))))))
@@ -204,15 +206,17 @@ def _found(index: SearchIndex, queries: DataFrame, k: int | None, stems: bool, b
     met = words.join(terms, "stem") if stems else words.join(terms, words["token"] == terms["term"]).drop(terms["stem"])
     met = checkpointed(met.select("token", "term", "df", F.pmod(F.xxhash64("token"), F.lit(index.buckets)).cast("int").alias("bucket")))
     postings = index.spark.read.schema(f"{POSTINGS}, bucket int").parquet(f"{index.path}/all")
+    sent = lambda df, n: F.broadcast(df) if n <= most_sent else df
     own = met.where("token = term").select("term", "df")
     # a term that no document has counts the documents with its stem, several words of which may be in one
     lacking = met.join(own, "term", "left_anti").select("term", "token", "bucket")
-    by_stem = postings.select("bucket", "token", "shard", "locals").join(lacking, ["bucket", "token"]).select("term", "shard", F.explode("locals").alias("doc")).distinct().groupBy("term").agg(F.count("*").alias("df"))
+    by_stem = postings.select("bucket", "token", "shard", "locals").join(sent(lacking, met.count()), ["bucket", "token"]).select("term", "shard", F.explode("locals").alias("doc")).distinct().groupBy("term").agg(F.count("*").alias("df"))
     df = own.unionByName(by_stem)
     idf = df.select("term", F.log1p((index.n - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
     used = asked.groupBy("part", "term").agg(F.array_sort(F.collect_list("query_id")).alias("queries"))
     wanted = checkpointed(met.select("token", "term", "bucket").join(idf, "term").join(used, "term"))
-    rows = postings.drop("paths").join(wanted, ["bucket", "token"]).withColumn("exact", F.col("token") == F.col("term")).drop("bucket", "token")
+    pairs = wanted.agg(F.coalesce(F.sum(F.size("queries")), F.lit(0))).first()[0]
+    rows = postings.drop("paths").join(sent(wanted, pairs), ["bucket", "token"]).withColumn("exact", F.col("token") == F.col("term")).drop("bucket", "token")
 
     avg_len = index.avg_len  # the index itself stays on the driver
 
@@ -226,9 +230,13 @@ def _found(index: SearchIndex, queries: DataFrame, k: int | None, stems: bool, b
             weights[t] = i
         columns = ("exact", "locals", "weights", "lens", "blocks", "most", "least_len")
         q, d, s, _ = best_in_shard(use, weights, list(zip(codes, *(group[c] for c in columns), strict=True)), avg_len, k, stems)
+        if total:
+            hits = np.bincount(q, minlength=len(ids))
+            return pd.DataFrame({"query_id": ids, "hits": hits, "total": np.bincount(q, s, len(ids))})[hits > 0]
         return pd.DataFrame({"query_id": [ids[x] for x in q], "shard": group["shard"].iloc[0], "local": d.astype("int32"), "score": s})
 
-    return rows.groupBy("shard", "part").applyInPandas(score, f"query_id {kind}, shard bigint, local int, score double")
+    gives = "hits bigint, total double" if total else "shard bigint, local int, score double"
+    return rows.groupBy("shard", "part").applyInPandas(score, f"query_id {kind}, {gives}")
 
 
 def _paths(index: SearchIndex) -> DataFrame:
@@ -246,6 +254,13 @@ def index_scores(index: SearchIndex, queries: DataFrame, with_stems: bool = True
     return _found(index, queries, None, with_stems, block).join(_paths(index), ["shard", "local"]).select("query_id", "path", "score")
 
 
+def index_totals(index: SearchIndex, queries: DataFrame, with_stems: bool = True, block: int = 256) -> DataFrame:
+    """(query_id, hits, total): how many rows index_scores gives of each query and the sum of their scores. Each shard
+    adds up its own documents, so that no row per document leaves it and no path is read."""
+    per = _found(index, queries, None, with_stems, block, total=True)
+    return per.groupBy("query_id").agg(F.sum("hits").alias("hits"), F.sum("total").alias("total"))
+
+
 def index_topk(index: SearchIndex, queries: DataFrame, k: int, with_stems: bool = True, block: int = 256) -> DataFrame:
     """(query_id, path, score, rank): the ``k`` best documents of each query by the score of index_scores to nine
     places, equal ones by path. Each shard leaves out blocks that can't reach its k best and passes on k rows a query."""

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from compare import TABLES, duck, rows_of, rows_of_sql
 from lodestone.functions import text
-from lodestone.operators import extract
+from lodestone.operators import extract, search, search_index
 from lodestone.plans import queries as _registered  # noqa: F401
 from lodestone.plans import registry
 from lodestone.sources import files
@@ -54,6 +54,21 @@ def test_patterns_of_failures_stand_once_in_the_plan(spark):
     assert plan.count("RLIKE") == 7  # each once; they were put in place of each use before
 
 
+def test_totals_of_queries_are_those_of_their_scores(spark, tmp_path):
+    """Sums made inside shards, with the words sent to all tasks and not, against the rows they stand for."""
+    docs = search.bm25_docs(spark.createDataFrame([(f"d{n}", f"the words of {'apples' if n % 3 else 'apple'} number{n % 5}") for n in range(40)], "path string, content string"))
+    index = search_index.build_index(docs, str(tmp_path), shard_docs=7, buckets=3)
+    queries = spark.createDataFrame([(1, ["apple", "number3"]), (2, ["apples", "words"]), (3, ["nothing"]), (4, ["word"])], "query_id int, terms array<string>")
+    for stems in (True, False):
+        rows = search_index.index_scores(index, queries, stems).groupBy("query_id").agg(F.count("*"), F.round(F.sum("score"), 9))
+        want = sorted(map(tuple, rows.collect()))
+        got = search_index.index_totals(index, queries, stems).select("query_id", "hits", F.round("total", 9))
+        assert sorted(map(tuple, got.collect())) == want and [r[0] for r in want] == ([1, 2, 4] if stems else [1, 2])
+        unsent = search_index._found(index, queries, None, stems, 2, total=True, most_sent=0).groupBy("query_id").agg(F.sum("hits"), F.round(F.sum("total"), 9))
+        assert sorted(map(tuple, unsent.collect())) == want
+    assert "Exchange hashpartitioning(bucket" not in search_index.index_totals(index, queries)._jdf.queryExecution().executedPlan().toString()
+
+
 def test_words_are_not_cut_at_a_negated_class(spark):
     """Such a class of several ranges took most of the time of tokenising."""
     words = spark.createDataFrame([("a1, B2 getHTTPUrl \u212aelvin _x_ " + "z" * 41 + " " + "y" * 40,)], "text string").select(text.tokenize(F.col("text")).alias("t"))
