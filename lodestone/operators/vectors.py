@@ -53,27 +53,38 @@ def cosine_scores(chunks: DataFrame, queries: DataFrame, where: Column | None =
     asked = asked.select(F.col("width").alias("q_width"), F.col("data").alias("q_data"), "query_id", F.monotonically_increasing_id().alias("q_no"))
     asked = checkpointed(asked)
 
+    def best(pack, width: int, data: bytes, query_id: list) -> pd.DataFrame:
+        got = np.frombuffer(data).reshape(-1, width) @ np.frombuffer(pack.data).reshape(-1, width).T
+        keep = np.ones(got.shape, bool) if least is None else got >= least
+        if most is not None and most < got.shape[1]:
+            keep &= got >= np.partition(got, -most, axis=1)[:, -most][:, None]
+        q, c = np.nonzero(keep)
+        take = lambda values, at: pd.Series(list(values), dtype=object).iloc[at].reset_index(drop=True)
+        return pd.DataFrame({"query_id": take(query_id, q), "chunk_id": take(pack.chunk_id, c), "document": take(pack.document, c), "score": got[q, c]})
+
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for r in batch.itertuples():
-                if r.width != r.q_width or not r.width:
-                    continue
-                got = np.frombuffer(r.q_data).reshape(-1, r.width) @ np.frombuffer(r.data).reshape(-1, r.width).T
-                keep = np.ones(got.shape, bool) if least is None else got >= least
-                if most is not None and most < got.shape[1]:
-                    keep &= got >= np.partition(got, -most, axis=1)[:, -most][:, None]
-                q, c = np.nonzero(keep)
-                take = lambda values, at: pd.Series(list(values), dtype=object).iloc[at].reset_index(drop=True)
-                yield pd.DataFrame({"query_id": take(r.query_id, q), "chunk_id": take(r.chunk_id, c), "document": take(r.document, c), "score": got[q, c]})
+                if r.width and r.width == r.q_width:
+                    yield best(r, r.q_width, r.q_data, r.query_id)
 
+    gives = f"query_id {kinds['query_id']}, chunk_id {kinds['chunk_id']}, document {kinds['document']}, score double"
     size = asked.agg(F.coalesce(F.sum(F.length("q_data")), F.lit(0))).first()[0]
     if size <= most_sent:
-        both = have.crossJoin(F.broadcast(asked.drop("q_no")))
-    else:
-        numbers = asked.agg(F.collect_list("q_no").alias("all"))  # a number for each ``block`` queries
-        spread = have.crossJoin(F.broadcast(numbers)).withColumn("q_no", F.explode("all")).drop("all")
-        both = spread.join(asked, "q_no").drop("q_no")
-    return both.mapInPandas(score, f"query_id {kinds['query_id']}, chunk_id {kinds['chunk_id']}, document {kinds['document']}, score double")
+        # once to each worker: next to each block of chunks they would fill Arrow's batches with copies
+        sent = asked.sparkSession.sparkContext.broadcast([tuple(r) for r in asked.select("q_width", "q_data", "query_id").collect()])
+
+        def score_sent(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                for r in batch.itertuples():
+                    for width, data, query_id in sent.value:
+                        if width and width == r.width:
+                            yield best(r, width, data, query_id)
+
+        return have.mapInPandas(score_sent, gives)
+    numbers = asked.agg(F.collect_list("q_no").alias("all"))  # a number for each ``block`` queries
+    spread = have.crossJoin(F.broadcast(numbers)).withColumn("q_no", F.explode("all")).drop("all")
+    return spread.join(asked, "q_no").drop("q_no").mapInPandas(score, gives)
 
 
 def nearest(chunks: DataFrame, queries: DataFrame, k: int, where: Column | None = None) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from compare import TABLES, duck, rows_of, rows_of_sql
 from lodestone.functions import text
-from lodestone.operators import extract, search, search_index
+from lodestone.operators import extract, search, search_index, vectors
 from lodestone.plans import queries as _registered  # noqa: F401
 from lodestone.plans import registry
 from lodestone.sources import files
@@ -74,3 +74,15 @@ def test_words_are_not_cut_at_a_negated_class(spark):
     words = spark.createDataFrame([("a1, B2 getHTTPUrl \u212aelvin _x_ " + "z" * 41 + " " + "y" * 40,)], "text string").select(text.tokenize(F.col("text")).alias("t"))
     assert words.first().t == ["a1", "b2", "gethttpurl", "elvin", "y" * 40, "get", "http", "url", "kelvin"]
     assert "[^a-z" not in words._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_queries_do_not_travel_with_each_block_of_chunks(spark):
+    """A worker gets the queries once; a batch of blocks holds no copies of them. By block, the scores are the same."""
+    rows = [(n, n % 3, [float(n % 7), 1.0, float(n % 5)]) for n in range(50)]
+    chunks = spark.createDataFrame(rows, "chunk_id int, document int, embedding array<double>")
+    asked = chunks.where("chunk_id % 10 = 0").select(F.col("chunk_id").alias("query_id"), "embedding")
+    sent = vectors.cosine_scores(chunks, asked, block=4)
+    assert "NestedLoopJoin" not in sent._jdf.queryExecution().executedPlan().toString()
+    parted = vectors.cosine_scores(chunks, asked, block=4, most_sent=0)
+    got = sorted((r.query_id, r.chunk_id, r.document, round(r.score, 9)) for r in sent.collect())
+    assert len(got) == 250 and got == sorted((r.query_id, r.chunk_id, r.document, round(r.score, 9)) for r in parted.collect())
