@@ -183,7 +183,8 @@ def stream_index(documents: DataFrame, chunk: Callable[[DataFrame], DataFrame],
         made = one.select("key", "chunk_id").join(embed(one.select("chunk_id", "text")), "chunk_id").select("key", "embedding")
         every = made if vectors is None else made.unionByName(vectors)
         rows = chunks.join(every, "key").withColumn("batch", F.lit(number))
-        rows.write.partitionBy("prefix", "batch").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(f"{folder}/index")
+        # a folder's rows come together, or each task would write a file to each of them; large folders are split
+        rows.hint("rebalance", "prefix").write.partitionBy("prefix", "batch").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(f"{folder}/index")
 
     documents.writeStream.foreachBatch(step).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
 

@@ -10,6 +10,7 @@ from lodestone.operators import extract, search, search_index, vectors
 from lodestone.plans import queries as _registered  # noqa: F401
 from lodestone.plans import registry
 from lodestone.sources import files
+from lodestone.streaming import jobs
 
 SF = "/root/testdata/sf0.001"
 
@@ -86,3 +87,18 @@ def test_queries_do_not_travel_with_each_block_of_chunks(spark):
     parted = vectors.cosine_scores(chunks, asked, block=4, most_sent=0)
     got = sorted((r.query_id, r.chunk_id, r.document, round(r.score, 9)) for r in sent.collect())
     assert len(got) == 250 and got == sorted((r.query_id, r.chunk_id, r.document, round(r.score, 9)) for r in parted.collect())
+
+
+def test_a_batch_of_the_stream_writes_few_files_to_a_folder(spark, tmp_path):
+    """Every task wrote a file to each folder of the index."""
+    texts = spark.range(3000).select(F.col("id").alias("chunk_id"), F.concat(F.lit("word"), "id").alias("text"))
+    texts.repartition(8).write.parquet(f"{tmp_path}/in")
+    embed = lambda c: c.select("chunk_id", F.array(F.lit(1.0)).alias("embedding"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # as many tasks as a large table has
+    try:
+        jobs.stream_index(jobs.read_stream(spark, f"{tmp_path}/in"), lambda b: b, embed, f"{tmp_path}/out")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    folders = [p for p in (tmp_path / "out/index").glob("*/*") if p.is_dir()]
+    assert len(folders) > 100 and sum(len(list(p.glob("*.parquet"))) for p in folders) <= 1.1 * len(folders)
+    assert jobs.read_stream_index(spark, f"{tmp_path}/out").count() == 3000
