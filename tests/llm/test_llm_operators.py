@@ -290,6 +290,32 @@ def test_cached_ids_equal_the_tokenizers(text):
         assert np.frombuffer(tokens.word_tokenizer(tokens.default_tokenizer(), special).ids(text), "<u4").tolist() == encode(text, special)
 
 
+def test_plain_words_need_only_the_tokenizers_model(monkeypatch):
+    monkeypatch.setattr(tokens._Words, "whole", lambda *_: pytest.fail("a plain word went to the whole tokenizer"))
+    text = "l'été, ÉCOLE!!! don't (988) 555-2485 a.b@c7.example.com x_y=\x07 où\x0bça 'really' ''ll **[grüße]**\x7f"
+    for _ in range(3):
+        got = tokens.WordTokenizer(tokens.default_tokenizer()).ids(text)
+        assert np.frombuffer(got, "<u4").tolist() == encode(text)
+
+
+def test_words_met_once_are_not_kept_and_kept_ones_are_bounded(monkeypatch):
+    tokenizer = tokens.WordTokenizer(tokens.default_tokenizer())
+    text = " ".join(f"{a}{b}{c}{d}" for a in "bcdf" for b in "aeiouy" for c in "ghjklmnp" for d in "aeiou")
+    assert np.frombuffer(tokenizer.ids(text), "<u4").tolist() == encode(text)
+    assert len(tokenizer.words) < 50  # of 960; two with one remainder may be kept
+    monkeypatch.setattr(tokens, "CACHE_WORDS", 500)
+    for _ in range(2):
+        assert np.frombuffer(tokenizer.ids(text), "<u4").tolist() == encode(text)
+    assert len(tokenizer.words) == 500
+
+
+def test_long_words_are_not_kept():
+    tokenizer = tokens.WordTokenizer(tokens.default_tokenizer())
+    for _ in range(3):
+        assert np.frombuffer(tokenizer.ids("x" * 5000), "<u4").tolist() == encode("x" * 5000)
+    assert sum(map(len, tokenizer.words)) < 5000
+
+
 # 4: mixing
 
 
